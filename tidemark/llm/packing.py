@@ -58,7 +58,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, lo
     piece's place in its bucket is a running count over that order."""
     texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = texts.mapInArrow(piece_batches(vocabulary, end_id, longest_log2, keep_ids), "doc_id long, doc_tokens long, pieces array<struct<crc:long,ids:binary>>")
-    placed = common.ordered_store(cut, ["doc_id", "doc_tokens"], "packing")
+    # written before they are dealt by ranges: finding the ranges reads its input once more
+    placed = common.ordered_store(common.stored(cut, "packing-pieces"), ["doc_id", "doc_tokens"], "packing")
     classes = [f"n{k}" for k in range(longest_log2 + 1)]
     counted = placed.select("*", *[F.shiftright("doc_tokens", k).bitwiseAND(1).alias(f"n{k}") for k in range(longest_log2)], F.shiftright("doc_tokens", longest_log2).alias(f"n{longest_log2}"))
     totals = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes]).first()
