@@ -99,7 +99,7 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 
 def components(edges: DataFrame, what: str, max_rounds: int = 64) -> DataFrame:
-    """Connected components of edges (a, b) of longs: rows (node, root) with root the smallest node of the component.
+    """Connected components of edges (a, b) of a type with an order: rows (node, root) with root the smallest node of the component.
 
     Alternating large-star and small-star rounds; each is written to the work folder, so that no lineage grows and no
     edge list reaches the driver. Nodes without an edge don't appear. Large-star joins a node's least neighbour back to
@@ -126,3 +126,9 @@ def components(edges: DataFrame, what: str, max_rounds: int = 64) -> DataFrame:
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished phases: Spark deletes them when the driver's JVM has collected the plans
+    that held them, which a quiet driver may not do for long."""
+    spark.sparkContext._jvm.System.gc()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chunk_store import op4_content_addressed_ids
+from .decontamination import op2_benchmark_decontamination
 from .license_scan import op3_license_scan
+from .line_dedup import op10_line_dedup
 from .packing import op6_power_of_two_packing
 from .quality import op1_pu_quality
 from .scaled_sketch import op7_scaled_sketch
@@ -15,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pu_quality,
+        op2_benchmark_decontamination,
         op3_license_scan,
         op4_content_addressed_ids,
         op5_simhash_near_dedup,
@@ -22,6 +25,7 @@ QUERIES = {
         op7_scaled_sketch,
         op8_toxicity,
         op9_suffix_tree_score,
+        op10_line_dedup,
     )
 }
 

@@ -1,11 +1,15 @@
 """SimHash near-duplicate groups by meet-in-the-middle ball hashing.
 
-Two fingerprints that differ in at most `radius` bits have a common variant within half that radius of either, so every
-fingerprint emits all its variants and fingerprints that share one are linked. The shuffle on variants goes by a hash of
+Two values that differ in at most `radius` bits have a common variant within half that radius of either, so every
+fingerprint emits all its variants and fingerprints that share one are compared. The shuffle on variants goes by a hash of
 the variant that is linear over GF(2): the variants of a fingerprint that fall into a bucket then follow from the
 fingerprint and the bucket's number, and the shuffle carries the fingerprint once for each bucket instead of 2,081
 variants. The number of buckets grows with the fingerprints, so the variants held by one task stay bounded.
 
+A plan says which bits are hashed so. EXACT hashes all 64 bits with radius 4, which finds every pair at 4 or fewer
+differing bits. SIMILAR is for whole shingle similarities of 0.8 and more, at which a sixth of all bits differ: of 128 bits
+each quarter is hashed with radius 4, and pairs that meet in any quarter are verified by all bits.
+
 Defined cases. A null or empty text and one without words has fingerprint zero and is linked like any other; texts with
 fewer words than a shingle have one shingle, the whole sequence. Rows with equal or null ids stay separate rows; a null id
 takes part in linking but is never a component's id, which is null where a component has no other. Extra columns are
@@ -15,6 +19,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
@@ -26,7 +31,32 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS, SEED = 64, 42
+SEED = 42
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Words of a shingle; 64-bit words of a fingerprint; the bit ranges (word, first bit, bits) whose variants are hashed
+    and their radius; differing bits of a whole fingerprint at which two are linked."""
+
+    shingle: int
+    size: int
+    tables: tuple[tuple[int, int, int], ...]
+    radius: int
+    most: int
+
+    @property
+    def half(self) -> int:
+        return (self.radius + 1) // 2
+
+    @property
+    def whole(self) -> bool:
+        """Sharing a variant is proof enough."""
+        return self.tables == ((0, 0, 64),) and self.size == 1 and 2 * self.half <= self.most
+
+
+EXACT = Plan(shingle=4, size=1, tables=((0, 0, 64),), radius=4, most=4)
+SIMILAR = Plan(shingle=5, size=2, tables=((0, 0, 32), (0, 32, 32), (1, 0, 32), (1, 32, 32)), radius=4, most=24)
 #: Variants that one task holds at a time, on average: 8 bytes each, and as many again for their order.
 VARIANTS_A_TASK = 6_000_000
 #: Least number of buckets, so that small inputs use all cores too.
@@ -47,52 +77,58 @@ def shingle_hashes(words: list[bytes], width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def majority(hashes: list[int], counts: list[int]) -> np.ndarray:
-    """A fingerprint for each run of `counts` hashes: a bit is 1 if it is set in over half of them."""
-    out = np.zeros(len(counts), np.uint64)
+def majority(hashes: list[int], counts: list[int], size: int = 1) -> np.ndarray:
+    """A fingerprint of `size` words for each run of `counts` hashes: a bit is 1 if it is set in over half of them.
+
+    The first word is over the hashes themselves, the others over remixed ones."""
+    out = np.zeros((len(counts), size), np.uint64)
     if not hashes:
         return out
-    n = np.array(counts, np.int64)
-    bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    n, h = np.array(counts, np.int64), np.array(hashes, np.uint64)
     some = np.flatnonzero(n)
-    sums = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
-    out[some] = np.packbits(2 * sums > n[some, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    for k in range(size):
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+        out[some, k] = np.packbits(2 * sums > n[some, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     return out
 
 
-def fingerprint_batches(width: int):
+def fingerprint_batches(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, hashes, counts = [], [], []
             for text in batch.column("text"):
-                got = shingle_hashes((text.as_py() or b"").lower().split(), width)
+                got = shingle_hashes((text.as_py() or b"").lower().split(), plan.shingle)
                 hashes += got
                 counts.append(len(got))
                 if len(hashes) > SHINGLES_AT_ONCE:
-                    found.append(majority(hashes, counts))
+                    found.append(majority(hashes, counts, plan.size))
                     hashes, counts = [], []
-            found.append(majority(hashes, counts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
+            found.append(majority(hashes, counts, plan.size))
+            fps = np.concatenate(found).astype(">u8")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([x.tobytes() for x in fps], pa.binary())], ["doc_id", "h", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): a 64-bit SimHash of each text's word shingles as a signed long."""
-    texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(fingerprint_batches(width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
+    """(doc_id, h, fp): the SimHash of each text's word shingles, big-endian; h tells apart texts of one id."""
+    texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(fingerprint_batches(plan), "doc_id long, h long, fp binary")
 
 
 @cache
-def flips(half: int) -> np.ndarray:
-    """All masks of at most `half` bits."""
-    return np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(BITS), k)], np.uint64)
+def flips(half: int, bits: int) -> np.ndarray:
+    """All masks of at most `half` of the lowest `bits` bits."""
+    return np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
 @cache
 def codes() -> np.ndarray:
-    """For each byte of a fingerprint and each value of it, what it adds to the linear hash."""
-    of_bit = np.random.default_rng(SEED).integers(0, 1 << 31, BITS, dtype=np.int64)
+    """For each byte of a value and each value of it, what it adds to the linear hash."""
+    of_bit = np.random.default_rng(SEED).integers(0, 1 << 31, 64, dtype=np.int64)
     values = np.arange(256)
     return np.stack([np.bitwise_xor.reduce(np.where((values[:, None] >> np.arange(8)) & 1, of_bit[8 * k : 8 * k + 8], 0), axis=1) for k in range(8)])
 
@@ -103,53 +139,69 @@ def linear_hash(x: np.ndarray, buckets: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.stack([codes()[k][each[:, k]] for k in range(8)]), axis=0) & (buckets - 1)
 
 
-def emit_batches(half: int, buckets: int):
-    """For each batch and bucket one row with the fingerprints that have a variant there, packed."""
+def part(fps: np.ndarray, table: tuple[int, int, int]) -> np.ndarray:
+    word, first, bits = table
+    return fps[:, word] >> np.uint64(first) & np.uint64((1 << bits) - 1)
+
+
+def emit_batches(plan: Plan, buckets: int):
+    """For each batch, table and bucket one row with the fingerprints that have a variant there, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = np.unique(linear_hash(flips(half), buckets))
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, plan.size)
             if not len(fps):
                 continue
-            own = linear_hash(fps, buckets)
-            to = (own[:, None] ^ steps[None, :]).ravel()
-            order = np.argsort(to, kind="stable")
-            values, starts = np.unique(to[order], return_index=True)
-            rows = np.repeat(fps, len(steps))[order]
-            packed = [x.tobytes() for x in np.split(rows, starts[1:])]
-            for k in range(0, len(values), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(values[k : k + 512]), pa.array(packed[k : k + 512], pa.binary())], ["bucket", "fps"])
+            for t, table in enumerate(plan.tables):
+                steps = np.unique(linear_hash(flips(plan.half, table[2]), buckets))
+                to = (linear_hash(part(fps, table), buckets)[:, None] ^ steps[None, :]).ravel()
+                order = np.argsort(to, kind="stable")
+                values, starts = np.unique(to[order], return_index=True)
+                rows = order // len(steps)
+                packed = [fps[x].tobytes() for x in np.split(rows, starts[1:])]
+                for k in range(0, len(values), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(t * buckets + values[k : k + 256]), pa.array(packed[k : k + 256], pa.binary())], ["bucket", "fps"])
 
     return run
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """A forest over the same components as these edges."""
-    up: dict[int, int] = {}
+class Forest:
+    """Components of what has been joined so far, and the edges that joined them."""
 
-    def root(x: int) -> int:
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.edges: tuple[list[int], list[int]] = ([], [])
+
+    def root(self, x: int) -> int:
+        up = self.up
         while (y := up.get(x, x)) != x:
             up[x] = x = up.get(y, y)
         return x
 
-    kept: tuple[list[int], list[int]] = ([], [])
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            kept[0].append(x)
-            kept[1].append(y)
-    return kept
-
-
-def collide(bucket: int, packed: list[bytes], radius: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints whose variants share this bucket: each shared variant links its fingerprints in a
-    star, which loses nothing since any two of them are within the radius; a forest of the links is returned."""
-    fps = np.unique(np.frombuffer(b"".join(packed), np.uint64))
-    masks = flips((radius + 1) // 2)
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                self.edges[0].append(x)
+                self.edges[1].append(y)
+
+
+def differing(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+
+
+def collide(bucket: int, packed: list[bytes], plan: Plan, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among the fingerprints whose variants share this bucket.
+
+    Each shared variant links its fingerprints in a star. Where sharing is proof any two of them are within the radius, so
+    the star loses nothing; else the star's pairs are verified, and of a variant whose fingerprints the star leaves in
+    several components all pairs between components are."""
+    fps = np.unique(np.frombuffer(b"".join(packed), np.uint64).reshape(-1, plan.size), axis=0)
+    table, bucket = plan.tables[bucket // buckets], bucket % buckets
+    masks, own_part = flips(plan.half, table[2]), part(fps, table)
     step = linear_hash(masks, buckets)
-    need = linear_hash(fps, buckets) ^ bucket
+    need = linear_hash(own_part, buckets) ^ bucket
     by_step, by_need = np.argsort(step, kind="stable"), np.argsort(need, kind="stable")
     step, need = step[by_step], need[by_need]
     values, at = np.unique(need, return_index=True)
@@ -159,7 +211,7 @@ def collide(bucket: int, packed: list[bytes], radius: int, buckets: int) -> tupl
     for a, b, c, d in zip(at, ends, lo, hi, strict=True):
         if d > c:
             own = by_need[a:b]
-            variants.append((fps[own][:, None] ^ masks[by_step[c:d]][None, :]).ravel())
+            variants.append((own_part[own][:, None] ^ masks[by_step[c:d]][None, :]).ravel())
             owners.append(np.repeat(own, d - c))
     if not variants:
         return fps[:0], fps[:0]
@@ -169,39 +221,65 @@ def collide(bucket: int, packed: list[bytes], radius: int, buckets: int) -> tupl
     same = variant[1:] == variant[:-1]
     first = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(variant)), 0))
     at = np.flatnonzero(same) + 1
-    a, b = owner[first[at]], owner[at]
-    near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-    pair = np.unique(np.minimum(a, b)[near] * len(fps) + np.maximum(a, b)[near])
-    x, y = spanning(pair // len(fps), pair % len(fps))
-    return fps[x], fps[y]
-
-
-def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
-    """(a, b): links between the distinct fingerprints in column fp that connect all within `radius` bits."""
-    half = (radius + 1) // 2
-    variants = n * len(flips(half))
-    buckets = max(LEAST_BUCKETS, 1 << max(0, int(np.ceil(np.log2(max(1, variants / VARIANTS_A_TASK))))))
-    sent = distinct.select("fp").mapInArrow(emit_batches(half, buckets), "bucket long, fps binary")
+    pair = np.unique(np.minimum(owner[first[at]], owner[at]) * len(fps) + np.maximum(owner[first[at]], owner[at]))
+    a, b = pair // len(fps), pair % len(fps)
+    near = differing(fps, a, b) <= plan.most
+    forest = Forest()
+    forest.join(a[near], b[near])
+    if not plan.whole:
+        starts, sizes = np.unique(first[at], return_counts=True)
+        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            members = owner[s : s + n + 1]
+            for k in range(1, len(members)):
+                roots = np.array([forest.root(x) for x in members.tolist()])
+                if (roots == roots[0]).all():
+                    break
+                others = members[k + 1 :][roots[k + 1 :] != roots[k]]
+                mine = np.full(len(others), members[k])
+                good = differing(fps, mine, others) <= plan.most
+                forest.join(mine[good], others[good])
+    return fps[forest.edges[0]], fps[forest.edges[1]]
+
+
+def links(distinct: DataFrame, n: int, plan: Plan = EXACT) -> DataFrame:
+    """(a, b): links between the distinct fingerprints in column fp that connect all that the plan links."""
+    variants = n * max(len(flips(plan.half, table[2])) for table in plan.tables)
+    buckets = max(LEAST_BUCKETS // len(plan.tables), 1 << max(0, int(np.ceil(np.log2(max(1, variants / VARIANTS_A_TASK))))))
+    sent = distinct.select("fp").mapInArrow(emit_batches(plan, buckets), "bucket long, fps binary")
 
     def of_bucket(key, group):  # without hints: Spark tells the kind by the arguments
-        a, b = collide(key[0].as_py(), group.column("fps").to_pylist(), radius, buckets)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        found = [x.astype(">u8") for x in collide(key[0].as_py(), group.column("fps").to_pylist(), plan, buckets)]
+        return pa.table({c: pa.array([y.tobytes() for y in x], pa.binary()) for c, x in zip("ab", found, strict=True)})
 
-    return sent.groupBy("bucket").applyInArrow(of_bucket, "a long, b long")
+    return sent.groupBy("bucket").applyInArrow(of_bucket, "a binary, b binary")
 
 
-def groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each document: component_id is the smallest id of the documents that a chain of
+def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
+    """(doc_id, h, fp, component_id) for each document: component_id is the smallest id of the documents that a chain of
     links reaches. Fingerprints are written once; copies meet as one fingerprint before anything is linked."""
-    rows = common.stored(fingerprints(docs, width), "simhash-fingerprints")
+    rows = common.stored(fingerprints(docs, plan), "simhash-fingerprints")
     distinct = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = common.components(links(distinct, distinct.count(), radius), "simhash-links")
+    roots = common.components(links(distinct, distinct.count(), plan), "simhash-links")
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = common.stored(of, "simhash-roots")
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """The documents with all their columns, of each group the one with the smallest id (and hash of its text) alone."""
+    found = groups(docs, plan)
+    null_last = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    kept = found.groupBy("root").agg(F.min(F.struct(null_last.alias("doc"), "h")).alias("k")).select("k.*")
+    kept = common.stored(kept, "simhash-kept")
+    common.release(docs.sparkSession)
+    plain, names = common.renamed(docs)
+    doc, text = common.place(names, "doc_id"), common.place(names, "text")
+    keyed = plain.withColumns({"doc": F.coalesce(F.col(doc).cast("long"), F.lit(2**63 - 1)), "h": F.xxhash64(F.col(text).cast("string"))})
+    # rows equal in id and text have come together for the join, so that dropping repeats takes no further shuffle
+    return common.restored(keyed.join(kept, ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]), names)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
