@@ -48,13 +48,14 @@ def merkle_root(names: list[bytes]) -> bytes:
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each position a hash of the WINDOW ids that end there."""
-    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = (ids + np.uint32(1)) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(13)
     width = 1
     while width < WINDOW:
         more = h.copy()
-        more[width:] += h[:-width] << np.uint64(width)
+        more[width:] += h[:-width] << np.uint32(width)
         h, width = more, 2 * width
     return h
 
@@ -82,7 +83,7 @@ def chunk_batches(vocabulary: str, end_id: int):
                 packed = [x + end for x in encode(texts)]
                 sizes = [len(x) // 4 for x in packed]
                 ids = np.frombuffer(b"".join(packed), "<u4")
-                hits = np.flatnonzero(rolling(ids) >> np.uint64(40) & np.uint64(ONE_IN - 1) == 0) + 1
+                hits = np.flatnonzero(rolling(ids) >> np.uint32(20) & np.uint32(ONE_IN - 1) == 0) + 1
                 data, width, at = ids.astype(kind).tobytes(), int(kind[-1]), 0
                 ends = np.cumsum(sizes)
                 lo, hi = np.searchsorted(hits, ends - sizes, "right"), np.searchsorted(hits, ends, "left")
@@ -127,32 +128,31 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
 
 
 @cache
-def crc_shift(n_bytes: int) -> list[list[int]]:
-    """Tables for what a CRC-32 becomes when n_bytes of other data follow."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        out, k = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[k]
-            vector >>= 1
-            k += 1
-        return out
-
-    square = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    result, n = [1 << k for k in range(32)], 8 * n_bytes
-    while n:
-        if n & 1:
-            result = [times(square, x) for x in result]
-        square = [times(square, x) for x in square]
-        n >>= 1
-    return [[times(result, v << 8 * k) for v in range(256)] for k in range(4)]
+def crc_shift(log2: int) -> list[list[int]]:
+    """Tables, one for each byte of it, for what a CRC-32 becomes when 2**log2 zero bytes follow."""
+    if log2:
+        t = crc_shift(log2 - 1)
+        twice = lambda x: t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
+        return [[twice(x) for x in row] for row in t]
+
+    def byte_later(x: int) -> int:
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        return x
+
+    return [[byte_later(v << 8 * k) for v in range(256)] for k in range(4)]
 
 
 def crc_joined(first: int, second: int, second_bytes: int) -> int:
     """The CRC-32 of two byte strings put together."""
-    t = crc_shift(second_bytes)
-    return t[0][first & 255] ^ t[1][first >> 8 & 255] ^ t[2][first >> 16 & 255] ^ t[3][first >> 24] ^ second
+    log2 = 0
+    while second_bytes and first:
+        if second_bytes & 1:
+            t = crc_shift(log2)
+            first = t[0][first & 255] ^ t[1][first >> 8 & 255] ^ t[2][first >> 16 & 255] ^ t[3][first >> 24]
+        second_bytes >>= 1
+        log2 += 1
+    return first ^ second
 
 
 def checked_chunks(width: int):

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 #: The first character beyond those whose split is made here.
 BEYOND = 0x250
 #: Pieces remembered by a worker; beyond it the memory starts anew.
-MOST_PIECES = 600_000
+MOST_PIECES = 1_100_000
 #: Characters of text that are split before their new pieces are encoded together.
 CHARS_AT_ONCE = 2_000_000
 
