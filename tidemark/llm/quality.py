@@ -118,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> Mode
     known = labelled(docs, labels, "quality", max(POSITIVES, NEGATIVES), mod, held)
     other = hashed_sample(docs, UNLABELLED, mod, held).withColumn("y", F.lit(-1))
     both = known.unionByName(other).select("y", F.col("text").cast("binary").alias("text"))
-    rows = both.mapInArrow(statistic_batches(("y",)), "y int, x binary").toPandas()  # bounded by the three sizes above
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, WIDTH)
-    y = rows["y"].to_numpy()
+    rows = both.mapInArrow(statistic_batches(("y",)), "y int, x binary").toArrow()  # bounded by the three sizes above
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    y = rows.column("y").to_numpy()
     if (y == 1).sum() < 10 or (y == -1).sum() < 10:
         return None
     shares = common.only(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & (common.fold(F.col("doc_id"), mod) != held)).agg(F.count("*"), F.sum(F.col("quality").cast("long"))).first()

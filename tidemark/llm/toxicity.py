@@ -178,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Mode
     weights, spared = chosen_entries(toxic, clean, sizes[1], sizes[0])
     # a seed word keeps its weight only where the labels haven't seen enough of it to tell
     model = Model({e: w for e, w in seed.items() if toxic.get(e, 0) + clean.get(e, 0) < LEAST_DOCS} | weights, plain.exceptions + tuple(spared), plain.curve)
-    seen = sample.select("y", "text").mapInArrow(hit_batches(model, ("y",)), "y int, weight double, n_words long, score double").toPandas()  # bounded by LEARN_FROM
+    seen = sample.select("y", "text").mapInArrow(hit_batches(model, ("y",)), "y int, weight double, n_words long, score double").toArrow()  # bounded by LEARN_FROM
     prior = labels_share(labels, mod, held)
-    w = logistic(features(seen["weight"].to_numpy(), seen["n_words"].to_numpy(float)), seen["y"].to_numpy(float), ridge=1.0)
+    w = logistic(features(seen.column("weight").to_numpy(), seen.column("n_words").to_numpy().astype(float)), seen.column("y").to_numpy().astype(float), ridge=1.0)
     # the sample holds as many of each class as the bound allows; the constant goes back to the share among all labels
     drawn = sizes[1] / (sizes[0] + sizes[1])
     model.curve = (float(w[0]), float(w[1]), float(w[2] + np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))))
