@@ -19,6 +19,8 @@ by deduplicated() and ignored by removed(). An empty table gives an empty result
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +28,9 @@ from pyspark.sql.window import Window
 from . import common
 
 SIMILARITY, LEAST_WORDS = 0.8, 5
-#: Counts by which rarity is told: a table of this many places, each for the words that hash there.
-BINS = 1 << 16
+#: Counts by which rarity is told: a table of this many places, each for the words that hash there, in LEVELS a doubling.
+BINS, LEVELS = 1 << 20, 4
+PLACE = ("doc", "h", "no")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -37,33 +40,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    """The words between white space, in lower case. Splitting at one character is far cheaper than by a pattern."""
+    flat = F.lower(line)
+    for space in ("\t", "\r", "\n", "\x0b", "\x0c"):
+        flat = F.replace(flat, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank of each place of the table of counts, rarest first, as a constant: its size is BINS whatever the corpus."""
+    """The level of each place of the table of counts, as a constant: its size is BINS whatever the corpus."""
     texts = common.only(docs, "text").select(F.explode(words(F.col("text").cast("string"))).alias("w"))
-    counts = texts.groupBy((F.xxhash64("w").bitwiseAND(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    found = dict(counts.collect())
-    order = sorted(range(BINS), key=lambda b: (found.get(b, 0), b))
-    rank = [0] * BINS
-    for r, b in enumerate(order):
-        rank[b] = r
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+    counts = texts.groupBy((F.xxhash64("w").bitwiseAND(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).toArrow()
+    level = ["0"] * BINS
+    for b, n in zip(counts.column("bin").to_pylist(), counts.column("n").to_pylist(), strict=True):
+        level[b] = str(min(127, int(LEVELS * log2(n + 1))))
+    return F.split(F.lit(",".join(level)), ",").cast("array<tinyint>")
 
 
 def described(docs: DataFrame, similarity: float) -> DataFrame:
     """For each line of enough words: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
-    rank = rarity(docs)
-    lines = lines_of(docs).select("doc", "h", "no", F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") >= LEAST_WORDS)
-    # rarity rank in the high bits, the rest of the hash below: sorting puts the rarest first, and equal words are equal
-    ranked = lines.select("doc", "h", "no", F.array_sort(F.array_distinct(F.transform("hashes", lambda x: F.shiftleft(F.get(rank, x.bitwiseAND(BINS - 1).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(x, 17))))).alias("t"))
-    n = F.size("t")
-    sized = ranked.select("doc", "h", "no", "t", n.alias("n"))
+    level = rarity(docs)
+    lines = lines_of(docs).select(*PLACE, F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") >= LEAST_WORDS)
+    # the level in the high bits, the rest of the hash below: sorting puts the rarest first, and equal words are equal
+    ranked = lambda x: F.shiftleft(F.get(level, x.bitwiseAND(BINS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("hashes", ranked))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
-        "doc",
-        "h",
-        "no",
+        *PLACE,
         F.xxhash64("t").alias("s1"),
         F.hash("t").alias("s2"),
         "n",
@@ -72,8 +74,19 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def prefix_rows(lines: DataFrame) -> DataFrame:
-    return lines.select("place", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+def grouped(every: DataFrame) -> DataFrame:
+    """The prefix rows of tokens that several lines have there, each with its group's earliest row as `lead`.
+
+    Most of the rarest tokens have no second line and go here, before any pair is made."""
+    rows = every.select("place.*", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    group = Window.partitionBy("token").orderBy(*PLACE)
+    row = F.struct(*PLACE, "n", "bits", "pos")
+    marked = rows.select("*", F.first(row).over(group).alias("lead"), F.lag("pos").over(group).alias("before"), F.lead("pos").over(group).alias("after"))
+    return marked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("before", "after")
+
+
+def place_of(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in PLACE])
 
 
 def may_match(a: str, b: str, similarity: float) -> Column:
@@ -82,27 +95,25 @@ def may_match(a: str, b: str, similarity: float) -> Column:
     both = an + bn
     least = F.ceil(both * (similarity / (1 + similarity)) - 1e-9)  # tokens that similar sets must share
     left = F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-    return (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= both - 2 * least)
+    return (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= both - 2 * least) & (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least)
 
 
-def all_candidates(some: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later): pairs of a line of `some` with any earlier one that pass the filters."""
-    later, earlier = prefix_rows(some).alias("y"), prefix_rows(every).alias("x")
-    pairs = later.join(earlier, (F.col("x.token") == F.col("y.token")) & (F.col("x.place") < F.col("y.place")) & may_match("x", "y", similarity))
-    return pairs.select(F.col("x.place").alias("earlier"), F.col("y.place").alias("later")).distinct()
+def leader_candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """(earlier, later): each line with the earliest one in the groups of its prefix tokens, where the pair passes."""
+    led = rows.select(F.struct(*PLACE, "n", "bits", "pos").alias("y"), F.col("lead").alias("x")).where(place_of("x") < place_of("y"))
+    return led.where(may_match("x", "y", similarity)).select(place_of("x").alias("earlier"), place_of("y").alias("later")).distinct()
 
 
-def leader_candidates(every: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later): each line with the earliest one in the groups of its prefix tokens, where the pair passes."""
-    group = Window.partitionBy("token").orderBy("place")
-    rows = prefix_rows(every).select("token", F.struct("place", "n", "bits", "pos").alias("y"), "place")
-    led = rows.select("y", F.first("y").over(group).alias("x")).where(F.col("x.place") < F.col("y.place"))
-    return led.where(may_match("x", "y", similarity)).select(F.col("x.place").alias("earlier"), F.col("y.place").alias("later")).distinct()
+def all_candidates(some: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
+    """(earlier, later): pairs of a line of `some` with any earlier one that pass the filters."""
+    y, x = some.select(*PLACE, "n", "bits", "pos", "token").alias("y"), every.select(*PLACE, "n", "bits", "pos", "token").alias("x")
+    pairs = y.join(x, (F.col("x.token") == F.col("y.token")) & may_match("x", "y", similarity) & (place_of("x") < place_of("y")))
+    return pairs.select(place_of("x").alias("earlier"), place_of("y").alias("later")).distinct()
 
 
 def compared(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Pairs with the exact similarity of their word sets, where it reaches the bound."""
-    text = lines_of(docs).select(F.struct("doc", "h", "no").alias("place"), "line")
+    text = lines_of(docs).select(F.struct(*PLACE).alias("place"), "line")
     own = F.array_distinct(words(F.col("line")))
     with_a = pairs.join(text, pairs["earlier"] == text["place"]).select("earlier", "later", F.col("line").alias("a"))
     with_b = with_a.join(text, with_a["later"] == text["place"]).select("earlier", "later", F.array_distinct(words(F.col("a"))).alias("a"), own.alias("b"))
@@ -113,19 +124,18 @@ def compared(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 def matches(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """(later, earlier, similarity): first lines of a set that an earlier line of another set matches."""
     spark = docs.sparkSession
-    first = lines.groupBy("s1", "s2").agg(F.min(F.struct(F.struct("doc", "h", "no").alias("place"), "n", "bits", "prefix")).alias("r"))
-    every = common.stored(first.select("r.*"), "line-sets")
-    common.release(spark)
-    led = common.stored(leader_candidates(every, similarity), "line-leaders")
+    first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("r"))
+    rows = common.stored(grouped(first.select(F.struct("r.doc", "r.h", "r.no").alias("place"), "r.n", "r.bits", "r.prefix")), "line-groups")
     common.release(spark)
-    rest = every.join(led.select(F.col("later").alias("place")).distinct(), "place", "left_anti")
-    joined = common.stored(all_candidates(rest, every, similarity), "line-pairs")
+    led = common.stored(leader_candidates(rows, similarity), "line-leaders")
+    rest = rows.join(led.select("later.*").distinct(), list(PLACE), "left_anti")
+    joined = common.stored(all_candidates(rest, rows, similarity), "line-pairs")
     common.release(spark)
     found = common.stored(compared(led.unionByName(joined), docs, similarity), "line-matches")
     common.release(spark)
     failed = led.select("later").distinct().join(found.select("later").distinct(), "later", "left_anti")
-    again = every.join(failed.select(F.col("later").alias("place")), "place", "left_semi")
-    again = common.stored(all_candidates(again, every, similarity), "line-pairs")
+    again = rows.join(failed.select("later.*"), list(PLACE), "left_semi")
+    again = common.stored(all_candidates(again, rows, similarity), "line-pairs")
     if not again.isEmpty():
         found = found.unionByName(common.stored(compared(again, docs, similarity), "line-matches"))
     common.release(spark)
@@ -136,7 +146,7 @@ def removed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, h, no, earlier, similarity): every removed line and an earlier line it matches."""
     lines = common.stored(described(docs, similarity).select("doc", "h", "no", "s1", "s2", "n", "bits", "prefix"), "lines")
     found = matches(docs, lines, similarity)
-    places = lines.select(F.struct("doc", "h", "no").alias("place"), "s1", "s2")
+    places = lines.select(F.struct(*PLACE).alias("place"), "s1", "s2")
     first = places.groupBy("s1", "s2").agg(F.min("place").alias("first"))
     judged = first.join(found, first["first"] == found["later"], "left").select("s1", "s2", "first", "earlier", "similarity")
     each = places.join(judged, ["s1", "s2"]).where(F.col("earlier").isNotNull() | (F.col("place") > F.col("first")))
