@@ -11,9 +11,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
@@ -22,6 +23,8 @@ from tokenizers import Tokenizer
 BEYOND = 0x250
 #: Pieces remembered by a worker; beyond it the memory starts anew.
 MOST_PIECES = 1_100_000
+#: New pieces that are encoded as one text.
+PIECES_AT_ONCE = 2000
 #: Characters of text that are split before their new pieces are encoded together.
 CHARS_AT_ONCE = 2_000_000
 
@@ -33,6 +36,7 @@ def chars(kind: str) -> str:
 
 LETTER, NUMBER, SPACE = chars(r"\p{L}"), chars(r"\p{N}"), chars(r"\s")
 PLAIN = re.compile(f"[\\u0000-\\u{BEYOND - 1:04x}]*")
+PIECE = re.compile(r" ?\S+")
 #: How the two public vocabularies split a text, over plain characters: contractions, letters, numbers, others, spaces.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_LEVEL = re.compile(f"{CONTRACTIONS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -60,8 +64,37 @@ class Encoder:
         self.find, self.lower = None, False
         if self.tokenizer.normalizer is None and splits.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in splits:
             self.find = BYTE_LEVEL.findall
+            self.last, self.feed = self.marked(lambda t: t == "\u010a"), 1
         elif "NFC()" in normal and "Lowercase()" in normal and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in splits:
             self.find, self.lower = WORD_LEVEL.findall, True
+            self.last, self.feed = self.marked(lambda t: t.endswith("</w>")), 0
+
+    def marked(self, end: Callable[[str], bool]) -> np.ndarray:
+        """For each id whether it ends a line: the line feed itself, or a word's last token."""
+        out = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        out[[i for t, i in self.tokenizer.get_vocab().items() if end(t)]] = True
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces encoded many at a time, as lines of one text: taking each one's ids from the library costs as much as the
+        encoding. A line's ids end where a line feed's id stands, or where the vocabulary marks a word's end; should their
+        number be another than that of the pieces, each piece is encoded by itself."""
+        plain = [p for p in pieces if PIECE.fullmatch(p)]
+        found: dict[str, bytes] = {}
+        runs = [plain[k : k + PIECES_AT_ONCE] for k in range(0, len(plain), PIECES_AT_ONCE)]
+        lines = self.tokenizer.encode_batch_fast(["\n".join([*some, ""]) for some in runs], add_special_tokens=False)
+        for some, line in zip(runs, lines, strict=True):
+            ids = np.array(line.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or len(ids) != ends[-1]:
+                found.update(zip(some, self.encode(some), strict=True))
+                continue
+            data, cut = ids.tobytes(), self.feed
+            starts = np.concatenate(([0], ends[:-1]))
+            found.update(zip(some, (data[4 * a : 4 * (b - cut)] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self.encode(rest), strict=True))
+        return [found[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,7 +111,7 @@ class Encoder:
             if pieces is not None:
                 new.update(pieces)
         todo = [p for p in new if p not in known]
-        known.update(zip(todo, self.encode(todo), strict=True))
+        known.update(zip(todo, self.encode_pieces(todo), strict=True))
         whole = iter(self.encode([t for t, pieces in zip(texts, split, strict=True) if pieces is None]))
         return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
