@@ -103,7 +103,7 @@ def peak_shape(df: DataFrame, value: str, width: int, top: int = 100) -> DataFra
 def grid(df: DataFrame, step: int) -> DataFrame:
     """(key, g): multiples of `step` from a key's first to its last time."""
     ends = df.groupBy("key").agg(F.ceil(F.min("t") / step).alias("a"), F.floor(F.max("t") / step).alias("b")).where("a <= b")
-    return ends.select("key", (F.explode(F.sequence("a", "b")) * step).alias("g"))
+    return ends.select("key", F.explode(F.sequence("a", "b")).alias("g")).select("key", (F.col("g") * step).alias("g"))
 
 
 def around_grid(df: DataFrame, value: str, step: int) -> DataFrame:

@@ -1,10 +1,751 @@
-"""Registered queries of the timeline operators, each with its SQL twin where SQL expresses it."""
+"""Registered queries of the timeline operators over the test tables, each with its SQL twin where SQL expresses it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tidemark.functions import scalars as S
+from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, series, text, timeline, vectors
+from tidemark.sources import carriers as C
+from tidemark.sources.carriers import HOUR, MINUTE, sql_with
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+DAY = 24 * HOUR
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def sql_list(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+#: SQL for the word form, the stem and the marks of words.
+SQL_FORM = r"regexp_replace(lower(replace(w, '’', '''')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
+SQL_PLAIN = f"translate({SQL_FORM}, '{S.ACCENTED}', '{S.UNMARKED}')"
+SQL_STEM = f"CASE WHEN length({SQL_PLAIN}) > 3 THEN regexp_replace({SQL_PLAIN}, '[sx]$', '') ELSE {SQL_PLAIN} END"
+SQL_FILLER = "(regexp_matches(form, '^(e+u+h*|h+e+u+h*|h*u+m+|u+h+|h+m+|a+h+|o+h+|e+r+m*|ä+h+m*)$') OR form = '')"
+SQL_ENDS = r"(regexp_matches(rtrim(w), '[.!?]$') AND NOT regexp_matches(rtrim(w), '(\.\.|…)$'))"
+FORMS = f"forms AS (SELECT *, {SQL_FORM} AS form FROM words)"
+
+# ---------------------------------------------------------------- intervals
+
+GAPS = "gaps AS (SELECT key, id, max(e) OVER (PARTITION BY key ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f, s AS t FROM intervals)"
+
+
+@query("gaps", f"{sql_with('intervals')}, {GAPS} SELECT key, 999 + row_number() OVER (PARTITION BY key ORDER BY t, id) AS gap_id, f AS s, t AS e FROM gaps WHERE t - f >= {HOUR}")
+def _(spark, d):
+    return intervals.gaps(C.intervals(spark, d), HOUR)
+
+
+@query(
+    "gaps_head_tail",
+    f"""{sql_with('intervals')}, {GAPS}, lim AS (SELECT min(s) AS a, max(e) AS b FROM intervals),
+    ends AS (SELECT key, min(s) AS first, max(e) AS last FROM intervals GROUP BY key),
+    every AS (SELECT key, f AS s, t AS e FROM gaps WHERE t - f >= {HOUR} UNION ALL SELECT key, a, first FROM ends, lim UNION ALL SELECT key, last, b FROM ends, lim)
+    SELECT key, 999 + row_number() OVER (PARTITION BY key ORDER BY s, e) AS gap_id, s, e FROM every WHERE e - s >= {HOUR}""",
+)
+def _(spark, d):
+    iv = C.intervals(spark, d)
+    lim = iv.agg(F.min("s"), F.max("e")).first()
+    return intervals.gaps_head_tail(iv, lim[0] or 0, lim[1] or 0, HOUR)
+
+
+def merged_sql(view: str, pad: int) -> str:
+    return f"""wide AS (SELECT key, s - {pad} AS s, e + {pad} AS e FROM {view}),
+    seen AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM wide),
+    run AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS r FROM seen),
+    merged AS (SELECT key, r, min(s) AS s, max(e) AS e, count(*) AS n FROM run GROUP BY key, r)"""
+
+
+@query("merge_intervals", f"{sql_with('intervals')}, {merged_sql('intervals', 0)} SELECT key, s, e, n FROM merged")
+def _(spark, d):
+    return intervals.merged(C.intervals(spark, d))
+
+
+@query("merge_intervals_pad", f"{sql_with('shipping')}, {merged_sql('shipping', 6 * DAY)} SELECT key, s, e, n FROM merged")
+def _(spark, d):
+    return intervals.merged(C.shipping(spark, d), 6 * DAY)
+
+
+@query("busy_union", f"{sql_with('intervals')}, {merged_sql('intervals', 0)} SELECT key, CAST(sum(e - s) AS BIGINT) AS busy FROM merged GROUP BY key")
+def _(spark, d):
+    return intervals.covered(C.intervals(spark, d))
+
+
+@query("running_offset", f"""{sql_with('intervals')} SELECT *, CAST(coalesce(sum(e - s) OVER (PARTITION BY key ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM intervals""")
+def _(spark, d):
+    return intervals.running_offset(C.intervals(spark, d))
+
+
+@query(
+    "offset_lookup",
+    f"""{sql_with('intervals')}, {merged_sql('intervals', 0)},
+    laid AS (SELECT *, coalesce(sum(e - s) OVER (PARTITION BY key ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM merged)
+    SELECT i.key, i.id, CAST(l.o + i.s - l.s AS BIGINT) AS "offset" FROM intervals i JOIN laid l ON l.key = i.key AND i.s >= l.s AND i.s <= l.e AND i.e <= l.e""",
+)
+def _(spark, d):
+    return intervals.offset_lookup(C.intervals(spark, d))
+
+
+def halves(iv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return iv.where("id % 2 = 0"), iv.where("id % 2 = 1")
+
+
+OVERLAP = "FROM intervals a JOIN intervals b ON a.key = b.key AND a.id < b.id AND a.s < b.e AND b.s < a.e"
+
+
+@query("interval_overlap_clip", f"{sql_with('intervals')} SELECT a.key, a.id AS a_id, b.id AS b_id, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e {OVERLAP}")
+def _(spark, d):
+    iv = C.intervals(spark, d)
+    return intervals.overlaps_clipped(iv, iv, 8 * HOUR).where("a_id < b_id")
+
+
+@query(
+    "max_overlap",
+    f"""{sql_with('intervals')}, pairs AS (SELECT a.key, a.id AS a_id, b.id AS b_id, least(a.e, b.e) - greatest(a.s, b.s) AS shared, abs(a.s + a.e - b.s - b.e) AS away
+    FROM intervals a JOIN intervals b ON a.key = b.key AND a.id <> b.id AND a.s < b.e AND b.s < a.e)
+    SELECT key, a_id, b_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY key, a_id ORDER BY shared DESC, away, b_id) AS r FROM pairs) WHERE r = 1""",
+)
+def _(spark, d):
+    # every interval overlaps itself most, so the partners are given numbers of their own and the own one is left out
+    iv = C.intervals(spark, d)
+    pairs = intervals.overlaps(iv, iv, 8 * HOUR).where("a_id <> b_id")
+    shared = F.least("a_e", "b_e") - F.greatest("a_s", "b_s")
+    away = F.abs(F.col("a_s") + F.col("a_e") - F.col("b_s") - F.col("b_e"))
+    best = F.min(F.struct((-shared).alias("less"), away.alias("away"), F.col("b_id"))).alias("m")
+    return pairs.groupBy("key", "a_id").agg(best).select("key", "a_id", F.col("m.b_id").alias("b_id"), (-F.col("m.less")).alias("shared"))
+
+
+@query(
+    "max_overlap_sides",
+    f"""{sql_with('intervals', 'shipping')}, pairs AS (SELECT a.key, a.id AS a_id, b.id AS b_id, least(a.e, b.e) - greatest(a.s, b.s) AS shared, abs(a.s + a.e - b.s - b.e) AS away
+    FROM shipping a JOIN shipping b ON a.key = b.key AND a.id % 2 = 0 AND b.id % 2 = 1 AND a.s < b.e AND b.s < a.e)
+    SELECT key, a_id, b_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY key, a_id ORDER BY shared DESC, away, b_id) AS r FROM pairs) WHERE r = 1""",
+)
+def _(spark, d):
+    a, b = halves(C.shipping(spark, d))
+    return intervals.most_overlapping(a, b, 60 * DAY)
+
+
+@query(
+    "containment_anti",
+    f"""{sql_with('intervals')} SELECT key, id, s, e FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM intervals o WHERE o.key = i.key AND o.s <= i.s AND o.e >= i.e AND o.id <> i.id
+    AND (o.s < i.s OR o.e > i.e OR o.id < i.id))""",
+)
+def _(spark, d):
+    return intervals.not_contained(C.intervals(spark, d))
+
+
+# ---------------------------------------------------------------- as-of
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = C.points(spark, d)
+    kinds = ("error", "click"), ("purchase", "view")
+    return p.where(F.col("kind").isin(*kinds[0])), p.where(F.col("kind").isin(*kinds[1]))
+
+
+SIDES = "l AS (SELECT key, id, t FROM points WHERE kind IN ('error', 'click')), r AS (SELECT key, id, t FROM points WHERE kind IN ('purchase', 'view'))"
+BACK_FORE = f"""{sql_with('points')}, {SIDES},
+    back AS (SELECT l.key, l.id, max(struct_pack(t := r.t, id := r.id)) AS b FROM l JOIN r ON r.key = l.key AND r.t <= l.t GROUP BY 1, 2),
+    fore AS (SELECT l.key, l.id, min(struct_pack(t := r.t, id := r.id)) AS f FROM l JOIN r ON r.key = l.key AND r.t > l.t GROUP BY 1, 2),
+    both_ AS (SELECT l.key, l.id, l.t, b, f FROM l LEFT JOIN back USING (key, id) LEFT JOIN fore USING (key, id)),
+    near AS (SELECT key, id, t, CASE WHEN b IS NOT NULL AND (f IS NULL OR t - b.t <= f.t - t) THEN b ELSE f END AS m FROM both_)"""
+
+
+@query("asof_backward", f"{BACK_FORE} SELECT key, id, t, b.id AS match_id, b.t AS match_t FROM both_")
+def _(spark, d):
+    return asof.backward(*sides(spark, d))
+
+
+@query("asof_nearest", f"{BACK_FORE} SELECT key, id, t, m.id AS match_id, m.t AS match_t FROM near")
+def _(spark, d):
+    return asof.nearest(*sides(spark, d))
+
+
+@query("asof_tolerance", f"{BACK_FORE} SELECT key, id, t, CASE WHEN abs(t - m.t) <= {HOUR} THEN m.id END AS match_id, CASE WHEN abs(t - m.t) <= {HOUR} THEN m.t END AS match_t FROM near")
+def _(spark, d):
+    return asof.nearest(*sides(spark, d), within=HOUR)
+
+
+@query(
+    "point_in_interval_nearest",
+    f"""{sql_with('points', 'intervals')}, p AS (SELECT key, id, t FROM points WHERE kind IN ('error', 'click')), v AS (SELECT i.* FROM intervals i JOIN points q ON q.key = i.key AND q.id = i.id WHERE kind IN ('purchase', 'view')),
+    c AS (SELECT p.key, p.id, v.id AS iv_id, greatest(v.s - p.t, p.t - v.e, 0) AS distance, CASE WHEN v.s <= p.t THEN 0 ELSE 1 END AS later, v.s, v.e FROM p JOIN v ON v.key = p.key)
+    SELECT key, id, iv_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY distance, later, CASE WHEN later = 0 THEN -e ELSE 0 END, s, iv_id) AS r FROM c) WHERE r = 1""",
+)
+def _(spark, d):
+    left, right = sides(spark, d)
+    iv = C.intervals(spark, d).join(right.select("id"), "id", "left_semi")
+    return asof.point_to_interval(left, iv).where("iv_id is not null")
+
+
+# ---------------------------------------------------------------- islands and folds
+
+RUNS = "marked AS (SELECT *, CASE WHEN lag({l}) OVER w IS NOT DISTINCT FROM {l} AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM {v} WINDOW w AS (PARTITION BY key ORDER BY {o})), runs AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY {o} ROWS UNBOUNDED PRECEDING) AS run FROM marked)"
+
+
+@query("islands_event_type", f"{sql_with('points')}, {RUNS.format(l='kind', v='points', o='t, id')} SELECT key, CAST(run AS BIGINT) AS run, min(kind) AS kind, min(t) AS s, max(t) AS e, count(*) AS n FROM runs GROUP BY key, run")
+def _(spark, d):
+    return islands.islands(C.points(spark, d), "kind", "t", ["t", "id"])
+
+
+@query(
+    "pause_chunks",
+    f"""{sql_with('points')}, m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t, id) >= {6 * HOUR} THEN 1 ELSE 0 END AS new FROM points),
+    c AS (SELECT *, 1 + sum(new) OVER (PARTITION BY key ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS session FROM m) SELECT key, CAST(session AS BIGINT) AS session, min(t) AS s, max(t) AS e, count(*) AS n FROM c GROUP BY key, session""",
+)
+def _(spark, d):
+    return islands.pause_chunks(C.points(spark, d), 6 * HOUR)
+
+
+ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS r FROM points)"
+
+
+@query(
+    "pause_chunks_capped",
+    f"""WITH RECURSIVE {C.SQL['points']}, {ORDERED}, f AS (SELECT key, r, t, t AS chunk FROM o WHERE r = 1 UNION ALL
+    SELECT o.key, o.r, o.t, CASE WHEN o.t - f.t >= {6 * HOUR} OR o.t - f.chunk > {DAY} THEN o.t ELSE f.chunk END FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1)
+    SELECT key, chunk, min(t) AS s, max(t) AS e, count(*) AS n FROM f GROUP BY key, chunk""",
+)
+def _(spark, d):
+    return folds.capped_chunks(C.points(spark, d), 6 * HOUR, DAY)
+
+
+TURN_RUNS = RUNS.format(l="spk", v="turns", o="i")
+
+
+@query("turns", f"{sql_with('turns')}, {TURN_RUNS}, g AS (SELECT key, run, min(spk) AS spk, min(i) AS s FROM runs GROUP BY key, run) SELECT key, CAST(run AS BIGINT) AS run, spk, CAST(s AS DOUBLE) AS s, coalesce(CAST(lead(s) OVER (PARTITION BY key ORDER BY run) AS DOUBLE), CAST('Infinity' AS DOUBLE)) AS e FROM g")
+def _(spark, d):
+    return islands.turns(C.turns(spark, d), "spk", "i")
+
+
+@query("turns_held")
+def _(spark, d):
+    runs = islands.islands(C.turns(spark, d), "spk", "i", ["i"])
+    return folds.held_turns(runs.select("key", "run", "spk", "s", "n"), 2)
+
+
+@query("first_appearance_rank", f"{sql_with('turns')}, f AS (SELECT *, min(i) OVER (PARTITION BY key, spk) AS first FROM turns) SELECT key, i, spk, dense_rank() OVER (PARTITION BY key ORDER BY first, spk) AS rank FROM f")
+def _(spark, d):
+    return islands.first_appearance(C.turns(spark, d), "spk", "i").select("key", "i", "spk", "rank")
+
+
+PARTS = "placed AS (SELECT key, i, w, i // 12 AS seg, i % 12 AS o FROM words), parts AS (SELECT *, CASE WHEN o // 5 = 0 THEN seg ELSE 1000000 + 1000 * seg + o // 5 * 5 END AS part FROM placed)"
+LINEAGE = "line AS (SELECT key, seg, o, part, row_number() OVER (PARTITION BY key, seg, part ORDER BY o) - 1 AS pos FROM parts)"
+
+
+@query("split_segments", f"{sql_with('words')}, {PARTS} SELECT key, seg, part, min(i) AS first, max(i) AS last, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS text FROM parts GROUP BY key, seg, part")
+def _(spark, d):
+    return islands.regrouped(islands.parts(C.words(spark, d), 12, 5)).select("key", "seg", "part", "first", "last", "n", "text")
+
+
+@query("lineage_map", f"{sql_with('words')}, {PARTS}, {LINEAGE} SELECT key, seg, o, part, pos FROM line")
+def _(spark, d):
+    return islands.lineage(islands.parts(C.words(spark, d), 12, 5))
+
+
+@query(
+    "remapped_choices",
+    f"""{sql_with('words')}, {PARTS}, {LINEAGE}, final AS (SELECT key, seg, part, max(pos) AS final FROM line GROUP BY 1, 2, 3),
+    hit AS (SELECT key, seg AS choice, seg, part, min(pos) AS first, max(pos) AS last FROM line WHERE o BETWEEN 3 AND 8 GROUP BY key, seg, part)
+    SELECT key, choice, part, first, CASE WHEN last < final THEN last END AS last FROM hit JOIN final USING (key, seg, part)""",
+)
+def _(spark, d):
+    line = islands.lineage(islands.parts(C.words(spark, d), 12, 5))
+    choices = line.select("key", "seg").distinct().select("key", F.col("seg").alias("choice"), "seg", F.lit(3).cast("long").alias("a"), F.lit(8).cast("long").alias("b"))
+    return islands.remapped_spans(choices, line)
+
+
+@query(
+    "bin_packing",
+    f"""WITH RECURSIVE {C.SQL['intervals']}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, id) AS r FROM intervals),
+    f AS (SELECT key, id, r, CAST(1 AS BIGINT) AS bin, e - s AS used FROM o WHERE r = 1 UNION ALL
+    SELECT o.key, o.id, o.r, CASE WHEN f.used + {MINUTE} + o.e - o.s <= {12 * HOUR} THEN f.bin ELSE f.bin + 1 END, CASE WHEN f.used + {MINUTE} + o.e - o.s <= {12 * HOUR} THEN f.used + {MINUTE} + o.e - o.s ELSE o.e - o.s END FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1)
+    SELECT key, id, bin FROM f""",
+)
+def _(spark, d):
+    return folds.packed(C.intervals(spark, d), 12 * HOUR, MINUTE)
+
+
+@query(
+    "word_clamp_fold",
+    f"""WITH RECURSIVE {C.SQL['points']}, {ORDERED}, f AS (SELECT key, id, r, t, t AS moved FROM o WHERE r = 1 UNION ALL SELECT o.key, o.id, o.r, o.t, greatest(o.t, f.moved + {HOUR}) FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1)
+    SELECT key, t, id, moved AS "at" FROM f""",
+)
+def _(spark, d):
+    return folds.spaced(C.points(spark, d), HOUR)
+
+
+@query(
+    "ewma",
+    f"""WITH RECURSIVE {C.SQL['points']}, {ORDERED}, f AS (SELECT key, id, r, t, CAST(cents AS DOUBLE) AS rate FROM o WHERE r = 1 UNION ALL
+    SELECT o.key, o.id, o.r, o.t, CAST(0.3 AS DOUBLE) * f.rate + CAST(0.7 AS DOUBLE) * o.cents FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1)
+    SELECT key, id, t, CAST(floor(rate) AS BIGINT) AS rate FROM f""",
+)
+def _(spark, d):
+    return folds.ewma(C.points(spark, d), "cents").withColumn("rate", F.floor("rate"))
+
+
+@query(
+    "content_chunks",
+    f"""WITH RECURSIVE {C.SQL['points']}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS r, substr(sha1(CAST(id AS VARCHAR)), 2, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS even FROM points),
+    f AS (SELECT key, id, r, t, t AS chunk FROM o WHERE r = 1 UNION ALL
+    SELECT o.key, o.id, o.r, o.t, CASE WHEN o.t - f.chunk > {30 * HOUR} OR (o.even AND o.t - f.chunk >= {10 * HOUR}) THEN o.t ELSE f.chunk END FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1)
+    SELECT key, chunk, count(*) AS n, substr(sha1(string_agg(CAST(id AS VARCHAR), ',' ORDER BY t, id)), 1, 16) AS print FROM f GROUP BY key, chunk""",
+)
+def _(spark, d):
+    return folds.content_chunks(C.points(spark, d), 10 * HOUR, 30 * HOUR)
+
+
+# ---------------------------------------------------------------- series
+
+
+@query(
+    "moving_avg_edge",
+    f"""{sql_with('points')}, k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY key) AS n, sum(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS inner_,
+    first_value(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a, last_value(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM points WINDOW w AS (PARTITION BY key ORDER BY t, id))
+    SELECT key, id, CAST(inner_ + greatest(3 - k, 0) * a + greatest(k + 2 - n, 0) * z AS BIGINT) AS around FROM k""",
+)
+def _(spark, d):
+    return series.edge_extended_sum(C.points(spark, d), "cents", 2).select("key", "id", F.col("around").cast("long").alias("around"))
+
+
+@query("rolling_min", f"{sql_with('points')} SELECT key, id, min(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS least FROM points")
+def _(spark, d):
+    return series.rolling_least(C.points(spark, d), "cents", 2).select("key", "id", "least")
+
+
+MEDIAN = "median(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN {a} AND {b})"
+
+
+@query("rolling_median", f"{sql_with('points')} SELECT key, id, CAST(2 * {MEDIAN.format(a='2 PRECEDING', b='2 FOLLOWING')} AS BIGINT) AS twice FROM points")
+def _(spark, d):
+    return series.rolling_median(C.points(spark, d), "cents", -2, 2).select("key", "id", (2 * F.col("median")).cast("long").alias("twice"))
+
+
+@query("onsets")
+def _(spark, d):
+    return series.onsets(C.points(spark, d), "cents", 4, 500, 2 * HOUR)
+
+
+@query("spikes_topk")
+def _(spark, d):
+    found = series.spikes(C.points(spark, d), "cents", 10_000, 3)
+    return series.strongest(found, 6 * HOUR, 20).withColumn("strength", F.round(F.col("strength") * 2).cast("long"))
+
+
+@query(
+    "sliding_energy",
+    f"""{sql_with('points')} SELECT key, id, CASE WHEN row_number() OVER w >= 4 THEN CAST(sum(cents) OVER (PARTITION BY key ORDER BY t, id ROWS 3 PRECEDING) AS BIGINT) END AS sum4,
+    CASE WHEN row_number() OVER w >= 30 THEN CAST(sum(cents) OVER (PARTITION BY key ORDER BY t, id ROWS 29 PRECEDING) AS BIGINT) END AS sum30 FROM points WINDOW w AS (PARTITION BY key ORDER BY t, id)""",
+)
+def _(spark, d):
+    return series.sliding_sums(C.points(spark, d), "cents", (4, 30)).select("key", "id", "sum4", "sum30")
+
+
+AROUND = f"""g AS (SELECT key, unnest(generate_series((a + {HOUR} - 1) // {HOUR}, b // {HOUR})) * {HOUR} AS g FROM (SELECT key, min(t) AS a, max(t) AS b FROM points GROUP BY key)),
+    bk AS (SELECT g.key, g.g, p.t AS bt, p.cents AS bv FROM g ASOF LEFT JOIN points p ON p.key = g.key AND p.t <= g.g),
+    ar AS (SELECT bk.*, p.t AS ft, p.cents AS fv FROM bk ASOF LEFT JOIN points p ON p.key = bk.key AND p.t > bk.g)"""
+
+
+@query("interp_gap_limited", f"{sql_with('points')}, {AROUND} SELECT key, g, CAST(floor(CASE WHEN ft IS NULL OR bt = g THEN CAST(bv AS DOUBLE) ELSE bv + CAST(g - bt AS DOUBLE) / (ft - bt) * (fv - bv) END) AS BIGINT) AS v FROM ar WHERE ft IS NULL OR bt = g OR ft - bt <= {6 * HOUR}")
+def _(spark, d):
+    return series.interpolated(C.points(spark, d), "cents", HOUR, 6 * HOUR).withColumn("v", F.floor("v"))
+
+
+@query("nearest_fill", f"{sql_with('points')}, {AROUND} SELECT key, g, CASE WHEN ft IS NULL OR g - bt <= ft - g THEN bv ELSE fv END AS v FROM ar")
+def _(spark, d):
+    return series.nearest_filled(C.points(spark, d), "cents", HOUR)
+
+
+BINS = f"{sql_with('points')}, e AS (SELECT key, cents * cents AS energy FROM points), bins AS (SELECT key, CAST(floor(10 * log2(energy)) AS BIGINT) AS bin, count(*) AS n, CAST(sum(energy) AS BIGINT) AS total FROM e GROUP BY 1, 2)"
+
+
+def energy_bins(spark: SparkSession, d: str) -> DataFrame:
+    p = C.points(spark, d).withColumn("energy", F.col("cents") * F.col("cents"))
+    return series.binned_energy(p, "energy", F.floor(10 * F.log2("energy")))
+
+
+@query(
+    "histogram_gated_mean",
+    f"""{BINS}, loud AS (SELECT *, greatest(CAST(floor(10 * log2(CAST(sum(total) OVER (PARTITION BY key) AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY key) AS DOUBLE))) AS BIGINT) - 33, 100) AS gate FROM bins WHERE bin >= 100)
+    SELECT key, gate, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM loud WHERE bin >= gate GROUP BY key, gate""",
+)
+def _(spark, d):
+    return series.gated_mean(energy_bins(spark, d), 100, 33)
+
+
+@query(
+    "range_p95_p10",
+    f"""{BINS}, u AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY key) AS al FROM bins)
+    SELECT key, min(CASE WHEN upto > round(CAST(0.1 AS DOUBLE) * (al - 1)) THEN bin END) AS lo, min(CASE WHEN upto > round(CAST(0.95 AS DOUBLE) * (al - 1)) THEN bin END) AS hi, hi - lo AS spread FROM u GROUP BY key""",
+)
+def _(spark, d):
+    return series.ranked_range(energy_bins(spark, d))
+
+
+@query(
+    "percentile_floor",
+    f"""{sql_with('points')}, q AS (SELECT key, CASE WHEN count(*) FILTER (WHERE kind <> 'view') > 20 THEN quantile_cont(cents, 0.3) FILTER (WHERE kind <> 'view') ELSE quantile_cont(cents, 0.1) END AS f FROM points GROUP BY key)
+    SELECT key, CAST(round(f * 10) AS BIGINT) AS floor10, CASE WHEN f < 2500 THEN 0 WHEN f < 5000 THEN 1 WHEN f < 10000 THEN 2 ELSE 3 END AS level FROM q""",
+)
+def _(spark, d):
+    quiet = F.when(F.col("kind") != "view", F.col("cents"))
+    f = F.when(F.count(quiet) > 20, F.percentile(quiet, 0.3)).otherwise(F.percentile("cents", 0.1))
+    level = F.when(F.col("f") < 2500, 0).when(F.col("f") < 5000, 1).when(F.col("f") < 10000, 2).otherwise(3)
+    return C.points(spark, d).groupBy("key").agg(f.alias("f")).select("key", F.round(F.col("f") * 10).cast("long").alias("floor10"), level.alias("level"))
+
+
+@query("peak_waveform", f"{sql_with('points')}, p AS (SELECT key, t // {DAY} AS bucket, max(abs(cents)) AS p FROM points GROUP BY 1, 2) SELECT key, bucket, CAST(p * 100 // max(p) OVER (PARTITION BY key) AS BIGINT) AS peak FROM p")
+def _(spark, d):
+    return series.peak_shape(C.points(spark, d), "cents", DAY)
+
+
+@query("running_max_progress", f"{sql_with('points')} SELECT key, id, max(cents) OVER (PARTITION BY key ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS most FROM points")
+def _(spark, d):
+    return series.running_most(C.points(spark, d), "cents").select("key", "id", "most")
+
+
+# ---------------------------------------------------------------- words
+
+
+@query("filler_words", f"{sql_with('words')}, {FORMS} SELECT lang, form, count(*) AS n FROM forms WHERE {SQL_FILLER} GROUP BY lang, form")
+def _(spark, d):
+    return text.filler_counts(C.words(spark, d))
+
+
+@query("content_words", f"{sql_with('words')}, {FORMS} SELECT lang, form, count(*) AS n FROM forms WHERE length(form) >= 3 AND form NOT IN {sql_list(text.STOP_WORDS)} GROUP BY lang, form")
+def _(spark, d):
+    return text.content_words(C.words(spark, d)).groupBy("lang", "form").agg(F.count("*").alias("n"))
+
+
+@query(
+    "foreign_docs",
+    f"""{sql_with('words')}, {FORMS}, c AS (SELECT key, lang, {', '.join(f"count(*) FILTER (WHERE form IN {sql_list(ws)}) AS {x}" for x, ws in text.FUNCTION_WORDS.items())} FROM forms GROUP BY key, lang),
+    b AS (SELECT key, lang, CASE lang {' '.join(f"WHEN '{x}' THEN {x}" for x in text.FUNCTION_WORDS)} ELSE 0 END AS own, greatest({', '.join(f"CASE WHEN lang = '{x}' THEN 0 ELSE {x} END" for x in text.FUNCTION_WORDS)}) AS other FROM c)
+    SELECT *, other >= 2 AND other > own AS "foreign" FROM b""",
+)
+def _(spark, d):
+    return text.foreign_texts(C.words(spark, d))
+
+
+@query(
+    "freq_ratio_class",
+    f"""{sql_with('words')}, {FORMS}, c AS (SELECT form, count(*) FILTER (WHERE lang = 'fr') AS n_own, count(*) FILTER (WHERE lang = 'en') AS n_other FROM forms WHERE form <> '' GROUP BY form),
+    a AS (SELECT sum(n_own) AS ao, sum(n_other) AS an FROM c)
+    SELECT form, n_own, n_other, CASE WHEN n_own = 0 AND n_other = 0 THEN 'unknown' WHEN n_other > 0 AND n_other * ao >= 20 * n_own * an THEN 'foreign' ELSE 'known' END AS kind FROM c, a""",
+)
+def _(spark, d):
+    return text.frequency_classes(C.words(spark, d), "fr", "en")
+
+
+@query(
+    "band_self_join",
+    f"""{sql_with('words')}, st AS (SELECT key, i, {SQL_STEM} AS stem FROM words), p AS (SELECT key, i AS j, lag(i) OVER (PARTITION BY key, stem ORDER BY i) AS i FROM st WHERE stem <> '')
+    SELECT key, i, j FROM p WHERE j - i <= 150 AND (j - i) * 300 <= 45000""",
+)
+def _(spark, d):
+    return text.repeated_stems(C.words(spark, d))
+
+
+SENTENCES = f"se AS (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS sentence FROM (SELECT *, coalesce(lag({SQL_ENDS}) OVER (PARTITION BY key ORDER BY i), false) AS e FROM forms))"
+
+
+@query(
+    "content_containment",
+    f"""{sql_with('words')}, {FORMS}, {SENTENCES}, c AS (SELECT key, sentence, coalesce(list(DISTINCT form) FILTER (WHERE length(form) >= 3 AND form NOT IN {sql_list(text.STOP_WORDS)}), []) AS c FROM se GROUP BY key, sentence),
+    n AS (SELECT *, lead(c) OVER (PARTITION BY key ORDER BY sentence) AS d FROM c)
+    SELECT key, CAST(sentence AS BIGINT) AS sentence, CAST(len(c) AS BIGINT) AS n_content, CAST(len(list_filter(c, lambda x: NOT list_contains(d, x))) AS BIGINT) AS missing FROM n WHERE d IS NOT NULL""",
+)
+def _(spark, d):
+    return text.missing_content(C.words(spark, d))
+
+
+BREAKS = f"br AS (SELECT *, sum(CASE WHEN nw THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS caption FROM (SELECT *, coalesce(lag({SQL_ENDS}) OVER (PARTITION BY key ORDER BY i), true) OR i % 12 = 0 AS nw FROM words))"
+
+
+@query("caption_groups_pre", f"{sql_with('words')}, {BREAKS} SELECT key, CAST(caption AS BIGINT) AS caption, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS text FROM br GROUP BY key, caption")
+def _(spark, d):
+    broken = text.caption_breaks(C.words(spark, d), 12)
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ")
+    return broken.groupBy("key", "caption").agg(F.count("*").alias("n"), line.alias("text"))
+
+
+@query("caption_groups")
+def _(spark, d):
+    return timeline.captions(C.words(spark, d), 12)
+
+
+@query(
+    "balanced_split",
+    f"""{sql_with('words')}, {BREAKS}, c AS (SELECT key, caption, list(w ORDER BY i) AS ws FROM br GROUP BY key, caption),
+    k AS (SELECT key, caption, ws, unnest(generate_series(1, greatest(len(ws) - 1, 1))) AS k FROM c),
+    s AS (SELECT key, caption, k, len(ws) AS n, abs(length(array_to_string(ws[1:k], ' ')) - length(array_to_string(ws[k+1:], ' '))) AS diff FROM k)
+    SELECT key, CAST(caption AS BIGINT) AS caption, CASE WHEN n < 2 THEN 0 ELSE k END AS split FROM (SELECT *, row_number() OVER (PARTITION BY key, caption ORDER BY diff, k) AS r FROM s) WHERE r = 1""",
+)
+def _(spark, d):
+    broken = text.caption_breaks(C.words(spark, d), 12)
+    ws = F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"])
+    return broken.groupBy("key", "caption").agg(ws.alias("ws")).select("key", "caption", text.balanced_split(F.col("ws")).cast("long").alias("split"))
+
+
+PRE = f"{sql_with('words')}, {BREAKS}, caps AS (SELECT key, caption, min(i) * 300 AS a, (max(i) + 1) * 300 AS z, string_agg(w, ' ' ORDER BY i) AS text FROM br GROUP BY key, caption)"
+CUES = f"""{PRE}, nx AS (SELECT *, lead(a) OVER (PARTITION BY key ORDER BY a, caption) AS f, row_number() OVER (PARTITION BY key ORDER BY a, caption) AS n FROM caps WHERE trim(text) <> ''),
+    wt AS (SELECT *, greatest(least(coalesce(f, z + 1200), z + 1200), a + 500) AS wanted FROM nx),
+    cues AS (SELECT key, n, a AS start_, CASE WHEN f IS NOT NULL AND wanted > f THEN greatest(f - 40, a + 40) ELSE wanted END AS end_, text FROM wt)"""
+SQL_STAMP = "printf('%02d:%02d:%02d,%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
+
+
+def pre_captions(spark: SparkSession, d: str) -> DataFrame:
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ")
+    broken = text.caption_breaks(C.words(spark, d), 12)
+    return broken.groupBy("key", "caption").agg((F.min("i") * 300).alias("start"), ((F.max("i") + 1) * 300).alias("end"), line.alias("text"))
+
+
+@query("cues", f'{CUES} SELECT key, n, start_ AS "start", end_ AS "end", text FROM cues')
+def _(spark, d):
+    return timeline.cues(pre_captions(spark, d))
+
+
+@query("srt_text", f"{CUES} SELECT key, string_agg(CAST(n AS VARCHAR) || chr(10) || {SQL_STAMP.format(x='start_')} || ' --> ' || {SQL_STAMP.format(x='end_')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS srt FROM cues GROUP BY key")
+def _(spark, d):
+    return timeline.srt(timeline.cues(pre_captions(spark, d)))
+
+
+@query("vtt_text", f"{CUES} SELECT key, 'WEBVTT' || chr(10) || chr(10) || string_agg(replace({SQL_STAMP.format(x='start_')}, ',', '.') || ' --> ' || replace({SQL_STAMP.format(x='end_')}, ',', '.') || chr(10) || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || chr(10), '' ORDER BY n) AS vtt FROM cues GROUP BY key")
+def _(spark, d):
+    return timeline.vtt(timeline.cues(pre_captions(spark, d)))
+
+
+@query("word_lengths", f"{sql_with('words')} SELECT lang, greatest(80, least(250, 40 * length(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')))) AS ms, count(*) AS n FROM words GROUP BY 1, 2")
+def _(spark, d):
+    return C.words(spark, d).groupBy("lang", S.least_length_ms(F.col("w")).alias("ms")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- sets, states, costs
+
+
+@query("semi_kept", "SELECT doc_id, lang, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
+def _(spark, d):
+    kept = C.table(spark, d, "labels").where("quality = 1")
+    return C.table(spark, d, "documents").join(kept, "doc_id", "left_semi").select("doc_id", "lang", "n_chars")
+
+
+@query("anti_dropped", "SELECT doc_id, lang, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def _(spark, d):
+    return C.table(spark, d, "documents").join(C.table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang", "n_chars")
+
+
+@query("argmax_speaker", f"{sql_with('turns')}, p AS (SELECT key, spk AS label, sum(length(text)) AS total FROM turns GROUP BY 1, 2) SELECT key, label, CAST(total AS BIGINT) AS total, CAST(total * 1000 // sum(total) OVER (PARTITION BY key) AS BIGINT) AS permille, row_number() OVER (PARTITION BY key ORDER BY total DESC, label DESC) = 1 AS winner FROM p")
+def _(spark, d):
+    return cost.shares(C.turns(spark, d).select("key", F.col("spk").alias("label"), F.length("text").alias("amount")))
+
+
+@query(
+    "median_ratio",
+    f"""{sql_with('points')}, m AS (SELECT key, kind, median(cents) AS m, count(*) AS n FROM points GROUP BY 1, 2), r AS (SELECT key, kind, m, sum(CAST(2 * m AS BIGINT)) OVER (PARTITION BY kind) AS s, count(*) OVER (PARTITION BY kind) AS c FROM m WHERE n >= 3)
+    SELECT key, kind, CAST(CAST(2 * m AS BIGINT) * c * 1000 // s AS BIGINT) AS permille FROM r WHERE c >= 2""",
+)
+def _(spark, d):
+    from pyspark.sql.window import Window
+
+    per = C.points(spark, d).groupBy("key", "kind").agg((2 * F.median("cents")).cast("long").alias("m2"), F.count("*").alias("n")).where("n >= 3")
+    w = Window.partitionBy("kind")
+    rated = per.withColumn("s", F.sum("m2").over(w)).withColumn("c", F.count("*").over(w)).where("c >= 2")
+    return rated.select("key", "kind", F.expr("m2 * c * 1000 div s").alias("permille"))
+
+
+NEWEST5 = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, id DESC) AS r FROM points) WHERE r <= 5"
+
+
+@query("last5_factor", f"{sql_with('points')}, x AS ({NEWEST5}) SELECT key, CAST(greatest(500, least(3000, max(cents * 1100 // 20000))) AS BIGINT) AS factor, count(*) AS n FROM x GROUP BY key")
+def _(spark, d):
+    seen = C.points(spark, d).select("key", "t", "id", F.col("cents").alias("peak"), F.lit(20_000).alias("model"))
+    return cost.learned_factor(seen)
+
+
+@query("speed_ratio", f"{sql_with('points')} SELECT key, CAST(greatest(100, least(10000, sum(cents) * 1000 // (count(*) * 20000))) AS BIGINT) AS ratio FROM points GROUP BY key")
+def _(spark, d):
+    return cost.speed_ratio(C.points(spark, d).select("key", F.col("cents").alias("peak"), F.lit(20_000).alias("model")))
+
+
+@query("worker_search", f"{sql_with('points')}, n AS (SELECT key, sum(cents) AS free, min(cents) AS fixed, max(cents) AS each FROM points GROUP BY key), w AS (SELECT *, unnest(generate_series(2, 16)) AS w FROM n) SELECT key, CAST(coalesce(max(CASE WHEN (fixed + w * each) * 100 <= free * 80 THEN w END), 1) AS BIGINT) AS workers FROM w GROUP BY key")
+def _(spark, d):
+    needs = C.points(spark, d).groupBy("key").agg(F.sum("cents").alias("free"), F.min("cents").alias("fixed"), F.max("cents").alias("each"))
+    return cost.most_workers(needs, 16)
+
+
+@query("memory_verdict", f"{sql_with('points')}, n AS (SELECT key, sum(cents) // 4 AS free, min(cents) AS fixed, max(cents) AS each FROM points GROUP BY key) SELECT key, CASE WHEN (fixed + each) * 100 <= free * 80 THEN 'ok' WHEN fixed + each <= free THEN 'tight' ELSE 'insufficient' END AS verdict FROM n")
+def _(spark, d):
+    needs = C.points(spark, d).groupBy("key").agg(F.expr("sum(cents) div 4").alias("free"), F.min("cents").alias("fixed"), F.max("cents").alias("each"))
+    return cost.verdicts(needs).select("key", "verdict")
+
+
+@query("peak_step", f"{sql_with('points')}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cents DESC, t, id) AS r, sum(cents) OVER (PARTITION BY key) AS total FROM points) SELECT key, id, cents AS peak, CAST(total AS BIGINT) AS total FROM r WHERE r = 1")
+def _(spark, d):
+    return cost.peak_step(C.points(spark, d).withColumnRenamed("cents", "peak"))
+
+
+@query("lanes_left", f"{sql_with('points')} SELECT key, CAST(greatest(coalesce(sum(CASE WHEN kind <> 'view' THEN cents END), 0), coalesce(sum(CASE WHEN kind = 'view' THEN cents END), 0)) AS BIGINT) AS \"left\" FROM points GROUP BY key")
+def _(spark, d):
+    return cost.lanes_left(C.points(spark, d).select("key", (F.col("kind") == "view").alias("alongside"), F.col("cents").alias("cost")))
+
+
+@query("duration_estimate", f"{sql_with('points')}, p AS (SELECT key, kind, count(*) AS n, sum(cents) AS total FROM points GROUP BY 1, 2) SELECT key, CAST(CASE WHEN bool_and(n >= 3) THEN sum(total // n) END AS BIGINT) AS seconds FROM p GROUP BY key")
+def _(spark, d):
+    return cost.estimate(C.points(spark, d))
+
+
+LATEST = "latest AS (SELECT key, kind, t, id, k FROM (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY t DESC, id DESC) AS r FROM states) WHERE r = 1)"
+
+
+@query("latest_state", f"{sql_with('states')}, {LATEST} SELECT key, kind, t, id, k FROM latest")
+def _(spark, d):
+    return docs.latest(C.states(spark, d), ["key", "kind"])
+
+
+@query("fingerprint", f"{sql_with('states')}, {LATEST} SELECT key, substr(sha1(string_agg(kind || chr(10) || coalesce(k, '') || chr(10), '' ORDER BY kind)), 1, 16) AS print FROM latest GROUP BY key")
+def _(spark, d):
+    return docs.fingerprint(C.states(spark, d))
+
+
+WEEKS = f"""odd AS (SELECT key, kind, arg_max(k, struct_pack(t := t, id := id)) AS k FROM states WHERE t // {7 * DAY} % 2 = 1 GROUP BY 1, 2), even AS (SELECT key, kind, arg_max(k, struct_pack(t := t, id := id)) AS k FROM states WHERE t // {7 * DAY} % 2 = 0 GROUP BY 1, 2)"""
+
+
+def weeks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = C.states(spark, d)
+    week = F.floor(F.col("t") / (7 * DAY)) % 2
+    return tuple(docs.latest(s.where(week == n), ["key", "kind"]).select("key", "kind", "k") for n in (1, 0))
+
+
+@query("settings_diff", f"{sql_with('states')}, {WEEKS} SELECT e.key, e.kind, o.k AS old, e.k AS new FROM even e LEFT JOIN odd o USING (key, kind) WHERE o.k IS DISTINCT FROM e.k")
+def _(spark, d):
+    odd, even = weeks(spark, d)
+    return docs.difference(odd, even, ["key", "kind"])
+
+
+@query("map_patch", f"{sql_with('states')}, {WEEKS}, p AS (SELECT key, kind, CASE WHEN TRY_CAST(k AS BIGINT) % 3 = 0 THEN NULL ELSE k END AS k FROM even) SELECT key, kind, k FROM (SELECT key, kind, k FROM p UNION ALL SELECT key, kind, k FROM odd o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.key = o.key AND p.kind = o.kind)) WHERE k IS NOT NULL")
+def _(spark, d):
+    odd, even = weeks(spark, d)
+    patch = even.withColumn("k", F.when(F.coalesce(F.col("k").try_cast("long") % 3 != 0, F.lit(True)), F.col("k")))
+    return docs.patch_rows(odd, patch, ["key", "kind"])
+
+
+@query("json_coerce", f"{sql_with('states')} SELECT key, id, coalesce(TRY_CAST(k AS DOUBLE), -1.0) AS as_double, TRY_CAST(k AS BIGINT) AS as_long, coalesce(length(k) > 0, false) AS is_true FROM states")
+def _(spark, d):
+    return docs.coerced(C.states(spark, d))
+
+
+@query("effects_used", f"{sql_with('states')} SELECT kind, count(DISTINCT key) AS documents FROM states GROUP BY kind")
+def _(spark, d):
+    return docs.used_in(C.states(spark, d))
+
+
+@query("keep_newest", f"{sql_with('points')} SELECT key, id FROM ({NEWEST5})")
+def _(spark, d):
+    return docs.keep_newest(C.points(spark, d), ["key"], 5).select("key", "id")
+
+
+@query("unique_names", "SELECT p_partkey AS id, CASE WHEN r = 1 THEN n ELSE n || ' (' || CAST(r AS VARCHAR) || ')' END AS \"unique\" FROM (SELECT p_partkey, p_brand AS n, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS r FROM part)")
+def _(spark, d):
+    rows = C.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"))
+    return docs.unique_names(rows, "name").select("id", "unique")
+
+
+TIES = "t AS (SELECT key, id, t, cents // 1000 AS v FROM points)"
+
+
+@query("topk_first_tie", f"{sql_with('points')}, {TIES} SELECT key, id, v FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v DESC, t, id) AS r FROM t) WHERE r = 1")
+def _(spark, d):
+    p = C.points(spark, d).withColumn("v", F.expr("cents div 1000"))
+    return p.groupBy("key").agg(F.min(F.struct((-F.col("v")).alias("less"), "t", "id")).alias("m")).select("key", "m.id", (-F.col("m.less")).alias("v"))
+
+
+@query("topk_last_tie", f"{sql_with('points')}, {TIES} SELECT key, id, v FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v DESC, t DESC, id DESC) AS r FROM t) WHERE r = 1")
+def _(spark, d):
+    p = C.points(spark, d).withColumn("v", F.expr("cents div 1000"))
+    return p.groupBy("key").agg(F.max(F.struct("v", "t", "id")).alias("m")).select("key", "m.id", "m.v")
+
+
+@query("catalog_union", "SELECT CAST(event_id AS BIGINT) AS id, event_type AS kind, NULL::VARCHAR AS role FROM events UNION ALL SELECT conv_id * 1000 + turn, NULL, role FROM conversations")
+def _(spark, d):
+    a = C.points(spark, d).select("id", "kind")
+    b = C.turns(spark, d).select((F.col("key") * 1000 + F.col("i")).alias("id"), F.col("spk").alias("role"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("repeat_expand", f"{sql_with('points')}, x AS (SELECT key, id, t, unnest(generate_series(0, cents % 5)) AS k FROM points) SELECT key, id, k, t + k * {MINUTE} AS "at" FROM x")
+def _(spark, d):
+    effects = C.points(spark, d).select("key", "id", "t", (F.col("cents") % 5 + 1).alias("repeat"), F.lit(MINUTE).alias("gap"))
+    return timeline.repeated(effects, 5)
+
+
+@query("keystrokes", f"{sql_with('turns')}, x AS (SELECT key, i, text, unnest(generate_series(0, greatest(length(text) - 1, 0), 2)) AS k FROM turns) SELECT key, i, k, substr(text, k + 1, 2) AS piece FROM x")
+def _(spark, d):
+    return timeline.keystrokes(C.turns(spark, d))
+
+
+@query("alternating_labels", f"{sql_with('points')} SELECT key, id, CAST((row_number() OVER (PARTITION BY key ORDER BY t, id) - 1) % 2 AS BIGINT) AS side FROM points")
+def _(spark, d):
+    return timeline.alternating(C.points(spark, d)).select("key", "id", "side")
+
+
+# ---------------------------------------------------------------- vectors and alignment
+
+
+@query("zscore_vectors", "SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS k, unnest(embedding) AS x FROM embeddings".join(("SELECT label, k, CAST(round(avg(CAST(x AS DOUBLE)) * 1000000) AS BIGINT) AS mean, CAST(round(stddev_pop(CAST(x AS DOUBLE)) * 1000000) AS BIGINT) AS deviation FROM (", ") GROUP BY label, k")))
+def _(spark, d):
+    s = vectors.label_statistics(C.vectors(spark, d))
+    return s.select("label", "k", *[F.round(F.col(c) * 1_000_000).cast("long").alias(c) for c in ("mean", "deviation")])
+
+
+@query("cosine_pairs", "SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.363")
+def _(spark, d):
+    return vectors.similar_pairs(C.vectors(spark, d), 0.363).select("i", "j")
+
+
+@query("leader_clusters")
+def _(spark, d):
+    return vectors.leader_clusters(C.vectors(spark, d), 0.363)
+
+
+@query("agglomerative")
+def _(spark, d):
+    return vectors.average_link(C.vectors(spark, d), 1.2)
+
+
+@query("alignment_opcodes")
+def _(spark, d):
+    return align.opcodes(align.neighbours(C.turns(spark, d), "i"))
+
+
+@query("similarity_ratio")
+def _(spark, d):
+    pairs = align.neighbours(C.turns(spark, d), "i")
+    return pairs.select("key", "i", align.ratio("a", "b").alias("ratio"))
+
+
+@query("realign")
+def _(spark, d):
+    pairs = align.neighbours(C.turns(spark, d), "i")
+    return pairs.select("key", "i", align.realign("a", "b").alias("slots"))
+
+
+@query("retake_flags")
+def _(spark, d):
+    texts = C.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array_remove(F.split(F.trim("text"), r"\s+"), "").alias("words"))
+    return align.retake_flags(texts)
