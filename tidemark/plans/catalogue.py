@@ -688,7 +688,7 @@ def _(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("repeat_expand", f"{sql_with('points')}, x AS (SELECT key, id, t, unnest(generate_series(0, cents % 5)) AS k FROM points) SELECT key, id, k, t + k * {MINUTE} AS "at" FROM x")
+@query("repeat_expand", f"{sql_with('points')}, x AS (SELECT key, id, t, unnest(generate_series(0, cents % 5)) AS k FROM points) SELECT key, id, k, t + k * {MINUTE} AS \"at\" FROM x")
 def _(spark, d):
     effects = C.points(spark, d).select("key", "id", "t", (F.col("cents") % 5 + 1).alias("repeat"), F.lit(MINUTE).alias("gap"))
     return timeline.repeated(effects, 5)
