@@ -46,7 +46,8 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁһոսνωοαρτικβ", "aeopcyx
 LOOKALIKES |= {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0x1D41A + 26 * 2 * v + k): chr(97 + k) for v in range(13) for k in range(26)}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 TO_LETTERS = str.maketrans(LOOKALIKES)
-SIGNS = re.compile(r"(?<=[^\W\d_])[013457 8@$!]+(?=[^\W\d_])".replace(" ", ""))
+#: Digits and signs between letters, and digits before the first letter of a word.
+SIGNS = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<!\w)[0134578]+(?=[^\W\d_])")
 TO_DIGITS = str.maketrans(DIGITS)
 INVISIBLE = re.compile("[­​-‏⁠﻿]+")
 BETWEEN = re.compile(r"[\W\d_]+")
