@@ -6,10 +6,9 @@ n - ceil(t*n) + 1 rarest ones. Pairs that share one must pass the length filter,
 64-bit parity bitmap of the sets before their words are compared. A line is removed if an earlier line, by (doc_id, line
 number), reaches the similarity.
 
-Lines with equal sets meet first, as one. Then each line is tried against the earliest line in the groups of its prefix
-tokens; only lines for which that isn't similar are joined with all others, so that a large group of near copies takes a
-number of pairs in proportion to its size. Lines whose tried pairs all fail the comparison are joined with all others too:
-no link is lost.
+Lines with equal sets meet first, as one. Then each set is compared with the earliest one in the groups of its prefix
+tokens; only sets that none of those matches are joined with all others, so that a large group of near copies takes a
+number of pairs in proportion to its size, and no link is lost.
 
 Defined cases. Lines are split at newlines. A null or empty text has no line to remove; a line with fewer than LEAST_WORDS
 words stays, being no evidence of copying. Rows with equal id and text are one document: neither copy is later than the
@@ -19,8 +18,7 @@ by deduplicated() and ignored by removed(). An empty table gives an empty result
 
 from __future__ import annotations
 
-from math import log2
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +34,7 @@ PLACE = ("doc", "h", "no")
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, h, no, line): every line of each text; h tells apart texts of one id."""
     texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    return texts.select("doc", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return texts.select("doc", F.xxhash64("text").alias("h"), "text").select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
 def words(line: Column) -> Column:
@@ -48,110 +46,113 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The level of each place of the table of counts, as a constant: its size is BINS whatever the corpus."""
+    """For each place of the table of counts its level in the highest byte of a long, as a constant: its size is BINS
+    whatever the corpus."""
     texts = common.only(docs, "text").select(F.explode(words(F.col("text").cast("string"))).alias("w"))
-    counts = texts.groupBy((F.xxhash64("w").bitwiseAND(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).toArrow()
-    level = ["0"] * BINS
-    for b, n in zip(counts.column("bin").to_pylist(), counts.column("n").to_pylist(), strict=True):
-        level[b] = str(min(127, int(LEVELS * log2(n + 1))))
-    return F.split(F.lit(",".join(level)), ",").cast("array<tinyint>")
+    counts = texts.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("n")).toArrow()
+    level = np.zeros(BINS, np.int64)
+    level[counts.column("bin").to_numpy()] = np.minimum(127, LEVELS * np.log2(counts.column("n").to_numpy() + 1))
+    return F.split(F.lit(",".join(map(str, (level << 56).tolist()))), ",").cast("array<bigint>")
 
 
 def described(docs: DataFrame, similarity: float) -> DataFrame:
     """For each line of enough words: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
     level = rarity(docs)
-    lines = lines_of(docs).select(*PLACE, F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") >= LEAST_WORDS)
-    # the level in the high bits, the rest of the hash below: sorting puts the rarest first, and equal words are equal
-    ranked = lambda x: F.shiftleft(F.get(level, x.bitwiseAND(BINS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("hashes", ranked))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
+    # the level in the highest byte, the hash below: sorting puts the rarest first, and equal words are equal
+    token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.get(level, F.xxhash64(w).bitwiseAND(BINS - 1).cast("int")))
+    lines = lines_of(docs).select(*PLACE, words(F.col("line")).alias("w")).where(F.size("w") >= LEAST_WORDS)
+    sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("w", token))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
         *PLACE,
         F.xxhash64("t").alias("s1"),
         F.hash("t").alias("s2"),
         "n",
         F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).alias("bits"),
-        F.transform(F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1), lambda x: x.bitwiseAND(2**31 - 1).cast("int")).alias("prefix"),
+        F.transform(F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1), lambda x: F.shiftright(x, 20).bitwiseAND(2**31 - 1).cast("int")).alias("prefix"),
     )
 
 
-def grouped(every: DataFrame) -> DataFrame:
-    """The prefix rows of tokens that several lines have there, each with its group's earliest row as `lead`.
-
-    Most of the rarest tokens have no second line and go here, before any pair is made."""
-    rows = every.select("place.*", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
-    group = Window.partitionBy("token").orderBy(*PLACE)
-    row = F.struct(*PLACE, "n", "bits", "pos")
-    marked = rows.select("*", F.first(row).over(group).alias("lead"), F.lag("pos").over(group).alias("before"), F.lead("pos").over(group).alias("after"))
-    return marked.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("before", "after")
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """A row for each set with its first place, and a number `id` in the order of these places."""
+    first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("r")).select("r.*", "s1", "s2")
+    placed = common.ordered_store(first, list(PLACE), "line-sets")
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*PLACE))
+    return placed.withColumn("id", F.shiftleft(F.col("part").cast("long"), 33) + number)
 
 
-def place_of(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in PLACE])
+def prefix_rows(every: DataFrame, *more: str) -> DataFrame:
+    return every.select("id", "n", "bits", *more, F.posexplode("prefix").alias("pos", "token"))
 
 
 def may_match(a: str, b: str, similarity: float) -> Column:
-    """Length, positional and bitmap filters on two prefix rows that share a token."""
-    an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
+    """Bitmap, length and positional filters on two prefix rows that share a token."""
+    an, bn, ap, bp = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
     both = an + bn
     least = F.ceil(both * (similarity / (1 + similarity)) - 1e-9)  # tokens that similar sets must share
-    left = F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) + F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos"))
-    return (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= both - 2 * least) & (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least)
-
-
-def leader_candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later): each line with the earliest one in the groups of its prefix tokens, where the pair passes."""
-    led = rows.select(F.struct(*PLACE, "n", "bits", "pos").alias("y"), F.col("lead").alias("x")).where(place_of("x") < place_of("y"))
-    return led.where(may_match("x", "y", similarity)).select(place_of("x").alias("earlier"), place_of("y").alias("later")).distinct()
-
-
-def all_candidates(some: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later): pairs of a line of `some` with any earlier one that pass the filters."""
-    y, x = some.select(*PLACE, "n", "bits", "pos", "token").alias("y"), every.select(*PLACE, "n", "bits", "pos", "token").alias("x")
-    pairs = y.join(x, (F.col("x.token") == F.col("y.token")) & may_match("x", "y", similarity) & (place_of("x") < place_of("y")))
-    return pairs.select(place_of("x").alias("earlier"), place_of("y").alias("later")).distinct()
-
-
-def compared(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs with the exact similarity of their word sets, where it reaches the bound."""
-    text = lines_of(docs).select(F.struct(*PLACE).alias("place"), "line")
-    own = F.array_distinct(words(F.col("line")))
-    with_a = pairs.join(text, pairs["earlier"] == text["place"]).select("earlier", "later", F.col("line").alias("a"))
-    with_b = with_a.join(text, with_a["later"] == text["place"]).select("earlier", "later", F.array_distinct(words(F.col("a"))).alias("a"), own.alias("b"))
+    left = F.least(an - ap, bn - bp) + F.least(ap, bp)
+    return (F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) <= both - 2 * least) & (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least)
+
+
+def leader_candidates(every: DataFrame, similarity: float) -> DataFrame:
+    """(earlier, later): each set with the earliest one in the groups of its prefix tokens, where the pair passes."""
+    group = Window.partitionBy("token").orderBy("id")
+    led = prefix_rows(every).select("id", "n", "bits", "pos", *[F.first(c).over(group).alias(f"x_{c}") for c in ("id", "n", "bits", "pos")])
+    return led.where((F.col("x_id") < F.col("id")) & may_match("x_", "", similarity)).select(F.col("x_id").alias("earlier"), F.col("id").alias("later")).distinct()
+
+
+def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> DataFrame:
+    """(earlier, later): sets not yet matched with any earlier one that passes the filters. Both sides read the same
+    exchange: the unmatched ones are told by a flag."""
+    flagged = every.join(matched.select(F.col("later").alias("id"), F.lit(True).alias("done")), "id", "left").select("id", "n", "bits", "prefix", F.col("done").isNull().alias("open"))
+    rows = prefix_rows(flagged, "open")
+    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "bits", "pos", "open")])
+    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "bits", "pos")])
+    pairs = y.join(x, "token").where(F.col("y_open") & (F.col("x_id") < F.col("y_id")) & may_match("x_", "y_", similarity))
+    return pairs.select(F.col("x_id").alias("earlier"), F.col("y_id").alias("later")).distinct()
+
+
+def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(earlier, later, similarity): pairs whose word sets reach the bound.
+
+    The lines that are in any pair are fetched once, by their documents; the pairs then meet only those."""
+    wanted = pairs.select(F.col("earlier").alias("id")).unionAll(pairs.select("later")).distinct()
+    places = every.select("id", *PLACE).join(wanted, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
+    texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
+    held = texts.withColumn("h", F.xxhash64("text")).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
+    sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(words(F.col("line"))).alias("w"))
+    sets = common.stored(sets, "line-words")
+    both = pairs.join(sets.withColumnsRenamed({"id": "earlier", "w": "a"}), "earlier").join(sets.withColumnsRenamed({"id": "later", "w": "b"}), "later")
     shared = F.size(F.array_intersect("a", "b"))
-    return with_b.select("earlier", "later", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9).dropDuplicates(["earlier", "later"])
+    return both.select("earlier", "later", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
 
 
-def matches(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(later, earlier, similarity): first lines of a set that an earlier line of another set matches."""
+def matches(docs: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
+    """(later, earlier, similarity): sets that an earlier one matches, by id."""
     spark = docs.sparkSession
-    first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("r"))
-    rows = common.stored(grouped(first.select(F.struct("r.doc", "r.h", "r.no").alias("place"), "r.n", "r.bits", "r.prefix")), "line-groups")
+    led = common.stored(leader_candidates(every, similarity), "line-leaders")
     common.release(spark)
-    led = common.stored(leader_candidates(rows, similarity), "line-leaders")
-    rest = rows.join(led.select("later.*").distinct(), list(PLACE), "left_anti")
-    joined = common.stored(all_candidates(rest, rows, similarity), "line-pairs")
+    found = common.stored(compared(led, every, docs, similarity), "line-matches")
     common.release(spark)
-    found = common.stored(compared(led.unionByName(joined), docs, similarity), "line-matches")
+    joined = common.stored(all_candidates(every, found.select("later").distinct(), similarity), "line-pairs")
     common.release(spark)
-    failed = led.select("later").distinct().join(found.select("later").distinct(), "later", "left_anti")
-    again = rows.join(failed.select("later.*"), list(PLACE), "left_semi")
-    again = common.stored(all_candidates(again, rows, similarity), "line-pairs")
-    if not again.isEmpty():
-        found = found.unionByName(common.stored(compared(again, docs, similarity), "line-matches"))
+    found = found.unionByName(common.stored(compared(joined, every, docs, similarity), "line-matches"))
     common.release(spark)
     return found.groupBy("later").agg(F.min(F.struct("earlier", "similarity")).alias("m")).select("later", "m.earlier", "m.similarity")
 
 
 def removed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, h, no, earlier, similarity): every removed line and an earlier line it matches."""
-    lines = common.stored(described(docs, similarity).select("doc", "h", "no", "s1", "s2", "n", "bits", "prefix"), "lines")
-    found = matches(docs, lines, similarity)
-    places = lines.select(F.struct(*PLACE).alias("place"), "s1", "s2")
-    first = places.groupBy("s1", "s2").agg(F.min("place").alias("first"))
-    judged = first.join(found, first["first"] == found["later"], "left").select("s1", "s2", "first", "earlier", "similarity")
-    each = places.join(judged, ["s1", "s2"]).where(F.col("earlier").isNotNull() | (F.col("place") > F.col("first")))
-    same = F.col("earlier").isNull()
-    return each.select("place.*", F.when(same, F.col("first")).otherwise(F.col("earlier")).alias("earlier"), F.when(same, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"))
+    lines = common.stored(described(docs, similarity), "lines")
+    every = common.stored(distinct_sets(lines), "line-sets")
+    common.release(docs.sparkSession)
+    found = matches(docs, every, similarity)
+    first = every.select("s1", "s2", "id", F.struct(*PLACE).alias("first"))
+    place = first.select(F.col("id").alias("earlier"), F.col("first").alias("at"))
+    met = found.join(place, "earlier").select(F.col("later").alias("id"), "at", "similarity")
+    judged = first.join(met, "id", "left").select("s1", "s2", "first", "at", "similarity")
+    each = lines.select(F.struct(*PLACE).alias("place"), "s1", "s2").join(judged, ["s1", "s2"]).where(F.col("at").isNotNull() | (F.col("place") > F.col("first")))
+    same = F.col("at").isNull()
+    return each.select("place.*", F.when(same, F.col("first")).otherwise(F.col("at")).alias("earlier"), F.when(same, F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
