@@ -22,6 +22,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ def scanned(index: Index, texts: list[str], hashes: Hashes) -> list[dict[int, tu
     """matches() of each text; shingles of all texts are looked up together."""
     lists = [words_of(t) for t in texts]
     sizes = [len(w) for w in lists]
-    every = np.fromiter((h for w in lists for h in map(hashes.__getitem__, w)), np.uint64, sum(sizes))
+    every = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, sum(sizes))
     keys = shingle_keys(every)
     hit = np.flatnonzero(index.filter[keys >> np.uint64(44)])
     if len(hit):
