@@ -107,7 +107,7 @@ def plain_removed(rows: list[tuple[int, str]], t: float = 0.8) -> set[tuple[int,
     for d, text in sorted(rows):
         for k, line in enumerate((text or "").split("\n")):
             w = frozenset(line.lower().split())
-            if len(w) >= line_dedup.LEAST_WORDS or len(line.split()) >= line_dedup.LEAST_WORDS:
+            if len(w) >= line_dedup.LEAST_WORDS:
                 sets.append(((d, k), w))
     return {p for i, (p, w) in enumerate(sets) if any(len(w & x) >= t * len(w | x) - 1e-9 for _, x in sets[:i])}
 

@@ -11,7 +11,7 @@ tokens; only sets that none of those matches are joined with all others, so that
 number of pairs in proportion to its size, and no link is lost.
 
 Defined cases. Lines are split at newlines. A null or empty text has no line to remove; a line with fewer than LEAST_WORDS
-words stays, being no evidence of copying. Rows with equal id and text are one document: neither copy is later than the
+distinct words stays, being no evidence of copying. Rows with equal id and text are one document: neither copy is later than the
 other. Rows of one id with different texts are ordered by a hash of the text; null ids come first. Extra columns are kept
 by deduplicated() and ignored by removed(). An empty table gives an empty result.
 """
@@ -56,11 +56,11 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def described(docs: DataFrame, similarity: float) -> DataFrame:
-    """For each line of enough words: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
+    """For each line: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
     level = rarity(docs)
     # the level in the highest byte, the hash below: sorting puts the rarest first, and equal words are equal
     token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.get(level, F.xxhash64(w).bitwiseAND(BINS - 1).cast("int")))
-    lines = lines_of(docs).select(*PLACE, words(F.col("line")).alias("w")).where(F.size("w") >= LEAST_WORDS)
+    lines = lines_of(docs).select(*PLACE, words(F.col("line")).alias("w"))
     sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("w", token))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
         *PLACE,
@@ -68,7 +68,7 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
         F.hash("t").alias("s2"),
         "n",
         F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).alias("bits"),
-        F.transform(F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1), lambda x: F.shiftright(x, 20).bitwiseAND(2**31 - 1).cast("int")).alias("prefix"),
+        F.transform(F.slice("t", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)), lambda x: F.shiftright(x, 20).bitwiseAND(2**31 - 1).cast("int")).alias("prefix"),
     )
 
 
@@ -112,15 +112,16 @@ def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> D
 
 
 def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later, similarity): pairs whose word sets reach the bound.
+    """(earlier, later, similarity): pairs whose word sets reach the bound; words are compared by their 64-bit hashes.
 
     The lines that are in any pair are fetched once, by their documents; the pairs then meet only those."""
     wanted = pairs.select(F.col("earlier").alias("id")).unionAll(pairs.select("later")).distinct()
     places = every.select("id", *PLACE).join(wanted, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
     texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
     held = texts.withColumn("h", F.xxhash64("text")).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
-    sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(words(F.col("line"))).alias("w"))
+    sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
     sets = common.stored(sets, "line-words")
+    common.release(docs.sparkSession)
     both = pairs.join(sets.withColumnsRenamed({"id": "earlier", "w": "a"}), "earlier").join(sets.withColumnsRenamed({"id": "later", "w": "b"}), "later")
     shared = F.size(F.array_intersect("a", "b"))
     return both.select("earlier", "later", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
@@ -142,7 +143,8 @@ def matches(docs: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
 
 def removed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, h, no, earlier, similarity): every removed line and an earlier line it matches."""
-    lines = common.stored(described(docs, similarity), "lines")
+    # filtered as read: a filter on the set before it is written would make Spark build the set twice
+    lines = common.stored(described(docs, similarity), "lines").where(F.col("n") >= LEAST_WORDS)
     every = common.stored(distinct_sets(lines), "line-sets")
     common.release(docs.sparkSession)
     found = matches(docs, every, similarity)
