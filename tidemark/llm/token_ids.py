@@ -36,7 +36,6 @@ def chars(kind: str) -> str:
 
 LETTER, NUMBER, SPACE = chars(r"\p{L}"), chars(r"\p{N}"), chars(r"\s")
 PLAIN = re.compile(f"[\\u0000-\\u{BEYOND - 1:04x}]*")
-PIECE = re.compile(r" ?\S+")
 #: How the two public vocabularies split a text, over plain characters: contractions, letters, numbers, others, spaces.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_LEVEL = re.compile(f"{CONTRACTIONS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -75,26 +74,27 @@ class Encoder:
         out[[i for t, i in self.tokenizer.get_vocab().items() if end(t)]] = True
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces encoded many at a time, as lines of one text: taking each one's ids from the library costs as much as the
-        encoding. A line's ids end where a line feed's id stands, or where the vocabulary marks a word's end; should their
-        number be another than that of the pieces, each piece is encoded by itself."""
-        plain = [p for p in pieces if PIECE.fullmatch(p)]
-        found: dict[str, bytes] = {}
-        runs = [plain[k : k + PIECES_AT_ONCE] for k in range(0, len(plain), PIECES_AT_ONCE)]
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces, encoded many at a time, as lines of one text: taking each one's ids from the library
+        costs as much as the encoding. A line's ids end where a line feed's id stands, or where the vocabulary marks a
+        word's end; should their number be another than that of the pieces, each piece is encoded by itself. Pieces of
+        white space are too; in all others white space can only be one space at the start."""
+        known, cut = self.pieces, self.feed
+        blank = [p for p in pieces if p.isspace()]
+        if blank:
+            known.update(zip(blank, self.encode(blank), strict=True))
+            pieces = [p for p in pieces if not p.isspace()]
+        runs = [pieces[k : k + PIECES_AT_ONCE] for k in range(0, len(pieces), PIECES_AT_ONCE)]
         lines = self.tokenizer.encode_batch_fast(["\n".join([*some, ""]) for some in runs], add_special_tokens=False)
         for some, line in zip(runs, lines, strict=True):
             ids = np.array(line.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some) or len(ids) != ends[-1]:
-                found.update(zip(some, self.encode(some), strict=True))
+                known.update(zip(some, self.encode(some), strict=True))
                 continue
-            data, cut = ids.tobytes(), self.feed
-            starts = np.concatenate(([0], ends[:-1]))
-            found.update(zip(some, (data[4 * a : 4 * (b - cut)] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self.encode(rest), strict=True))
-        return [found[p] for p in pieces]
+            data, ends = ids.tobytes(), 4 * ends
+            starts = [0, *ends[:-1].tolist()]
+            known.update(zip(some, map(data.__getitem__, map(slice, starts, (ends - 4 * cut).tolist())), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,8 +110,7 @@ class Encoder:
         for pieces in split:
             if pieces is not None:
                 new.update(pieces)
-        todo = [p for p in new if p not in known]
-        known.update(zip(todo, self.encode_pieces(todo), strict=True))
+        self.learn(list(new - known.keys()))
         whole = iter(self.encode([t for t, pieces in zip(texts, split, strict=True) if pieces is None]))
         return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
