@@ -29,6 +29,8 @@ SIMILARITY, LEAST_WORDS = 0.8, 5
 #: Counts by which rarity is told: a table of this many places, each for the words that hash there, in LEVELS a doubling.
 BINS, LEVELS = 1 << 20, 4
 PLACE = ("doc", "h", "no")
+#: Pairs whose sets meet at a time, each with some hundred words: what a round shuffles stays bounded.
+PAIRS_A_ROUND = 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -46,20 +48,20 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """For each place of the table of counts its level in the highest byte of a long, as a constant: its size is BINS
-    whatever the corpus."""
+    """The level of each place of the table of counts, as a constant: its size is BINS whatever the corpus."""
     texts = common.only(docs, "text").select(F.explode(words(F.col("text").cast("string"))).alias("w"))
     counts = texts.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("n")).toArrow()
     level = np.zeros(BINS, np.int64)
     level[counts.column("bin").to_numpy()] = np.minimum(127, LEVELS * np.log2(counts.column("n").to_numpy() + 1))
-    return F.split(F.lit(",".join(map(str, (level << 56).tolist()))), ",").cast("array<bigint>")
+    names = [str(k) for k in range(128)]
+    return F.split(F.lit(",".join([names[k] for k in level.tolist()])), ",").cast("array<tinyint>")
 
 
 def described(docs: DataFrame, similarity: float) -> DataFrame:
     """For each line: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
     level = rarity(docs)
     # the level in the highest byte, the hash below: sorting puts the rarest first, and equal words are equal
-    token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.get(level, F.xxhash64(w).bitwiseAND(BINS - 1).cast("int")))
+    token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(BINS - 1).cast("int")).cast("long"), 56))
     lines = lines_of(docs).select(*PLACE, words(F.col("line")).alias("w"))
     sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("w", token))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
@@ -111,20 +113,42 @@ def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> D
     return pairs.select(F.col("x_id").alias("earlier"), F.col("y_id").alias("later")).distinct()
 
 
+def sketch(w: Column, part: int) -> Column:
+    """A quarter of a 256-bit parity bitmap of a set of hashes."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    own = F.filter(w, lambda x: F.shiftright(x, 6).bitwiseAND(3) == part)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+
 def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(earlier, later, similarity): pairs whose word sets reach the bound; words are compared by their 64-bit hashes.
 
-    The lines that are in any pair are fetched once, by their documents; the pairs then meet only those."""
+    The lines that are in any pair are fetched once, by their documents. Pairs first meet wide bitmaps of them, which
+    turn away most that fall short, and the rest the sets themselves, in rounds of bounded size."""
+    spark = docs.sparkSession
     wanted = pairs.select(F.col("earlier").alias("id")).unionAll(pairs.select("later")).distinct()
     places = every.select("id", *PLACE).join(wanted, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
     texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
     held = texts.withColumn("h", F.xxhash64("text")).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
     sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
-    sets = common.stored(sets, "line-words")
-    common.release(docs.sparkSession)
-    both = pairs.join(sets.withColumnsRenamed({"id": "earlier", "w": "a"}), "earlier").join(sets.withColumnsRenamed({"id": "later", "w": "b"}), "later")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select("earlier", "later", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
+    sets = common.stored(sets.select("id", "w", F.size("w").alias("n"), *[sketch(F.col("w"), k).alias(f"k{k}") for k in range(4)]), "line-words")
+    common.release(spark)
+    bitmaps = sets.select("id", F.struct("n", "k0", "k1", "k2", "k3").alias("s"))
+    met = pairs.join(bitmaps.withColumnsRenamed({"id": "earlier", "s": "a"}), "earlier").join(bitmaps.withColumnsRenamed({"id": "later", "s": "b"}), "later")
+    both = F.col("a.n") + F.col("b.n")
+    apart = sum((F.bit_count(F.col(f"a.k{k}").bitwiseXOR(F.col(f"b.k{k}"))) for k in range(4)), F.lit(0))
+    near = common.stored(met.where(apart <= both - 2 * F.ceil(both * (similarity / (1 + similarity)) - 1e-9)).select("earlier", "later"), "line-near")
+    common.release(spark)
+    rounds, found = max(1, -(-near.count() // PAIRS_A_ROUND)), None
+    for k in range(rounds):
+        some = near.where(F.pmod(F.xxhash64("later"), F.lit(rounds)) == k)
+        two = some.join(sets.select(F.col("id").alias("earlier"), F.col("w").alias("a")), "earlier").join(sets.select(F.col("id").alias("later"), F.col("w").alias("b")), "later")
+        shared = F.size(F.array_intersect("a", "b"))
+        ratio = two.select("earlier", "later", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
+        ratio = common.stored(ratio, "line-matches")
+        common.release(spark)
+        found = ratio if found is None else found.unionByName(ratio)
+    return found
 
 
 def matches(docs: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
@@ -132,12 +156,10 @@ def matches(docs: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     led = common.stored(leader_candidates(every, similarity), "line-leaders")
     common.release(spark)
-    found = common.stored(compared(led, every, docs, similarity), "line-matches")
-    common.release(spark)
+    found = compared(led, every, docs, similarity)
     joined = common.stored(all_candidates(every, found.select("later").distinct(), similarity), "line-pairs")
     common.release(spark)
-    found = found.unionByName(common.stored(compared(joined, every, docs, similarity), "line-matches"))
-    common.release(spark)
+    found = found.unionByName(compared(joined, every, docs, similarity))
     return found.groupBy("later").agg(F.min(F.struct("earlier", "similarity")).alias("m")).select("later", "m.earlier", "m.similarity")
 
 
