@@ -98,3 +98,32 @@ def retake_flags(words: DataFrame, tick: float = 0.3) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "i"])
 
     return words.mapInPandas(run, "key long, i long")
+
+
+def merged_words(first: list[dict], second: list[str], suspect=lambda w: w["p"] < 0.5) -> list[dict]:
+    """A transcript's words {w, p} checked against a second one of the same speech: words both have are confirmed (v 0); a
+    suspect run that the second gives with as many words is replaced, the old word kept in alt (v 1); another suspect run
+    gets the second's words as a proposal on its first word (alt, and altn words it would replace)."""
+    key = lambda w: "".join(c for c in w.lower() if c.isalnum())
+    out = [dict(w) for w in first]
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, [key(w["w"]) for w in first], [key(w) for w in second], autojunk=False).get_opcodes():
+        if tag == "equal":
+            for k in range(i1, i2):
+                out[k]["v"] = 0
+        elif tag == "replace" and any(suspect(first[k]) for k in range(i1, i2)):
+            if i2 - i1 == j2 - j1:
+                for k in range(i1, i2):
+                    out[k].update(alt=first[k]["w"], w=second[j1 + k - i1], v=1)
+            else:
+                out[i1].update(alt=" ".join(second[j1:j2]), altn=i2 - i1)
+    return out
+
+
+MERGED = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("v", T.IntegerType()), T.StructField("alt", T.StringType()), T.StructField("altn", T.IntegerType())]))
+
+
+@F.pandas_udf(MERGED)
+def merge_transcripts(first: pd.Series, second: pd.Series) -> pd.Series:
+    """merged_words() of array<struct<w, p>> and array<string>."""
+    blank = {"v": None, "alt": None, "altn": None}
+    return pd.Series([[blank | w for w in merged_words([{"w": x["w"], "p": x["p"]} for x in a], list(b))] for a, b in zip(first, second, strict=True)])
