@@ -2,8 +2,8 @@
 
 A line's tokens are its distinct lower-case words. Tokens are ordered by rarity in the corpus (counts in a table of fixed
 size, ties by hash), and two lines can only reach the Jaccard similarity if they share a token in their prefixes, the
-n - ceil(t*n) + 1 rarest ones. Pairs that share one must pass the length filter, the positional filter and a bound by a
-64-bit parity bitmap of the sets before their words are compared. A line is removed if an earlier line, by (doc_id, line
+n - ceil(t*n) + 1 rarest ones. Pairs that share one must pass the length filter, the positional filter and a bound by
+parity bitmaps of the sets before their words are compared. A line is removed if an earlier line, by (doc_id, line
 number), reaches the similarity.
 
 Lines with equal sets meet first, as one. Then each set is compared with the earliest one in the groups of its prefix
@@ -29,6 +29,9 @@ SIMILARITY, LEAST_WORDS = 0.8, 5
 #: Counts by which rarity is told: a table of this many places, each for the words that hash there, in LEVELS a doubling.
 BINS, LEVELS = 1 << 20, 4
 PLACE = ("doc", "h", "no")
+#: Tokens up to which a set's bitmap has 64 bits, beyond 256.
+NARROW = 48
+BITMAP = ("k0", "k1", "k2", "k3")
 #: Pairs whose sets meet at a time, each with some hundred words: what a round shuffles stays bounded.
 PAIRS_A_ROUND = 1_000_000
 
@@ -57,6 +60,16 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join([names[k] for k in level.tolist()])), ",").cast("array<tinyint>")
 
 
+def bitmap(t: Column, n: Column) -> list[Column]:
+    """k0 to k3: for each token a bit is turned. A set of up to NARROW tokens has 64 bits, in k0; a larger one 256, so that
+    they aren't worn out. The 64 bits of a larger set are its four parts turned into each other."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    turned = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    part = lambda k: turned(F.filter(t, lambda x: F.shiftright(x, 6).bitwiseAND(3) == k))
+    narrow = n <= NARROW
+    return [F.when(narrow, turned(t)).otherwise(part(0)).alias("k0"), *[F.when(narrow, F.lit(0).cast("long")).otherwise(part(k)).alias(f"k{k}") for k in (1, 2, 3)]]
+
+
 def described(docs: DataFrame, similarity: float) -> DataFrame:
     """For each line: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
     level = rarity(docs)
@@ -69,21 +82,21 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
         F.xxhash64("t").alias("s1"),
         F.hash("t").alias("s2"),
         "n",
-        F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).alias("bits"),
+        *bitmap(F.col("t"), F.col("n")),
         F.transform(F.slice("t", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)), lambda x: F.shiftright(x, 20).bitwiseAND(2**31 - 1).cast("int")).alias("prefix"),
     )
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """A row for each set with its first place, and a number `id` in the order of these places."""
-    first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("r")).select("r.*", "s1", "s2")
+    first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE, "n", *BITMAP, "prefix")).alias("r")).select("r.*", "s1", "s2")
     placed = common.ordered_store(first, list(PLACE), "line-sets")
     number = F.row_number().over(Window.partitionBy("part").orderBy(*PLACE))
     return placed.withColumn("id", F.shiftleft(F.col("part").cast("long"), 33) + number)
 
 
 def prefix_rows(every: DataFrame, *more: str) -> DataFrame:
-    return every.select("id", "n", "bits", *more, F.posexplode("prefix").alias("pos", "token"))
+    return every.select("id", "n", *BITMAP, *more, F.posexplode("prefix").alias("pos", "token"))
 
 
 def may_match(a: str, b: str, similarity: float) -> Column:
@@ -92,56 +105,48 @@ def may_match(a: str, b: str, similarity: float) -> Column:
     both = an + bn
     least = F.ceil(both * (similarity / (1 + similarity)) - 1e-9)  # tokens that similar sets must share
     left = F.least(an - ap, bn - bp) + F.least(ap, bp)
-    return (F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) <= both - 2 * least) & (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least)
+    parts = [F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")) for k in BITMAP]
+    alike = (an <= NARROW) == (bn <= NARROW)
+    folded = F.bit_count(parts[0].bitwiseXOR(parts[1]).bitwiseXOR(parts[2].bitwiseXOR(parts[3])))
+    differ = F.when(alike, F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])).otherwise(folded)
+    return (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least) & (differ <= both - 2 * least)
 
 
 def leader_candidates(every: DataFrame, similarity: float) -> DataFrame:
     """(earlier, later): each set with the earliest one in the groups of its prefix tokens, where the pair passes."""
     group = Window.partitionBy("token").orderBy("id")
-    led = prefix_rows(every).select("id", "n", "bits", "pos", *[F.first(c).over(group).alias(f"x_{c}") for c in ("id", "n", "bits", "pos")])
+    led = prefix_rows(every).select("id", "n", *BITMAP, "pos", *[F.first(c).over(group).alias(f"x_{c}") for c in ("id", "n", *BITMAP, "pos")])
     return led.where((F.col("x_id") < F.col("id")) & may_match("x_", "", similarity)).select(F.col("x_id").alias("earlier"), F.col("id").alias("later")).distinct()
 
 
 def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later): sets not yet matched with any earlier one that passes the filters. Both sides read the same
-    exchange: the unmatched ones are told by a flag."""
-    flagged = every.join(matched.select(F.col("later").alias("id"), F.lit(True).alias("done")), "id", "left").select("id", "n", "bits", "prefix", F.col("done").isNull().alias("open"))
+    """(earlier, later): sets not yet matched with any earlier one that passes the filters.
+
+    An unmatched set's id stands in `open` too, a matched one has zero there. Both sides keep the same columns and no
+    condition is on one side alone, so that Spark makes one exchange and reads it twice."""
+    flagged = every.join(matched.select(F.col("later").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("open", F.when(F.col("done").isNull(), F.col("id")).otherwise(F.lit(0)))
     rows = prefix_rows(flagged, "open")
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "bits", "pos", "open")])
-    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "bits", "pos")])
-    pairs = y.join(x, "token").where(F.col("y_open") & (F.col("x_id") < F.col("y_id")) & may_match("x_", "y_", similarity))
+    columns = ("id", "open", "n", *BITMAP, "pos")
+    y, x = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("y", "x"))
+    pairs = y.join(x, "token").where((F.col("x_id") < F.col("y_open")) & (F.col("x_open") + F.col("y_id") > 0) & may_match("x_", "y_", similarity))
     return pairs.select(F.col("x_id").alias("earlier"), F.col("y_id").alias("later")).distinct()
 
 
-def sketch(w: Column, part: int) -> Column:
-    """A quarter of a 256-bit parity bitmap of a set of hashes."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    own = F.filter(w, lambda x: F.shiftright(x, 6).bitwiseAND(3) == part)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-
-
 def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(earlier, later, similarity): pairs whose word sets reach the bound; words are compared by their 64-bit hashes.
 
-    The lines that are in any pair are fetched once, by their documents. Pairs first meet wide bitmaps of them, which
-    turn away most that fall short, and the rest the sets themselves, in rounds of bounded size."""
+    The lines that are in any pair are fetched once, by their documents; pairs meet them in rounds of bounded size."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("earlier").alias("id")).unionAll(pairs.select("later")).distinct()
     places = every.select("id", *PLACE).join(wanted, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
     texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
     held = texts.withColumn("h", F.xxhash64("text")).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
     sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
-    sets = common.stored(sets.select("id", "w", F.size("w").alias("n"), *[sketch(F.col("w"), k).alias(f"k{k}") for k in range(4)]), "line-words")
-    common.release(spark)
-    bitmaps = sets.select("id", F.struct("n", "k0", "k1", "k2", "k3").alias("s"))
-    met = pairs.join(bitmaps.withColumnsRenamed({"id": "earlier", "s": "a"}), "earlier").join(bitmaps.withColumnsRenamed({"id": "later", "s": "b"}), "later")
-    both = F.col("a.n") + F.col("b.n")
-    apart = sum((F.bit_count(F.col(f"a.k{k}").bitwiseXOR(F.col(f"b.k{k}"))) for k in range(4)), F.lit(0))
-    near = common.stored(met.where(apart <= both - 2 * F.ceil(both * (similarity / (1 + similarity)) - 1e-9)).select("earlier", "later"), "line-near")
+    sets = common.stored(sets, "line-words")
     common.release(spark)
-    rounds, found = max(1, -(-near.count() // PAIRS_A_ROUND)), None
+    rounds, found = max(1, -(-pairs.count() // PAIRS_A_ROUND)), None
     for k in range(rounds):
-        some = near.where(F.pmod(F.xxhash64("later"), F.lit(rounds)) == k)
+        some = pairs.where(F.pmod(F.xxhash64("later"), F.lit(rounds)) == k)
         two = some.join(sets.select(F.col("id").alias("earlier"), F.col("w").alias("a")), "earlier").join(sets.select(F.col("id").alias("later"), F.col("w").alias("b")), "later")
         shared = F.size(F.array_intersect("a", "b"))
         ratio = two.select("earlier", "later", (shared / (F.size("a") + F.size("b") - shared)).alias("similarity")).where(F.col("similarity") >= similarity - 1e-9)
