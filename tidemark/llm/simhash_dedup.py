@@ -59,8 +59,8 @@ EXACT = Plan(shingle=4, size=1, tables=((0, 0, 64),), radius=4, most=4)
 SIMILAR = Plan(shingle=5, size=2, tables=((0, 0, 32), (0, 32, 32), (1, 0, 32), (1, 32, 32)), radius=4, most=24)
 #: Variants that one task holds at a time, on average: 8 bytes each, and as many again for their order.
 VARIANTS_A_TASK = 6_000_000
-#: Least number of buckets, so that small inputs use all cores too.
-LEAST_BUCKETS = 64
+#: Least number of buckets over all tables, so that small inputs use all cores too.
+LEAST_BUCKETS = 128
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 200_000
 
