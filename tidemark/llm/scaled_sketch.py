@@ -13,11 +13,12 @@ table of one row is its own next document. Extra columns are ignored; an empty t
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,6 +104,19 @@ def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 
 
+def ranked(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at or below x: by runs of them, then inside one run, so that a row looks at about
+    twice the square root of their number. The bounds are a constant of the plan."""
+    if not bounds:
+        return F.lit(0)
+    size = max(1, int(len(bounds) ** 0.5))
+    runs = [bounds[k : k + size] for k in range(0, len(bounds), size)]
+    heads = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>")
+    inside = F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
+    run = F.size(F.filter(heads, lambda b: b <= x)) - 1  # -1: below all bounds
+    return F.when(run < 0, F.lit(0)).otherwise(run * size + F.size(F.filter(F.get(inside, run), lambda b: b <= x)))
+
+
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text, with their likeness and that to the next document.
 
@@ -110,11 +124,11 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     range before it as well: one shuffle of the texts, and no task sees more than its range."""
     spark = docs.sparkSession
     texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = buckets or 2 * common.shuffle_parts(spark)
-    bounds = sorted(set(texts.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.25 / buckets)))
+    # several ranges for each partition, so that their hashes deal them out evenly
+    buckets = buckets or 8 * common.shuffle_parts(spark)
+    bounds = sorted({int(b) for b in texts.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.25 / buckets)})
     # descending order: bucket 0 holds the largest ids, null ids come last
-    bucket = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket)
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - ranked(F.col("doc_id"), bounds))
     placed = texts.withColumn("bucket", bucket.cast("int"))
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     first = F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("rank"), tie.alias("tie"))
