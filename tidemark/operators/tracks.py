@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .folds import fold
-from .intervals import binned
+from .intervals import binned, overlaps_clipped
 from .islands import numbered_runs
 
 
@@ -37,8 +37,6 @@ def rebased(samples: DataFrame, iv: DataFrame, width: int, pad: int) -> DataFram
 def focus(clips: DataFrame, turns: DataFrame, width: int) -> DataFrame:
     """(key, person, s, e): whom to look at: a clip's own person, else those of the turns that overlap it, clipped to it;
     neighbours of one person become one window."""
-    from .intervals import overlaps_clipped
-
     own = clips.where(F.col("person").isNotNull()).select("key", "person", "s", "e")
     open_ = clips.where(F.col("person").isNull()).select("key", "id", "s", "e")
     numbered = turns.withColumn("id", F.row_number().over(Window.partitionBy("key").orderBy("s")).cast("long"))

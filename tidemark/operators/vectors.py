@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import scalars as S
+from .folds import fold
 
 #: Rows of a block that is compared at once.
 BLOCK = 512
 
 
-def similar_pairs(vectors: DataFrame, least: float, query_every: int = 1) -> DataFrame:
-    """(i, j, permille): pairs of vectors of one label with cosine similarity of at least `least`, i < j.
+def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(i, j, similarity): pairs of vectors of one label with cosine similarity of at least `least`, i < j.
 
     The label is the equality that keeps this from being a cross join; within a label blocks of rows meet block by block,
     so no task holds more than two blocks."""
@@ -48,8 +48,6 @@ def leader_clusters(vectors: DataFrame, least: float) -> DataFrame:
     """(label, id, leader): rows of a label in order of id join the first leader they are similar enough to, or become one.
 
     Sequential by definition: each label is walked in order, and only its leaders are kept in memory."""
-    from .folds import fold
-
     def step(leaders, id_, v):
         x = np.asarray(v, float)
         x = x / max(np.linalg.norm(x), 1e-300)
@@ -62,8 +60,7 @@ def leader_clusters(vectors: DataFrame, least: float) -> DataFrame:
 
 
 def average_link(groups: DataFrame, most_distance: float) -> DataFrame:
-    """(label, id, cluster): agglomerative clustering with average links of each label's dimension means by user-given small
-    groups; merging stops when the nearest two clusters are further apart than `most_distance`. A cluster is named by its
+    """(label, id, cluster): agglomerative clustering with average links of the rows of each label; merging stops when the nearest two clusters are further apart than `most_distance`. A cluster is named by its
     smallest id. Quadratic in a group, so groups are meant to be tens to hundreds of rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,6 +90,3 @@ def distances(vectors: DataFrame, to: str) -> DataFrame:
     n = F.size("embedding")
     total = F.aggregate(F.zip_with("embedding", to, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
     return vectors.withColumn("rms", F.sqrt(total / n))
-
-
-__all__ = ["S", "average_link", "distances", "label_statistics", "leader_clusters", "similar_pairs"]

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
-from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, series, text, timeline, vectors
+from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, series, text, timeline, tracks, vectors
 from tidemark.sources import carriers as C
+from tidemark.sources import documents
 from tidemark.sources.carriers import HOUR, MINUTE, sql_with
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,8 +563,6 @@ def _(spark, d):
     SELECT key, kind, CAST(CAST(2 * m AS BIGINT) * c * 1000 // s AS BIGINT) AS permille FROM r WHERE c >= 2""",
 )
 def _(spark, d):
-    from pyspark.sql.window import Window
-
     per = C.points(spark, d).groupBy("key", "kind").agg((2 * F.median("cents")).cast("long").alias("m2"), F.count("*").alias("n")).where("n >= 3")
     w = Window.partitionBy("kind")
     rated = per.withColumn("s", F.sum("m2").over(w)).withColumn("c", F.count("*").over(w)).where("c >= 2")
@@ -749,3 +749,129 @@ def _(spark, d):
 def _(spark, d):
     texts = C.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array_remove(F.split(F.trim("text"), r"\s+"), "").alias("words"))
     return align.retake_flags(texts)
+
+
+# ---------------------------------------------------------------- tracks and clips
+
+
+@query(
+    "persons_present",
+    f"""{sql_with('points', 'intervals')}, c AS (SELECT i.key, i.id, length(p.kind) AS person, count(*) AS n FROM points p JOIN intervals i ON p.key = i.key AND p.t >= i.s AND p.t < i.e GROUP BY 1, 2, 3)
+    SELECT key, id, person, n, row_number() OVER (PARTITION BY key, id ORDER BY n DESC, person) AS rank FROM c WHERE n >= 2""",
+)
+def _(spark, d):
+    seen = C.points(spark, d).select("key", "t", F.length("kind").cast("long").alias("person"))
+    return tracks.present(seen, C.intervals(spark, d), 8 * HOUR)
+
+
+@query(
+    "thinned_points",
+    f"""{sql_with('points')}, k AS (SELECT key, id, t, row_number() OVER (PARTITION BY key ORDER BY t, id) - 1 AS k, CAST(greatest(0, ceil(log2(count(*) OVER (PARTITION BY key) / CAST(20 AS DOUBLE)))) AS INTEGER) AS h FROM points)
+    SELECT key, id, t FROM k WHERE k % CAST(pow(2, h) AS BIGINT) = 0""",
+)
+def _(spark, d):
+    return tracks.thinned(C.points(spark, d).select("key", "id", "t"), 20)
+
+
+@query(
+    "split_by_clips",
+    f"""{sql_with('intervals')}, r AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY s, id) - 1) // 8 AS part FROM intervals)
+    SELECT key, part, min(s) AS s, max(e) AS e, count(*) AS n FROM r GROUP BY key, part""",
+)
+def _(spark, d):
+    clips = C.intervals(spark, d)
+    return tracks.split_at_clips(clips, clips, 8)
+
+
+@query(
+    "halved_parts",
+    f"""{sql_with('intervals')}, x AS (SELECT key, s, min(s) OVER (PARTITION BY key) AS a, max(e) OVER (PARTITION BY key) AS b FROM intervals),
+    r AS (SELECT key, s, row_number() OVER (PARTITION BY key ORDER BY abs(2 * s - a - b), s) AS r FROM x WHERE s > a) SELECT key, s AS "at" FROM r WHERE r = 1""",
+)
+def _(spark, d):
+    return tracks.halves(C.intervals(spark, d))
+
+
+@query(
+    "short_islands",
+    f"""{sql_with('words')}, m AS (SELECT key, i, length(w) >= 8 AS marked FROM words), {RUNS.format(l='marked', v='m', o='i')},
+    g AS (SELECT key, run, min(CASE WHEN marked THEN 1 ELSE 0 END) AS m, min(i) AS s, max(i) AS e, count(*) AS n FROM runs GROUP BY key, run),
+    b AS (SELECT *, lag(run) OVER (PARTITION BY key ORDER BY run) AS p, lead(run) OVER (PARTITION BY key ORDER BY run) AS f FROM g)
+    SELECT key, CAST(run AS BIGINT) AS run, s, e, n FROM b WHERE m = 1 AND p IS NOT NULL AND f IS NOT NULL AND n <= 3""",
+)
+def _(spark, d):
+    marked = C.words(spark, d).select("key", "i", (F.length("w") >= 8).alias("marked"))
+    return tracks.short_islands(marked, 3).select("key", "run", "s", "e", "n")
+
+
+@query(
+    "clip_transitions",
+    f"""{sql_with('points', 'intervals')}, c AS (SELECT i.key, i.id, i.s, i.e, p.kind FROM intervals i JOIN points p ON p.key = i.key AND p.id = i.id),
+    l AS (SELECT *, lag(kind) OVER w AS before, lag(e) OVER w AS fin FROM c WINDOW w AS (PARTITION BY key ORDER BY s, id))
+    SELECT key, id, s AS "at", CASE kind WHEN 'error' THEN 'cut' WHEN 'purchase' THEN 'fade' END AS style FROM l WHERE before IS NOT NULL AND before <> kind AND fin <> s""",
+)
+def _(spark, d):
+    kinds = C.points(spark, d).select("key", "id", "kind")
+    styles = spark.createDataFrame([("error", "cut"), ("purchase", "fade")], "kind string, style string")
+    return timeline.transitions(C.intervals(spark, d).join(kinds, ["key", "id"]), styles)
+
+
+@query(
+    "caption_ends",
+    f"""{PRE}, t AS (SELECT *, max(z) OVER (PARTITION BY key) AS total FROM caps)
+    SELECT key, CAST(caption AS BIGINT) AS caption, a AS "start", coalesce(lead(a) OVER (PARTITION BY key ORDER BY a, caption), total) AS "end" FROM t""",
+)
+def _(spark, d):
+    caps = pre_captions(spark, d)
+    caps = caps.withColumn("total", F.max("end").over(Window.partitionBy("key")))
+    return timeline.caption_ends(caps, "total").select("key", "caption", "start", "end")
+
+
+@query(
+    "publish_parts",
+    """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS file, n_chars * 1000 AS size FROM documents), p AS (SELECT file, size, unnest(generate_series(0, greatest(size - 1, 0), 1000000)) AS o FROM f)
+    SELECT file, o // 1000000 AS part, o AS "offset", least(1000000, size - o) AS bytes FROM p""",
+)
+def _(spark, d):
+    files = C.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), (F.col("n_chars") * 1000).alias("bytes"))
+    return documents.publish_parts(files, 1_000_000)
+
+
+@query(
+    "clamped_settings",
+    f"""{sql_with('points')}, v AS (SELECT key, kind AS name, max(cents) AS value FROM points GROUP BY 1, 2), k AS (SELECT DISTINCT key FROM points),
+    b AS (SELECT * FROM (VALUES ('view', 0, 30000, 100), ('click', 1000, 40000, 2000), ('refund', 0, 10, 5)) t(name, low, high, usual))
+    SELECT k.key, b.name, CAST(greatest(low, least(high, coalesce(value, usual))) AS BIGINT) AS value FROM k CROSS JOIN b LEFT JOIN v ON v.key = k.key AND v.name = b.name""",
+)
+def _(spark, d):
+    values = C.points(spark, d).groupBy("key", F.col("kind").alias("name")).agg(F.max("cents").alias("value"))
+    bounds = spark.createDataFrame([("view", 0, 30_000, 100), ("click", 1000, 40_000, 2000), ("refund", 0, 10, 5)], "name string, low long, high long, usual long")
+    return docs.clamped_settings(values, bounds)
+
+
+@query("split_and_joined", f"{sql_with('intervals')}, {merged_sql('intervals', 0)} SELECT key, s, e FROM merged WHERE s < e")
+def _(spark, d):
+    parts = intervals.merged(C.intervals(spark, d)).where("s < e").select("key", "s", "e")
+    cuts = C.points(spark, d).select("key", (F.col("t") + 30 * MINUTE).alias("t"))
+    return docs.joined_parts(docs.split_part(parts, cuts))
+
+
+@query("auto_zooms")
+def _(spark, d):
+    p = C.points(spark, d)
+    ends = p.groupBy("key").agg((F.max("t") + DAY).alias("end"))
+    return tracks.zooms(p.join(ends, "key").select("key", "t", "end"), 36 * HOUR, 26 * HOUR, 6 * HOUR)
+
+
+@query("focus_windows")
+def _(spark, d):
+    spoken = C.points(spark, d).select("key", F.col("t").alias("s"), F.coalesce(F.lead("t").over(Window.partitionBy("key").orderBy("t", "id")), F.col("t") + HOUR).alias("e"), F.length("kind").cast("long").alias("person"))
+    clips = C.intervals(spark, d).withColumn("person", F.when(F.col("id") % 5 == 0, F.lit(0).cast("long")))
+    return tracks.focus(clips, spoken, 8 * HOUR)
+
+
+@query("merged_transcripts")
+def _(spark, d):
+    pairs = align.neighbours(C.turns(spark, d), "i")
+    sure = lambda w: F.struct(w.alias("w"), (F.pmod(F.xxhash64(w), F.lit(10)) / 10.0).alias("p"))
+    return pairs.select("key", "i", align.merge_transcripts(F.transform("a", sure), "b").alias("words"))
