@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import wave
 
 import numpy as np
@@ -97,7 +98,9 @@ def test_publish_parts(spark):
 
 def run_stream(spark, tmp_path, df, build, name, mode):
     source = str(tmp_path / "in")
-    df.repartitionByRange(3, "event_id").write.parquet(source)
+    df.repartitionByRange(3, "ts").write.parquet(source)
+    for k, part in enumerate(sorted((tmp_path / "in").glob("part-*"))):  # the stream reads files by their age
+        os.utime(part, (1_700_000_000 + 10 * k,) * 2)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     q = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
