@@ -126,7 +126,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # several ranges for each partition, so that their hashes deal them out evenly
     buckets = buckets or 8 * common.shuffle_parts(spark)
-    bounds = sorted({int(b) for b in texts.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.25 / buckets)})
+    shares = [k / buckets for k in range(1, buckets)]
+    bounds = sorted({int(b) for b in texts.approxQuantile("doc_id", shares, 0.25 / buckets)}) if shares else []
     # descending order: bucket 0 holds the largest ids, null ids come last
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - ranked(F.col("doc_id"), bounds))
     placed = texts.withColumn("bucket", bucket.cast("int"))
