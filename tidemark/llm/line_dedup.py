@@ -51,13 +51,18 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The level of each place of the table of counts, as a constant: its size is BINS whatever the corpus."""
+    """The levels of all places of the table of counts, a byte each, as a constant: its size is BINS whatever the corpus."""
     texts = common.only(docs, "text").select(F.explode(words(F.col("text").cast("string"))).alias("w"))
-    counts = texts.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).alias("bin")).agg(F.count("*").alias("n")).toArrow()
-    level = np.zeros(BINS, np.int64)
-    level[counts.column("bin").to_numpy()] = np.minimum(127, LEVELS * np.log2(counts.column("n").to_numpy() + 1))
-    names = [str(k) for k in range(128)]
-    return F.split(F.lit(",".join([names[k] for k in level.tolist()])), ",").cast("array<tinyint>")
+    counts = texts.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    found = counts.select("bin", F.least(F.lit(127), F.floor(LEVELS * F.log2(F.col("n") + 1))).cast("tinyint").alias("level")).toArrow()
+    level = np.zeros(BINS, np.uint8)
+    level[found.column("bin").to_numpy()] = found.column("level").to_numpy()
+    return F.lit(level.tobytes())
+
+
+def level_at(levels: Column, place: Column) -> Column:
+    """One of the levels: they are below 128, so a byte of them is a character of its own."""
+    return F.ascii(F.substring(levels, place.cast("int") + 1, F.lit(1)).cast("string"))
 
 
 def bitmap(t: Column, n: Column) -> list[Column]:
@@ -74,7 +79,7 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
     """For each line: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
     level = rarity(docs)
     # the level in the highest byte, the hash below: sorting puts the rarest first, and equal words are equal
-    token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(BINS - 1).cast("int")).cast("long"), 56))
+    token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(level_at(level, F.xxhash64(w).bitwiseAND(BINS - 1)).cast("long"), 56))
     lines = lines_of(docs).select(*PLACE, words(F.col("line")).alias("w"))
     sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("w", token))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
