@@ -192,6 +192,14 @@ def test_automaton_scores_like_a_walk(spark):
     assert np.allclose(tree.symbol_logs(stream), want)
 
 
+def test_states_outside_the_automaton_count_as_those_inside(spark, monkeypatch):
+    docs = common.table(spark, SMALL, "documents").limit(60)
+    want = {r["doc_id"]: r for r in suffix_tree_lm.score(docs).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "MOST_STATES", 40)
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d]["score"] - want[d]["score"]) < 1e-5 * abs(want[d]["score"]) for d in want)
+
+
 def test_held_out_texts_are_likelier_than_by_words_alone(spark):
     got = suffix_tree_lm.op9_suffix_tree_score(spark, LARGER).where("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
