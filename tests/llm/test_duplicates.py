@@ -138,6 +138,12 @@ def test_line_dedup_plain_version(spark, seed):
     assert {(r["doc"], r["no"]) for r in got} == plain_removed(shared)
 
 
+def test_short_lines_are_lines(spark):
+    rows = [(1, "menu\n\nAll rights reserved.\nto be or not"), (2, "Menu\n\nall rights reserved.\nall rights"), (3, "a b c d\nmenu menu\n \nrights all"), (4, "a b c d e\na b c\nb a")]
+    got = line_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc"], r["no"]): (r["earlier"]["doc"], r["earlier"]["no"], r["similarity"]) for r in got} == {(2, 0): (1, 0, 1.0), (2, 2): (1, 2, 1.0), (3, 1): (1, 0, 1.0), (3, 3): (2, 3, 1.0), (4, 0): (3, 0, 0.8)}
+
+
 def test_line_dedup_takes_awkward_rows(spark, awkward, empty):
     out = line_dedup.deduplicated(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()

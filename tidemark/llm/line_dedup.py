@@ -10,8 +10,7 @@ Lines with equal sets meet first, as one. Then each set is compared with the ear
 tokens; only sets that none of those matches are joined with all others, so that a large group of near copies takes a
 number of pairs in proportion to its size, and no link is lost.
 
-Defined cases. Lines are split at newlines. A null or empty text has no line to remove; a line with fewer than LEAST_WORDS
-distinct words stays, being no evidence of copying. Rows with equal id and text are one document: neither copy is later than the
+Defined cases. Lines are split at newlines. A null or empty text has no line to remove; a line without a word stays. Rows with equal id and text are one document: neither copy is later than the
 other. Rows of one id with different texts are ordered by a hash of the text; null ids come first. Extra columns are kept
 by deduplicated() and ignored by removed(). An empty table gives an empty result.
 """
@@ -25,7 +24,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
-SIMILARITY, LEAST_WORDS = 0.8, 5
+SIMILARITY, LEAST_WORDS = 0.8, 1
 #: Counts by which rarity is told: a table of this many places, each for the words that hash there, in LEVELS a doubling.
 BINS, LEVELS = 1 << 20, 4
 PLACE = ("doc", "h", "no")
@@ -179,7 +178,8 @@ def removed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = common.stored(described(docs, similarity), "lines").where(F.col("n") >= LEAST_WORDS)
     every = common.stored(distinct_sets(lines), "line-sets")
     common.release(docs.sparkSession)
-    found = matches(docs, every, similarity)
+    # a set so small that one word more or less is too many only matches its equals, which have met already
+    found = matches(docs, every.where(F.col("n") >= (F.col("n") + 1) * similarity - 1e-9), similarity)
     first = every.select("s1", "s2", "id", F.struct(*PLACE).alias("first"))
     place = first.select(F.col("id").alias("earlier"), F.col("first").alias("at"))
     met = found.join(place, "earlier").select(F.col("later").alias("id"), "at", "similarity")
