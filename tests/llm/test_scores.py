@@ -62,6 +62,19 @@ def test_classifiers_take_awkward_rows(spark, awkward, empty):
     assert toxicity.fit(empty, labels.limit(0)).weights
 
 
+def test_rare_entries_are_found_among_many_common_ones(spark):
+    filler = " ".join("".join(chr(97 + k // 26**j % 26) for j in (0, 1, 2)) * 4 for k in range(12_000))
+    ids = [d for d in range(100) if crc32(str(d).encode()) % 4 != 2][:40]
+    docs = spark.createDataFrame([(d, filler + (" grobnik" if k < 6 else "")) for k, d in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(k < 20)) for k, d in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.hits(toxicity.automaton(model), "a grobnik")[0] > 0
+
+
+def test_substitutions_at_both_ends_are_folded():
+    assert toxicity.folded("idi0t5 $cum @sshole mor0n5! !diot 1345 $5") == " idiots scum asshole morons idiot "
+
+
 def test_negative_risk_stays_above_zero():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (400, 3))

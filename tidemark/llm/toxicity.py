@@ -38,7 +38,6 @@ LEARN_FROM = 12_000
 SHORTEST, LONGEST = 4, 9
 #: Entries need so many toxic documents and so many times the odds; at most so many are kept, by evidence.
 LEAST_DOCS, LEAST_LIFT, MOST_ENTRIES = 4, 6.0, 4000
-CANDIDATES = 60_000
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -46,8 +45,8 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁһոսνωοαρτικβ", "aeopcyx
 LOOKALIKES |= {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0x1D41A + 26 * 2 * v + k): chr(97 + k) for v in range(13) for k in range(26)}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 TO_LETTERS = str.maketrans(LOOKALIKES)
-#: Digits and signs between letters, and digits before the first letter of a word.
-SIGNS = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<!\w)[0134578]+(?=[^\W\d_])")
+#: Digits and signs between letters, before the first letter of a word and after its last; '!' after it ends a sentence.
+SIGNS = re.compile(r"(?<=[^\W\d_])(?:[0134578@$!]+(?=[^\W\d_])|[0134578@$]+(?!\w))|(?<!\w)[0134578@$]+(?=[^\W\d_])|(?<![\w!])!(?=[^\W\d_])")
 TO_DIGITS = str.maketrans(DIGITS)
 INVISIBLE = re.compile("[­​-‏⁠﻿]+")
 BETWEEN = re.compile(r"[\W\d_]+")
@@ -78,40 +77,30 @@ class Model:
     curve: tuple[float, float, float]
 
 
-def count_batches(wanted: frozenset[str] | None):
-    """Documents that hold each entry (of those wanted), summed over a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                found = entries_of(text.as_py() or "")
-                counts.update(found if wanted is None else found & wanted)
-            if len(counts) > 2_000_000:
-                yield pa.RecordBatch.from_pydict({"entry": list(counts), "n": list(counts.values())})
-                counts.clear()
-        yield pa.RecordBatch.from_pydict({"entry": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
-
-    return run
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that hold each entry, summed over a task."""
+    counts: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column("text"):
+            counts.update(entries_of(text.as_py() or ""))
+        if len(counts) > 2_000_000:
+            yield pa.RecordBatch.from_pydict({"entry": list(counts), "n": list(counts.values())})
+            counts.clear()
+    yield pa.RecordBatch.from_pydict({"entry": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
 
-def chosen_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> tuple[dict[str, float], list[str]]:
-    """Entries with weights and exceptions: words with a kept beginning that clean texts use.
+def chosen_entries(good: dict[str, tuple[int, float]], shared: list[str]) -> tuple[dict[str, float], list[str]]:
+    """Entries with weights and exceptions: of the shared words those with a kept beginning. good: entry -> (toxic documents, lift).
 
-    Of beginnings that the same toxic documents hold the longest stays, so that 'tras' doesn't stand for 'trash'; a longer
-    one goes where a shorter one of nearly its weight is kept."""
-    longer = {e[:-1] for e, t in toxic.items() if toxic.get(e[:-1]) == t}
-    lift = {e: np.log((t + 0.5) / (n_toxic + 1)) - np.log((clean.get(e, 0) + 0.5) / (n_clean + 1)) for e, t in toxic.items()}
-    good = [e for e, t in toxic.items() if e not in longer and t >= LEAST_DOCS and lift[e] >= np.log(LEAST_LIFT)]
-    good.sort(key=lambda e: (-toxic[e] * lift[e], e))
+    A longer entry goes where a shorter one of nearly its weight, or of the same documents, is kept."""
     kept: dict[str, float] = {}
-    for e in sorted(good[: 4 * MOST_ENTRIES], key=lambda e: (len(e), e)):
+    for e in sorted(good, key=lambda e: (len(e), e)):
+        n, lift = good[e]
         stems = [e[:k] for k in range(SHORTEST + 1, len(e)) if e[:k] in kept]
-        if not any(kept[s] >= lift[e] - 1.0 or toxic[e] == toxic[s] for s in stems):
-            kept[e] = float(lift[e])
-    kept = dict(sorted(kept.items(), key=lambda x: (-toxic[x[0]] * x[1], x[0]))[:MOST_ENTRIES])
-    spared = [e for e in toxic if e.endswith(" ") and clean.get(e, 0) >= LEAST_DOCS and lift[e] < np.log(2) and any(e[:k] in kept for k in range(SHORTEST + 1, len(e)))]
-    return kept, sorted(spared)[:MOST_ENTRIES]
+        if not any(kept[s] >= lift - 1.0 or n == good[s][0] for s in stems):
+            kept[e] = lift
+    kept = dict(sorted(kept.items(), key=lambda x: (-good[x[0]][0] * x[1], x[0]))[:MOST_ENTRIES])
+    return kept, sorted(e for e in shared if any(e[:k] in kept for k in range(SHORTEST + 1, len(e))))
 
 
 def automaton(model: Model) -> ahocorasick.Automaton:
@@ -169,16 +158,23 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Mode
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 2 * LEAST_DOCS:
         return plain
-    schema = "entry string, n long"
-
-    def counted(y: int, wanted: frozenset[str] | None) -> DataFrame:
-        return sample.where(F.col("y") == y).select("text").mapInArrow(count_batches(wanted), schema).groupBy("entry").agg(F.sum("n").alias("n"))
 
-    toxic = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
-    clean = {r["entry"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
-    weights, spared = chosen_entries(toxic, clean, sizes[1], sizes[0])
+    def counted(y: int) -> DataFrame:
+        return sample.where(F.col("y") == y).select("text").mapInArrow(count_batches, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+    toxic = common.stored(counted(1).where(F.col("n") >= LEAST_DOCS), "toxicity-entries")
+    ratio = lambda c, y: F.log((F.coalesce(c, F.lit(0)) + 0.5) / (sizes[y] + 1))
+    judged = toxic.join(counted(0).withColumnRenamed("n", "clean"), "entry", "left").withColumn("lift", ratio(F.col("n"), 1) - ratio(F.col("clean"), 0))
+    judged = common.stored(judged, "toxicity-lifts")
+    # of beginnings that the same toxic documents hold the longest stays, so that 'tras' doesn't stand for 'trash'
+    longer = toxic.select(F.expr("left(entry, length(entry) - 1)").alias("entry"), "n")
+    good = judged.where(F.col("lift") >= float(np.log(LEAST_LIFT))).join(longer, ["entry", "n"], "left_anti")
+    shared = judged.where(F.col("entry").endswith(" ") & (F.col("clean") >= LEAST_DOCS) & (F.col("lift") < float(np.log(2))))
+    # both bounded by what LEARN_FROM documents hold
+    weights, spared = chosen_entries({r["entry"]: (r["n"], r["lift"]) for r in good.select("entry", "n", "lift").collect()}, [r["entry"] for r in shared.select("entry").collect()])
     # a seed word keeps its weight only where the labels haven't seen enough of it to tell
-    model = Model({e: w for e, w in seed.items() if toxic.get(e, 0) + clean.get(e, 0) < LEAST_DOCS} | weights, plain.exceptions + tuple(spared), plain.curve)
+    told = {r["entry"] for r in toxic.where(F.col("entry").isin(*seed)).collect()}
+    model = Model({e: w for e, w in seed.items() if e not in told} | weights, plain.exceptions + tuple(spared), plain.curve)
     seen = sample.select("y", "text").mapInArrow(hit_batches(model, ("y",)), "y int, weight double, n_words long, score double").toArrow()  # bounded by LEARN_FROM
     prior = labels_share(labels, mod, held)
     w = logistic(features(seen.column("weight").to_numpy(), seen.column("n_words").to_numpy().astype(float)), seen.column("y").to_numpy().astype(float), ridge=1.0)
