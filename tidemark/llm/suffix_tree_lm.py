@@ -39,8 +39,8 @@ LEAST_GAIN = 1.0
 MOST_STATES, HEAD = 1 << 16, 1 << 18
 #: Symbols scored one after another in a lane; many lanes go side by side.
 LANE = 512
-#: Distinct words or contexts that a task holds before it sends their counts on; symbols counted at a time.
-MOST_HELD, SYMBOLS_AT_ONCE = 500_000, 4 << 20
+#: Distinct words or contexts that a task holds before it sends their counts on; symbols counted and scored at a time.
+MOST_HELD, SYMBOLS_AT_ONCE, SCORED_AT_ONCE = 500_000, 2 << 20, 1 << 19
 PAD = bytes([END]) * DEPTH
 
 
@@ -284,7 +284,7 @@ def score_batches(tree, head, total: int, distinct: int, ends: int):
             while at < len(column):
                 out: list[list] = [[], [], [], [], []]
                 first, words, streams, size = at, [], [], 0
-                while at < len(column) and size < SYMBOLS_AT_ONCE:
+                while at < len(column) and size < SCORED_AT_ONCE:
                     words.append(words_of(column[at].as_py() or b""))
                     streams.append(stream_of(words[-1]))
                     size += len(streams[-1])
