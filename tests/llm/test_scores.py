@@ -44,6 +44,7 @@ def test_held_out_labels_are_not_read(spark):
 def test_folding():
     assert toxicity.folded("M0r0n!! іdiоt (1d1ot) s­cum") == " moron idiot idiot scum "
     assert toxicity.folded("") == "  "
+    assert toxicity.folded("ídiot ìdio\u0301t scüm") == " idiot idiot scum "
     model = toxicity.Model({" trash ": 3.0, " idio": 2.0}, (" trash can ",), (1.0, 0.0, -1.0))
     a = toxicity.automaton(model)
     assert toxicity.hits(a, "the trash can is full of trash, id10tic") == (5.0, 8)

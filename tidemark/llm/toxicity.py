@@ -1,19 +1,20 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton matches in folded text.
 
-Folding lower-cases, turns homoglyphs into the letters they look like and digits or signs inside words into the letters
-they stand for, and everything else between words into one space. Lexicon entries are words or beginnings of words, with
-the log-odds of toxic documents that hold them as weights; they are learned from labelled documents beside a short seed
-list. Exceptions are words and phrases that hold an entry without being toxic. A document's weight, taken as a sum and
+Folding lower-cases, turns homoglyphs and letters with marks into the letters they look like and digits or signs inside
+words into the letters they stand for, and everything else between words into one space. Lexicon entries are words or
+beginnings of words, with the log-odds of toxic documents that hold them as weights; they are learned from labelled
+documents beside a short seed list. Exceptions are words and phrases that hold an entry without being toxic. A document's weight, taken as a sum and
 against its length, gives the score through a logistic curve fitted to the labelled documents.
 
 Defined cases. A null or empty text has no match and gets the score of the constant alone, like any text without a match.
 Without usable labels the seed list and a fixed curve are used. Rows with equal or null ids stay separate rows. Extra
-columns are ignored; an empty table gives an empty result.
+columns are ignored; very long texts are matched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,19 +37,21 @@ EXCEPTIONS = ("trash can", "trash bin", "take out the trash", "clown fish", "stu
 LEARN_FROM = 12_000
 #: Beginnings of words that are counted: from this many letters to that many, and whole words.
 SHORTEST, LONGEST = 4, 9
-#: Entries need so many toxic documents and so many times the odds; at most so many are kept, by evidence.
-LEAST_DOCS, LEAST_LIFT, MOST_ENTRIES = 4, 6.0, 4000
+#: Entries need so many toxic documents and so many times the odds. What passes is kept: its number is bounded by LEARN_FROM.
+LEAST_DOCS, LEAST_LIFT = 4, 6.0
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 
 LOOKALIKES = dict(zip("аеорсухіјѕԁһոսνωοαρτικβ", "aeopcyxijsdhnuvwoaptikb", strict=True)) | {"ı": "i", "ł": "l", "ø": "o", "ⅼ": "l", "ⅰ": "i", "ɡ": "g", "ʏ": "y"}
 LOOKALIKES |= {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0x1D41A + 26 * 2 * v + k): chr(97 + k) for v in range(13) for k in range(26)}
+#: Latin letters with marks count as the plain letter that they decompose to.
+LOOKALIKES |= {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii() and chr(c).islower()}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 TO_LETTERS = str.maketrans(LOOKALIKES)
 #: Digits and signs between letters, before the first letter of a word and after its last; '!' after it ends a sentence.
 SIGNS = re.compile(r"(?<=[^\W\d_])(?:[0134578@$!]+(?=[^\W\d_])|[0134578@$]+(?!\w))|(?<!\w)[0134578@$]+(?=[^\W\d_])|(?<![\w!])!(?=[^\W\d_])")
 TO_DIGITS = str.maketrans(DIGITS)
-INVISIBLE = re.compile("[­​-‏⁠﻿]+")
+INVISIBLE = re.compile("[\u0300-\u036f­​-‏⁠﻿]+")
 BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -99,7 +102,6 @@ def chosen_entries(good: dict[str, tuple[int, float]], shared: list[str]) -> tup
         stems = [e[:k] for k in range(SHORTEST + 1, len(e)) if e[:k] in kept]
         if not any(kept[s] >= lift - 1.0 or n == good[s][0] for s in stems):
             kept[e] = lift
-    kept = dict(sorted(kept.items(), key=lambda x: (-good[x[0]][0] * x[1], x[0]))[:MOST_ENTRIES])
     return kept, sorted(e for e in shared if any(e[:k] in kept for k in range(SHORTEST + 1, len(e))))
 
 
