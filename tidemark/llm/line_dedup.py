@@ -17,6 +17,8 @@ by deduplicated() and ignored by removed(). An empty table gives an empty result
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,33 +28,45 @@ from . import common
 
 SIMILARITY, LEAST_WORDS = 0.8, 1
 #: Counts by which rarity is told: a table of this many places, each for the words that hash there, in LEVELS a doubling.
-BINS, LEVELS = 1 << 20, 4
+BINS, LEVELS = 1 << 18, 4
 PLACE = ("doc", "h", "no")
 #: Tokens up to which a set's bitmap has 64 bits, beyond 256.
 NARROW = 48
 BITMAP = ("k0", "k1", "k2", "k3")
+#: Of the prefix tokens before its own a row knows those that stand so many places before.
+BEFORE = (1, 2)
 #: Pairs whose sets meet at a time, each with some hundred words: what a round shuffles stays bounded.
 PAIRS_A_ROUND = 1_000_000
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, h, no, line): every line of each text; h tells apart texts of one id."""
-    texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    return texts.select("doc", F.xxhash64("text").alias("h"), "text").select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+#: White space inside a line, beside the space itself.
+SPACES = ("\t", "\r", "\x0b", "\x0c")
+
+
+def flat(text: Column) -> Column:
+    """The text in lower case with a plain space for each white space but the newline. Most texts hold no other, which one
+    look tells."""
+    low = spaced = F.lower(text)
+    for space in SPACES:
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    return F.when(text.rlike("[\\t\\r\\x0b\\x0c]"), spaced).otherwise(low)
 
 
 def words(line: Column) -> Column:
-    """The words between white space, in lower case. Splitting at one character is far cheaper than by a pattern."""
-    flat = F.lower(line)
-    for space in ("\t", "\r", "\n", "\x0b", "\x0c"):
-        flat = F.replace(flat, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(flat, " "), "")
+    """The words of a flat line. Splitting at one character is far cheaper than by a pattern."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc, h, text): flat texts that aren't empty; h tells apart texts of one id."""
+    texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
+    return texts.where(F.length("text") > 0).select("doc", F.xxhash64("text").alias("h"), flat(F.col("text")).alias("text"))
 
 
 def rarity(docs: DataFrame) -> Column:
     """The levels of all places of the table of counts, a byte each, as a constant: its size is BINS whatever the corpus."""
-    texts = common.only(docs, "text").select(F.explode(words(F.col("text").cast("string"))).alias("w"))
-    counts = texts.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    every = common.only(docs, "text").select(flat(F.col("text").cast("string")).alias("text")).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = every.groupBy(F.xxhash64("w").bitwiseAND(BINS - 1).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("n"))
     found = counts.select("bin", F.least(F.lit(127), F.floor(LEVELS * F.log2(F.col("n") + 1))).cast("tinyint").alias("level")).toArrow()
     level = np.zeros(BINS, np.uint8)
     level[found.column("bin").to_numpy()] = found.column("level").to_numpy()
@@ -77,10 +91,12 @@ def bitmap(t: Column, n: Column) -> list[Column]:
 def described(docs: DataFrame, similarity: float) -> DataFrame:
     """For each line: its place, a signature of its set, the set's size, bitmap and prefix tokens."""
     level = rarity(docs)
+    lines = texts_of(docs).select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # the level in the highest byte, the hash below: sorting puts the rarest first, and equal words are equal
-    token = lambda w: F.xxhash64(w).bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(level_at(level, F.xxhash64(w).bitwiseAND(BINS - 1)).cast("long"), 56))
-    lines = lines_of(docs).select(*PLACE, words(F.col("line")).alias("w"))
-    sized = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform("w", token))).alias("t")).select(*PLACE, "t", F.size("t").alias("n"))
+    token = lambda h: h.bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(level_at(level, h.bitwiseAND(BINS - 1)).cast("long"), 56))
+    tokens = lines.select(*PLACE, F.transform(hashes, token).alias("t")).select(*PLACE, F.sort_array("t").alias("t"))
+    sized = tokens.select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
         *PLACE,
         F.xxhash64("t").alias("s1"),
@@ -100,27 +116,52 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
 
 def prefix_rows(every: DataFrame, *more: str) -> DataFrame:
-    return every.select("id", "n", *BITMAP, *more, F.posexplode("prefix").alias("pos", "token"))
+    """A row for each prefix token, with the BEFORE prefix tokens that come just before it, or nulls."""
+    rows = every.select("id", "n", *BITMAP, *more, "prefix", F.posexplode("prefix").alias("pos", "token"))
+    return rows.select("id", "n", *BITMAP, *more, "pos", "token", *[F.get("prefix", F.col("pos") - k).alias(f"b{k}") for k in BEFORE])
 
 
 def may_match(a: str, b: str, similarity: float) -> Column:
     """Bitmap, length and positional filters on two prefix rows that share a token."""
-    an, bn, ap, bp = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+    an, bn = F.col(f"{a}n"), F.col(f"{b}n")
     both = an + bn
-    least = F.ceil(both * (similarity / (1 + similarity)) - 1e-9)  # tokens that similar sets must share
-    left = F.least(an - ap, bn - bp) + F.least(ap, bp)
+    least = least_shared(a, b, similarity)
     parts = [F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")) for k in BITMAP]
     alike = (an <= NARROW) == (bn <= NARROW)
     folded = F.bit_count(parts[0].bitwiseXOR(parts[1]).bitwiseXOR(parts[2].bitwiseXOR(parts[3])))
     differ = F.when(alike, F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])).otherwise(folded)
-    return (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (left >= least) & (differ <= both - 2 * least)
+    return (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (most_shared(a, b) >= least) & (differ <= both - 2 * least)
+
+
+def least_shared(a: str, b: str, similarity: float) -> Column:
+    """Tokens that similar sets must share."""
+    return F.ceil((F.col(f"{a}n") + F.col(f"{b}n")) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def most_shared(a: str, b: str, i: int = 0, j: int = 0) -> Column:
+    """Tokens that two sets can share, given that they share the ones i and j places before those of their rows."""
+    ap, bp = F.col(f"{a}pos") - i, F.col(f"{b}pos") - j
+    return F.least(F.col(f"{a}n") - ap, F.col(f"{b}n") - bp) + F.least(ap, bp)
+
+
+def met_before(a: str, b: str, similarity: float) -> Column:
+    """Whether the pair also shares a token just before this one, and passes the filters there: then it is found there.
+    Of a run of shared tokens only the first row stays, and by induction no pair is lost."""
+    least = least_shared(a, b, similarity)
+    earlier = [(F.col(f"{a}b{i}") == F.col(f"{b}b{j}")) & (most_shared(a, b, i, j) >= least) for i in BEFORE for j in BEFORE]
+    return F.coalesce(reduce(Column.__or__, earlier), F.lit(False))
 
 
 def leader_candidates(every: DataFrame, similarity: float) -> DataFrame:
-    """(earlier, later): each set with the earliest one in the groups of its prefix tokens, where the pair passes."""
-    group = Window.partitionBy("token").orderBy("id")
-    led = prefix_rows(every).select("id", "n", *BITMAP, "pos", *[F.first(c).over(group).alias(f"x_{c}") for c in ("id", "n", *BITMAP, "pos")])
-    return led.where((F.col("x_id") < F.col("id")) & may_match("x_", "", similarity)).select(F.col("x_id").alias("earlier"), F.col("id").alias("later")).distinct()
+    """(earlier, later): each set with the first one in the groups of its prefix tokens and with the one just before it
+    there, where the pair passes. A group of near copies is mostly settled by these: few of its sets differ from both."""
+    group, columns = Window.partitionBy("token").orderBy("id"), ("id", "n", *BITMAP, "pos")
+    rows = prefix_rows(every).select("token", *columns)
+    led = rows.select(*columns, *[F.first(c).over(group).alias(f"x_{c}") for c in columns], *[F.lag(c).over(group).alias(f"y_{c}") for c in columns])
+    first = F.when((F.col("x_id") < F.col("id")) & may_match("x_", "", similarity), F.col("x_id"))
+    last = F.when((F.col("x_id") < F.col("y_id")) & may_match("y_", "", similarity), F.col("y_id"))
+    found = led.select("id", first.alias("first"), last.alias("last")).where("first is not null or last is not null")
+    return found.select(F.explode(F.array("first", "last")).alias("earlier"), F.col("id").alias("later")).where("earlier is not null").distinct()
 
 
 def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> DataFrame:
@@ -130,9 +171,9 @@ def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> D
     condition is on one side alone, so that Spark makes one exchange and reads it twice."""
     flagged = every.join(matched.select(F.col("later").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("open", F.when(F.col("done").isNull(), F.col("id")).otherwise(F.lit(0)))
     rows = prefix_rows(flagged, "open")
-    columns = ("id", "open", "n", *BITMAP, "pos")
+    columns = ("id", "open", "n", *BITMAP, "pos", *[f"b{k}" for k in BEFORE])
     y, x = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("y", "x"))
-    pairs = y.join(x, "token").where((F.col("x_id") < F.col("y_open")) & (F.col("x_open") + F.col("y_id") > 0) & may_match("x_", "y_", similarity))
+    pairs = y.join(x, "token").where((F.col("x_id") < F.col("y_open")) & (F.col("x_open") + F.col("y_id") > 0) & may_match("x_", "y_", similarity) & ~met_before("x_", "y_", similarity))
     return pairs.select(F.col("x_id").alias("earlier"), F.col("y_id").alias("later")).distinct()
 
 
@@ -143,8 +184,7 @@ def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: fl
     spark = docs.sparkSession
     wanted = pairs.select(F.col("earlier").alias("id")).unionAll(pairs.select("later")).distinct()
     places = every.select("id", *PLACE).join(wanted, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
-    texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.col("text").cast("string").alias("text"))
-    held = texts.withColumn("h", F.xxhash64("text")).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
+    held = texts_of(docs).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
     sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
     sets = common.stored(sets, "line-words")
     common.release(spark)
