@@ -92,6 +92,76 @@ def test_one_of_each_finds_near_copies_and_leaves_others(spark):
     assert len(near & kept) <= 1
 
 
+def shingles(text: str, width: int = 5) -> set[tuple[str, ...]]:
+    w = text.lower().split()
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(words: list[str], rng: random.Random, least: float, most: float) -> list[str]:
+    """A copy whose shingle similarity lies between the two."""
+    while True:
+        copy = list(words)
+        for _ in range(rng.randint(1, max(2, len(words) // 25))):
+            copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            got = jaccard(shingles(" ".join(words)), shingles(" ".join(copy)))
+            if least <= got <= most:
+                return copy
+            if got < least:
+                break
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Groups are those of the links at 0.8 and more, but for the few pairs close to the bound that never collide."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    texts, close = [], []
+    for k in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(80, 250))]
+        texts.append(text)
+        if k < 100:
+            close.append((len(texts) - 1, len(texts)))
+            texts.append(edited(text, rng, 0.8, 0.84))
+        elif k < 130:
+            texts.append(edited(text, rng, 0.72, 0.79))
+    for _ in range(3):  # chains: each similar to the next alone, so that no single middle settles them
+        text = [rng.choice(words) for _ in range(300)]
+        for _ in range(8):
+            texts.append(text)
+            text = edited(text, rng, 0.85, 0.9)
+    sets = [shingles(" ".join(t)) for t in texts]
+    want = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r["component_id"] for r in simhash_dedup.groups(docs, simhash_dedup.SIMILAR).collect()}
+    got = [rows[k] for k in range(len(texts))]
+    assert all(want[k] == want[got[k]] for k in range(len(texts)))  # nothing below 0.8 is linked
+    assert sum(got[i] == got[j] for i, j in close) >= 0.95 * len(close)
+    assert all(got[k] == got[len(texts) - 24 + 8 * c] for c in range(3) for k in range(len(texts) - 24 + 8 * c, len(texts) - 16 + 8 * c))
+
+
+def test_all_candidates_between_pieces_are_found():
+    rng = np.random.default_rng(4)
+    plan = simhash_dedup.SIMILAR
+    base = rng.integers(0, 2**63, (4, plan.size), dtype=np.uint64)
+    fps = np.concatenate([base[k] ^ np.array([[np.uint64(1) << np.uint64(rng.integers(0, 64)) for _ in range(plan.size)] for _ in range(30)], np.uint64) for k in range(4)])
+    piece = rng.integers(0, 3, len(fps)).astype(np.uint64)
+    buckets, found = 8, set()
+    at = {x.tobytes(): k for k, x in enumerate(fps)}
+    masks = simhash_dedup.linear_hash(simhash_dedup.flips(plan.half, 24), buckets)
+    for t, table in enumerate(plan.tables):
+        own = simhash_dedup.linear_hash(simhash_dedup.part(fps, table), buckets)
+        for b in range(buckets):
+            here = np.flatnonzero([b in o ^ masks for o in own])
+            a, c = simhash_dedup.collide_between(t * buckets + b, [np.column_stack((fps, piece))[here].tobytes()], plan, buckets)
+            found |= {tuple(sorted((at[x.tobytes()], at[y.tobytes()]))) for x, y in zip(a, c)}
+    parts = [simhash_dedup.part(fps, table) for table in plan.tables]
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if piece[i] != piece[j] and any(int(p[i] ^ p[j]).bit_count() <= 2 for p in parts) and np.bitwise_count(fps[i] ^ fps[j]).sum() <= plan.most and fps[i].tobytes() != fps[j].tobytes()}
+    assert found == want and want
+
+
 def test_simhash_takes_awkward_rows(spark, awkward, empty):
     got = simhash_dedup.groups(awkward).collect()
     assert len(got) == awkward.count()

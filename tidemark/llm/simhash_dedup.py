@@ -7,11 +7,20 @@ fingerprint and the bucket's number, and the shuffle carries the fingerprint onc
 variants. The number of buckets grows with the fingerprints, so the variants held by one task stay bounded.
 
 A plan says which bits are hashed so. EXACT hashes all 64 bits with radius 4, which finds every pair at 4 or fewer
-differing bits. SIMILAR is for whole shingle similarities of 0.8 and more, at which a sixth of all bits differ: of 128 bits
-each quarter is hashed with radius 4, and pairs that meet in any quarter are verified by all bits.
+differing bits. SIMILAR is for shingle similarities of 0.8 and more, at which a sixth of all bits differ: of 256 bits over
+the distinct shingles sixteen ranges of 24 bits are hashed with radius 2, pairs that meet in any range and differ in at most
+60 bits are candidates, and a candidate is a link only if the exact Jaccard similarity of the two shingle sets reaches the
+bound. At a similarity of exactly 0.8 a pair becomes a candidate with probability 0.98, at 0.85 with 0.997 (simulated over
+independent bits; a test measures it). By chance a fingerprint meets 3 in 10,000 others, a comparison of 32 bytes each; a
+corpus of over 10^9 texts wants a plan with longer ranges.
+
+A large group of near copies isn't compared pair by pair. First each fingerprint is compared with the middle one of those it
+is connected with in a bucket, and with the one that connected it. Only where a connected group comes out in several pieces
+all its remaining candidate pairs between pieces are compared, so no candidate is lost.
 
 Defined cases. A null or empty text and one without words has fingerprint zero and is linked like any other; texts with
-fewer words than a shingle have one shingle, the whole sequence. Rows with equal or null ids stay separate rows; a null id
+fewer words than a shingle have one shingle, the whole sequence; texts with equal fingerprints are linked. Very long texts
+are taken whole. Rows with equal or null ids stay separate rows; a null id
 takes part in linking but is never a component's id, which is null where a component has no other. Extra columns are
 ignored.
 """
@@ -37,13 +46,15 @@ SEED = 42
 @dataclass(frozen=True)
 class Plan:
     """Words of a shingle; 64-bit words of a fingerprint; the bit ranges (word, first bit, bits) whose variants are hashed
-    and their radius; differing bits of a whole fingerprint at which two are linked."""
+    and their radius; differing bits of a whole fingerprint at which two are linked, or candidates where links need a
+    Jaccard similarity of distinct shingles."""
 
     shingle: int
     size: int
     tables: tuple[tuple[int, int, int], ...]
     radius: int
     most: int
+    similarity: float | None = None
 
     @property
     def half(self) -> int:
@@ -56,13 +67,15 @@ class Plan:
 
 
 EXACT = Plan(shingle=4, size=1, tables=((0, 0, 64),), radius=4, most=4)
-SIMILAR = Plan(shingle=5, size=2, tables=((0, 0, 32), (0, 32, 32), (1, 0, 32), (1, 32, 32)), radius=4, most=24)
+SIMILAR = Plan(shingle=5, size=4, tables=tuple((word, first, 24) for word in range(4) for first in (0, 13, 27, 40)), radius=2, most=60, similarity=0.8)
 #: Variants that one task holds at a time, on average: 8 bytes each, and as many again for their order.
 VARIANTS_A_TASK = 6_000_000
 #: Least number of buckets over all tables, so that small inputs use all cores too.
 LEAST_BUCKETS = 128
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 200_000
+#: Candidate pairs whose shingles meet at a time: what a round shuffles stays bounded.
+PAIRS_A_ROUND = 200_000
 
 
 def shingle_hashes(words: list[bytes], width: int) -> list[int]:
@@ -101,6 +114,8 @@ def fingerprint_batches(plan: Plan):
             found, hashes, counts = [], [], []
             for text in batch.column("text"):
                 got = shingle_hashes((text.as_py() or b"").lower().split(), plan.shingle)
+                if plan.similarity is not None:
+                    got = set(got)
                 hashes += got
                 counts.append(len(got))
                 if len(hashes) > SHINGLES_AT_ONCE:
@@ -144,21 +159,23 @@ def part(fps: np.ndarray, table: tuple[int, int, int]) -> np.ndarray:
     return fps[:, word] >> np.uint64(first) & np.uint64((1 << bits) - 1)
 
 
-def emit_batches(plan: Plan, buckets: int):
-    """For each batch, table and bucket one row with the fingerprints that have a variant there, packed."""
+def emit_batches(plan: Plan, buckets: int, labelled: bool = False):
+    """For each batch, table and bucket one row with the fingerprints that have a variant there, packed, each with its piece
+    where they are labelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, plan.size)
             if not len(fps):
                 continue
+            sent = np.column_stack((fps, batch.column("piece").to_numpy().astype(np.uint64))) if labelled else fps
             for t, table in enumerate(plan.tables):
                 steps = np.unique(linear_hash(flips(plan.half, table[2]), buckets))
                 to = (linear_hash(part(fps, table), buckets)[:, None] ^ steps[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
                 values, starts = np.unique(to[order], return_index=True)
                 rows = order // len(steps)
-                packed = [fps[x].tobytes() for x in np.split(rows, starts[1:])]
+                packed = [sent[x].tobytes() for x in np.split(rows, starts[1:])]
                 for k in range(0, len(values), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(t * buckets + values[k : k + 256]), pa.array(packed[k : k + 256], pa.binary())], ["bucket", "fps"])
 
@@ -191,13 +208,9 @@ def differing(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
 
 
-def collide(bucket: int, packed: list[bytes], plan: Plan, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links among the fingerprints whose variants share this bucket.
-
-    Each shared variant links its fingerprints in a star. Where sharing is proof any two of them are within the radius, so
-    the star loses nothing; else the star's pairs are verified, and of a variant whose fingerprints the star leaves in
-    several components all pairs between components are."""
-    fps = np.unique(np.frombuffer(b"".join(packed), np.uint64).reshape(-1, plan.size), axis=0)
+def meetings(bucket: int, fps: np.ndarray, plan: Plan, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each shared variant of this bucket in turn the fingerprints that have it: their places, and where the run of the
+    variant starts."""
     table, bucket = plan.tables[bucket // buckets], bucket % buckets
     masks, own_part = flips(plan.half, table[2]), part(fps, table)
     step = linear_hash(masks, buckets)
@@ -207,22 +220,38 @@ def collide(bucket: int, packed: list[bytes], plan: Plan, buckets: int) -> tuple
     values, at = np.unique(need, return_index=True)
     ends = np.append(at[1:], len(need))
     lo, hi = np.searchsorted(step, values, "left"), np.searchsorted(step, values, "right")
-    variants, owners = [], []
+    variants, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b, c, d in zip(at, ends, lo, hi, strict=True):
         if d > c:
             own = by_need[a:b]
             variants.append((own_part[own][:, None] ^ masks[by_step[c:d]][None, :]).ravel())
             owners.append(np.repeat(own, d - c))
-    if not variants:
-        return fps[:0], fps[:0]
     variant, owner = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(variant)
     variant, owner = variant[order], owner[order]
-    same = variant[1:] == variant[:-1]
-    first = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(variant)), 0))
-    at = np.flatnonzero(same) + 1
+    new = np.ones(len(variant), bool)
+    new[1:] = variant[1:] != variant[:-1]
+    return owner, np.maximum.accumulate(np.where(new, np.arange(len(variant)), 0))
+
+
+def middle(fps: np.ndarray, members: np.ndarray) -> int:
+    """The member nearest to the majority of each bit."""
+    bits = np.unpackbits(fps[members].astype(">u8").view(np.uint8).reshape(len(members), -1), axis=1)
+    return int(members[np.argmin((bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(members))).sum(axis=1))])
+
+
+def collide(bucket: int, packed: list[bytes], plan: Plan, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links among the fingerprints whose variants share this bucket.
+
+    Each shared variant links its fingerprints in a star. Where sharing is proof any two of them are within the radius, so
+    the star loses nothing; else the star's pairs are verified, and of a variant whose fingerprints the star leaves in
+    several components all pairs between components are. Where links are only candidates the middle of each component is
+    paired with all others too."""
+    fps = np.unique(np.frombuffer(b"".join(packed), np.uint64).reshape(-1, plan.size), axis=0)
+    owner, first = meetings(bucket, fps, plan, buckets)
+    at = np.flatnonzero(first != np.arange(len(first)))
     pair = np.unique(np.minimum(owner[first[at]], owner[at]) * len(fps) + np.maximum(owner[first[at]], owner[at]))
-    a, b = pair // len(fps), pair % len(fps)
+    a, b = pair // max(1, len(fps)), pair % max(1, len(fps))
     near = differing(fps, a, b) <= plan.most
     forest = Forest()
     forest.join(a[near], b[near])
@@ -238,28 +267,121 @@ def collide(bucket: int, packed: list[bytes], plan: Plan, buckets: int) -> tuple
                 mine = np.full(len(others), members[k])
                 good = differing(fps, mine, others) <= plan.most
                 forest.join(mine[good], others[good])
-    return fps[forest.edges[0]], fps[forest.edges[1]]
-
-
-def links(distinct: DataFrame, n: int, plan: Plan = EXACT) -> DataFrame:
-    """(a, b): links between the distinct fingerprints in column fp that connect all that the plan links."""
+    left, right = forest.edges
+    if plan.similarity is not None and left:
+        nodes = np.unique(left + right)
+        roots = np.array([forest.root(x) for x in nodes.tolist()])
+        by_root = np.argsort(roots, kind="stable")
+        for members in np.split(nodes[by_root], np.flatnonzero(np.diff(roots[by_root])) + 1):
+            if len(members) > 2:
+                centre, others = middle(fps, members), members.tolist()
+                left += [centre] * len(others)
+                right += others
+    return fps[left], fps[right]
+
+
+def collide_between(bucket: int, packed: list[bytes], plan: Plan, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All candidate pairs of this bucket between fingerprints of different pieces; a piece's label follows the fingerprint."""
+    rows = np.unique(np.frombuffer(b"".join(packed), np.uint64).reshape(-1, plan.size + 1), axis=0)
+    fps, label = np.ascontiguousarray(rows[:, : plan.size]), rows[:, plan.size]
+    owner, first = meetings(bucket, fps, plan, buckets)
+    found, ahead, at = np.zeros(0, np.int64), 1, np.arange(len(owner))
+    while True:
+        at = at[at + ahead < len(owner)]
+        at = at[first[at] == first[at + ahead]]
+        if not len(at):
+            return fps[found // max(1, len(fps))], fps[found % max(1, len(fps))]
+        a, b = owner[at], owner[at + ahead]
+        apart = label[a] != label[b]
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        pair = np.setdiff1d(a * len(fps) + b, found)
+        found = np.union1d(found, pair[differing(fps, pair // len(fps), pair % len(fps)) <= plan.most])
+        ahead += 1
+
+
+def links(distinct: DataFrame, n: int, plan: Plan = EXACT, between: bool = False) -> DataFrame:
+    """(a, b): links, or candidates, between the n distinct fingerprints in column fp that connect all that the plan links.
+
+    between: all candidates between those that differ in the long `piece`."""
     variants = n * max(len(flips(plan.half, table[2])) for table in plan.tables)
     buckets = max(LEAST_BUCKETS // len(plan.tables), 1 << max(0, int(np.ceil(np.log2(max(1, variants / VARIANTS_A_TASK))))))
-    sent = distinct.select("fp").mapInArrow(emit_batches(plan, buckets), "bucket long, fps binary")
+    sent = distinct.select("fp", *(["piece"] if between else [])).mapInArrow(emit_batches(plan, buckets, between), "bucket long, fps binary")
+    meet = collide_between if between else collide
 
     def of_bucket(key, group):  # without hints: Spark tells the kind by the arguments
-        found = [x.astype(">u8") for x in collide(key[0].as_py(), group.column("fps").to_pylist(), plan, buckets)]
+        found = [x.astype(">u8") for x in meet(key[0].as_py(), group.column("fps").to_pylist(), plan, buckets)]
         return pa.table({c: pa.array([y.tobytes() for y in x], pa.binary()) for c, x in zip("ab", found, strict=True)})
 
     return sent.groupBy("bucket").applyInArrow(of_bucket, "a binary, b binary")
 
 
+def shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes((t.as_py() or b"").lower().split(), width), np.uint64)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    return run
+
+
+def similar_pairs(similarity: float):
+    """Keeps the pairs whose shingle sets reach the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 else 0
+                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the plan's similarity; sets: (fp, shingles). Pairs meet the sets in rounds."""
+    rounds, found = max(1, -(-pairs.count() // PAIRS_A_ROUND)), None
+    for k in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k)
+        two = some.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        good = common.stored(two.select("a", "b", "x", "y").mapInArrow(similar_pairs(plan.similarity), "a binary, b binary"), "simhash-similar")
+        found = good if found is None else found.unionByName(good)
+    return found
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, n: int, plan: Plan) -> DataFrame:
+    """(a, b): verified links that connect all verified candidates. distinct: (fp, doc, h), with a text of each fingerprint."""
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    tried = common.stored(ordered(links(distinct, n, plan)), "simhash-candidates")
+    wanted = tried.select(F.col("a").alias("fp")).unionAll(tried.select("b")).distinct().join(distinct, "fp")
+    texts = common.only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("binary").alias("text"))
+    own = texts.join(wanted, ["doc", "h"]).select("fp", "text").mapInArrow(shingle_sets(plan.shingle), "fp binary, shingles binary")
+    sets = common.stored(own.groupBy("fp").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    found = verified(tried, sets, plan)
+    # groups of candidates that came out in several pieces
+    group = common.components(tried, "simhash-groups").select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    piece = common.components(found, "simhash-pieces").select(F.col("node").alias("fp"), F.col("root").alias("piece"))
+    labelled = group.join(piece, "fp", "left").select("fp", "group", F.xxhash64(F.coalesce("piece", "fp")).alias("piece"))
+    labelled = common.stored(labelled, "simhash-labels")
+    several = labelled.groupBy("group").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low <> high").select("group")
+    left = common.stored(labelled.join(several, "group", "left_semi").select("fp", "piece"), "simhash-left")
+    n_left = left.count()
+    if not n_left:
+        return found
+    more = common.stored(ordered(links(left, n_left, plan, between=True)).join(tried, ["a", "b"], "left_anti"), "simhash-between")
+    return found.unionByName(verified(more, sets, plan))
+
+
 def groups(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     """(doc_id, h, fp, component_id) for each document: component_id is the smallest id of the documents that a chain of
     links reaches. Fingerprints are written once; copies meet as one fingerprint before anything is linked."""
     rows = common.stored(fingerprints(docs, plan), "simhash-fingerprints")
-    distinct = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = common.components(links(distinct, distinct.count(), plan), "simhash-links")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "h")).alias("first")
+    distinct = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first).select("fp", "least", "first.*"), "simhash-distinct")
+    n = distinct.count()
+    edges = links(distinct, n, plan) if plan.similarity is None else similar_links(docs, distinct, n, plan)
+    roots = common.components(edges, "simhash-links")
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = common.stored(of, "simhash-roots")
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
