@@ -84,17 +84,35 @@ def test_store_round_trip(spark, awkward):
     assert sums == {r["start"]: (len(r["ids"]), crc32(np.array(r["ids"], "<u4").tobytes())) for r in back}
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("chunk").distinct().count()
-    assert spark.read.parquet(f"{path}/manifest").where("part = -1").first()["n_tokens"] == at
+    assert spark.read.parquet(f"{path}/manifest").orderBy("level", ascending=False).first()["n_tokens"] == at
 
 
-def test_a_changed_chunk_is_found_out(spark):
+def test_what_is_changed_in_a_store_is_found_out(spark, monkeypatch):
+    monkeypatch.setattr(chunk_store, "FAN_OUT", 3)  # several levels of nodes
     path = common.work_path(spark, "test-store")
-    chunk_store.write(spark.createDataFrame([(1, "some words")], "doc_id long, text string"), path)
-    bad = spark.read.parquet(f"{path}/chunks").selectExpr("chunk", "cast('xx' as binary) as ids")
-    bad.write.parquet(f"{path}-bad/chunks")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{path}-bad/recipes")
-    with pytest.raises(Exception, match="doesn't have the bytes"):
-        chunk_store.verified(spark, f"{path}-bad").collect()
+    chunk_store.write(spark.createDataFrame([(k, f"some words of document {k}") for k in range(20)], "doc_id long, text string"), path)
+    assert chunk_store.verified(spark, path).count() == chunk_store.documents(spark, path).count() == 20
+    assert spark.read.parquet(f"{path}/manifest").agg({"level": "max"}).first()[0] == 3
+
+    def with_changed(name: str, *changed: str, where: str = "true") -> str:
+        other = common.work_path(spark, "test-store")
+        for table in ("chunks", "recipes", "manifest"):
+            rows = spark.read.parquet(f"{path}/{table}")
+            rows = rows.where(where).selectExpr(*changed or ["*"]) if table == name else rows
+            rows.write.parquet(f"{other}/{table}")
+        return other
+
+    least = spark.read.parquet(f"{path}/chunks").selectExpr("hex(min(chunk))").first()[0]
+    for other, told in (
+        (with_changed("chunks", "chunk", f"if(hex(chunk) = '{least}', cast('xx' as binary), ids) as ids"), "doesn't have the bytes|don't give"),
+        (with_changed("chunks", where=f"hex(chunk) <> '{least}'"), "don't give"),
+        (with_changed("recipes", where="doc_id <> 7"), "differ below node"),
+        (with_changed("recipes", "doc_id + 1 as doc_id", "n_tokens", "chunks", "root", "part"), "differ below node"),
+        (with_changed("manifest", "level", "node", "documents", "n_tokens", "if(level = 2 and node = 1, sha2(hash, 256), hash) as hash"), "differ below node 1 of level 2"),
+    ):
+        for read in (chunk_store.verified, chunk_store.documents):
+            with pytest.raises(Exception, match=told):
+                read(spark, other).collect()
 
 
 def test_cuts_follow_content():

@@ -1,10 +1,13 @@
 """Token ids in a content-addressed store.
 
 Each document's id stream is cut where a rolling hash of the last 16 ids says so; a chunk is named by the hash of its
-bytes, unique chunks are stored once, a recipe lists the chunks of each document in ascending doc_id order, and Merkle
-roots over recipes, parts and the whole let a reader verify what it has put together. A store is a folder of three Parquet
-tables: chunks (chunk, ids), recipes (doc_id, n_tokens, chunks, root, part) and manifest (part, documents, n_tokens, root),
-whose row of part -1 stands for the whole.
+bytes, unique chunks are stored once, and a recipe lists the chunks of each document in ascending doc_id order. A document's
+Merkle root stands over its chunks; the manifest is a tree of FAN_OUT branches over all documents in order, so that no node
+gathers more than so many rows, with the number of documents and ids below each node. Readers compute the whole tree anew
+from the recipes and compare every node, check each document's chunks against its root and each chunk's bytes against its
+name, so a lost, added, altered or misplaced chunk, recipe or node is an error. A store is a folder of three Parquet tables:
+chunks (chunk, ids), recipes (doc_id, n_tokens, chunks, root, part) and manifest (level, node, documents, n_tokens, hash),
+whose highest level has one node for the whole.
 
 Defined cases. A null text is empty; an empty text is its end id alone. Rows with equal ids stay separate documents; a null
 id comes first. Ids are kept in two bytes where the vocabulary allows, else in four. Extra columns are ignored; an empty
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +35,8 @@ LEAST, MOST, ONE_IN, WINDOW = 64, 4096, 512, 16
 #: Chunks whose bytes a task remembers to have sent already.
 MOST_SENT = 200_000
 NAME_BYTES = 16
+#: Branches of a node of the manifest.
+FAN_OUT = 1024
 
 
 def name_of(payload: bytes) -> bytes:
@@ -121,10 +126,35 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     unique = encoded.select(F.explode("new").alias("x")).select("x.chunk", "x.ids").groupBy("chunk").agg(F.first("ids").alias("ids"))
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = common.ordered_store(encoded.select("doc_id", "n_tokens", "chunks", "root"), ["doc_id", "root"], "recipes", path=f"{path}/recipes")
-    # the recipes of a part hash to its root in order of their place there; the parts' roots hash to that of the whole
-    parts = recipes.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-    whole = parts.agg(F.lit(-1).alias("part"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: x["root"])), 256).alias("root"))
-    parts.unionByName(whole).coalesce(1).write.parquet(f"{path}/manifest")
+    manifest(recipes).write.parquet(f"{path}/manifest")
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """(level, node, documents, n_tokens, hash): the tree over all recipes in order; a level is made from the one below.
+
+    Recipes that are equal in id and root are equal in all, so which of them comes first changes nothing."""
+    placed = common.running_before(recipes.select("part", "doc_id", "root", "n_tokens", F.lit(1).cast("long").alias("documents")), ["doc_id", "root"], ["documents"])
+    leaf = F.sha2(F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_tokens", F.hex("root")), 256)
+    below = placed.select(F.col("documents_before").alias("at"), "documents", "n_tokens", leaf.alias("hash"))
+    number, level, levels = recipes.count(), 0, []
+    while True:
+        number, level = -(-number // FAN_OUT), level + 1
+        joined = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"])), 256)
+        nodes = below.groupBy(F.floor(F.col("at") / FAN_OUT).alias("node")).agg(F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens"), joined.alias("hash"))
+        nodes = common.stored(nodes.select(F.lit(level).alias("level"), "node", "documents", "n_tokens", "hash"), "manifest")
+        levels.append(nodes)
+        if number <= 1:
+            return reduce(DataFrame.unionAll, levels)
+        below = nodes.select(F.col("node").alias("at"), "documents", "n_tokens", "hash")
+
+
+def check_manifest(recipes: DataFrame, path: str) -> None:
+    """Raises unless the recipes give every node of the stored manifest, and no other."""
+    columns = ["level", "node", "documents", "n_tokens", "hash"]
+    own = manifest(recipes).select(*columns, F.lit(1).alias("own"))
+    told = recipes.sparkSession.read.parquet(f"{path}/manifest").select(*columns, F.lit(1).alias("told"))
+    for row in own.join(told, columns, "full").where("own is null or told is null").limit(1).collect():
+        raise ValueError(f"the recipes and the manifest differ below node {row['node']} of level {row['level']}")
 
 
 @cache
@@ -202,6 +232,7 @@ def verified(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     checksum is put together from its chunks' sums in the order of its recipe, and its Merkle root is compared."""
     sums = spark.read.parquet(f"{path}/chunks").mapInArrow(checked_chunks(width), "chunk binary, n long, crc long")
     recipes = recipes_of(spark, path)
+    check_manifest(spark.read.parquet(f"{path}/recipes"), path)
     # start is unique: every document has at least its end id
     used = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("seq", "chunk")).join(sums, "chunk", "left")
     parts = used.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.collect_list(F.struct("seq", "chunk", "n", "crc")).alias("parts"))
@@ -209,15 +240,23 @@ def verified(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids array<long>) of every document: chunks joined to recipes and put together."""
+    """(doc_id, start, ids array<long>) of every document: chunks joined to recipes and put together, with the same checks."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["seq"])), f"<u{width}").astype(np.int64) for parts in batch.column("parts").to_pylist()]
+            found = []
+            for doc, n, root, parts in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "parts")], strict=True):
+                parts.sort(key=lambda p: p["seq"])
+                if any(p["ids"] is None or name_of(p["ids"]) != p["chunk"] for p in parts) or merkle_root([p["chunk"] for p in parts]) != root:
+                    raise ValueError(f"document {doc}: its chunks don't give what its recipe says")
+                found.append(np.frombuffer(b"".join(p["ids"] for p in parts), f"<u{width}").astype(np.int64))
+                if len(found[-1]) != n:
+                    raise ValueError(f"document {doc}: {len(found[-1])} ids where its recipe says {n}")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    used = recipes_of(spark, path).select("doc_id", "start", F.posexplode("chunks").alias("seq", "chunk")).join(spark.read.parquet(f"{path}/chunks"), "chunk")
-    parts = used.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "ids")).alias("parts"))
+    check_manifest(spark.read.parquet(f"{path}/recipes"), path)
+    used = recipes_of(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("seq", "chunk")).join(spark.read.parquet(f"{path}/chunks"), "chunk", "left")
+    parts = used.groupBy("start").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_tokens", "root")], F.collect_list(F.struct("seq", "chunk", "ids")).alias("parts"))
     return parts.mapInArrow(unpack, "doc_id long, start long, ids array<long>")
 
 

@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 #: The first character beyond those whose split is made here.
 BEYOND = 0x250
 #: Pieces remembered by a worker; beyond it the memory starts anew.
-MOST_PIECES = 600_000
+MOST_PIECES = 800_000
 #: New pieces that are encoded as one text.
 PIECES_AT_ONCE = 2000
 #: Characters of text that are split before their new pieces are encoded together.
@@ -110,7 +110,7 @@ class Encoder:
         for pieces in split:
             if pieces is not None:
                 new.update(pieces)
-        self.learn(list(new - known.keys()))
+        self.learn(list(new.difference(known)))  # not `new - known.keys()`, which goes through all that is known
         whole = iter(self.encode([t for t, pieces in zip(texts, split, strict=True) if pieces is None]))
         return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
