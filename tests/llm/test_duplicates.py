@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -223,40 +224,83 @@ def test_line_dedup_takes_awkward_rows(spark, awkward, empty):
     assert line_dedup.deduplicated(empty).count() == 0 and line_dedup.removed(empty).count() == 0
 
 
-def test_leaks_plain_version(spark):
+def plain_leaks(docs, items):
+    """(doc, item) → best similarity over all windows, by tuples of words: weights by the number of different items."""
+    lists = {i: tuple(t.lower().split()) for i, t in items if t and len(t.split()) >= 5}
+    tuples = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    held = Counter(s for w in set(lists.values()) for s in tuples(w).keys())
+    out = {}
+    for d, text in docs:
+        w = text.lower().split()
+        for i, own in lists.items():
+            item = tuples(own)
+            other = sum(n / held[s] for s, n in item.items()) / sum(item.values())
+            for at in range(max(1, len(w) - len(own) + 1)):
+                window = tuples(w[at : at + len(own)])
+                low = sum(min(n, window[s]) / held[s] for s, n in item.items())
+                high = sum(max(n, window[s]) / held[s] for s, n in item.items()) + other * sum(n for s, n in window.items() if s not in item)
+                if low >= high * 0.8 - 1e-9:
+                    out[d, i] = max(out.get((d, i), 0.0), low / high)
+    return out
+
+
+@pytest.mark.parametrize("words_a_block", [150, 2_000_000])
+def test_leaks_plain_version(spark, monkeypatch, words_a_block):
+    monkeypatch.setattr(decontamination, "WORDS_A_BLOCK", words_a_block)
     rng = random.Random(7)
     words = [f"w{k}" for k in range(400)]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(6, 40)))) for k in range(25)] + [(90, "only four words here"), (91, None)]
+    template = " ".join(rng.choice(words) for _ in range(20))
+    items += [(100 + k, f"{template} {rng.choice(words)} {' '.join(rng.choice(words) for _ in range(14))}") for k in range(8)]
+    items += [(200 + k, items[0][1]) for k in range(10)]  # one item that stands eleven times
     docs = []
     for d in range(120):
         text = [rng.choice(words) for _ in range(rng.randint(0, 120))]
         if d % 3 == 0:
-            own = rng.choice(items[:25])[1].split()
+            own = rng.choice(items[:25] + items[27:]).__getitem__(1).split()
             for _ in range(rng.choice((0, 0, 0, 1))):
                 own[rng.randrange(len(own))] = "changed"
             at = rng.randint(0, len(text))
             text[at:at] = own
         docs.append((d, " ".join(text).title()))
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    index = decontamination.Index([(i, decontamination.words_of(t)) for i, t in items if t and len(t.split()) >= 5])
-    want = {}
-    for d, text in docs:
-        w = decontamination.words_of(text)
-        for k, (i, own) in enumerate(index.items):
-            best = max((index.similarity(k, w[s : s + len(own)]) for s in range(max(1, len(w) - len(own) + 1))), default=0.0)
-            if best >= 0.8 - 1e-9:
-                want[d, i] = best
+    want = plain_leaks(docs, items)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and got
 
 
+def test_an_edited_copy_of_a_repeated_item_is_found(spark):
+    rng = random.Random(8)
+    own = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    items = spark.createDataFrame([(k, " ".join(own)) for k in range(10)], "item_id long, text string")
+    own[30] = "changed"
+    got = decontamination.leaks(spark.createDataFrame([(1, "before it " + " ".join(own) + " after it")], "doc_id long, text string"), items).collect()
+    assert {r["item_id"] for r in got} == set(range(10)) and all(abs(r["similarity"] - 51 / 61) < 1e-9 and r["first_word"] == 2 for r in got)
+
+
+def index_of(items):
+    hashes = decontamination.Hashes()
+    return decontamination.Index([([k], len(w), decontamination.shingle_keys(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))) for k, w in items], {})
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = random.Random(1)
-    items = [(k, [f"a{rng.random()}" for _ in range(20)]) for k in range(50)]
-    index = decontamination.Index(items)
+    index = index_of([(k, [f"a{rng.random()}" for _ in range(20)]) for k in range(50)])
     for k in range(50):
-        bits = rng.sample(range(64), decontamination.RADIUS)
-        other = int(index.prints[k]) ^ sum(1 << b for b in bits)
-        assert k in index.within(other, 20)
+        other = index.prints[k].copy()
+        for b in rng.sample(range(128), decontamination.RADIUS):
+            other[b // 16] ^= np.uint16(1 << b % 16)
+        assert k in index.within(other[None, :], 0)[1]
+
+
+def test_the_index_asks_for_few_of_many_items():
+    rng = np.random.default_rng(2)
+    index = index_of([(k, [f"a{x}" for x in rng.integers(0, 10**9, 12 + k % 50)]) for k in range(20_000)])
+    asked = decontamination.packed(rng.normal(size=(50, 128)))
+    seen = 0
+    for b, (values, _) in enumerate(index.blocks):
+        probes = (7 << 16 | asked[:, b].astype(np.int64)[:, None] ^ decontamination.flips(decontamination.ASKED)[None, :]).ravel()
+        seen += (np.searchsorted(values, probes, "right") - np.searchsorted(values, probes, "left")).sum()
+    assert 0 < seen / 50 < 0.01 * 20_000 and len(index.within(asked, 7)[0]) == 0
 
 
 def test_leaks_take_awkward_rows(spark, awkward, empty):

@@ -1,28 +1,32 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every window of a document with as many words as a benchmark item gets a SimHash of its weighted five-word shingles. The
-items' fingerprints are indexed by eight blocks of eight bits, each under all values within two bits of its own, so every
-fingerprint within RADIUS (at most 8 * 3 - 1) bits is found; the pairs found are verified by the exact weighted Jaccard
-similarity of their shingles. A shingle weighs one over the number of items that hold it, so that phrases common to many
-items count for little; one that no item holds weighs one.
+Every window of a document with as many words as a benchmark item gets a SimHash of its five-word shingles, 128 bits. Items
+are indexed under their size and each of eight blocks of sixteen bits, with all values within one bit; a window asks for all
+values within two bits of its own. Two fingerprints within RADIUS bits differ in at most three bits of some block, so every
+one is found (at a shingle similarity of 0.8 some 19 bits differ, with a deviation of 4: one pair in a thousand lies beyond).
+The pairs found are verified by the exact weighted Jaccard similarity of their shingles, told by 64-bit hashes.
 
-A window whose similarity to any item reaches the bound holds item shingles of at least t/(1-t) times the weight of its
-others. Only windows that do are fingerprinted, which loses none: for most documents that is no window at all. Items go to
-the tasks in blocks of bounded size, each with a pass over the documents.
+A shingle of an item weighs one over the number of different items that hold it, counted over the whole benchmark, so that
+phrases common to many items count for little. A shingle that the item doesn't hold weighs as much as the item's own do on
+average, so that an edit costs an item of common phrases no more than another one.
+
+A window whose similarity to an item reaches t holds shingles of items of its size with at least t/(1-t) times the least
+weight that its other shingles can have. Only windows that do are fingerprinted, which loses none: for most documents that
+is no window at all. Items go to the tasks in blocks of bounded size, each with a pass over the documents.
 
 Defined cases. Words are runs of letters and digits in lower case. A null or empty text has no match; a document shorter
-than an item is one window. An item with fewer than five words has no shingle and is never matched; null items likewise.
-Rows with equal or null ids stay separate rows; equal items each get their own rows. Extra columns are ignored by leaks()
-and kept by clean(). Empty tables give no match.
+than an item is one window; very long texts are scanned whole. An item with fewer than five words has no shingle and is
+never matched; null items likewise. Rows with equal or null ids stay separate rows; equal items each get their own rows, and
+count as one for the weights. Of equally similar windows the first counts. Extra columns are ignored by leaks() and kept by
+clean(). Empty tables give no match.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
-#: Words of the items that go to the tasks at a time, at most (an item that is longer goes alone).
-WORDS_A_BLOCK = 500_000
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 31
+#: Blocks of a fingerprint and their bits; bits that differ from an item's block in the index, and from a window's when asked.
+BLOCKS, BLOCK_BITS, STORED, ASKED = 8, 16, 1, 2
+#: Words of the items that go to the tasks at a time, about 50 bytes each in a task's memory (an item that is longer goes
+#: alone), and windows looked up at a time.
+WORDS_A_BLOCK, WINDOWS_AT_ONCE = 2_000_000, 1024
 WORD = re.compile(r"[^\W_]+")
 #: Words whose hash a worker remembers.
 MOST_WORDS = 500_000
@@ -67,85 +73,110 @@ def shingle_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def spins(keys: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each key, remixed so that near keys don't share bits."""
+    """+1 or -1 for each bit of two remixed copies of each key, so that near keys don't share bits."""
     x = keys ^ (keys >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
-    return 2.0 * np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) - 1
+    y = x * FACTOR
+    y ^= y >> np.uint64(29)
+    return 2 * np.unpackbits(np.stack((x, y), axis=1).astype(">u8").view(np.uint8).reshape(-1, 16), axis=1).astype(np.int32) - 1
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+    """Fingerprints as eight blocks of sixteen bits, from the sums of each bit."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
+
+
+def flips(most: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(BLOCK_BITS), k)], np.int64)
 
 
 class Index:
-    """A block of benchmark items as every task holds it."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        self.items = items
-        self.shingles = [Counter(tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)) for _, w in items]
-        held = Counter(s for c in self.shingles for s in c)
-        self.weight = {s: 1.0 / n for s, n in held.items()}
-        hashes, of_key = Hashes(), {}
-        prints = []
-        for _, w in items:
-            keys = shingle_keys(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
-            weights = np.array([self.weight[tuple(w[k : k + SHINGLE])] for k in range(len(keys))])
-            of_key.update(zip(keys.tolist(), weights.tolist(), strict=True))
-            prints.append(packed((spins(keys) * weights[:, None]).sum(0)[None, :])[0])
-        self.keys = np.array(sorted(of_key), np.uint64)
-        self.weights = np.array([of_key[k] for k in self.keys.tolist()])
+    """A block of benchmark items as every task holds it: (ids, words, shingle keys) of different items, and the number of
+    items of the whole benchmark that hold a key, for keys that more than one holds."""
+
+    def __init__(self, items: list[tuple[list[int], int, np.ndarray]], shared: dict[int, int]) -> None:
+        self.ids = [ids for ids, _, _ in items]
+        self.size_of = np.array([size for _, size, _ in items], np.int64)
+        self.sizes, self.at_size = np.unique(self.size_of, return_inverse=True)
+        self.own = []
+        for _, _, keys in items:
+            distinct, counts = np.unique(keys, return_counts=True)
+            weights = 1.0 / np.array([shared.get(k, 1) for k in distinct.tolist()])
+            whole = float((weights * counts).sum())
+            self.own.append((distinct, counts, weights, whole, whole / len(keys)))
+        # each key with the sizes of the items that hold it
+        pairs = np.unique(np.concatenate([np.stack((own[0], np.full(len(own[0]), z, np.uint64)), axis=1) for own, z in zip(self.own, self.at_size.tolist(), strict=True)]), axis=0)
+        self.keys, self.first = np.unique(pairs[:, 0], return_index=True)
+        self.ends, self.key_sizes = np.append(self.first[1:], len(pairs)), pairs[:, 1].astype(np.int64)
+        self.weights = 1.0 / np.array([shared.get(k, 1) for k in self.keys.tolist()])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.keys >> np.uint64(44)] = True
-        self.prints = np.array(prints, np.uint64)
-        self.sizes = sorted({len(w) for _, w in items})
-        near = [v for v in range(1 << BLOCK_BITS) if v.bit_count() <= NEAR]
-        self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        for i, p in enumerate(prints):
-            for b in range(BLOCKS):
-                own = int(p) >> BLOCK_BITS * b & 255
-                for v in near:
-                    self.blocks[b][own ^ v].append(i)
-
-    def within(self, fingerprint: int, size: int) -> list[int]:
-        """Items of this size whose fingerprint is within RADIUS bits."""
-        found = {i for b in range(BLOCKS) for i in self.blocks[b].get(fingerprint >> BLOCK_BITS * b & 255, ())}
-        return [i for i in found if len(self.items[i][1]) == size and (int(self.prints[i]) ^ fingerprint).bit_count() <= RADIUS]
-
-    def similarity(self, item: int, window: list[str]) -> float:
-        """Exact weighted Jaccard similarity of the shingles, counted with repeats."""
-        own = Counter(tuple(window[k : k + SHINGLE]) for k in range(len(window) - SHINGLE + 1))
-        low = high = 0.0
-        for s in own.keys() | self.shingles[item].keys():
-            a, b, w = own[s], self.shingles[item][s], self.weight.get(s, 1.0)
-            low, high = low + w * min(a, b), high + w * max(a, b)
-        return low / high if high else 0.0
-
-    def matches(self, words: list[str], keys: np.ndarray, at: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """item → (similarity, first word, words) of its best window, the first of equals. at: shingles that items hold."""
+        self.lightest = np.full(len(self.sizes), np.inf)
+        np.minimum.at(self.lightest, self.at_size, [own[4] for own in self.own])
+        self.prints = np.concatenate([packed(spins(keys).sum(axis=0)[None, :]) for _, _, keys in items])
+        self.blocks = []
+        for b in range(BLOCKS):
+            values = (self.at_size[:, None] << BLOCK_BITS | self.prints[:, b].astype(np.int64)[:, None] ^ flips(STORED)[None, :]).ravel()
+            order = np.argsort(values, kind="stable")
+            self.blocks.append((values[order], order // len(flips(STORED))))
+
+    def within(self, prints: np.ndarray, z: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item): all items of the z-th size whose fingerprints are within RADIUS bits of a window's."""
+        pairs = [np.zeros(0, np.int64)]
+        for b, (values, items) in enumerate(self.blocks):
+            asked = (z << BLOCK_BITS | prints[:, b].astype(np.int64)[:, None] ^ flips(ASKED)[None, :]).ravel()
+            lo, hi = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
+            some = np.flatnonzero(hi > lo)
+            n = hi[some] - lo[some]
+            at = np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs.append(np.repeat(some // len(flips(ASKED)), n) * len(self.ids) + items[at])
+        pair = np.unique(np.concatenate(pairs))
+        window, item = pair // len(self.ids), pair % len(self.ids)
+        near = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1, dtype=np.int64) <= RADIUS
+        return window[near], item[near]
+
+    def similarity(self, item: int, window: np.ndarray) -> float:
+        """Exact weighted Jaccard similarity of the shingles of an item and a window, counted with repeats."""
+        own, counts, weights, whole, other = self.own[item]
+        keys, n = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        held = own[at] == keys
+        at, m, n = at[held], n[held], n[~held]
+        low = (weights[at] * np.minimum(counts[at], m)).sum()
+        return float(low / (whole + (weights[at] * np.maximum(0, m - counts[at])).sum() + other * n.sum()))
+
+    def matches(self, n_words: int, keys: np.ndarray, at: np.ndarray, of: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """item → (similarity, first word, words) of its best window, the first of equals. at: places of the shingles that
+        items hold, of: the places of their keys in the index."""
         best: dict[int, tuple[float, int, int]] = {}
-        held = np.zeros(len(keys))
-        held[at] = self.weights[np.searchsorted(self.keys, keys[at])]
-        own = np.concatenate(([0.0], np.cumsum(held)))
-        other = np.concatenate(([0], np.cumsum(held == 0)))
-        bound = SIMILARITY / (1 - SIMILARITY)
-        for size in self.sizes:
-            span = min(size, len(words)) - SHINGLE + 1
+        n = self.ends[of] - self.first[of]
+        place = np.repeat(np.arange(len(at)), n)
+        sizes = self.key_sizes[np.repeat(self.first[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.argsort(sizes, kind="stable")
+        found, begins = np.unique(sizes[order], return_index=True)
+        for z, own_places in zip(found.tolist(), np.split(place[order], begins[1:]), strict=True):
+            size = int(self.sizes[z])
+            span = min(size, n_words) - SHINGLE + 1
+            bound = SIMILARITY / (1 - SIMILARITY) * self.lightest[z]
+            if len(own_places) * (1 + bound) * (1 + 1e-9) < bound * span:
+                continue
+            held = np.zeros(len(keys))
+            held[at[own_places]] = self.weights[of[own_places]]
+            own = np.concatenate(([0.0], np.cumsum(held)))
+            other = np.concatenate(([0], np.cumsum(held == 0)))
             starts = np.arange(len(keys) - span + 1)
             starts = starts[(own[starts + span] - own[starts]) * (1 + 1e-9) >= bound * (other[starts + span] - other[starts])]
-            starts = starts[own[starts + span] > own[starts]]
-            for some in np.split(starts, range(4096, len(starts), 4096)):
+            for some in np.split(starts, range(WINDOWS_AT_ONCE, len(starts), WINDOWS_AT_ONCE)):
                 if not len(some):
                     continue
                 first, last = int(some[0]), int(some[-1]) + span
-                weight = np.where(held[first:last] > 0, held[first:last], 1.0)
-                sums = np.concatenate((np.zeros((1, 64)), np.cumsum(spins(keys[first:last]) * weight[:, None], axis=0)))
-                prints = packed(sums[some - first + span] - sums[some - first])
-                for s, p in zip(some.tolist(), prints.tolist(), strict=True):
-                    for i in self.within(p, size):
-                        got = self.similarity(i, words[s : s + size])
-                        if got >= SIMILARITY - 1e-9 and got > best.get(i, (0.0,))[0]:
-                            best[i] = (got, s, min(size, len(words)))
+                sums = np.concatenate((np.zeros((1, BLOCKS * BLOCK_BITS), np.int32), np.cumsum(spins(keys[first:last]), axis=0, dtype=np.int32)))
+                for w, i in zip(*self.within(packed(sums[some - first + span] - sums[some - first]), z), strict=True):
+                    s, i = int(some[w]), int(i)
+                    got = self.similarity(i, keys[s : s + span])
+                    if got >= SIMILARITY - 1e-9 and got > best.get(i, (0.0,))[0]:
+                        best[i] = (got, s, min(size, n_words))
         return best
 
 
@@ -156,34 +187,45 @@ def scanned(index: Index, texts: list[str], hashes: Hashes) -> list[dict[int, tu
     every = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, sum(sizes))
     keys = shingle_keys(every)
     hit = np.flatnonzero(index.filter[keys >> np.uint64(44)])
-    if len(hit):
-        at = np.minimum(np.searchsorted(index.keys, keys[hit]), len(index.keys) - 1)
-        hit = hit[index.keys[at] == keys[hit]]
+    of = np.minimum(np.searchsorted(index.keys, keys[hit]), len(index.keys) - 1)
+    real = index.keys[of] == keys[hit]
+    hit, of = hit[real], of[real]
     out, begin = [], 0
     for words, n in zip(lists, sizes, strict=True):
         shingles = n - SHINGLE + 1
         a, b = np.searchsorted(hit, (begin, begin + max(0, shingles)))
-        out.append(index.matches(words, keys[begin : begin + shingles], hit[a:b] - begin) if b > a else {})
+        out.append(index.matches(len(words), keys[begin : begin + shingles], hit[a:b] - begin, of[a:b]) if b > a else {})
         begin += n
     return out
 
 
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
+    for batch in batches:
+        words = [words_of(t.as_py() or "") for t in batch.column("text")]
+        keys = [shingle_keys(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))).view(np.int64) for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["item_id", "n_words", "keys"])
+
+
 def indices(benchmark: DataFrame) -> Iterator[Index]:
-    """Blocks of items, each of bounded size, in order of item_id."""
-    items = common.only(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    for row in items.where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if len(words) < SHINGLE:
-            continue
-        if block and size + len(words) > WORDS_A_BLOCK:
-            yield Index(block)
-            block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
-    if block:
-        yield Index(block)
+    """Blocks of items, each of bounded size, in order of item_id. Counts of items are over the whole benchmark."""
+    items = common.only(benchmark, "item_id", "text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    every = items.mapInArrow(shingled, "item_id long, n_words long, keys array<long>").where(F.size("keys") > 0).withColumn("same", F.xxhash64("keys"))
+    placed = common.ordered_store(common.stored(every, "benchmark-items"), ["item_id", "same"], "benchmark")
+    placed = common.running_before(placed, ["item_id", "same"], ["n_words"]).withColumn("block", F.floor(F.col("n_words_before") / WORDS_A_BLOCK))
+    placed = common.stored(placed.select("block", "item_id", "n_words", "same", "keys"), "benchmark-blocks")
+    own = placed.select("block", "same", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = common.stored(own.select("same", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "benchmark-shared")
+    for block in range((placed.agg(F.max("block")).first()[0] if placed.head(1) else -1) + 1):
+        # a block's rows and the counts of its own keys: bounded by WORDS_A_BLOCK
+        rows = placed.where(F.col("block") == block).select("item_id", "n_words", "same", "keys").toArrow()
+        counts = own.where(F.col("block") == block).select("key").distinct().join(shared, "key").toArrow()
+        held = dict(zip(counts.column("key").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist(), strict=True))
+        different: dict[int, tuple[list[int], int, np.ndarray]] = {}
+        for item, size, same, keys in zip(rows.column("item_id").to_pylist(), rows.column("n_words").to_pylist(), rows.column("same").to_pylist(), rows.column("keys"), strict=True):
+            different.setdefault(same, ([], size, keys.values.to_numpy().view(np.uint64)))[0].append(item)
+        if different:
+            yield Index(list(different.values()), held)
 
 
 CHARS_AT_ONCE = 1_000_000
@@ -217,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids, rows = batch.column("doc_id").to_pylist(), []
                 for first, some in runs(batch.column("text")):
                     for k, found in enumerate(scanned(index.value, some, hashes), first):
-                        rows += [(ids[k], index.value.items[i][0], s, n, got) for i, (got, s, n) in found.items()]
+                        rows += [(ids[k], item, s, n, got) for i, (got, s, n) in found.items() for item in index.value.ids[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
         return run
