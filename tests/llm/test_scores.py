@@ -80,10 +80,48 @@ def test_negative_risk_stays_above_zero():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (400, 3))
     u = np.vstack([p[:200] + 0.01, n[:200]])
-    w, c = quality.non_negative_pu(p[200:], u, 0.5, rate=1e-2)
+    of = lambda x: quality.Moments.of(x).standardised(np.zeros(3), np.ones(3))
+    w, c = quality.non_negative_pu(of(p[200:]), of(u), 0.5, rate=1e-2)
     assert ((n[200:] @ w + c) < 0).mean() > 0.9 and ((p[:200] @ w + c) > 0).mean() > 0.9
 
 
+def test_moments_are_those_of_all_documents(spark, awkward, empty):
+    texts = [r[1] for r in awkward.collect()]
+    x = np.stack([quality.statistics((t or "").encode()) for t in texts]).astype(float)
+    got = quality.moments(awkward.toDF(*[f"x{i}" for i in range(len(awkward.columns))]).selectExpr("x1 as text").repartition(5))
+    assert got.n == len(texts) and np.allclose(got.mean, x.mean(0)) and np.allclose(got.product, x.T @ x / len(x))
+    middle, spread = x.mean(0), np.maximum(x.std(0), 1e-3)
+    z = np.hstack([(x - middle) / spread, np.ones((len(x), 1))])
+    own = got.standardised(middle, spread)
+    assert np.allclose(own.mean, z.mean(0)) and np.allclose(own.product, z.T @ z / len(z))
+    assert quality.moments(empty) is None
+
+
+def test_the_risk_is_the_one_over_documents(spark):
+    """Descent by moments goes where descent over the documents themselves goes."""
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(0.5, 1, (60, 4)), np.vstack([rng.normal(0.5, 1, (150, 4)), rng.normal(-0.7, 1, (90, 4))])
+    of = lambda x: quality.Moments.of(x).standardised(np.zeros(4), np.ones(4))
+    w, c = quality.non_negative_pu(of(p), of(u), 0.6, steps=4000, rate=1e-3, ridge=0.05)
+
+    def risk(w, c):
+        loss = lambda g, y: ((1 - y * g) ** 2 / 4).mean()
+        return 0.6 * loss(p @ w + c, 1) + max(0.0, loss(u @ w + c, -1) - 0.6 * loss(p @ w + c, -1)) + 0.05 * (w @ w) / 2
+
+    best = risk(w, c)
+    assert all(risk(w + rng.normal(0, 0.05, 4), c + rng.normal(0, 0.05)) > best - 1e-3 for _ in range(200))
+
+
+def test_quality_is_fitted_on_awkward_rows(spark, awkward):
+    plain = awkward.toDF(*[f"x{i}" for i in range(len(awkward.columns))]).selectExpr("x0 as doc_id", "x1 as text")
+    ids = [d for d in range(100, 200) if crc32(str(d).encode()) % 5 != 0]
+    more = spark.createDataFrame([(d, "good words in a line" if d % 2 else "### !!! 000") for d in ids] + [(ids[1], "good words in a line")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in ids] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(plain.unionAll(more), labels)
+    got = quality.score(awkward, model).collect()
+    assert len(got) == awkward.count() and all(0 <= r["score"] <= 1 for r in got)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,13 +1,16 @@
 """Quality by positive-unlabelled learning.
 
-Trusted positives are documents labelled good outside the held-out fold, unlabelled ones a sample of all other documents;
-the class prior is estimated from the labels. A linear model over byte statistics minimises the non-negative unbiased risk
-pi*R+(P) + max(0, R-(U) - pi*R-(P)) with logistic loss: no document is taken for a negative one. Its output is brought to
-probabilities by a two-parameter curve on the labelled sample.
-
-Defined cases. A null text is empty; an empty text has all-zero statistics and gets a score like any other. Without
-usable labels every score is the prior one half moved by nothing, 0.5. Rows with equal or null ids stay separate rows.
-Extra columns are ignored; an empty table gives an empty result.
+Trusted positives are labelled good and lie outside the held-out fold; unlabelled are all documents outside it. A linear
+model over byte statistics minimises the non-negative unbiased risk pi*R+(P) + max(0, R-(U) - pi*R-(P)): no document is taken
+for a negative one. With the squared loss (1 - y*g)^2/4 the risk needs no more of a set of documents than the mean and the
+second moments of its statistics, so that the unlabelled side is exact over any number of documents: each task adds up its
+own moments, and one small matrix reaches the driver. The class prior pi is the share of good ones among the labels outside
+the held-out fold. A two-parameter curve then brings the output to probabilities; it alone is fitted to labelled documents
+of both classes and changes no order.
+
+Defined cases. A null text is empty; an empty text has all-zero statistics and gets a score like any other; very long texts
+are read whole. Without usable labels every score is 0.5. Rows with equal or null ids stay separate rows; of several labels
+or texts of a labelled id one counts (see samples.py). Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .samples import hashed_sample, labelled, logistic, sigmoid
+from .samples import labelled, logistic, sigmoid
 
-#: Documents learned from, at most: trusted positives, labelled ones of the other class (for the curve alone), unlabelled.
-POSITIVES, NEGATIVES, UNLABELLED = 8_000, 8_000, 12_000
+#: Labelled documents of each class that are learned from, at most (those of the other class for the curve alone).
+LABELLED = 8_000
+#: Sums of moments that meet before the last one.
+BRANCHES = 32
 #: Hashed byte pairs, and byte kinds.
 PAIRS = 512
 KINDS = np.array([0 if b in b"\t\n\r\x0b\x0c " else 1 if 48 <= b < 58 else 2 if 65 <= b < 91 else 3 if 97 <= b < 123 else 4 if b >= 128 else 5 if b < 32 or b == 127 else 6 + (b * 7 + 3) % 34 for b in range(256)])
@@ -70,69 +76,114 @@ class Model:
     curve: tuple[float, float]
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.middle) / self.spread, -8, 8) @ self.weights + self.constant
+        return (x - self.middle) / self.spread @ self.weights + self.constant
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.curve[0] * self.raw(x) + self.curve[1])
 
 
-def non_negative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, batch: int = 512, rate: float = 2e-3, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and constant by Adam on mini-batches; where the estimated negative risk of a batch falls below zero the step
-    goes back along it."""
-    rng = np.random.default_rng(7)
-    w = np.zeros(positive.shape[1] + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    one = lambda x: np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    positive, unlabelled = one(positive), one(unlabelled)
-    steps = max(1, len(unlabelled) // batch)
-    average, counted = np.zeros_like(w), 0
-    for epoch in range(epochs):
-        for _ in range(steps):
-            p, u = positive[rng.integers(0, len(positive), batch)], unlabelled[rng.integers(0, len(unlabelled), batch)]
-            gp, gu = p @ w, u @ w
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            of_negative = u.T @ sigmoid(gu) / batch - prior * (p.T @ sigmoid(gp)) / batch
-            of_positive = prior * (p.T @ (sigmoid(gp) - 1)) / batch
-            g = of_positive + of_negative if negative >= 0 else -of_negative
-            g = g + ridge * np.append(w[:-1], 0)
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        if 2 * epoch >= epochs:
-            average, counted = average + w, counted + 1
-    w = average / counted
-    return w[:-1], float(w[-1])
-
-
-def statistic_batches(more: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t.as_py() or b"").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in more], pa.array(x, pa.binary())], [*more, "x"])
-
-    return run
+@dataclass
+class Moments:
+    """How many, their mean, and the mean of their products."""
+
+    n: int
+    mean: np.ndarray
+    product: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        return cls(len(x), x.mean(0), x.T @ x / len(x))
+
+    def standardised(self, middle: np.ndarray, spread: np.ndarray) -> Moments:
+        """Those of (x - middle) / spread, with a constant one at the end."""
+        shift = np.outer(self.mean, middle)
+        product, mean = (self.product - shift - shift.T + np.outer(middle, middle)) / np.outer(spread, spread), (self.mean - middle) / spread
+        return Moments(self.n, np.append(mean, 1.0), np.block([[product, mean[:, None]], [mean[None, :], np.ones((1, 1))]]))
+
+
+def non_negative_pu(positive: Moments, unlabelled: Moments, prior: float, steps: int = 1000, rate: float = 2e-3, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Weights and constant by Adam on the whole risk, the mean of the steps' second half; where the estimated negative risk
+    falls below zero the step goes back along it."""
+    w = np.zeros(len(positive.mean))
+    w[-1] = 2 * prior - 1
+    shrink = np.append(np.full(len(w) - 1, ridge), 0)
+    m, v, average = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        u, p = unlabelled.product @ w, positive.product @ w
+        negative = (1 + 2 * w @ unlabelled.mean + w @ u) / 4 - prior * (1 + 2 * w @ positive.mean + w @ p) / 4
+        of_negative = (unlabelled.mean + u) / 2 - prior * (positive.mean + p) / 2
+        of_positive = prior * (p - positive.mean) / 2
+        g = (of_positive + of_negative if negative >= 0 else -of_negative) + shrink * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if 2 * t > steps:
+            average += w
+    average /= steps - steps // 2
+    return average[:-1], float(average[-1])
+
+
+def statistic_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [statistics(t.as_py() or b"").tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.binary())], ["y", "x"])
+
+
+def sum_row(branch: int, n: int, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"branch": pa.array([branch], pa.int32()), "n": [n], "first": [first.tobytes()], "second": [second.tobytes()]})
+
+
+SUMS = "branch int, n long, first binary, second binary"
+
+
+def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's statistics and of their products."""
+    n, first, second = 0, np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
+    for batch in batches:
+        column = batch.column("text")
+        for k in range(0, len(column), 500):
+            x = np.stack([statistics(t.as_py() or b"") for t in column[k : k + 500]]).astype(float)
+            n, first, second = n + len(x), first + x.sum(0), second + x.T @ x
+    if n:
+        yield sum_row(TaskContext.get().partitionId() % BRANCHES, n, first, second)
+
+
+def joined_sums(key, group):  # without hints: Spark tells the kind by the arguments
+    n, first, second = 0, np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
+    for k in range(len(group)):
+        n += group["n"][k].as_py()
+        first += np.frombuffer(group["first"][k].as_buffer())
+        second += np.frombuffer(group["second"][k].as_buffer()).reshape(WIDTH, WIDTH)
+    return pa.Table.from_batches([sum_row(0, n, first, second)])
+
+
+def moments(docs: DataFrame) -> Moments | None:
+    """Those of all texts: summed in each task, then in BRANCHES tasks, then in one."""
+    sums = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(sum_batches, SUMS)
+    for _ in range(2):
+        sums = sums.groupBy("branch").applyInArrow(joined_sums, SUMS)
+    rows = sums.toArrow()  # one row of a fixed size
+    if not len(rows):
+        return None
+    n = rows["n"][0].as_py()
+    return Moments(n, np.frombuffer(rows["first"][0].as_buffer()) / n, np.frombuffer(rows["second"][0].as_buffer()).reshape(WIDTH, WIDTH) / n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> Model | None:
-    known = labelled(docs, labels, "quality", max(POSITIVES, NEGATIVES), mod, held)
-    other = hashed_sample(docs, UNLABELLED, mod, held).withColumn("y", F.lit(-1))
-    both = known.unionByName(other).select("y", F.col("text").cast("binary").alias("text"))
-    rows = both.mapInArrow(statistic_batches(("y",)), "y int, x binary").toArrow()  # bounded by the three sizes above
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    known = labelled(docs, labels, "quality", LABELLED, mod, held).select("y", F.col("text").cast("binary").alias("text"))
+    rows = known.mapInArrow(statistic_batches, "y int, x binary").toArrow()  # bounded by LABELLED
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(float)
     y = rows.column("y").to_numpy()
-    if (y == 1).sum() < 10 or (y == -1).sum() < 10:
+    if (y == 1).sum() < 10:
         return None
+    unlabelled = moments(common.only(docs, "doc_id", "text").where(common.fold(F.col("doc_id"), mod) != held))
     shares = common.only(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1) & (common.fold(F.col("doc_id"), mod) != held)).agg(F.count("*"), F.sum(F.col("quality").cast("long"))).first()
     prior = min(0.99, max(0.01, shares[1] / shares[0]))
-    middle, spread = x[y == -1].mean(0), np.maximum(x[y == -1].std(0), 1e-3)
-    z = np.clip((x - middle) / spread, -8, 8)
-    weights, constant = non_negative_pu(z[y == 1], z[y == -1], prior)
-    model = Model(weights, constant, middle, spread, (1.0, 0.0))
+    middle, spread = unlabelled.mean, np.maximum(np.sqrt(np.maximum(0, np.diag(unlabelled.product) - unlabelled.mean**2)), 1e-3)
+    weights, constant = non_negative_pu(Moments.of(x[y == 1]).standardised(middle, spread), unlabelled.standardised(middle, spread), prior)
+    model = Model(weights, constant, middle, spread, (4.0, 0.0))
     if (y == 0).sum() >= 10:
-        seen = y >= 0
-        c = logistic(model.raw(x[seen])[:, None], y[seen].astype(float), ridge=1e-3)
-        drawn = (y == 1).sum() / seen.sum()
+        c = logistic(model.raw(x)[:, None], y.astype(float), ridge=1e-3)
+        drawn = (y == 1).mean()
         model.curve = (max(0.05, float(c[0])), float(c[1] + np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn))))
     return model
 

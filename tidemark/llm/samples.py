@@ -13,7 +13,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mod
     """(doc_id, text, y): at most `per_class` labelled documents of each class, first by a hash of their id.
 
     Labels are read from the rows only whose fold isn't the held-out one. Of several labels for a document the largest
-    counts; rows without id or label are left out. The chosen ids are few by the bound, so they are broadcast."""
+    counts; rows without id or label are left out. The chosen ids are few by the bound, so they are broadcast. Of several
+    texts with one id the one with the least hash counts, so that the result is bounded whatever repeats."""
     ids = common.only(labels, "doc_id", label).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("y").isin(*classes) & (common.fold(F.col("doc_id"), mod) != held)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = None
@@ -21,14 +22,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mod
         own = ids.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = own if chosen is None else chosen.unionAll(own)
     texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
-
-
-def hashed_sample(docs: DataFrame, rows: int, mod: int, held: int) -> DataFrame:
-    """(doc_id, text): at most `rows` documents outside the held-out fold, first by a hash of their id."""
-    texts = common.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.select("doc_id").where(F.col("doc_id").isNotNull() & (common.fold(F.col("doc_id"), mod) != held)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return texts.join(F.broadcast(chosen.distinct()), "doc_id")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("y").alias("y"))
+    return one.select("doc_id", "t.text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
