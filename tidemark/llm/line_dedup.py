@@ -17,8 +17,6 @@ by deduplicated() and ignored by removed(). An empty table gives an empty result
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +28,9 @@ SIMILARITY, LEAST_WORDS = 0.8, 1
 #: Counts by which rarity is told: a table of this many places, each for the words that hash there, in LEVELS a doubling.
 BINS, LEVELS = 1 << 18, 4
 PLACE = ("doc", "h", "no")
-#: Tokens up to which a set's bitmap has 64 bits, beyond 256.
+#: Tokens up to which a set's bitmap has 64 bits, beyond 128.
 NARROW = 48
-BITMAP = ("k0", "k1", "k2", "k3")
-#: Of the prefix tokens before its own a row knows those that stand so many places before.
-BEFORE = (1, 2)
+BITMAP = ("k0", "k1")
 #: Pairs whose sets meet at a time, each with some hundred words: what a round shuffles stays bounded.
 PAIRS_A_ROUND = 1_000_000
 
@@ -79,13 +75,13 @@ def level_at(levels: Column, place: Column) -> Column:
 
 
 def bitmap(t: Column, n: Column) -> list[Column]:
-    """k0 to k3: for each token a bit is turned. A set of up to NARROW tokens has 64 bits, in k0; a larger one 256, so that
-    they aren't worn out. The 64 bits of a larger set are its four parts turned into each other."""
+    """k0 and k1: for each token a bit is turned. A set of up to NARROW tokens has 64 bits, in k0; a larger one 128, so that
+    they aren't worn out. The 64 bits of a larger set are its two parts turned into each other."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
     turned = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    part = lambda k: turned(F.filter(t, lambda x: F.shiftright(x, 6).bitwiseAND(3) == k))
+    part = lambda k: turned(F.filter(t, lambda x: F.shiftright(x, 6).bitwiseAND(1) == k))
     narrow = n <= NARROW
-    return [F.when(narrow, turned(t)).otherwise(part(0)).alias("k0"), *[F.when(narrow, F.lit(0).cast("long")).otherwise(part(k)).alias(f"k{k}") for k in (1, 2, 3)]]
+    return [F.when(narrow, turned(t)).otherwise(part(0)).alias("k0"), F.when(narrow, F.lit(0).cast("long")).otherwise(part(1)).alias("k1")]
 
 
 def described(docs: DataFrame, similarity: float) -> DataFrame:
@@ -110,70 +106,87 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """A row for each set with its first place, and a number `id` in the order of these places."""
     first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*PLACE, "n", *BITMAP, "prefix")).alias("r")).select("r.*", "s1", "s2")
-    placed = common.ordered_store(first, list(PLACE), "line-sets")
-    number = F.row_number().over(Window.partitionBy("part").orderBy(*PLACE))
-    return placed.withColumn("id", F.shiftleft(F.col("part").cast("long"), 33) + number)
+    # places are unique, so the order and with it every number stays the same if a task runs again
+    placed = first.repartitionByRange(common.shuffle_parts(lines.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
+    return placed.withColumn("id", F.monotonically_increasing_id() + 1)
+
+
+SHAPE_BITS = 31
+
 
+def prefix_rows(every: DataFrame, opened: Column | None = None) -> DataFrame:
+    """A row for each prefix token: token, id, bitmap, the prefix token just before or null, and in one long, as a shuffle of
+    few columns is smaller, whether the set is open, its size and the token's place."""
+    shape = F.shiftleft(F.col("n").cast("long"), SHAPE_BITS)
+    shape = shape if opened is None else shape.bitwiseOR(F.when(opened, F.lit(1 << 62)).otherwise(F.lit(0)))
+    rows = every.select("id", shape.alias("shape"), *BITMAP, "prefix", F.posexplode("prefix").alias("pos", "token"))
+    return rows.select("token", "id", F.col("shape").bitwiseOR(F.col("pos").cast("long")).alias("shape"), *BITMAP, F.get("prefix", F.col("pos") - 1).alias("before"))
 
-def prefix_rows(every: DataFrame, *more: str) -> DataFrame:
-    """A row for each prefix token, with the BEFORE prefix tokens that come just before it, or nulls."""
-    rows = every.select("id", "n", *BITMAP, *more, "prefix", F.posexplode("prefix").alias("pos", "token"))
-    return rows.select("id", "n", *BITMAP, *more, "pos", "token", *[F.get("prefix", F.col("pos") - k).alias(f"b{k}") for k in BEFORE])
 
+COLUMNS = ("id", "shape", *BITMAP, "before")
 
-def may_match(a: str, b: str, similarity: float) -> Column:
-    """Bitmap, length and positional filters on two prefix rows that share a token."""
-    an, bn = F.col(f"{a}n"), F.col(f"{b}n")
-    both = an + bn
-    least = least_shared(a, b, similarity)
-    parts = [F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")) for k in BITMAP]
-    alike = (an <= NARROW) == (bn <= NARROW)
-    folded = F.bit_count(parts[0].bitwiseXOR(parts[1]).bitwiseXOR(parts[2].bitwiseXOR(parts[3])))
-    differ = F.when(alike, F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])).otherwise(folded)
-    return (F.least(an, bn) >= F.greatest(an, bn) * similarity - 1e-9) & (most_shared(a, b) >= least) & (differ <= both - 2 * least)
 
+class Row:
+    """What the columns of a prefix row say; their names begin with `side`."""
 
-def least_shared(a: str, b: str, similarity: float) -> Column:
+    def __init__(self, side: str) -> None:
+        shape, low = F.col(f"{side}shape"), (1 << SHAPE_BITS) - 1
+        self.id, self.before = F.col(f"{side}id"), F.col(f"{side}before")
+        self.n, self.pos = F.shiftright(shape, SHAPE_BITS).bitwiseAND(low), shape.bitwiseAND(low)
+        self.bitmap = [F.col(f"{side}{k}") for k in BITMAP]
+
+
+def least_shared(a: Row, b: Row, similarity: float) -> Column:
     """Tokens that similar sets must share."""
-    return F.ceil((F.col(f"{a}n") + F.col(f"{b}n")) * (similarity / (1 + similarity)) - 1e-9)
+    return F.ceil((a.n + b.n) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def most_shared(a: Row, b: Row) -> Column:
+    """Tokens that two sets can share, given that they share the ones of these rows. It is the same for the tokens before
+    them, should they be shared too."""
+    return F.least(a.n - a.pos, b.n - b.pos) + F.least(a.pos, b.pos)
 
 
-def most_shared(a: str, b: str, i: int = 0, j: int = 0) -> Column:
-    """Tokens that two sets can share, given that they share the ones i and j places before those of their rows."""
-    ap, bp = F.col(f"{a}pos") - i, F.col(f"{b}pos") - j
-    return F.least(F.col(f"{a}n") - ap, F.col(f"{b}n") - bp) + F.least(ap, bp)
+def may_match(a: Row, b: Row, similarity: float) -> Column:
+    """Length, positional and bitmap filters on two prefix rows that share a token."""
+    both, least = a.n + b.n, least_shared(a, b, similarity)
+    parts = [x.bitwiseXOR(y) for x, y in zip(a.bitmap, b.bitmap, strict=True)]
+    alike = (a.n <= NARROW) == (b.n <= NARROW)
+    differ = F.when(alike, F.bit_count(parts[0]) + F.bit_count(parts[1])).otherwise(F.bit_count(parts[0].bitwiseXOR(parts[1])))
+    return (F.least(a.n, b.n) >= F.greatest(a.n, b.n) * similarity - 1e-9) & (most_shared(a, b) >= least) & (differ <= both - 2 * least)
 
 
-def met_before(a: str, b: str, similarity: float) -> Column:
-    """Whether the pair also shares a token just before this one, and passes the filters there: then it is found there.
-    Of a run of shared tokens only the first row stays, and by induction no pair is lost."""
-    least = least_shared(a, b, similarity)
-    earlier = [(F.col(f"{a}b{i}") == F.col(f"{b}b{j}")) & (most_shared(a, b, i, j) >= least) for i in BEFORE for j in BEFORE]
-    return F.coalesce(reduce(Column.__or__, earlier), F.lit(False))
+def met_before(a: Row, b: Row) -> Column:
+    """Whether the pair shares the tokens just before these too: then it passes there what it passes here, and is found
+    there. Of a run of shared tokens only the first row stays, and by induction no pair is lost."""
+    return F.coalesce(a.before == b.before, F.lit(False))
 
 
 def leader_candidates(every: DataFrame, similarity: float) -> DataFrame:
     """(earlier, later): each set with the first one in the groups of its prefix tokens and with the one just before it
     there, where the pair passes. A group of near copies is mostly settled by these: few of its sets differ from both."""
-    group, columns = Window.partitionBy("token").orderBy("id"), ("id", "n", *BITMAP, "pos")
-    rows = prefix_rows(every).select("token", *columns)
-    led = rows.select(*columns, *[F.first(c).over(group).alias(f"x_{c}") for c in columns], *[F.lag(c).over(group).alias(f"y_{c}") for c in columns])
-    first = F.when((F.col("x_id") < F.col("id")) & may_match("x_", "", similarity), F.col("x_id"))
-    last = F.when((F.col("x_id") < F.col("y_id")) & may_match("y_", "", similarity), F.col("y_id"))
-    found = led.select("id", first.alias("first"), last.alias("last")).where("first is not null or last is not null")
-    return found.select(F.explode(F.array("first", "last")).alias("earlier"), F.col("id").alias("later")).where("earlier is not null").distinct()
+    group = Window.partitionBy("token").orderBy("id")
+    columns = [c for c in COLUMNS if c != "before"]
+    rows = prefix_rows(every)
+    led = rows.select(*COLUMNS, *[F.first(c).over(group).alias(f"x_{c}") for c in columns], F.lit(0).alias("x_before"), *[F.lag(c).over(group).alias(f"y_{c}") for c in columns], F.lit(0).alias("y_before"))
+    own, leader, last = Row(""), Row("x_"), Row("y_")
+    one = F.when((leader.id < own.id) & may_match(leader, own, similarity), leader.id)
+    other = F.when((leader.id < last.id) & may_match(last, own, similarity), last.id)
+    found = led.select("id", one.alias("one"), other.alias("other")).where("one is not null or other is not null")
+    return found.select(F.explode(F.array("one", "other")).alias("earlier"), F.col("id").alias("later")).where("earlier is not null").distinct()
 
 
 def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> DataFrame:
     """(earlier, later): sets not yet matched with any earlier one that passes the filters.
 
-    An unmatched set's id stands in `open` too, a matched one has zero there. Both sides keep the same columns and no
-    condition is on one side alone, so that Spark makes one exchange and reads it twice."""
-    flagged = every.join(matched.select(F.col("later").alias("id"), F.lit(True).alias("done")), "id", "left").withColumn("open", F.when(F.col("done").isNull(), F.col("id")).otherwise(F.lit(0)))
-    rows = prefix_rows(flagged, "open")
-    columns = ("id", "open", "n", *BITMAP, "pos", *[f"b{k}" for k in BEFORE])
-    y, x = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("y", "x"))
-    pairs = y.join(x, "token").where((F.col("x_id") < F.col("y_open")) & (F.col("x_open") + F.col("y_id") > 0) & may_match("x_", "y_", similarity) & ~met_before("x_", "y_", similarity))
+    Both sides keep the same columns and no condition is on one side alone (adding the other's id to a set's shape keeps
+    that so), so that Spark makes one exchange and reads it twice."""
+    flagged = every.join(matched.select(F.col("later").alias("id"), F.lit(True).alias("done")), "id", "left")
+    rows = prefix_rows(flagged, F.col("done").isNull())
+    y, x = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in COLUMNS]) for side in ("y", "x"))
+    earlier, later = Row("x_"), Row("y_")
+    still_open = F.col("y_shape") + earlier.id >= F.lit(1 << 62) + earlier.id
+    pairs = y.join(x, "token").where((earlier.id < later.id) & still_open & may_match(earlier, later, similarity) & ~met_before(earlier, later))
     return pairs.select(F.col("x_id").alias("earlier"), F.col("y_id").alias("later")).distinct()
 
 
