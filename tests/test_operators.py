@@ -122,28 +122,28 @@ def test_scalars(spark):
     assert abs(one.select(S.hertz(S.mel(F.lit(4321.0)))).first()[0] - 4321.0) < 1e-6
 
 
-def test_filler_and_sentence_ends(spark):
-    w = spark.createDataFrame([("euh",), ("hum",), ("",), ("heure",)], "f string")
-    assert [r[0] for r in w.select(S.is_filler(F.col("f"))).collect()] == [True, True, True, False]
+def test_sentence_ends(spark):
     e = spark.createDataFrame([("fin.",), ("bon...",), ("oui? ",), ("non",)], "w string")
     assert [r[0] for r in e.select(S.ends_sentence("w")).collect()] == [True, False, True, False]
 
 
-def test_captions_plain_version(spark):
-    ws = "Bonjour à tous, on va parler du montage. Alors voilà ce que je voulais vous dire aujourd'hui merci.".split()
-    words = spark.createDataFrame([(1, k, w) for k, w in enumerate(ws)], "key long, i long, w string")
-    got = [r["text"] for r in timeline.captions(words, 1000).orderBy("start").collect()]
-    want, line = [], []
-    for k, w in enumerate(ws):
-        if k and ws[k - 1][-1] in ".!?":
-            want.append(line)
-            line = []
-        if line and (len(line) >= 6 or len(" ".join([*line, w])) > 26 or (line[-1].endswith(",") and len(line) >= 3)):
-            want.append(line)
-            line = []
-        line.append(w)
-    want.append(line)
-    assert got == [" ".join(x) for x in want]
+def test_foreign_texts(spark):
+    t = spark.createDataFrame([(1, "fr", "Le vent du nord et la mer"), (2, "fr", "the wind of l'est and the sea"), (3, "de", "der Wind"), (4, "en", "the ветер"), (5, None, "le la les"), (6, "fr", None)], "key long, lang string, text string")
+    got = {r["key"]: (r["own"], r["other"], r["foreign"]) for r in text.foreign_texts(t).collect()}
+    assert got == {1: (4, 0, False), 2: (0, 4, True), 3: (0, 0, False), 4: (1, 0, True), 5: (0, 3, True), 6: (0, 0, False)}
+
+
+def test_captions(spark):
+    ws = "Le port, vu d'ici, dort. Demain les grands bateaux repartiront lentement vers le large... Voilà tout".split()
+    n = len(ws)
+    spoken = spark.createDataFrame([(1, ws, [300 * k for k in range(n)], [300 * k + 300 for k in range(n)], [0] * n), (2, ["un", "", "deux", None, "trois"], [0, 0, 300, 0, 2000], [300, 0, 600, 0, 2300], [0, 0, 0, 0, 0]), (3, None, None, None, None), (4, ["a", "b"], [0, 1], [1, 2], [0, 1])], "key long, words array<string>, start array<long>, end array<long>, moment array<long>")
+    got = {}
+    for r in timeline.captions(spoken).orderBy("key", "caption").collect():
+        got.setdefault(r["key"], []).append((r["text"], r["split"]))
+    # a comma ends one from three words on; the word that passes the letters stays; dots end a caption
+    assert got[1] == [("Le port, vu d'ici,", 2), ("dort.", 0), ("Demain les grands bateaux repartiront", 3), ("lentement vers le large...", 2), ("Voilà tout", 1)]
+    assert got[2] == [("un deux", 1), ("trois", 0)] and got[4] == [("a", 0), ("b", 0)] and set(got) == {1, 2, 4}
+    assert rows(timeline.captions(spoken).where("key = 2"), "caption", "n", "start", "end") == [(0, 2, 0, 600), (1, 1, 2000, 2300)]
 
 
 def test_cues(spark):
@@ -152,7 +152,7 @@ def test_cues(spark):
 
 
 def test_balanced_split(spark):
-    df = spark.createDataFrame([(["Bonjour", "à", "tous"],), (["un"],)], "w array<string>")
+    df = spark.createDataFrame([(["Lanterne", "et", "mer"],), (["un"],)], "w array<string>")
     assert [r[0] for r in df.select(text.balanced_split(F.col("w"))).collect()] == [1, 0]
 
 
@@ -161,25 +161,25 @@ def test_alignment(spark):
     ops = [(r["tag"], r["i1"], r["i2"], r["j1"], r["j2"]) for r in align.opcodes(pairs).orderBy("n").collect()]
     assert ops == [("equal", 0, 2, 0, 2), ("delete", 2, 3, 2, 2), ("equal", 3, 5, 2, 4)]
     assert abs(pairs.select(align.ratio("a", "b")).first()[0] - 8 / 9) < 1e-12
-    assert align.realigned("bonjour a tous".split(), "Bonjour tous mes amis".split()) == ["Bonjour", "", "tous mes amis"]
-
-
-def test_retakes():
-    def gone(line):
-        ws, t, out = [], 0.0, []
-        for w in line.split():
-            if w == "/":
-                t += 1.0
-                continue
-            ws.append((w, t))
-            t += 0.3
-        flags = align.retakes(ws)
-        out = [w for (w, _), g in zip(ws, flags) if g]
-        return " ".join(out)
-
-    assert gone("je vais, je vais vous montrer le logiciel") == "je vais,"
-    assert gone("tu ouvres la page / on va voir tu ouvres la page des moments").startswith("tu ouvres la page")
-    assert gone("On va voir comment couper. On fait autrement ici.") == ""
+    assert align.realigned("salut la mer".split(), "Salut, mer du nord".split()) == ["Salut,", "", "mer du nord"]
+    assert align.realigned("un, deux trois".split(), "un deux deux trois".split()) == ["un", "deux deux", "trois"]
+    assert align.realigned(["mer"], "la belle mer".split()) == ["la belle mer"]
+
+
+def test_most_overlapping(spark):
+    a = spark.createDataFrame([(1, 1, 0, 100), (1, 2, 5000, 5010), (2, 3, 0, 10)], IV)
+    b = spark.createDataFrame([(1, 10, 90, 110), (1, 11, 95, 1_000_000), (1, 12, 60, 80), (1, 13, 60, 80), (1, 14, 6000, 6002)], IV)
+    # 12 and 13 share as much and are nearer than 10; without common time the nearest middle counts
+    assert rows(intervals.most_overlapping(a, b, 50), "a_id", "b_id", "shared") == [(1, 13, 20), (2, 14, 0)]
+    assert intervals.most_overlapping(a.limit(0), b, 50).count() == 0
+
+
+def test_spikes_rise_over_their_neighbours(spark):
+    values = [0] * 10 + [50, 60] + [0] * 10 + [40, 55, 40] + [0, 0, 0, 50] + [0] * 8
+    p = spark.createDataFrame([(1, k, k, v) for k, v in enumerate(values)], "key long, id long, t long, v long")
+    assert rows(series.spikes(p, "v", 30, 3), "t") == [(11,), (23,), (28,)]
+    # what lies four rows after the second run's end is nearly as high
+    assert rows(series.spikes(p, "v", 30, 3, rise=12), "t") == [(11,)]
 
 
 def test_state_operators(spark):

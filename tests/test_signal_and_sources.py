@@ -63,10 +63,10 @@ def test_documents(spark, tmp_path):
 def test_frequencies_and_tokens(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"le": 3, "the": 1}))
     assert {r["word"]: r["share"] for r in documents.frequencies(spark, str(tmp_path)).collect()} == {"le": 0.75, "the": 0.25}
-    tokens = [" Don", "c,", " la", " com", "m", "una", "ut", "é"]
-    df = spark.createDataFrame([(1, k, t, 0.1 * k, -1.0 if t == "una" else 0.0) for k, t in enumerate(tokens)], "key long, i long, token string, t double, logprob double")
+    tokens = [" Mou", "lin,", " en", " fo", "r", "êt"]
+    df = spark.createDataFrame([(1, k, t, 0.1 * k, -1.0 if t == "r" else 0.0) for k, t in enumerate(tokens)], "key long, i long, token string, t double, logprob double")
     got = documents.words_of_tokens(df).orderBy("n").collect()
-    assert [r["w"] for r in got] == ["Donc,", "la", "communauté"] and abs(got[2]["p"] - math.exp(-1)) < 1e-12
+    assert [r["w"] for r in got] == ["Moulin,", "en", "forêt"] and abs(got[2]["p"] - math.exp(-1)) < 1e-12
 
 
 def test_probes(spark):

@@ -67,10 +67,10 @@ def test_line_layout(spark):
 
 
 def test_merged_transcripts(spark):
-    first = [("C'est", 0.9), ("bon.", 0.9), ("One", 0.3), ("minute.", 0.9), ("Voilà.", 0.9)]
-    df = spark.createDataFrame([([{"w": w, "p": p} for w, p in first], "C'est bon. Une minute. Voilà.".split())], "a array<struct<w:string,p:double>>, b array<string>")
+    first = [("Voici", 0.8), ("deux", 0.95), ("bots", 0.2), ("rouges.", 0.7)]
+    df = spark.createDataFrame([([{"w": w, "p": p} for w, p in first], "voici deux bottes rouges".split())], "a array<struct<w:string,p:double>>, b array<string>")
     got = df.select(F.explode(align.merge_transcripts("a", "b")).alias("x")).select("x.*").collect()
-    assert [r["v"] for r in got] == [0, 0, 1, 0, 0] and (got[2]["w"], got[2]["alt"]) == ("Une", "One")
-    words = [{"w": w, "p": p} for w, p in (("des", 0.9), ("smartwatchs,", 0.2), ("des", 0.2), ("monts", 0.2), ("intelligents", 0.2))]
-    out = align.merged_words(words, "des montres intelligentes".split())
-    assert (out[1]["alt"], out[1]["altn"]) == ("montres intelligentes", 4)
+    assert [r["v"] for r in got] == [0, 0, 1, 0] and (got[2]["w"], got[2]["alt"]) == ("bottes", "bots")
+    words = [{"w": w, "p": p} for w, p in (("la", 0.9), ("lant", 0.2), ("erne", 0.3), ("bleue", 0.8))]
+    out = align.merged_words(words, "la lanterne bleue".split())
+    assert (out[1]["alt"], out[1]["altn"]) == ("lanterne", 2)

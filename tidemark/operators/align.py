@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -36,13 +37,18 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def realigned(words: list[str], corrected: list[str], key=str.lower) -> list[str]:
+def word_key(w: str) -> str:
+    """Lower case without anything but letters, digits and underscores."""
+    return re.sub(r"[^\w]", "", w.lower())
+
+
+def realigned(words: list[str], corrected: list[str]) -> list[str]:
     """Corrected words put into the slots of the original ones: equal ones in place, replaced ones spread in proportion,
-    inserted ones with the slot before (the first slot at the start)."""
+    inserted ones with the slot before (the first slot at the start). Words are compared without case and punctuation."""
     slots: list[list[str]] = [[] for _ in words]
     if not slots:
         return []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, [key(w) for w in words], [key(w) for w in corrected], autojunk=False).get_opcodes():
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, [word_key(w) for w in words], [word_key(w) for w in corrected]).get_opcodes():
         if tag == "insert":
             slots[max(0, i1 - 1)] += corrected[j1:j2]
             continue
@@ -56,50 +62,6 @@ def realign(words: pd.Series, corrected: pd.Series) -> pd.Series:
     return pd.Series([realigned(list(a), list(b)) for a, b in zip(words, corrected, strict=True)])
 
 
-def retakes(words: list[tuple[str, float]], window: float = 45.0, back: int = 150, least: int = 4) -> list[bool]:
-    """Which words a later take makes needless: a passage of `least` or more words that starts again within the window and
-    is repeated by at least as many matching words. The earlier take and what lies between go; reading goes on after the
-    words that matched, so one repetition is taken once."""
-    stems = [w.lower().strip(".,;:!?…'\"") for w, _ in words]
-    gone = [False] * len(words)
-    last: dict[str, list[int]] = {}
-    j = 0
-    while j < len(words):
-        best = (0, 0)
-        for i in reversed(last.get(stems[j], [])):
-            if j - i > back or words[j][1] - words[i][1] > window:
-                break
-            n = 0
-            while i + n < j and j + n < len(words) and stems[i + n] == stems[j + n]:
-                n += 1
-            if n > best[0]:
-                best = (n, i)
-        n, i = best
-        if n >= least or (n >= 2 and i + n == j):
-            gone[i:j] = [True] * (j - i)
-            for k in range(j, j + n):
-                last.setdefault(stems[k], []).append(k)
-            j += n
-        else:
-            if stems[j]:
-                last.setdefault(stems[j], []).append(j)
-            j += 1
-    return gone
-
-
-def retake_flags(words: DataFrame, tick: float = 0.3) -> DataFrame:
-    """(key, i): words that a later take repeats. Texts are walked one at a time."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for key, ws in zip(pdf["key"], pdf["words"], strict=True):
-                rows += [(key, i) for i, g in enumerate(retakes([(w, tick * i) for i, w in enumerate(ws)])) if g]
-            yield pd.DataFrame(rows, columns=["key", "i"])
-
-    return words.mapInPandas(run, "key long, i long")
-
-
 def merged_words(first: list[dict], second: list[str], suspect=lambda w: w["p"] < 0.5) -> list[dict]:
     """A transcript's words {w, p} checked against a second one of the same speech: words both have are confirmed (v 0); a
     suspect run that the second gives with as many words is replaced, the old word kept in alt (v 1); another suspect run

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import asof
+
 ORDER = ("s", "e", "id")
 
 
@@ -72,13 +74,23 @@ def overlaps_clipped(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 
 
 def most_overlapping(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """(key, a_id, b_id, shared): for each interval of a the one of b with most common time; of equals the one whose middle
-    is nearer, then the smaller id."""
+    """(key, a_id, b_id, shared): for each interval of a the one of b with the most common time less a thousandth of the
+    distance of their middles; of equals the one with the greatest id. Without common time that is the one whose middle is
+    nearest, so every interval of a gets a partner if its key has any in b. Whole times are compared as whole numbers.
+
+    The best partner shares time or has the nearest middle: an overlap join and two as-of joins find all that can win."""
     pairs = overlaps(a, b, width)
-    shared = F.least("a_e", "b_e") - F.greatest("a_s", "b_s")
+    shared = F.greatest(F.least("a_e", "b_e") - F.greatest("a_s", "b_s"), F.lit(0))
     away = F.abs(F.col("a_s") + F.col("a_e") - F.col("b_s") - F.col("b_e"))
-    best = F.min(F.struct((-shared).alias("less"), away.alias("away"), F.col("b_id"))).alias("m")
-    return pairs.groupBy("key", "a_id").agg(best).select("key", "a_id", F.col("m.b_id").alias("b_id"), (-F.col("m.less")).alias("shared"))
+    scored = pairs.select("key", "a_id", "b_id", shared.alias("shared"), (2000 * shared - away).alias("score"))
+    middles = lambda side, sign: side.select("key", "id", (sign * (F.col("s") + F.col("e"))).alias("t"))
+    for sign in (1, -1):
+        near = asof.backward(middles(a, sign), middles(b, sign)).where("match_id is not null")
+        near = near.select("key", F.col("id").alias("a_id"), F.col("match_id").alias("b_id"), (F.col("match_t") - F.col("t")).alias("score"))
+        # common time, where there is some, is in the pairs above, with a greater score
+        scored = scored.unionByName(near.select("key", "a_id", "b_id", F.lit(0).cast("long").alias("shared"), "score"))
+    best = F.max(F.struct("score", "b_id", "shared")).alias("m")
+    return scored.groupBy("key", "a_id").agg(best).select("key", "a_id", F.col("m.b_id").alias("b_id"), F.col("m.shared").alias("shared"))
 
 
 def not_contained(iv: DataFrame) -> DataFrame:

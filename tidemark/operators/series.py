@@ -47,13 +47,21 @@ def onsets(df: DataFrame, value: str, times: int, least: int, rest: int, trailin
     return folds.refractory(marked.where((F.col(value) > times * F.col("m")) & (F.col(value) > least)), rest)
 
 
-def spikes(df: DataFrame, value: str, above: int, longest: int, reach: int = 5) -> DataFrame:
+def spikes(df: DataFrame, value: str, above: int, longest: int, reach: int = 5, rise: int | None = None, around: int = 4) -> DataFrame:
     """(key, t, id, strength): runs of up to `longest` rows that lie more than `above` over the rolling median of `reach`
-    rows each way; each run is told by its strongest row, the first of equals."""
-    marked = rolling_median(df, value, -reach, reach).withColumn("hot", F.col(value) - F.col("median") > above)
+    rows each way, told by their strongest row, the first of equals. With `rise` the run's highest value must also exceed by
+    more than that what lies `around` rows before its first row and after its last one (the key's first or last row where it
+    has no more)."""
+    w = by_key("t", "id")
+    before = F.coalesce(F.lag(value, around).over(w), F.first(value).over(w))
+    after = F.coalesce(F.lead(value, around).over(w), F.last(value).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    marked = rolling_median(df, value, -reach, reach).withColumns({"hot": F.col(value) - F.col("median") > above, "before": before, "after": after})
     runs = numbered_runs(marked, "hot", ["t", "id"]).where("hot")
     best = F.max(F.struct((F.col(value) - F.col("median")).alias("strength"), (-F.col("t")).alias("t"), (-F.col("id")).alias("id"))).alias("b")
-    found = runs.groupBy("key", "run").agg(best, F.count("*").alias("n")).where(F.col("n") <= longest)
+    place = F.struct("t", "id")
+    found = runs.groupBy("key", "run").agg(best, F.count("*").alias("n"), F.max(value).alias("top"), F.min_by("before", place).alias("before"), F.max_by("after", place).alias("after")).where(F.col("n") <= longest)
+    if rise is not None:
+        found = found.where(F.col("top") > F.greatest("before", "after") + rise)
     return found.select("key", (-F.col("b.t")).alias("t"), (-F.col("b.id")).alias("id"), F.col("b.strength").alias("strength"))
 
 

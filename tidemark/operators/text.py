@@ -1,4 +1,4 @@
-"""Words: classes by frequency and language, content and filler words, repeated stems in a band, containment, captions."""
+"""Words: classes by frequency and language, content and filler words, containment, captions."""
 
 from __future__ import annotations
 
@@ -6,40 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import lexicon
 from tidemark.functions import scalars as S
 
-#: Words that carry no content (fixed values).
-STOP_WORDS = ("the", "and", "of", "to", "in", "that", "is", "for", "with", "it", "de", "la", "le", "les", "des", "et", "un", "une", "que", "qui", "der", "die", "das", "und", "von", "el", "los", "las", "con", "por")
-#: Function words of each language (fixed values): other languages are told by them.
-FUNCTION_WORDS = {
-    "en": ("the", "and", "of", "to", "is", "that", "with", "for"),
-    "fr": ("le", "la", "les", "des", "et", "est", "dans", "pour"),
-    "de": ("der", "die", "das", "und", "ist", "von", "mit", "den"),
-    "es": ("el", "los", "las", "del", "con", "por", "para", "su"),
-}
-
-
 def with_forms(words: DataFrame) -> DataFrame:
     return words.withColumn("form", S.word_form("w"))
 
 
 def content_words(words: DataFrame) -> DataFrame:
-    """Words of three letters and more that aren't stop words."""
-    return with_forms(words).where((F.length("form") >= 3) & ~F.col("form").isin(*STOP_WORDS))
+    return with_forms(words).where(S.is_content(F.col("form")))
 
 
 def filler_counts(words: DataFrame) -> DataFrame:
     return with_forms(words).where(S.is_filler(F.col("form"))).groupBy("lang", "form").agg(F.count("*").alias("n"))
 
 
-def foreign_texts(words: DataFrame) -> DataFrame:
-    """(key, lang, own, other, foreign): function words of the own language and most of any other; foreign where another has
-    two or more and more than the own."""
-    counts = [F.count_if(F.col("form").isin(*ws)).alias(lang) for lang, ws in FUNCTION_WORDS.items()]
-    per = with_forms(words).groupBy("key", "lang").agg(*counts)
-    own = F.coalesce(*[F.when(F.col("lang") == lang, F.col(lang)) for lang in FUNCTION_WORDS], F.lit(0))
-    other = F.greatest(*[F.when(F.col("lang") == lang, F.lit(0)).otherwise(F.col(lang)) for lang in FUNCTION_WORDS])
-    return per.select("key", "lang", own.alias("own"), other.alias("other")).withColumn("foreign", (F.col("other") >= 2) & (F.col("other") > F.col("own")))
+def foreign_texts(texts: DataFrame) -> DataFrame:
+    """(key, lang, own, other, foreign) of texts (key, lang, text): function words of the own language and most of any other;
+    foreign where another has two or more and more than the own, or where a letter isn't Latin.
+
+    A text is looked at as a whole, so no word leaves its row. A null text is empty; a language without a list has none."""
+    plain = F.regexp_replace(F.lower(F.replace("text", F.lit("’"), F.lit("'"))), r"[^\p{L}\p{N}'_\s]", "")
+    per = texts.select("key", "lang", "text", F.split(plain, r"\s+").alias("forms"))
+    among = lambda ws: F.coalesce(F.size(F.filter("forms", lambda w: w.isin(*ws))), F.lit(0)).cast("long")
+    counts = {lang: among(ws) for lang, ws in lexicon.FUNCTION_WORDS.items()}
+    counted = per.select("key", "lang", F.coalesce(F.col("text").rlike(r"[\p{L}&&[^A-Za-zÀ-ɏ]]"), F.lit(False)).alias("script"), *[n.alias(f"n_{lang}") for lang, n in counts.items()])
+    own = F.coalesce(*[F.when(F.col("lang") == lang, F.col(f"n_{lang}")) for lang in counts], F.lit(0).cast("long"))
+    other = F.greatest(*[F.when(F.coalesce(F.col("lang") == lang, F.lit(False)), F.lit(0).cast("long")).otherwise(F.col(f"n_{lang}")) for lang in counts])
+    return counted.select("key", "lang", own.alias("own"), other.alias("other"), "script").select("key", "lang", "own", "other", (F.col("script") | (F.col("other") >= 2) & (F.col("other") > F.col("own"))).alias("foreign"))
 
 
 def frequency_classes(words: DataFrame, own: str, other: str, ratio: int = 20) -> DataFrame:
@@ -53,17 +47,6 @@ def frequency_classes(words: DataFrame, own: str, other: str, ratio: int = 20) -
     return j.select("form", "n_own", "n_other", kind.alias("kind"))
 
 
-def repeated_stems(words: DataFrame, back: int = 150, ms: int = 45_000, tick: int = 300) -> DataFrame:
-    """(key, i, j): for each word the last earlier one of the same stem, if it lies at most `back` words and `ms` back.
-
-    The nearest earlier one is the neighbour in the stem's order, so a window takes the place of a self-join and a stem that
-    half of all words share makes no pairs."""
-    forms = words.withColumn("stem", S.stem("w")).where("stem <> ''")
-    before = F.lag("i").over(Window.partitionBy("key", "stem").orderBy("i"))
-    near = forms.select("key", F.col("i").alias("j"), before.alias("i"))
-    return near.where((F.col("j") - F.col("i") <= back) & ((F.col("j") - F.col("i")) * tick <= ms)).select("key", "i", "j")
-
-
 def sentences(words: DataFrame) -> DataFrame:
     """Adds `sentence`, numbered from 0: a word after one that ends a sentence opens a new one."""
     w = Window.partitionBy("key").orderBy("i")
@@ -73,7 +56,7 @@ def sentences(words: DataFrame) -> DataFrame:
 
 def missing_content(words: DataFrame) -> DataFrame:
     """(key, sentence, n_content, missing): content words of a sentence that the next one lacks."""
-    content = F.array_sort(F.collect_set(F.when((F.length("form") >= 3) & ~F.col("form").isin(*STOP_WORDS), F.col("form"))))
+    content = F.array_sort(F.collect_set(F.when(S.is_content(F.col("form")), F.col("form"))))
     per = with_forms(sentences(words)).groupBy("key", "sentence").agg(content.alias("c"))
     following = F.lead("c").over(Window.partitionBy("key").orderBy("sentence"))
     return per.withColumn("d", following).where("d is not null").select("key", "sentence", F.size("c").cast("long").alias("n_content"), F.size(F.array_except("c", "d")).cast("long").alias("missing"))
@@ -87,6 +70,17 @@ def balanced_split(words: Column) -> Column:
     return F.when(n < 2, F.lit(0)).otherwise(best)
 
 
+def best_split(lengths: list[int]) -> int:
+    """After how many words of these lengths a line breaks so that both halves are nearest in length, the earliest of equals;
+    0 for one word."""
+    whole, top, best = sum(lengths) + len(lengths) - 1, -1, (0, 0)
+    for k, n in enumerate(lengths[:-1], 1):
+        top += n + 1
+        if k == 1 or abs(2 * top + 1 - whole) < best[0]:
+            best = (abs(2 * top + 1 - whole), k)
+    return best[1]
+
+
 def caption_breaks(words: DataFrame, segment: int) -> DataFrame:
     """Adds `caption`: a new one at a segment's start and after a sentence end: the breaks that don't depend on length."""
     w = Window.partitionBy("key").orderBy("i")

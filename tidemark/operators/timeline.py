@@ -2,33 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalars as S
 
-from . import folds, text
-
-
-def captions(words: DataFrame, segment: int, most_words: int = 6, most_chars: int = 26, tick: int = 300) -> DataFrame:
-    """(key, caption, part, n, start, end, text): words in captions of up to so many words and letters, with a break after a
-    sentence, at a segment's start, and after a comma once there are three words. Times are milliseconds.
-
-    Between breaks that don't depend on length the fold starts anew, so it walks short runs and not whole texts."""
-    broken = text.caption_breaks(words, segment)
-
-    def step(state, i, w):
-        part, n, chars, comma = state
-        if n == 0 or n >= most_words or chars + 1 + len(w) > most_chars or (comma and n >= 3):
-            part, n, chars = part + 1, 1, len(w)
-        else:
-            n, chars = n + 1, chars + 1 + len(w)
-        return (part, n, chars, w.endswith(",")), (part,)
-
-    placed = folds.fold(broken, ["key", "caption"], ["i"], ["w"], "part long", lambda: (0, 0, 0, False), step)
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ")
-    return placed.groupBy("key", "caption", "part").agg(F.count("*").alias("n"), (F.min("i") * tick).alias("start"), ((F.max("i") + 1) * tick).alias("end"), line.alias("text"))
+from . import text
+
+
+CAPTIONS = "key long, caption long, n long, start long, end long, split long, text string"
+
+
+def captions(spoken: DataFrame, most_words: int = 6, most_letters: int = 26, pause: int = 350) -> DataFrame:
+    """(key, caption, n, start, end, split, text): words in captions, numbered from 0; the first line has `split` words.
+
+    spoken: a row for each text: key, words, and lists of their start and end (milliseconds) and moment. A caption ends after
+    a sentence, once it has so many words or more letters than that, and after a comma once it has three words; a new one
+    starts with a moment and after more than `pause` of silence. The word that brings a caption over its letters stays in
+    it. Lines break where they are nearest in length, at the earliest of equals. A text's words are read inside its row.
+
+    Null or empty words are left out; null lists are empty; null times count as 0 and null moments as one moment."""
+
+    def of(words: list, starts: list, ends: list, moments: list) -> Iterator[list[int]]:
+        group: list[int] = []
+        letters = 0
+        for k, w in enumerate(words):
+            if not w:
+                continue
+            if group and (starts[k] - ends[group[-1]] > pause or moments[k] != moments[group[-1]]):
+                yield group
+                group, letters = [], 0
+            group.append(k)
+            letters += len(w)
+            last = w.rstrip()[-1:]
+            if last in (".", "!", "?") or len(group) >= most_words or letters > most_letters or (last == "," and len(group) >= 3):
+                yield group
+                group, letters = [], 0
+        if group:
+            yield group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            for key, *lists in zip(*[batch.column(c).to_pylist() for c in ("key", "words", "start", "end", "moment")], strict=True):
+                words, starts, ends, moments = (x or [] for x in lists)
+                starts, ends = ([x or 0 for x in side] for side in (starts, ends))
+                for number, group in enumerate(of(words, starts, ends, moments)):
+                    own = [words[k] for k in group]
+                    row = (key, number, len(own), starts[group[0]], ends[group[-1]], text.best_split([len(w) for w in own]), " ".join(own))
+                    for column, x in zip(columns, row, strict=True):
+                        column.append(x)
+            kinds = [pa.int64()] * 6 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "caption", "n", "start", "end", "split", "text"])
+
+    return spoken.select("key", "words", "start", "end", "moment").mapInArrow(run, CAPTIONS)
 
 
 def cues(caps: DataFrame, tail: int = 1200, least: int = 500, apart: int = 40) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import lexicon
 from tidemark.functions import scalars as S
-from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, series, text, timeline, tracks, vectors
+from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, retakes, series, text, timeline, tracks, vectors
 from tidemark.sources import carriers as C
 from tidemark.sources import documents
 from tidemark.sources.carriers import HOUR, MINUTE, sql_with
@@ -31,14 +32,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def sql_list(words: tuple[str, ...]) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
 #: SQL for the word form, the stem and the marks of words.
 SQL_FORM = r"regexp_replace(lower(replace(w, '’', '''')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
-SQL_PLAIN = f"translate({SQL_FORM}, '{S.ACCENTED}', '{S.UNMARKED}')"
-SQL_STEM = f"CASE WHEN length({SQL_PLAIN}) > 3 THEN regexp_replace({SQL_PLAIN}, '[sx]$', '') ELSE {SQL_PLAIN} END"
-SQL_FILLER = "(regexp_matches(form, '^(e+u+h*|h+e+u+h*|h*u+m+|u+h+|h+m+|a+h+|o+h+|e+r+m*|ä+h+m*)$') OR form = '')"
+SQL_BARE = r"regexp_replace(strip_accents(form), '[^\p{L}\p{N}'']', '', 'g')"
+SQL_STEM = f"CASE WHEN length({SQL_BARE}) > 3 THEN regexp_replace({SQL_BARE}, '[sx]$', '') ELSE {SQL_BARE} END"
+SQL_FILLER = f"(regexp_matches(form, '{lexicon.FILLER}') OR form = '')"
+SQL_CONTENT = f"(length(form) >= 3 AND form NOT IN {sql_list(lexicon.STOP_WORDS)} AND regexp_replace(form, '^.*''', '') NOT IN {sql_list(lexicon.STOP_WORDS)})"
 SQL_ENDS = r"(regexp_matches(rtrim(w), '[.!?]$') AND NOT regexp_matches(rtrim(w), '(\.\.|…)$'))"
 FORMS = f"forms AS (SELECT *, {SQL_FORM} AS form FROM words)"
 
@@ -115,31 +117,20 @@ def _(spark, d):
     return intervals.overlaps_clipped(iv, iv, 8 * HOUR).where("a_id < b_id")
 
 
-@query(
-    "max_overlap",
-    f"""{sql_with('intervals')}, pairs AS (SELECT a.key, a.id AS a_id, b.id AS b_id, least(a.e, b.e) - greatest(a.s, b.s) AS shared, abs(a.s + a.e - b.s - b.e) AS away
-    FROM intervals a JOIN intervals b ON a.key = b.key AND a.id <> b.id AND a.s < b.e AND b.s < a.e)
-    SELECT key, a_id, b_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY key, a_id ORDER BY shared DESC, away, b_id) AS r FROM pairs) WHERE r = 1""",
-)
+def most_overlap_sql(view: str) -> str:
+    return f"""{sql_with(view)}, pairs AS (SELECT a.key, a.id AS a_id, b.id AS b_id, greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) AS shared,
+    2000 * greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) - abs(a.s + a.e - b.s - b.e) AS score FROM {view} a JOIN {view} b ON a.key = b.key AND a.id % 2 = 0 AND b.id % 2 = 1)
+    SELECT key, a_id, b_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY key, a_id ORDER BY score DESC, b_id DESC) AS r FROM pairs) WHERE r = 1"""
+
+
+@query("max_overlap", most_overlap_sql("intervals"))
 def _(spark, d):
-    # every interval overlaps itself most, so the partners are given numbers of their own and the own one is left out
-    iv = C.intervals(spark, d)
-    pairs = intervals.overlaps(iv, iv, 8 * HOUR).where("a_id <> b_id")
-    shared = F.least("a_e", "b_e") - F.greatest("a_s", "b_s")
-    away = F.abs(F.col("a_s") + F.col("a_e") - F.col("b_s") - F.col("b_e"))
-    best = F.min(F.struct((-shared).alias("less"), away.alias("away"), F.col("b_id"))).alias("m")
-    return pairs.groupBy("key", "a_id").agg(best).select("key", "a_id", F.col("m.b_id").alias("b_id"), (-F.col("m.less")).alias("shared"))
+    return intervals.most_overlapping(*halves(C.intervals(spark, d)), 8 * HOUR)
 
 
-@query(
-    "max_overlap_sides",
-    f"""{sql_with('intervals', 'shipping')}, pairs AS (SELECT a.key, a.id AS a_id, b.id AS b_id, least(a.e, b.e) - greatest(a.s, b.s) AS shared, abs(a.s + a.e - b.s - b.e) AS away
-    FROM shipping a JOIN shipping b ON a.key = b.key AND a.id % 2 = 0 AND b.id % 2 = 1 AND a.s < b.e AND b.s < a.e)
-    SELECT key, a_id, b_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY key, a_id ORDER BY shared DESC, away, b_id) AS r FROM pairs) WHERE r = 1""",
-)
+@query("max_overlap_sides", most_overlap_sql("shipping"))
 def _(spark, d):
-    a, b = halves(C.shipping(spark, d))
-    return intervals.most_overlapping(a, b, 60 * DAY)
+    return intervals.most_overlapping(*halves(C.shipping(spark, d)), 60 * DAY)
 
 
 @query(
@@ -346,7 +337,7 @@ def _(spark, d):
 
 @query("spikes_topk")
 def _(spark, d):
-    found = series.spikes(C.points(spark, d), "cents", 10_000, 3)
+    found = series.spikes(C.points(spark, d), "cents", 10_000, 3, rise=1_000)
     return series.strongest(found, 6 * HOUR, 20).withColumn("strength", F.round(F.col("strength") * 2).cast("long"))
 
 
@@ -430,19 +421,20 @@ def _(spark, d):
     return text.filler_counts(C.words(spark, d))
 
 
-@query("content_words", f"{sql_with('words')}, {FORMS} SELECT lang, form, count(*) AS n FROM forms WHERE length(form) >= 3 AND form NOT IN {sql_list(text.STOP_WORDS)} GROUP BY lang, form")
+@query("content_words", f"{sql_with('words')}, {FORMS} SELECT lang, form, count(*) AS n FROM forms WHERE {SQL_CONTENT} GROUP BY lang, form")
 def _(spark, d):
     return text.content_words(C.words(spark, d)).groupBy("lang", "form").agg(F.count("*").alias("n"))
 
 
 @query(
     "foreign_docs",
-    f"""{sql_with('words')}, {FORMS}, c AS (SELECT key, lang, {', '.join(f"count(*) FILTER (WHERE form IN {sql_list(ws)}) AS {x}" for x, ws in text.FUNCTION_WORDS.items())} FROM forms GROUP BY key, lang),
-    b AS (SELECT key, lang, CASE lang {' '.join(f"WHEN '{x}' THEN {x}" for x in text.FUNCTION_WORDS)} ELSE 0 END AS own, greatest({', '.join(f"CASE WHEN lang = '{x}' THEN 0 ELSE {x} END" for x in text.FUNCTION_WORDS)}) AS other FROM c)
-    SELECT *, other >= 2 AND other > own AS "foreign" FROM b""",
+    rf"""WITH f AS (SELECT doc_id AS key, lang, text, string_split_regex(regexp_replace(lower(replace(text, '’', '''')), '[^\p{{L}}\p{{N}}''_\s]', '', 'g'), '\s+') AS forms FROM documents),
+    c AS (SELECT key, lang, regexp_matches(regexp_replace(text, '[A-Za-zÀ-ɏ]', '', 'g'), '\p{{L}}') AS script, {', '.join(f"CAST(len(list_filter(forms, lambda w: w IN {sql_list(ws)})) AS BIGINT) AS n_{x}" for x, ws in lexicon.FUNCTION_WORDS.items())} FROM f),
+    b AS (SELECT key, lang, script, CASE lang {' '.join(f"WHEN '{x}' THEN n_{x}" for x in lexicon.FUNCTION_WORDS)} ELSE 0 END AS own, greatest({', '.join(f"CASE WHEN lang = '{x}' THEN 0 ELSE n_{x} END" for x in lexicon.FUNCTION_WORDS)}) AS other FROM c)
+    SELECT key, lang, own, other, script OR (other >= 2 AND other > own) AS "foreign" FROM b""",
 )
 def _(spark, d):
-    return text.foreign_texts(C.words(spark, d))
+    return text.foreign_texts(C.texts(spark, d))
 
 
 @query(
@@ -457,11 +449,11 @@ def _(spark, d):
 
 @query(
     "band_self_join",
-    f"""{sql_with('words')}, st AS (SELECT key, i, {SQL_STEM} AS stem FROM words), p AS (SELECT key, i AS j, lag(i) OVER (PARTITION BY key, stem ORDER BY i) AS i FROM st WHERE stem <> '')
-    SELECT key, i, j FROM p WHERE j - i <= 150 AND (j - i) * 300 <= 45000""",
+    f"""{sql_with('words')}, {FORMS}, st AS (SELECT key, i, {SQL_STEM} AS stem, row_number() OVER (PARTITION BY key ORDER BY i) AS p FROM forms WHERE NOT {SQL_FILLER})
+    SELECT a.key, a.i AS i, b.i AS j FROM st a JOIN st b ON a.key = b.key AND a.stem = b.stem AND b.p - a.p BETWEEN 1 AND 150 AND (b.i - a.i) * 300 <= 45000""",
 )
 def _(spark, d):
-    return text.repeated_stems(C.words(spark, d))
+    return retakes.repeated_stems(C.spoken(spark, d))
 
 
 SENTENCES = f"se AS (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS sentence FROM (SELECT *, coalesce(lag({SQL_ENDS}) OVER (PARTITION BY key ORDER BY i), false) AS e FROM forms))"
@@ -469,7 +461,7 @@ SENTENCES = f"se AS (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITIO
 
 @query(
     "content_containment",
-    f"""{sql_with('words')}, {FORMS}, {SENTENCES}, c AS (SELECT key, sentence, coalesce(list(DISTINCT form) FILTER (WHERE length(form) >= 3 AND form NOT IN {sql_list(text.STOP_WORDS)}), []) AS c FROM se GROUP BY key, sentence),
+    f"""{sql_with('words')}, {FORMS}, {SENTENCES}, c AS (SELECT key, sentence, coalesce(list(DISTINCT form) FILTER (WHERE {SQL_CONTENT}), []) AS c FROM se GROUP BY key, sentence),
     n AS (SELECT *, lead(c) OVER (PARTITION BY key ORDER BY sentence) AS d FROM c)
     SELECT key, CAST(sentence AS BIGINT) AS sentence, CAST(len(c) AS BIGINT) AS n_content, CAST(len(list_filter(c, lambda x: NOT list_contains(d, x))) AS BIGINT) AS missing FROM n WHERE d IS NOT NULL""",
 )
@@ -487,9 +479,25 @@ def _(spark, d):
     return broken.groupBy("key", "caption").agg(F.count("*").alias("n"), line.alias("text"))
 
 
-@query("caption_groups")
+@query(
+    "caption_groups",
+    "WITH RECURSIVE "
+    + sql_with("words").removeprefix("WITH ")
+    + r""", m AS (SELECT key, i, w, i // 12 AS moment, length(w) AS l, regexp_matches(rtrim(w), '[.!?]$') AS stop, regexp_matches(rtrim(w), ',$') AS comma FROM words),
+    r AS (SELECT key, i, moment, 1 AS n, l AS letters, 0 AS part, stop OR l > 26 AS done FROM m WHERE i % 12 = 0
+      UNION ALL
+      SELECT m.key, m.i, m.moment, CASE WHEN r.done THEN 1 ELSE r.n + 1 END, CASE WHEN r.done THEN m.l ELSE r.letters + m.l END, CASE WHEN r.done THEN r.part + 1 ELSE r.part END,
+        m.stop OR CASE WHEN r.done THEN m.l > 26 ELSE r.n + 1 >= 6 OR r.letters + m.l > 26 OR (m.comma AND r.n + 1 >= 3) END
+      FROM r JOIN m ON m.key = r.key AND m.i = r.i + 1 AND m.moment = r.moment),
+    g AS (SELECT m.key, m.moment, r.part, count(*) AS n, min(m.i) * 300 AS start, (max(m.i) + 1) * 300 AS "end", list(m.w ORDER BY m.i) AS ws FROM m JOIN r ON r.key = m.key AND r.i = m.i GROUP BY m.key, m.moment, r.part),
+    k AS (SELECT *, unnest(generate_series(1, greatest(len(ws) - 1, 1))) AS k FROM g),
+    s AS (SELECT *, row_number() OVER (PARTITION BY key, moment, part ORDER BY abs(length(array_to_string(ws[1:k], ' ')) - length(array_to_string(ws[k+1:], ' '))), k) AS best FROM k)
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS caption, n, start, "end", CAST(CASE WHEN n < 2 THEN 0 ELSE k END AS BIGINT) AS split, array_to_string(ws, ' ') AS text FROM s WHERE best = 1""",
+)
 def _(spark, d):
-    return timeline.captions(C.words(spark, d), 12)
+    spoken = C.spoken(spark, d).withColumn("n", F.size("words").cast("long")).withColumn("places", F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>")))
+    at = lambda f: F.transform("places", f)
+    return timeline.captions(spoken.select("key", "words", at(lambda k: k * 300).alias("start"), at(lambda k: (k + 1) * 300).alias("end"), at(lambda k: F.floor(k / 12)).alias("moment")))
 
 
 @query(
@@ -747,8 +755,34 @@ def _(spark, d):
 
 @query("retake_flags")
 def _(spark, d):
-    texts = C.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.array_remove(F.split(F.trim("text"), r"\s+"), "").alias("words"))
-    return align.retake_flags(texts)
+    return retakes.retake_flags(C.spoken(spark, d))
+
+
+def moments(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents in moments of eight."""
+    return C.words(spark, d).withColumn("moment", F.floor(F.col("i") / 8))
+
+
+@query("moment_suggestions")
+def _(spark, d):
+    return retakes.suggestions(moments(spark, d), retakes.retake_flags(C.spoken(spark, d)))
+
+
+@query("take_cuts")
+def _(spark, d):
+    return retakes.take_cuts(moments(spark, d), retakes.retake_flags(C.spoken(spark, d)))
+
+
+@query(
+    "moment_reasons",
+    rf"""WITH t AS (SELECT conv_id AS key, turn AS i, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM conversations),
+    r AS (SELECT *, list_filter(list_transform(ws, lambda w: {SQL_FORM}), lambda form: NOT {SQL_FILLER}) AS rest FROM t)
+    SELECT key, i, CASE WHEN ws IS NULL OR len(ws) = 0 THEN NULL WHEN len(rest) = 0 THEN 'hesitation'
+    WHEN len(list_filter(rest, lambda x: x NOT IN {sql_list(lexicon.ASIDE_WORDS)})) = 0 AND len(list_filter(rest, lambda x: x IN {sql_list(lexicon.ASIDE_TRIGGERS)})) > 0 THEN 'aside' END AS reason FROM r""",
+)
+def _(spark, d):
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    return C.turns(spark, d).select("key", "i", retakes.moment_reason(words).alias("reason"))
 
 
 # ---------------------------------------------------------------- tracks and clips

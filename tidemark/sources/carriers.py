@@ -28,6 +28,15 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("key", "id", F.col("t").alias("s"), (F.col("t") + F.col("cents") * (MINUTE // 100)).alias("e"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "text")
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, words): the words of whole texts in one row."""
+    return texts(spark, sf_dir).select("key", F.array_remove(F.split(F.trim("text"), r"\s+"), "").alias("words"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, lang, i, w): the words of whole texts, one every 300 ms on the words' clock."""
     d = table(spark, sf_dir, "documents")
