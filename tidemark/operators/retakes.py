@@ -114,68 +114,78 @@ def repeated_runs(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(n, j - i)
 
 
-def starts(s: Spoken) -> list[tuple[int, int, int, str]]:
-    """(i, j, n, reason): pairs where the words from i to j are an abandoned take that starts again at j with n equal words.
+class Starts:
+    """Pairs (i, j) where the words from i to j may be an abandoned take that starts again at j with n equal words.
 
     A stutter repeats two words or more at once. A false start repeats three or more, one with content or five at least, goes
     on for TAIL words at most and ends no sentence before its last word. A whole take of four words or more, one with
     content, is like what follows. In the latter two what the take says must be said again: all its content stems, or all
-    but one where it has three or more and ends no sentence. Words beside the talk that end a take don't count."""
-    i, j = s.band()
-    size = len(s.stem)
-    n, d = repeated_runs(i, j, size), j - i
-    upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
-    contents, sentence_ends = upto(s.content), upto(s.ends)
-    # the take's last word that isn't said aside
-    core = np.concatenate(([-1], np.maximum.accumulate(np.where(s.aside, -1, np.arange(size)))))[j] if size else np.zeros(0, np.int64)
-    some_core = core >= i
-    finished = some_core & s.ends[core] if size else some_core
-    inner = some_core & (sentence_ends[np.maximum(core, i)] > sentence_ends[i])
-    stutter = (n >= 2) & (d == n)
-    false_start = (n >= 3) & (d - n <= TAIL) & ((n >= 5) | (contents[np.minimum(i + n, size)] > contents[i])) & ~inner
-    retake = (d >= 4) & (contents[j] > contents[i])
-    open_ = np.flatnonzero(false_start | retake)
-    # a content word of the take whose stem doesn't come again soon enough is missing: most pairs end here
-    order = np.argsort(s.stem, kind="stable")
-    following, same = np.full(size, 1 << 40), s.stem[order[1:]] == s.stem[order[:-1]]
-    following[order[:-1][same]] = order[1:][same]
-    said_again = np.zeros(len(i), bool)
-    for some in np.split(open_, range(4096, len(open_), 4096)):
-        place = i[some, None] + np.arange(BACK)
-        inside = place < j[some, None]
-        place = np.minimum(place, size - 1)
-        missing = (inside & s.content[place] & (following[place] >= (j + d + 6)[some, None])).sum(1)
-        said_again[some] = missing <= np.where(finished[some], 0, 1)
-    for k in np.flatnonzero(said_again).tolist():
-        a, b = int(i[k]), int(j[k])
-        said = set(s.stem[a:b][s.content[a:b]].tolist())
-        said_again[k] = len(said.difference(s.stem[b : 2 * b - a + 6].tolist())) <= (0 if finished[k] or len(said) < 3 else 1)
-    false_start &= said_again
-    retake &= said_again
-    for k in np.flatnonzero(retake).tolist():
-        a, b = int(i[k]), int(j[k])
-        matcher = SequenceMatcher(None, s.stem[a:b].tolist(), s.stem[b : 2 * b - a + 2].tolist())
-        retake[k] = matcher.real_quick_ratio() >= LIKENESS and matcher.quick_ratio() >= LIKENESS and matcher.ratio() >= LIKENESS
-    good = np.flatnonzero(stutter | false_start | retake)
-    return [(int(i[k]), int(j[k]), int(n[k]), RETAKE if retake[k] else FALSE_START) for k in good.tolist()]
+    but one where it has three or more and ends no sentence. Words beside the talk that end a take don't count.
+
+    What arrays tell is settled for all pairs at once; the rest only for pairs that are asked for."""
+
+    def __init__(self, s: Spoken) -> None:
+        self.s = s
+        i, j = s.band()
+        size = len(s.stem)
+        n, d = repeated_runs(i, j, size), j - i
+        upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+        contents, sentence_ends = upto(s.content), upto(s.ends)
+        # the take's last word that isn't said aside
+        core = np.concatenate(([-1], np.maximum.accumulate(np.where(s.aside, -1, np.arange(size)))))[j] if size else np.zeros(0, np.int64)
+        some_core = core >= i
+        finished = some_core & s.ends[core] if size else some_core
+        inner = some_core & (sentence_ends[np.maximum(core, i)] > sentence_ends[i])
+        stutter = (n >= 2) & (d == n)
+        false_start = (n >= 3) & (d - n <= TAIL) & ((n >= 5) | (contents[np.minimum(i + n, size)] > contents[i])) & ~inner
+        retake = (d >= 4) & (contents[j] > contents[i])
+        # a content word of the take whose stem doesn't come again soon enough is missing: most pairs end here
+        order = np.argsort(s.stem, kind="stable")
+        following, same = np.full(size, 1 << 40), s.stem[order[1:]] == s.stem[order[:-1]]
+        following[order[:-1][same]] = order[1:][same]
+        open_, hopeful = np.flatnonzero(false_start | retake), np.zeros(len(i), bool)
+        for some in np.split(open_, range(4096, len(open_), 4096)):
+            place = i[some, None] + np.arange(BACK)
+            inside = place < j[some, None]
+            place = np.minimum(place, size - 1)
+            missing = (inside & s.content[place] & (following[place] >= (j + d + 6)[some, None])).sum(1)
+            hopeful[some] = missing <= np.where(finished[some], 0, 1)
+        kept = np.flatnonzero(stutter | hopeful)
+        # by start, then the one with most equal words and of those the nearest
+        kept = kept[np.lexsort((-i[kept], -n[kept], j[kept]))]
+        self.i, self.j, self.n = i[kept], j[kept], n[kept]
+        self.stutter, self.finished = stutter[kept], finished[kept]
+        self.false_start, self.retake = (false_start & hopeful)[kept], (retake & hopeful)[kept]
+
+    def reason(self, k: int) -> str | None:
+        stem, a, b = self.s.stem, int(self.i[k]), int(self.j[k])
+        again = False
+        if self.false_start[k] or self.retake[k]:
+            said = set(stem[a:b][self.s.content[a:b]].tolist())
+            again = len(said.difference(stem[b : 2 * b - a + 6].tolist())) <= (0 if self.finished[k] or len(said) < 3 else 1)
+        if again and self.retake[k]:
+            matcher = SequenceMatcher(None, stem[a:b].tolist(), stem[b : 2 * b - a + 2].tolist())
+            if matcher.real_quick_ratio() >= LIKENESS and matcher.quick_ratio() >= LIKENESS and matcher.ratio() >= LIKENESS:
+                return RETAKE
+        return FALSE_START if self.stutter[k] or again and self.false_start[k] else None
 
 
 def abandoned(words: list[str | None], ms: np.ndarray) -> list[str | None]:
     """For each word why it goes, or None. Of the takes that start again at a word the one with most equal words counts, of
     those the nearest; reading goes on after the equal words, which are no new start."""
     s, out = Spoken(words, ms), [None] * len(words)
-    by_start: dict[int, tuple[int, int, str]] = {}
-    for i, j, n, reason in starts(s):
-        by_start[j] = max(by_start.get(j, (0, 0, "")), (n, i, reason))
-    free = 1
-    for j in sorted(by_start):
-        if j < free:
+    found, k, free = Starts(s), 0, 1
+    while k < len(found.j):
+        j = int(found.j[k])
+        reason = found.reason(k) if j >= free else None
+        if reason is None:
+            k += 1
             continue
-        n, i, reason = by_start[j]
-        for k in range(int(s.at[i]), int(s.at[j])):
-            if out[k] is None or reason == RETAKE:
-                out[k] = reason
-        free = j + n
+        for place in range(int(s.at[found.i[k]]), int(s.at[j])):
+            if out[place] is None or reason == RETAKE:
+                out[place] = reason
+        free = j + int(found.n[k])
+        k = int(np.searchsorted(found.j, free))
     return out
 
 
