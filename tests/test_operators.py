@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,10 +204,40 @@ def test_split_then_join_gives_the_parts_back(spark):
 
 
 def test_leaders_and_links(spark):
-    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.9, 0.1]), (3, 0, [0.0, 1.0])], "id long, label int, embedding array<double>")
-    assert rows(vectors.leader_clusters(v, 0.9), "id", "leader") == [(1, 1), (2, 1), (3, 3)]
-    assert rows(vectors.average_link(v, 0.5), "id", "cluster") == [(1, 1), (2, 1), (3, 3)]
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.9, 0.1]), (3, 0, [0.0, 1.0]), (4, 0, None)], "id long, label int, embedding array<double>")
     assert rows(vectors.similar_pairs(v, 0.9), "i", "j") == [(1, 2)]
+    r = v.selectExpr("cast(label as long) as key", "id", "1 as n", "embedding")
+    assert rows(vectors.average_link(r, 0.5), "id", "cluster") == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert vectors.average_link(r.limit(0), 0.5).count() == 0 and vectors.leader_clusters(r.limit(0), 0.5).count() == 0
+
+
+def test_too_large_a_group_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_ROWS", 2)
+    r = spark.createDataFrame([(1, k, [1.0 * k]) for k in range(3)], "key long, id long, embedding array<double>")
+    with pytest.raises(Exception, match="a group of 3 rows"):
+        vectors.average_link(r, 0.5).collect()
+
+
+def test_leaders_plain_version(spark):
+    rng = np.random.default_rng(5)
+    v = [(1, k, int(rng.integers(1, 6)), rng.normal(size=3).tolist()) for k in range(60)]
+    groups = []
+    for _, k, n, x in sorted(v, key=lambda r: (-r[2], r[1])):
+        x = np.array(x) / np.linalg.norm(x)
+        sims = [float(x @ g[1] / np.linalg.norm(g[1])) for g in groups]
+        best = max(range(len(groups)), key=lambda g: (sims[g], g), default=None)
+        if best is not None and sims[best] >= 0.6:
+            groups[best] = (groups[best][0] + [k], groups[best][1] + n * x)
+        else:
+            groups.append(([k], n * x))
+    of = {k: g[0][0] for g in groups for k in g[0]}
+    seen = {k: n for _, k, n, _ in v}
+    order = sorted(groups, key=lambda g: (-sum(seen[k] for k in g[0]), -seen[g[0][0]], g[0][0]))
+    person = {k: 1 + p for p, g in enumerate(order) for k in g[0]}
+    got = vectors.leader_clusters(spark.createDataFrame([*v, (1, 99, 3, None)], "key long, id long, n int, embedding array<double>"), 0.6).where("id < 99").collect()
+    assert {r["id"]: r["cluster"] for r in got} == of
+    ranks = {r["id"]: r["person"] for r in got}
+    assert sorted(ranks, key=lambda k: (ranks[k], k)) == sorted(person, key=lambda k: (person[k], k))
 
 
 def test_costs(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, tracks
@@ -36,6 +38,30 @@ def test_suppressed_and_linked(spark):
     assert rows(tracks.linked(f, 2.5, 4), "id", "track") == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 5)]
 
 
+def test_nearest_pairs_of_an_instant_come_first(spark):
+    # by id the first face would take the track that the second one is nearer to
+    f = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 1.0, [1.0, 0.0]), (1, 1, 2, 1.0, 0.0, 1.0, [1.0, 0.0]), (1, 1, 3, 0.2, 0.0, 1.0, [1.0, 0.0]), (1, 2, 4, 0.2, 0.0, 1.0, [0.0, 1.0]), (1, 2, 5, None, 0.0, 1.0, None)], "key long, k long, id long, x double, y double, w double, emb array<double>")
+    assert rows(tracks.linked(f, 2.5, 4), "id", "track") == [(1, 1), (2, 2), (3, 1), (4, 1)]
+    assert rows(tracks.linked(f, 2.5, 4, alike=0.2), "id", "track") == [(1, 1), (2, 2), (3, 1), (4, 4)]
+    assert rows(tracks.linked(f, 2.5, 4, 2, 0.2), "id", "track") == [(1, 1), (3, 1)]
+    assert rows(tracks.linked(f.where("id = 1"), 2.5, 4, 2), "id", "track") == [(1, 1)]
+
+
+def test_zooms_plain_version(spark):
+    rng, want, marks = random.Random(9), set(), []
+    for key in range(30):
+        times = sorted(rng.sample(range(30_000), rng.randint(1, 60)))
+        end = times[-1] + rng.randint(1, 3000)
+        marks += [(key, t, end) for t in times]
+        at, side = times[0], 0
+        while at < end:
+            fit = [t for t in times if at + 1300 <= t < end - 300]
+            upto = min(fit, key=lambda t: (abs(t - at - 1800), t)) if fit else end
+            want.add((key, at, upto, side % 2))
+            at, side = upto, side + 1
+    assert set(rows(tracks.zooms(spark.createDataFrame(marks, "key long, t long, end long"), 1800, 1300, 300), "key", "s", "e", "side")) == want
+
+
 def test_thinned_zooms_and_clips(spark):
     p = spark.createDataFrame([(1, t, t) for t in range(10)], "key long, t long, id long")
     assert rows(tracks.thinned(p, 3), "t") == [(0,), (4,), (8,)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -84,21 +85,41 @@ def suppressed(boxes: DataFrame, most_overlap: float, most: int = 5000) -> DataF
     return boxes.groupBy("key").applyInPandas(run, boxes.schema)
 
 
-def linked(faces: DataFrame, reach: float, hole: int) -> DataFrame:
-    """(key, k, id, track): faces (key, k, id, x, y, w) of a video, instant by instant, put on the track whose last face is
-    nearest, within `reach` widths and `hole` instants; else on a new one. An instant's faces come in order of id."""
-
-    def step(state, k, id_, x, y, w):
-        now, taken, tracks = state
-        if k != now:
-            now, taken = k, set()
-            tracks = {t: v for t, v in tracks.items() if k - v[0] <= hole}
-        near = min(((abs(complex(x - tx, y - ty)), t) for t, (_, tx, ty, tw) in tracks.items() if t not in taken and abs(complex(x - tx, y - ty)) <= reach * max(w, tw)), default=None)
-        track = near[1] if near else id_
-        taken = taken | {track}
-        return (now, taken, {**tracks, track: (k, x, y, w)}), (track,)
-
-    return fold(faces, ["key"], ["k", "id"], ["x", "y", "w"], "track long", lambda: (None, set(), {}), step).select("key", "k", "id", "track")
+def linked(faces: DataFrame, reach: float, hole: int, least_seen: int = 1, alike: float | None = None) -> DataFrame:
+    """(key, k, id, track): faces (key, k, id, x, y, w; with `alike` also a unit vector emb) of a video, instant by instant.
+    All faces of an instant and all tracks seen at most `hole` instants ago are paired, nearest first: a pair holds if
+    neither is taken, they are at most `reach` widths of the wider one apart and, where both have a vector, their product is
+    `alike` at least. A face left over opens a track, named by its id. Tracks of fewer than `least_seen` faces go, but for
+    the only one of a key. Null places are left out.
+
+    An instant has few faces, so they come as one row; only the last face of each track is carried on."""
+    given = ["id", "x", "y", "w", *(["emb"] if alike is not None else [])]
+    instants = faces.where("x is not null and y is not null and w is not null").groupBy("key", "k").agg(F.array_sort(F.collect_list(F.struct(*given))).alias("found"))
+
+    def step(tracks, k, found):
+        near = {t: v for t, v in tracks.items() if k - v[0] <= hole}
+        pairs = sorted((math.hypot(f["x"] - x, f["y"] - y), n, t) for n, f in enumerate(found) for t, (_, x, y, _, _) in near.items())
+        of: dict[int, int] = {}
+        for d, n, t in pairs:
+            _, _, _, width, emb = near[t]
+            own = found[n].get("emb")
+            apart = alike is not None and own is not None and emb is not None and sum(a * b for a, b in zip(own, emb, strict=False)) < alike
+            if n not in of and t not in of.values() and d <= reach * max(found[n]["w"], width) and not apart:
+                of[n] = t
+        out = []
+        for n, f in enumerate(found):
+            track = of.get(n, f["id"])
+            near[track] = (k, f["x"], f["y"], f["w"], f.get("emb"))
+            out.append({"id": f["id"], "track": track})
+        return near, (out,)
+
+    walked = fold(instants, ["key"], ["k"], ["found"], "linked array<struct<id:long,track:long>>", dict, step)
+    each = walked.select("key", "k", F.explode("linked").alias("l")).select("key", "k", "l.id", "l.track")
+    if least_seen <= 1:
+        return each
+    seen = each.groupBy("key", "track").agg(F.count("*").alias("n"))
+    kept = seen.withColumn("tracks", F.count("*").over(Window.partitionBy("key"))).where(f"n >= {least_seen} or tracks = 1")
+    return each.join(kept.select("key", "track"), ["key", "track"]).select("key", "k", "id", "track")
 
 
 def thinned(points: DataFrame, most: int) -> DataFrame:
@@ -112,20 +133,34 @@ def thinned(points: DataFrame, most: int) -> DataFrame:
 
 def zooms(marks: DataFrame, target: int, least: int, margin: int) -> DataFrame:
     """(key, s, e, side): a clip (key) of marks (t) and its end, cut into zooms: from each start the next boundary is the mark
-    nearest `target` later that lies at least `least` later and `margin` before the end, else the end; sides alternate."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, end = np.sort(pdf["t"].to_numpy()), int(pdf["end"].iloc[0])
-        at, out = int(times[0]), []
+    nearest `target` later, the earlier of equals, that lies at least `least` later and `margin` before the end, else the
+    end; sides alternate. Marks without a time are left out.
+
+    Marks are walked in order with the best one so far: once a mark lies further from the target than that, or at the clip's
+    last mark, the boundary is settled. Each mark gives the zooms that it settles."""
+    timed = marks.where("t is not null and end is not null").select("key", "t", "end")
+    last = F.lead("t").over(Window.partitionBy("key").orderBy("t")).isNull()
+
+    def step(state, t, end, closing):
+        at, side, waiting = state if state else (t, 0, [])
+        out = []
+        waiting = [x for x in waiting if x >= at + least] + [t]
         while True:
-            fit = times[(times >= at + least) & (times < end - margin)]
-            upto = int(fit[np.argmin(np.abs(fit - (at + target)))]) if len(fit) else end
-            out.append((pdf["key"].iloc[0], at, upto, len(out) % 2))
-            if upto >= end:
-                return pd.DataFrame(out, columns=["key", "s", "e", "side"])
-            at = upto
-
-    return marks.groupBy("key").applyInPandas(run, "key long, s long, e long, side long")
+            fit = [x for x in waiting if at + least <= x < end - margin]
+            best = min(fit, key=lambda x: (abs(x - at - target), x), default=None)
+            settled = best is not None and abs(t - at - target) > abs(best - at - target) and t > at + target
+            if not settled and not closing:
+                break
+            upto = best if best is not None else end
+            out.append({"s": at, "e": upto, "side": side % 2})
+            at, side = upto, side + 1
+            waiting = [x for x in waiting if x > at]
+            if at >= end:
+                break
+        return (at, side, waiting), (out,)
+
+    walked = fold(timed.withColumn("closing", last), ["key"], ["t"], ["end", "closing"], "cut array<struct<s:long,e:long,side:long>>", lambda: None, step)
+    return walked.select("key", F.explode("cut").alias("c")).select("key", "c.s", "c.e", "c.side")
 
 
 def nearest_clip(points: DataFrame, clips: DataFrame) -> DataFrame:
