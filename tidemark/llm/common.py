@@ -43,9 +43,12 @@ def only(df: DataFrame, *wanted: str) -> DataFrame:
 
 
 def work_path(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where it is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset a local folder serves a
+    local master, as in tests; on a cluster it is an error, as no other machine could read it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
