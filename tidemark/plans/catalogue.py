@@ -791,6 +791,91 @@ def _(spark, d):
     return C.turns(spark, d).select("key", "i", retakes.moment_reason(words).alias("reason"))
 
 
+# ---------------------------------------------------------------- column functions
+
+
+@query(
+    "word_keys",
+    rf"""{sql_with('words')}, d AS (SELECT DISTINCT w FROM words), f AS (SELECT w, {SQL_FORM} AS form FROM d)
+    SELECT w, form, CASE WHEN length({SQL_BARE}) > 3 THEN regexp_replace({SQL_BARE}, '[sx]$', '') ELSE {SQL_BARE} END AS stem, replace(replace(form, 'œ', 'oe'), 'æ', 'ae') AS clean,
+    CASE regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]', '', 'g') WHEN 'okay' THEN 'ok' ELSE regexp_replace(lower(w), '[^\p{{L}}\p{{N}}]', '', 'g') END AS letters FROM f""",
+)
+def _(spark, d):
+    return C.words(spark, d).select("w").distinct().select("w", S.word_form("w").alias("form"), S.stem("w").alias("stem"), S.clean_word("w").alias("clean"), S.letters_key("w").alias("letters"))
+
+
+@query(
+    "names_and_paths",
+    r"""WITH p AS (SELECT c_custkey AS id, c_name || '  / ' || c_mktsegment AS name, '/a/' || c_mktsegment || '/' || replace(c_name, '#', '.v') || CASE c_custkey % 3 WHEN 0 THEN '.MOV' WHEN 1 THEN '' ELSE '.mkv' END AS path FROM customer)
+    SELECT id, left(trim(regexp_replace(regexp_replace(name, '[\x00-\x1f/\\]', ' ', 'g'), '\s+', ' ', 'g')), 150) AS display, regexp_replace(name, '[<>:"/\\|?*\x00-\x1f]', '_', 'g') AS safe,
+    regexp_replace(regexp_extract(path, '[^/]*$', 0), '\.[^.]*$', '') AS stem, coalesce(nullif(lower(regexp_extract(path, '\.([^./]+)$', 1)), ''), 'mp4') AS extension,
+    replace(replace(replace(replace(replace(name || '<"&''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped, upper(left(name, 1)) || lower(substr(name, 2)) AS capital FROM p""",
+)
+def _(spark, d):
+    c = C.table(spark, d, "customer")
+    name = F.concat("c_name", F.lit("  / "), "c_mktsegment")
+    path = F.concat(F.lit("/a/"), "c_mktsegment", F.lit("/"), F.replace("c_name", F.lit("#"), F.lit(".v")), F.when(F.col("c_custkey") % 3 == 0, ".MOV").when(F.col("c_custkey") % 3 == 1, "").otherwise(".mkv"))
+    n = c.select(F.col("c_custkey").alias("id"), name.alias("name"), path.alias("path"))
+    return n.select("id", S.display_name("name").alias("display"), S.file_safe("name").alias("safe"), S.path_stem("path").alias("stem"), S.extension("path").alias("extension"), S.html_escaped(F.concat("name", F.lit("<\"&'>"))).alias("escaped"), S.capitalized("name").alias("capital"))
+
+
+@query(
+    "stamps_and_sizes",
+    """SELECT l_orderkey AS id, l_linenumber AS line, printf('%02d:%02d:%02d,%03d', l_partkey * 997 // 3600000, l_partkey * 997 // 60000 % 60, l_partkey * 997 // 1000 % 60, l_partkey * 997 % 1000) AS stamp,
+    CASE WHEN l_partkey < 60 THEN printf('%d s', l_partkey) WHEN l_partkey < 3600 THEN printf('%d min %02d s', l_partkey // 60, l_partkey % 60) ELSE printf('%d h %02d min', l_partkey // 3600, l_partkey // 60 % 60) END AS lasting,
+    gcd(l_partkey, l_suppkey) AS divisor, greatest(80, least(250, 40 * length(regexp_replace(repeat('a.', CAST(l_linenumber AS BIGINT)), '[^A-Za-z0-9]', '', 'g')))) AS least_ms FROM lineitem""",
+)
+def _(spark, d):
+    li = C.table(spark, d, "lineitem")
+    part = F.col("l_partkey").cast("long")
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), S.stamp(part * 997).alias("stamp"), S.human_duration(part).alias("lasting"), S.gcd(part, F.col("l_suppkey")).alias("divisor"), S.least_length_ms(F.repeat(F.lit("a."), F.col("l_linenumber").cast("int"))).cast("long").alias("least_ms"))
+
+
+@query(
+    "levels",
+    """WITH e AS (SELECT event_id AS id, value FROM events), l AS (SELECT id, value, CASE WHEN value <= 100 THEN CAST('-inf' AS DOUBLE) ELSE -0.691 + 10 * log10(value - 100) END AS loud FROM e)
+    SELECT id, CAST(CASE WHEN loud = CAST('-inf' AS DOUBLE) THEN NULL ELSE round(loud * 1e4) END AS BIGINT) AS loudness, CAST(CASE WHEN loud = CAST('-inf' AS DOUBLE) THEN 0 ELSE round((-14.0 - loud) * 1e4) END AS BIGINT) AS gain,
+    CAST(round(CASE WHEN value * 10 < 1000 THEN value * 10 * 3 / 200 ELSE 15 + ln(value * 10 / 1000) / (ln(6.4) / 27) END * 1e4) AS BIGINT) AS mel,
+    CAST(round(CASE WHEN value / 20 < 15 THEN value / 20 * 200 / 3 ELSE 1000 * exp((value / 20 - 15) * (ln(6.4) / 27)) END * 1e2) AS BIGINT) AS hertz FROM l""",
+)
+def _(spark, d):
+    e = C.table(spark, d, "events").select(F.col("event_id").alias("id"), "value")
+    loud = S.loudness(F.col("value") - 100)
+    whole = lambda c, k: F.round(c * k).cast("long")
+    return e.select("id", F.when(loud != float("-inf"), whole(loud, 1e4)).alias("loudness"), whole(S.gain_to(loud, F.lit(-14.0)), 1e4).alias("gain"), whole(S.mel(F.col("value") * 10), 1e4).alias("mel"), whole(S.hertz(F.col("value") / 20), 1e2).alias("hertz"))
+
+
+@query(
+    "settings_rows",
+    """SELECT event_id AS id, greatest(-30.0, least(-8.0, -value / 10)) AS loudness, greatest(0.5, least(3.0, value / 100)) AS factor, value > 0 AS has_value, json_extract_string(props, '$.k') IS NOT NULL AND length(json_extract_string(props, '$.k')) > 0 AS has_text FROM events""",
+)
+def _(spark, d):
+    e = C.table(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), S.clamped(-F.col("value") / 10, -30.0, -8.0).alias("loudness"), S.clamped(F.col("value") / 100, 0.5, 3.0).alias("factor"), S.truthy(F.col("value"), "number").alias("has_value"), S.truthy(F.get_json_object("props", "$.k"), "string").alias("has_text"))
+
+
+PROBE = "'Duration: ' || printf('%02d:%02d:%02d', o_custkey // 60 % 24, o_custkey % 60, o_orderkey % 60) || '.50, start' || chr(10) || 'Stream #0: Video: h264 (High (a)) (avc1), yuv420p, ' || (100 + o_orderkey % 4000) || 'x' || (100 + o_custkey % 3000) || ' [SAR ' || (1 + o_orderkey % 3) || ':2 DAR 16:9], 30 fps' || CASE WHEN o_orderkey % 2 = 1 THEN chr(10) || 'rotation of -90.00 degrees' ELSE '' END"
+
+
+@query(
+    "probe_fields",
+    """SELECT o_orderkey AS id, CAST(o_custkey // 60 % 24 * 3600 + o_custkey % 60 * 60 + o_orderkey % 60 AS DOUBLE) + 0.5 AS lasting, CAST(100 + o_orderkey % 4000 AS INTEGER) AS w, CAST(100 + o_custkey % 3000 AS INTEGER) AS h,
+    CASE WHEN o_orderkey % 2 = 1 THEN CAST(100 + o_custkey % 3000 AS INTEGER) ELSE CAST(round((100 + o_orderkey % 4000) * (1 + o_orderkey % 3) / 2.0) AS INTEGER) END AS shown_w,
+    CASE WHEN o_orderkey % 2 = 1 THEN CAST(round((100 + o_orderkey % 4000) * (1 + o_orderkey % 3) / 2.0) AS INTEGER) ELSE CAST(100 + o_custkey % 3000 AS INTEGER) END AS shown_h,
+    CAST(6 AS INTEGER) AS fields, CAST(o_custkey AS DOUBLE) / 100 AS speech, CAST(o_orderkey AS VARCHAR) AS asked FROM orders""",
+)
+def _(spark, d):
+    o = C.table(spark, d, "orders").withColumn("probe", F.expr(PROBE.replace("//", "DIV").replace("printf", "format_string")))
+    shown, coded = documents.display_size(F.col("probe")), documents.coded_size(F.col("probe"))
+    log = F.concat(F.lit("start = "), "o_custkey", F.lit(", end = 400"))
+    url = F.concat(F.lit("http://h/p?a=1%202&id="), "o_orderkey")
+    return o.select(
+        F.col("o_orderkey").alias("id"), documents.duration(F.col("probe")).alias("lasting"), coded["w"].alias("w"), coded["h"].alias("h"), shown["w"].alias("shown_w"), shown["h"].alias("shown_h"),
+        F.size(documents.flat_fields(F.lit("h264 (High (a, b), c), yuv420p, 10x10 [SAR 1:2 DAR 16:9], 30 fps, 25 tbr, 90k tbn"))).alias("fields"),
+        F.get(documents.voice_activity(log), 0)["a"].alias("speech"), F.get(documents.query_fields(url), 1)["v"].alias("asked"),
+    )
+
+
 # ---------------------------------------------------------------- tracks and clips
 
 
