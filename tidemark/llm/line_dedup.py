@@ -190,6 +190,15 @@ def all_candidates(every: DataFrame, matched: DataFrame, similarity: float) -> D
     return pairs.select(F.col("x_id").alias("earlier"), F.col("y_id").alias("later")).distinct()
 
 
+def among(places: DataFrame) -> Column:
+    """Whether a document may be one of the places: a table of BINS bytes tells which hashes they have, so that the texts of
+    most others needn't be shuffled to find out."""
+    bins = places.select(F.xxhash64("doc", "h").bitwiseAND(BINS - 1).alias("bin")).distinct().toArrow()  # BINS rows at most
+    held = np.zeros(BINS, np.uint8)
+    held[bins.column("bin").to_numpy()] = 1
+    return level_at(F.lit(held.tobytes()), F.xxhash64("doc", "h").bitwiseAND(BINS - 1)) == 1
+
+
 def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """(earlier, later, similarity): pairs whose word sets reach the bound; words are compared by their 64-bit hashes.
 
@@ -197,7 +206,8 @@ def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: fl
     spark = docs.sparkSession
     wanted = pairs.select(F.col("earlier").alias("id")).unionAll(pairs.select("later")).distinct()
     places = every.select("id", *PLACE).join(wanted, "id").groupBy("doc", "h").agg(F.collect_list(F.struct("id", "no")).alias("lines"))
-    held = texts_of(docs).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
+    places = common.stored(places, "line-places")
+    held = texts_of(docs).where(among(places)).join(places, ["doc", "h"]).select(F.split("text", "\n").alias("split"), F.explode("lines").alias("l"))
     sets = held.select("l.id", F.get("split", "l.no").alias("line")).dropDuplicates(["id"]).select("id", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w"))
     sets = common.stored(sets, "line-words")
     common.release(spark)
