@@ -116,3 +116,47 @@ def transitions(clips: DataFrame, settings: DataFrame) -> DataFrame:
     near = clips.withColumn("before", F.lag("kind").over(w)).withColumn("end", F.lag("e").over(w))
     cut = near.where(F.col("before").isNotNull() & (F.col("before") != F.col("kind")) & (F.col("end") != F.col("s")))
     return cut.join(settings, "kind", "left").select("key", "id", F.col("s").alias("at"), "style")
+
+
+def cut_points(clips: DataFrame, grid: int) -> DataFrame:
+    """(key, at, source, start): places where clips (key, at, length, source; whole frames) may be cut: where each starts, and
+    where its source passes a multiple of `grid`, so that the same content is cut alike wherever it stands. Clips with nulls
+    are left out."""
+    first = (F.floor(F.col("source") / grid) + 1) * grid
+    last = F.col("source") + F.col("length") - 1
+    inner = F.when(first <= last, F.sequence(first, last, F.lit(grid).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    known = clips.where("at is not null and length is not null and source is not null").withColumns({"at": F.col("at").cast("long"), "source": F.col("source").cast("long"), "length": F.col("length").cast("long")})
+    starts = known.select("key", "at", "source", F.lit(True).alias("start"))
+    return starts.unionByName(known.select("key", "at", "source", F.explode(inner).alias("g")).select("key", (F.col("at") + F.col("g") - F.col("source")).alias("at"), F.col("g").alias("source"), F.lit(False).alias("start")))
+
+
+def clip_times(clips: DataFrame, fps: float = 30.0) -> DataFrame:
+    """(key, i, at, source, lasting) in seconds of clips (key, i, at, source, length in frames): a clip without a place starts
+    where the one before ends. Clips without a source or a length above zero are left out.
+
+    A place counts from the last clip that has one, with the lengths in between: two windows."""
+    w = Window.partitionBy("key").orderBy("i")
+    known = clips.where("source is not null and length > 0").withColumn("group", F.count("at").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("key", "group").orderBy("i")
+    start = F.coalesce(F.first("at").over(inside), F.lit(0)) + F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return known.select("key", "i", (start / fps).alias("at"), (F.col("source") / fps).alias("source"), (F.col("length") / fps).alias("lasting"))
+
+
+def shifted(effects: DataFrame, by: int, low: int, high: int) -> DataFrame:
+    """Effects (key, id, at) that start in [low, high), moved by `by` but not before 0; one without a time starts at 0."""
+    at = F.coalesce("at", F.lit(0))
+    return effects.where((at >= low) & (at < high)).select("key", "id", F.greatest(at + by, F.lit(0)).alias("at"))
+
+
+def nearest_rows(rows: DataFrame, sure: DataFrame, k: int = 2) -> DataFrame:
+    """(key, i, j): for each row (key, i) the k rows of `sure` (key, i) nearest in number, the earlier of equals.
+
+    The sure rows of a key are ranked; a row's nearest are among the k before it and the k after it, so it meets 2k ranks by
+    equality and no key makes pairs."""
+    both = rows.select("key", "i", F.lit(1).alias("asks")).unionByName(sure.select("key", "i", F.lit(0).alias("asks")))
+    rank = F.count_if(F.col("asks") == 0).over(Window.partitionBy("key").orderBy("i", "asks"))
+    ranked = both.withColumn("rank", rank)
+    asked = ranked.where("asks = 1").select("key", "i", F.explode(F.sequence(F.col("rank") - (k - 1), F.col("rank") + k)).alias("rank"))
+    met = asked.join(ranked.where("asks = 0").select("key", F.col("i").alias("j"), "rank"), ["key", "rank"])
+    near = F.row_number().over(Window.partitionBy("key", "i").orderBy(F.abs(F.col("i") - F.col("j")), "j"))
+    return met.withColumn("near", near).where(F.col("near") <= k).select("key", "i", "j")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import lexicon
+from tidemark.functions import frames, lexicon
 from tidemark.functions import scalars as S
 from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, retakes, series, text, timeline, tracks, vectors
 from tidemark.sources import carriers as C
@@ -876,6 +876,94 @@ def _(spark, d):
     )
 
 
+FRAMES = "WITH f AS (SELECT o_orderkey AS id, 100 + o_orderkey * 7 % 4000 AS w, 100 + o_custkey * 3 % 3000 AS h FROM orders UNION ALL SELECT -1 - c_custkey, 16 * (c_custkey + 1) + c_custkey % 3, 9 * (c_custkey + 1) FROM customer)"
+
+
+def shape_cases(name: str, ratios: tuple[tuple[int, int], ...], near: str) -> str:
+    return "CASE " + " ".join(f"WHEN {near.format(r=f'({a} / CAST({b} AS DOUBLE))')} THEN {name.format(a=a, b=b)}" for a, b in ratios)
+
+
+@query(
+    "frame_sizes",
+    f"""{FRAMES}, s AS (SELECT *, {shape_cases('{a}', frames.COMMON_RATIOS, 'abs((w / CAST(h AS DOUBLE)) / {r} - 1) < 0.01')} ELSE w END AS a, {shape_cases('{b}', frames.COMMON_RATIOS, 'abs((w / CAST(h AS DOUBLE)) / {r} - 1) < 0.01')} ELSE h END AS b FROM f),
+    e AS (SELECT *, 2 * CAST(round_even(b * 1080.0::DOUBLE / a / 2, 0) AS BIGINT) AS tall, 2 * CAST(round_even(a * 1080.0::DOUBLE / b / 2, 0) AS BIGINT) AS wide, 2 * CAST(round(1920.0::DOUBLE * h / w / 2) AS BIGINT) AS low, 2 * CAST(round(1080.0::DOUBLE * w / h / 2) AS BIGINT) AS narrow FROM s)
+    SELECT id, {shape_cases("'{a}:{b}'", frames.NAMED_RATIOS, '''abs(w / CAST(h AS DOUBLE) - {r}) / (w / CAST(h AS DOUBLE)) < 0.01''')} ELSE (w // gcd(w, h)) || ':' || (h // gcd(w, h)) END AS shape,
+    CASE WHEN w / CAST(h AS DOUBLE) > 1920.0 / 1080.0 THEN 1920 ELSE least(greatest(narrow, 2), 1920) END AS inside_w, CASE WHEN w / CAST(h AS DOUBLE) > 1920.0 / 1080.0 THEN least(greatest(low, 2), 1080) ELSE 1080 END AS inside_h,
+    CAST(CASE WHEN a <= b THEN 1080 ELSE greatest(wide, 2) END AS BIGINT) AS work_w, CAST(CASE WHEN a <= b THEN greatest(tall, 2) ELSE 1080 END AS BIGINT) AS work_h,
+    CASE WHEN w % 2 = 1 AND w % 120 >= 48 THEN w % 120 // 2 ELSE w % 120 END AS cadence, CASE WHEN h % 61 > 30.5 THEN w * 3 // 2 ELSE w END AS rate FROM e""",
+)
+def _(spark, d):
+    o, c = C.table(spark, d, "orders"), C.table(spark, d, "customer")
+    key, cust, own = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), F.col("c_custkey").cast("long")
+    f = o.select(key.alias("id"), (100 + key * 7 % 4000).alias("w"), (100 + cust * 3 % 3000).alias("h")).unionAll(c.select(-1 - own, 16 * (own + 1) + own % 3, 9 * (own + 1)))
+    w, h = F.col("w"), F.col("h")
+    fit, work = frames.fit_inside(w, h, 1920, 1080), frames.work_size(w, h, 1080)
+    return f.select("id", frames.ratio_name(w, h).alias("shape"), fit["w"].alias("inside_w"), fit["h"].alias("inside_h"), work["w"].alias("work_w"), work["h"].alias("work_h"), frames.cadence(w % 120, w % 2 == 1).alias("cadence"), frames.rate_for(w, h % 61).alias("rate"))
+
+
+@query(
+    "time_texts",
+    """SELECT event_id AS id, regexp_replace(printf('%.6f', value / 8), '\\.?0+$', '') AS trimmed, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') END AS iso,
+    strftime(to_timestamp(epoch_us(ts) // 1000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS whole FROM events""",
+)
+def _(spark, d):
+    p = C.table(spark, d, "events").select(F.col("event_id").alias("id"), "value", C.micros("ts").alias("t"))
+    return p.select("id", frames.trimmed(F.col("value") / 8).alias("trimmed"), frames.iso_time(F.col("t")).alias("iso"), frames.iso_time(F.floor(F.col("t") / 1_000_000) * 1_000_000).alias("whole"))
+
+
+@query(
+    "time_left",
+    """WITH j AS (SELECT event_id AS id, event_id % 101 / 100.0::DOUBLE AS f, event_id % 7 / 20.0::DOUBLE AS f0, event_id % 50 AS elapsed, value AS model FROM events),
+    l AS (SELECT *, model * (1 - f) AS m, CASE WHEN f > f0 AND elapsed > 3 THEN elapsed * (1 - f) / (f - f0) ELSE model * (1 - f) END AS live, least((f - f0) / 0.25, 1) AS w FROM j)
+    SELECT id, CAST(round((w * live + (1 - w) * m) * 1e4) AS BIGINT) AS rest, CAST(round(CASE WHEN id % 3 = 0 THEN 0.6::DOUBLE * model ELSE elapsed / CAST(id % 3 * 10 AS DOUBLE) END * 1e4) AS BIGINT) AS montage FROM l""",
+)
+def _(spark, d):
+    e = C.table(spark, d, "events").select(F.col("event_id").alias("id"), "value")
+    share, began, elapsed = F.col("id") % 101 / 100.0, F.col("id") % 7 / 20.0, F.col("id") % 50
+    whole = lambda c: F.round(c * 1e4).cast("long")
+    return e.select("id", whole(frames.time_left(share, began, elapsed, F.col("value"))).alias("rest"), whole(frames.montage_seconds(elapsed, F.col("id") % 3 * 10, F.col("value"))).alias("montage"))
+
+
+@query(
+    "cut_points",
+    """WITH c AS (SELECT l_orderkey AS key, l_linenumber * 1000 AS "at", CAST(l_quantity AS BIGINT) * 20 AS length, l_partkey % 5000 AS source FROM lineitem),
+    g AS (SELECT *, unnest(generate_series((source // 150 + 1) * 150, source + length - 1, 150)) AS g FROM c)
+    SELECT key, "at", source, true AS start FROM c UNION ALL SELECT key, "at" + g - source, g, false FROM g""",
+)
+def _(spark, d):
+    li = C.table(spark, d, "lineitem")
+    return timeline.cut_points(li.select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 1000).alias("at"), (F.col("l_quantity").cast("long") * 20).alias("length"), (F.col("l_partkey") % 5000).alias("source")), 150)
+
+
+@query(
+    "clip_times",
+    """WITH RECURSIVE c AS (SELECT o_custkey AS key, o_orderkey AS i, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 3 END AS "at", o_orderkey % 100 AS source, 10 + o_orderkey % 50 AS length FROM orders),
+    t AS (SELECT key, i, r, coalesce("at", 0) AS "at", source, length FROM c WHERE r = 1 UNION ALL SELECT c.key, c.i, c.r, coalesce(c."at", t."at" + t.length), c.source, c.length FROM t JOIN c ON c.key = t.key AND c.r = t.r + 1)
+    SELECT key, i, "at" / 30.0::DOUBLE AS "at", source / 30.0::DOUBLE AS source, length / 30.0::DOUBLE AS lasting FROM t""",
+)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    return timeline.clip_times(C.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), k.alias("i"), F.when(k % 4 == 0, k * 3).alias("at"), (k % 100).alias("source"), (10 + k % 50).alias("length")))
+
+
+@query(
+    "shifted_effects",
+    f"""{sql_with('points')}, e AS (SELECT key, id, coalesce(CASE WHEN cents % 5 > 0 THEN cents END, 0) AS "at" FROM points) SELECT key, id, greatest("at" - 3000, 0) AS "at" FROM e WHERE "at" >= 0 AND "at" < 20000""",
+)
+def _(spark, d):
+    return timeline.shifted(C.points(spark, d).select("key", "id", F.when(F.col("cents") % 5 > 0, F.col("cents")).alias("at")), -3000, 0, 20_000)
+
+
+@query(
+    "nearest_rows",
+    f"""{sql_with('turns')}, p AS (SELECT a.key, a.i, b.i AS j, row_number() OVER (PARTITION BY a.key, a.i ORDER BY abs(a.i - b.i), b.i) AS r FROM turns a JOIN turns b ON a.key = b.key AND a.i % 3 = 1 AND b.i % 3 <> 1)
+    SELECT key, i, j FROM p WHERE r <= 2""",
+)
+def _(spark, d):
+    t = C.turns(spark, d).select("key", "i")
+    return timeline.nearest_rows(t.where("i % 3 = 1"), t.where("i % 3 <> 1"))
+
+
 # ---------------------------------------------------------------- tracks and clips
 
 
