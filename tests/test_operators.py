@@ -252,3 +252,31 @@ def test_empty_tables(spark):
     iv, p = spark.createDataFrame([], IV), spark.createDataFrame([], PT)
     for df in (intervals.gaps(iv, 1), intervals.merged(iv), intervals.overlaps(iv, iv, 5), intervals.not_contained(iv), asof.nearest(p, p), islands.pause_chunks(p, 1), folds.capped_chunks(p, 1, 1), folds.packed(iv, 1, 1), series.interpolated(p, "cents", 1, 1), series.onsets(p, "cents", 4, 5, 5)):
         assert df.count() == 0
+
+
+def test_frames(spark):
+    from tidemark.functions import frames
+
+    f = spark.createDataFrame([(1920, 1080), (1918, 1080), (1000, 300), (0, 5), (None, 5)], "w long, h long")
+    assert [r[0] for r in f.select(frames.ratio_name(F.col("w"), F.col("h"))).collect()] == ["16:9", "16:9", "10:3", "?", None]
+    assert [tuple(r[0]) for r in f.limit(3).select(frames.fit_inside(F.col("w"), F.col("h"), 1080, 1920)).collect()] == [(1080, 608), (1080, 608), (1080, 324)]
+    assert [tuple(r[0]) for r in f.limit(3).select(frames.work_size(F.col("w"), F.col("h"), 1080)).collect()] == [(1920, 1080), (1920, 1080), (3600, 1080)]
+    one = spark.range(1)
+    box = frames.margin_box(F.lit(0.5), F.lit(0.5), F.lit(0.2), F.lit(0.2), F.lit(False))
+    assert [round(x, 9) for x in one.select(box).first()[0]] == [0.35, 0.34, 0.65, 0.68]
+    assert abs(one.select(frames.widest_zoom(F.lit(0.5), F.lit(0.5), box, 3.0)).first()[0] - 0.5 / 0.18) < 1e-9
+    whole = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    assert one.select(frames.widest_zoom(F.lit(0.5), F.lit(0.5), whole, 3.0)).first()[0] == 1.0
+    assert one.select(frames.same_ratio(F.lit(1921), F.lit(1080), F.lit(16), F.lit(9)), frames.same_ratio(F.lit(4), F.lit(3), F.lit(16), F.lit(9))).first()[:] == (True, False)
+    assert one.select(frames.iso_time(F.lit(-1)), frames.iso_time(F.lit(86_400_000_000)), frames.trimmed(F.lit(2.5)), frames.trimmed(F.lit(3.0))).first()[:] == ("1969-12-31T23:59:59.999999+00:00", "1970-01-02T00:00:00+00:00", "2.5", "3")
+
+
+def test_clips(spark):
+    c = spark.createDataFrame([(1, 1, None, 30, 60), (1, 2, None, 90, 30), (1, 3, 300, 0, 30), (1, 4, None, 5, 0), (1, 5, None, 60, 30), (1, 6, None, None, 30)], "key long, i long, at long, source long, length long")
+    assert rows(timeline.clip_times(c), "i", "at", "source", "lasting") == [(1, 0.0, 1.0, 2.0), (2, 2.0, 3.0, 1.0), (3, 10.0, 0.0, 1.0), (5, 11.0, 2.0, 1.0)]
+    cut = spark.createDataFrame([(1, 100, 200, 140), (1, 0, 5, 3), (1, None, 5, 3)], "key long, at long, length long, source long")
+    assert rows(timeline.cut_points(cut, 150), "at", "source", "start") == [(0, 3, True), (100, 140, True), (110, 150, False), (260, 300, False)]
+    e = spark.createDataFrame([(1, 1, 50), (1, 2, None), (1, 3, 10)], "key long, id long, at long")
+    assert rows(timeline.shifted(e, -20, 0, 40), "id", "at") == [(2, 0), (3, 0)]
+    near = timeline.nearest_rows(spark.createDataFrame([(1, 5), (1, 0), (2, 1)], "key long, i long"), spark.createDataFrame([(1, 1), (1, 4), (1, 6), (1, 9)], "key long, i long"))
+    assert rows(near) == [(1, 0, 1), (1, 0, 4), (1, 5, 4), (1, 5, 6)]
