@@ -31,14 +31,16 @@ from .samples import labelled, logistic, sigmoid
 
 #: Labelled documents of each class that are learned from, at most (those of the other class for the curve alone).
 LABELLED = 8_000
-#: Sums of moments that meet before the last one.
-BRANCHES = 32
 #: Hashed byte pairs, and byte kinds.
 PAIRS = 512
 KINDS = np.array([0 if b in b"\t\n\r\x0b\x0c " else 1 if 48 <= b < 58 else 2 if 65 <= b < 91 else 3 if 97 <= b < 123 else 4 if b >= 128 else 5 if b < 32 or b == 127 else 6 + (b * 7 + 3) % 34 for b in range(256)])
 FIRST_CODE, SECOND_CODE = (np.random.default_rng(k).integers(0, PAIRS, 256) for k in (1, 2))
 SHAPES = 9
 WIDTH = PAIRS + 40 + SHAPES
+#: Sums of moments after each round of adding: every task's go to one of so many, until one is left.
+BRANCHES = (64, 8, 1)
+#: Of a symmetric matrix the upper half is sent.
+UPPER = np.triu_indices(WIDTH)
 THRESHOLD = 0.3
 
 
@@ -129,7 +131,7 @@ def statistic_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def sum_row(branch: int, n: int, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"branch": pa.array([branch], pa.int32()), "n": [n], "first": [first.tobytes()], "second": [second.tobytes()]})
+    return pa.RecordBatch.from_pydict({"branch": pa.array([branch], pa.int32()), "n": [n], "first": [first.tobytes()], "second": [second[UPPER].tobytes()]})
 
 
 SUMS = "branch int, n long, first binary, second binary"
@@ -144,28 +146,37 @@ def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.stack([statistics(t.as_py() or b"") for t in column[k : k + 500]]).astype(float)
             n, first, second = n + len(x), first + x.sum(0), second + x.T @ x
     if n:
-        yield sum_row(TaskContext.get().partitionId() % BRANCHES, n, first, second)
+        yield sum_row(TaskContext.get().partitionId() % BRANCHES[0], n, first, second)
 
 
-def joined_sums(key, group):  # without hints: Spark tells the kind by the arguments
-    n, first, second = 0, np.zeros(WIDTH), np.zeros((WIDTH, WIDTH))
-    for k in range(len(group)):
-        n += group["n"][k].as_py()
-        first += np.frombuffer(group["first"][k].as_buffer())
-        second += np.frombuffer(group["second"][k].as_buffer()).reshape(WIDTH, WIDTH)
-    return pa.Table.from_batches([sum_row(0, n, first, second)])
+def whole_matrix(upper: np.ndarray) -> np.ndarray:
+    out = np.zeros((WIDTH, WIDTH))
+    out[UPPER] = upper
+    return out + np.triu(out, 1).T
+
+
+def joined_sums(branches: int):
+    def run(key, group):  # without hints: Spark tells the kind by the arguments
+        n, first, second = 0, np.zeros(WIDTH), np.zeros(len(UPPER[0]))
+        for k in range(len(group)):
+            n += group["n"][k].as_py()
+            first += np.frombuffer(group["first"][k].as_buffer())
+            second += np.frombuffer(group["second"][k].as_buffer())
+        return pa.Table.from_batches([sum_row(key[0].as_py() % branches, n, first, whole_matrix(second))])
+
+    return run
 
 
 def moments(docs: DataFrame) -> Moments | None:
-    """Those of all texts: summed in each task, then in BRANCHES tasks, then in one."""
+    """Those of all texts: summed in each task, then by BRANCHES, so that no task adds up more than a few of the others."""
     sums = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(sum_batches, SUMS)
-    for _ in range(2):
-        sums = sums.groupBy("branch").applyInArrow(joined_sums, SUMS)
+    for branches in (*BRANCHES[1:], 1):
+        sums = sums.groupBy("branch").applyInArrow(joined_sums(branches), SUMS)
     rows = sums.toArrow()  # one row of a fixed size
     if not len(rows):
         return None
     n = rows["n"][0].as_py()
-    return Moments(n, np.frombuffer(rows["first"][0].as_buffer()) / n, np.frombuffer(rows["second"][0].as_buffer()).reshape(WIDTH, WIDTH) / n)
+    return Moments(n, np.frombuffer(rows["first"][0].as_buffer()) / n, whole_matrix(np.frombuffer(rows["second"][0].as_buffer())) / n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> Model | None:
