@@ -264,3 +264,75 @@ def test_scores_take_awkward_rows(spark, awkward, empty):
     held = spark.createDataFrame([(next(d for d in range(99) if crc32(str(d).encode()) % 5 == 1), "some words")], "doc_id long, text string")
     r = suffix_tree_lm.score(held).first()
     assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3) and abs(r["base_score"]) < 1e-9
+
+
+def plain_suffix_tree(training: list[bytes]):
+    """log10 probability of a text by contexts counted, tested and looked up one by one."""
+    depth = suffix_tree_lm.DEPTH
+    counts: dict[bytes, Counter] = {}
+    for text in training:
+        stream = suffix_tree_lm.stream_of(suffix_tree_lm.words_of(text))
+        for i in range(depth, len(stream)):
+            for k in range(depth + 1):
+                counts.setdefault(stream[i - k : i], Counter())[stream[i]] += 1
+    states = {b""}
+    for context, own in counts.items():
+        if context:
+            short, total = counts[context[1:]], own.total()
+            gain = sum(n * (math.log(n) - math.log(short[x])) for x, n in own.items()) + total * (math.log(short.total()) - math.log(total))
+            if gain > suffix_tree_lm.LEAST_GAIN * len(own):
+                states |= {context[a:b] for a in range(len(context)) for b in range(a + 1, len(context) + 1)}
+
+    def p(context, x):
+        own = counts[context]
+        if not context:
+            return (own[x] + len(own) / 256) / (own.total() + len(own))
+        return (own[x] + len(own) * p(context[1:], x)) / (own.total() + len(own))
+
+    def score(text):
+        stream, out = suffix_tree_lm.stream_of(suffix_tree_lm.words_of(text)), 0.0
+        for i in range(depth, len(stream)):
+            context = next(stream[i - k : i] for k in range(depth, -1, -1) if stream[i - k : i] in states)
+            out += math.log10(p(context, stream[i]))
+        return out
+
+    return score, len(states)
+
+
+@pytest.mark.parametrize("most_states", [1 << 16, 30])
+def test_suffix_tree_plain_version(spark, monkeypatch, most_states):
+    monkeypatch.setattr(suffix_tree_lm, "MOST_STATES", most_states)
+    rng = random.Random(12)
+    words = "ein eins zwei drei bach bäche Haus hausen am um".split()
+    texts = {d: " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))).encode() for d in range(80)}
+    held = {d for d in texts if crc32(str(d).encode()) % 5 == 1}
+    plain, states = plain_suffix_tree([t for d, t in texts.items() if d not in held])
+    assert states > 60
+    got = suffix_tree_lm.score(spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string")).collect()
+    for r in got:
+        want = plain(texts[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-4 * max(1.0, abs(want))
+
+
+def test_lexicon_plain_version(spark):
+    """Weights, exceptions left aside, by counting documents one by one."""
+    rng = random.Random(13)
+    bad, filler = ["grobnik", "grobniks", "zarvel", "plundered"], [f"wort{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    ids = [d for d in range(400) if crc32(str(d).encode()) % 4 != 2]
+    rows = [(d, " ".join([rng.choice(filler) for _ in range(30)] + [rng.choice(bad) for _ in range(3 if k % 2 else 0)] + ([rng.choice(bad)] if rng.random() < 0.05 else [])), k % 2) for k, d in enumerate(ids)]
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    held, size = {}, Counter(y for _, _, y in rows)
+    for _, text, y in rows:
+        for e in toxicity.entries_of(text):
+            held.setdefault(e, [0, 0])[y] += 1
+    lift = {e: math.log((n[1] + 0.5) / (size[1] + 1)) - math.log((n[0] + 0.5) / (size[0] + 1)) for e, n in held.items()}
+    for entry, weight in model.weights.items():
+        if entry.strip() not in toxicity.SEED:
+            assert abs(weight - lift[entry]) < 1e-9 and held[entry][1] >= toxicity.LEAST_DOCS and lift[entry] >= math.log(toxicity.LEAST_LIFT)
+    a = toxicity.automaton(model)
+    # every entry that passes the test is matched, if not by itself then by a shorter one of nearly its weight
+    for e, w in lift.items():
+        if held[e][1] >= toxicity.LEAST_DOCS and w >= math.log(toxicity.LEAST_LIFT) and e.endswith(" "):
+            assert toxicity.hits(a, e)[0] >= w - 1.0
+    clean = [w for w in filler if lift[f" {w} "] < math.log(toxicity.LEAST_LIFT)]
+    assert len(clean) > 150 and all(toxicity.hits(a, w)[0] == 0 for w in clean if not any(f" {w}".startswith(e) for e in model.weights))
