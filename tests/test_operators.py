@@ -280,3 +280,19 @@ def test_clips(spark):
     assert rows(timeline.shifted(e, -20, 0, 40), "id", "at") == [(2, 0), (3, 0)]
     near = timeline.nearest_rows(spark.createDataFrame([(1, 5), (1, 0), (2, 1)], "key long, i long"), spark.createDataFrame([(1, 1), (1, 4), (1, 6), (1, 9)], "key long, i long"))
     assert rows(near) == [(1, 0, 1), (1, 0, 4), (1, 5, 4), (1, 5, 6)]
+
+
+def test_second_listening(spark):
+    from tidemark.operators import listen
+
+    own = spark.createDataFrame([("lampe", 0.01), ("mer", 0.02), ("garde", 0.01), ("fou", 0.01), ("light", 0.0001)], "word string, share double")
+    other = spark.createDataFrame([("light", 0.02), ("sea", 0.03), ("mer", 0.00001)], "word string, share double")
+    cases = {"Lampe,": "known", "l'Œuvre": "unknown", "L'œuvre": "name", "d’lampe": "known", "light": "foreign", "sea-light": "foreign", "garde-fou": "known", "sea-xyz": "unknown", "sea'xyz": "foreign", "Xyz": "name", "x9": "known", "...": "known", "euh": "known", "ouais": "known", "": "known"}
+    words = spark.createDataFrame([(1, k // 4, k, w, 0.3 if w == "Lampe," else None) for k, w in enumerate(cases)], "key long, segment long, i long, w string, p double")
+    kinds = listen.word_kinds(words, own, other, "fr")
+    assert {r["w"]: r["kind"] for r in kinds.collect()} == cases
+    assert {(r["w"], r["reason"]) for r in listen.suspects(words, kinds).collect()} == {("Lampe,", "confidence"), ("l'Œuvre", "unknown"), ("light", "other language"), ("sea-light", "other language"), ("sea-xyz", "unknown"), ("sea'xyz", "other language")}
+    assert {r["segment"] for r in listen.mostly_foreign(words, kinds).collect()} == {1}
+    df = spark.createDataFrame([(["mer", "Mer!", "mer"], 5), (list("abcdef"), 1), (list("abcde"), 1), (None, 1)], "t array<string>, n int")
+    assert [r[0] for r in df.select(listen.invented(F.col("t"), F.col("n"))).collect()] == [True, True, False, False]
+    assert listen.word_kinds(words.limit(0), own, other, "fr").count() == 0

@@ -45,3 +45,11 @@ FUNCTION_WORDS = {
     "fr": tuple("le la les de des du et est un une que qui nous il ils elle pour dans ce c'est pas sur vous je avec mais donc".split()),
     "en": tuple("the is are and of to we have that this with will be you it's there what from they our has was for not so".split()),
 }
+
+#: Common spoken words that dictionaries lack, noises that no second listening mends, and what French elides.
+SPOKEN = {
+    "fr": tuple("ok okay ouais ouah waouh wouah youpi bah ben bof hop pff ouf oups chut ah oh eh hé".split()),
+    "en": tuple("ok okay yeah yep nope gonna wanna gotta kinda sorta ah oh hey wow".split()),
+}
+NOISES = ("ha", "haha", "hahaha", "eh", "hé", "he")
+ELISIONS = ("l'", "d'", "j'", "m'", "n'", "s'", "t'", "c'", "qu'", "jusqu'", "lorsqu'", "puisqu'", "quoiqu'")

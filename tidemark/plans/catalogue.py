@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import frames, lexicon
 from tidemark.functions import scalars as S
-from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, retakes, series, text, timeline, tracks, vectors
+from tidemark.operators import align, asof, cost, docs, folds, intervals, islands, listen, retakes, series, text, timeline, tracks, vectors
 from tidemark.sources import carriers as C
 from tidemark.sources import documents
 from tidemark.sources.carriers import HOUR, MINUTE, sql_with
@@ -964,6 +964,50 @@ def _(spark, d):
     return timeline.nearest_rows(t.where("i % 3 = 1"), t.where("i % 3 <> 1"))
 
 
+SQL_CLEAN = "replace(replace(replace(replace(lower({x}), '’', ''''), '‘', ''''), 'œ', 'oe'), 'æ', 'ae')"
+SQL_KEY = "CASE regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g') WHEN 'okay' THEN 'ok' ELSE regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g') END".format(c=SQL_CLEAN.format(x="w"))
+SQL_KINDS = rf"""{sql_with('words')}, {FORMS}, own AS (SELECT form AS word, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM forms WHERE lang = 'fr' AND form <> '' GROUP BY form),
+    oth AS (SELECT form AS word, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM forms WHERE lang = 'en' AND form <> '' GROUP BY form),
+    dict AS (SELECT word, CASE WHEN coalesce(b.share, 0) >= 20 * coalesce(a.share, 0) THEN 'foreign' ELSE 'known' END AS kind FROM own a FULL JOIN oth b USING (word)),
+    t AS (SELECT DISTINCT w, regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS trimmed FROM words), c AS (SELECT *, {SQL_CLEAN.format(x='trimmed')} AS clean FROM t),
+    r AS (SELECT *, CASE WHEN regexp_matches(clean, '^(l|d|j|m|n|s|t|c|qu|jusqu|lorsqu|puisqu|quoiqu)''.') THEN regexp_replace(clean, '^[a-z]+''', '') ELSE clean END AS rest FROM c),
+    p AS (SELECT *, list_filter(string_split_regex(rest, '[-'']'), lambda x: x <> '') AS every FROM r), q AS (SELECT *, CASE WHEN contains(rest, '''') AND NOT contains(rest, '-') THEN every[1:1] ELSE every END AS parts FROM p),
+    asked AS (SELECT w, clean AS form, true AS whole FROM q UNION ALL SELECT w, unnest(parts), false FROM q WHERE NOT (len(parts) = 1 AND parts[1] = clean)),
+    found AS (SELECT w, whole, CASE WHEN form IN {sql_list(lexicon.SPOKEN['fr'])} OR {SQL_FILLER} THEN 'known' ELSE coalesce(kind, 'unknown') END AS kind FROM asked LEFT JOIN dict ON word = form),
+    told AS (SELECT w, max(kind) FILTER (WHERE whole) AS k, count(*) FILTER (WHERE NOT whole) AS n, count(*) FILTER (WHERE NOT whole AND kind = 'unknown') AS u, count(*) FILTER (WHERE NOT whole AND kind = 'foreign') AS f FROM found GROUP BY w),
+    kinds0 AS (SELECT w, trimmed, CASE WHEN trimmed = '' OR regexp_matches(trimmed, '[0-9]') THEN 'known' WHEN k <> 'unknown' THEN k WHEN n = 0 OR u > 0 THEN 'unknown' WHEN f > 0 THEN 'foreign' ELSE 'known' END AS kind FROM told JOIN t USING (w)),
+    kinds AS (SELECT w, CASE WHEN kind = 'unknown' AND regexp_matches(trimmed, '^\p{{Lu}}') THEN 'name' ELSE kind END AS kind FROM kinds0)"""
+
+
+def two_dictionaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Shares of the word forms of French and of English documents."""
+    forms = C.words(spark, d).select("lang", S.word_form("w").alias("word")).where("word <> ''")
+    counts = forms.where(F.col("lang").isin("fr", "en")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), "lang").select("lang", "word", (F.col("n") / F.col("total").cast("double")).alias("share"))  # two rows
+    return shares.where("lang = 'fr'").select("word", "share"), shares.where("lang = 'en'").select("word", "share")
+
+
+def kinds_of(spark: SparkSession, d: str) -> DataFrame:
+    return listen.word_kinds(C.words(spark, d), *two_dictionaries(spark, d), "fr")
+
+
+@query("word_kinds", f"{SQL_KINDS} SELECT w, kind FROM kinds")
+def _(spark, d):
+    return kinds_of(spark, d)
+
+
+@query("suspect_words", f"{SQL_KINDS} SELECT key, i, w, CASE kind WHEN 'foreign' THEN 'other language' WHEN 'unknown' THEN 'unknown' ELSE 'confidence' END AS reason FROM words JOIN kinds USING (w) WHERE lang = 'fr' AND NOT {SQL_FILLER.replace('form', f'({SQL_KEY})')} AND ({SQL_KEY}) NOT IN {sql_list(lexicon.NOISES)} AND NOT regexp_matches(w, '^[*\\[(]') AND (i % 100 < 3 OR kind IN ('foreign', 'unknown'))")
+def _(spark, d):
+    heard = C.words(spark, d).where("lang = 'fr'").withColumn("p", F.when(F.col("i") % 100 < 3, 0.25))
+    return listen.suspects(heard, kinds_of(spark, d))
+
+
+@query("foreign_segments", f"{SQL_KINDS} SELECT key, segment FROM (SELECT key, i // 10 AS segment, count(*) AS n, count(*) FILTER (WHERE kind = 'foreign') AS f FROM words JOIN kinds USING (w) WHERE NOT {SQL_FILLER.replace('form', f'({SQL_KEY})')} GROUP BY ALL) WHERE 2 * f >= n")
+def _(spark, d):
+    return listen.mostly_foreign(C.words(spark, d).withColumn("segment", F.floor(F.col("i") / 10)), kinds_of(spark, d))
+
+
 # ---------------------------------------------------------------- tracks and clips
 
 
