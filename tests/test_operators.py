@@ -296,3 +296,16 @@ def test_second_listening(spark):
     df = spark.createDataFrame([(["mer", "Mer!", "mer"], 5), (list("abcdef"), 1), (list("abcde"), 1), (None, 1)], "t array<string>, n int")
     assert [r[0] for r in df.select(listen.invented(F.col("t"), F.col("n"))).collect()] == [True, True, False, False]
     assert listen.word_kinds(words.limit(0), own, other, "fr").count() == 0
+
+
+def test_folds_take_rows_without_a_time(spark):
+    p = spark.createDataFrame([(1, 1, None, 5), (1, 2, 0, 5), (1, 3, 0, None), (1, 4, 1, 7), (None, 5, 3, 1), (1, 2, 0, 5)], PT)
+    s = p.withColumn("strength", F.col("cents"))
+    assert rows(folds.capped_chunks(p.where("key = 1"), 10, 100), "chunk", "n") == [(0, 4)]
+    assert rows(folds.spaced(p.where("key = 1"), 3), "t", "at") == [(0, 0), (0, 3), (0, 6), (1, 9)]
+    assert folds.spaced(p, 3).count() == 5 and folds.ewma(p, "cents").count() == 4
+    assert folds.content_chunks(p, 1, 10).agg(F.sum("n")).first()[0] == 5
+    assert rows(folds.refractory(p.where("key = 1").select("key", "t", "id"), 1), "t") == [(0,), (1,)]
+    assert rows(folds.strongest_apart(s.where("key = 1").select("key", "t", "id", "strength"), 1), "t", "strength") == [(0, 5), (1, 7)]
+    iv = spark.createDataFrame([(1, 1, 0, None), (1, 2, None, 4), (1, 3, 0, 4), (1, 4, 5, 7)], IV)
+    assert rows(folds.packed(iv, 7, 1), "id", "bin") == [(3, 1), (4, 1)]

@@ -2,7 +2,10 @@
 
 Rows are dealt by key and sorted inside each task; Python walks the sorted batches and carries a small state from row to
 row, so no key is ever gathered. Where a fold starts anew at a pause, the key holds the pause's session too, so that a key
-with very many rows is dealt over many tasks."""
+with very many rows is dealt over many tasks.
+
+Defined cases. Rows without a time (or a bound, a value, a strength where it counts) are left out; a null key is a key of its
+own; rows of one time are read by id, and equal rows may change places. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -53,7 +56,7 @@ def capped_chunks(points: DataFrame, pause: int, span: int) -> DataFrame:
         first = t if first is None or t - first > span else first
         return first, (first,)
 
-    sessions = pause_runs(points.select("key", "id", "t"), pause)
+    sessions = pause_runs(points.where("t is not null").select("key", "id", "t"), pause)
     placed = fold(sessions, ["key", "session"], ["t", "id"], [], "chunk long", lambda: None, step)
     return placed.groupBy("key", "chunk").agg(F.min("t").alias("s"), F.max("t").alias("e"), F.count("*").alias("n"))
 
@@ -70,17 +73,17 @@ def packed(iv: DataFrame, most: int, between: int) -> DataFrame:
             state = (number + 1, need)
         return state, (state[0],)
 
-    return fold(iv, ["key"], ["s", "id"], ["e"], "bin long", lambda: (0, 0), step).select("key", "id", "bin")
+    return fold(iv.where("s is not null and e is not null"), ["key"], ["s", "id"], ["e"], "bin long", lambda: (0, 0), step).select("key", "id", "bin")
 
 
 def spaced(points: DataFrame, least: int) -> DataFrame:
-    """(key, id, t, at): times moved forward so that each is at least `least` after the one before."""
-
-    def step(before, t, id_):
-        at = t if before is None else max(t, before + least)
-        return at, (at,)
+    """(key, id, t, at): times moved forward so that each is at least `least` after the one before.
 
-    return fold(points, ["key"], ["t", "id"], [], "at long", lambda: None, step)
+    A closed form: the r-th row comes `least` times r after the latest that any row up to it asks for, so one window does."""
+    w = Window.partitionBy("key").orderBy("t", "id")
+    placed = points.where("t is not null").select("key", "t", "id", F.row_number().over(w).cast("long").alias("r"))
+    asks = F.max(F.col("t") - least * F.col("r")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.select("key", "t", "id", (least * F.col("r") + asks).alias("at"))
 
 
 def ewma(points: DataFrame, value: str, old: float = 0.3, new: float = 0.7) -> DataFrame:
@@ -90,7 +93,7 @@ def ewma(points: DataFrame, value: str, old: float = 0.3, new: float = 0.7) -> D
         rate = float(v) if rate is None else old * rate + new * v
         return rate, (rate,)
 
-    return fold(points, ["key"], ["t", "id"], [value], "rate double", lambda: None, step).select("key", "id", "t", "rate")
+    return fold(points.where(F.col("t").isNotNull() & F.col(value).isNotNull()), ["key"], ["t", "id"], [value], "rate double", lambda: None, step).select("key", "id", "t", "rate")
 
 
 def content_chunks(points: DataFrame, least: int, most: int) -> DataFrame:
@@ -103,7 +106,7 @@ def content_chunks(points: DataFrame, least: int, most: int) -> DataFrame:
             first = t
         return first, (first,)
 
-    placed = fold(points, ["key"], ["t", "id"], [], "chunk long", lambda: None, step)
+    placed = fold(points.where("t is not null"), ["key"], ["t", "id"], [], "chunk long", lambda: None, step)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "id"))), lambda x: x["id"].cast("string")), ",")
     return placed.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.substring(F.sha1(text.cast("binary")), 1, 16).alias("print"))
 
@@ -117,7 +120,7 @@ def refractory(events: DataFrame, rest: int) -> DataFrame:
         keep = kept is None or t - kept >= rest
         return (t if keep else kept), (keep,)
 
-    sessions = pause_runs(events.select("key", "t", "id"), rest)
+    sessions = pause_runs(events.where("t is not null").select("key", "t", "id"), rest)
     return fold(sessions, ["key", "session"], ["t", "id"], [], "kept boolean", lambda: None, step).where("kept").select("key", "t", "id")
 
 
@@ -130,7 +133,7 @@ def strongest_apart(events: DataFrame, rest: int) -> DataFrame:
         keep = all(abs(t - k) >= rest for k in kept)
         return (kept + [t] if keep else kept), (keep,)
 
-    sessions = pause_runs(events.select("key", "t", "id", "strength"), rest).withColumn("less", -F.col("strength"))
+    sessions = pause_runs(events.where("t is not null and strength is not null").select("key", "t", "id", "strength"), rest).withColumn("less", -F.col("strength"))
     return fold(sessions, ["key", "session"], ["less", "t", "id"], ["strength"], "kept boolean", list, lambda k, a, b, c, d: step(k, a, b, c)).where("kept").select("key", "t", "id", "strength")
 
 
