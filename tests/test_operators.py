@@ -309,3 +309,17 @@ def test_folds_take_rows_without_a_time(spark):
     assert rows(folds.strongest_apart(s.where("key = 1").select("key", "t", "id", "strength"), 1), "t", "strength") == [(0, 5), (1, 7)]
     iv = spark.createDataFrame([(1, 1, 0, None), (1, 2, None, 4), (1, 3, 0, 4), (1, 4, 5, 7)], IV)
     assert rows(folds.packed(iv, 7, 1), "id", "bin") == [(3, 1), (4, 1)]
+
+
+def test_clamped_settings(spark):
+    r = spark.createDataFrame([(1, "gain", 9.0), (1, "cut", None), (2, "gain", 0.5)], "key long, name string, value double")
+    b = spark.createDataFrame([("gain", 0.0, 3.0, 1.0), ("cut", -1.0, 1.0, 0.0)], "name string, low double, high double, usual double")
+    assert rows(docs.clamped_settings(r, b)) == [(1, "cut", 0.0), (1, "gain", 3.0), (2, "cut", 0.0), (2, "gain", 0.5)]
+    assert docs.clamped_settings(r, b.limit(0)).count() == 0 and docs.clamped_settings(r.limit(0), b).count() == 0
+
+
+def test_progress_numbers_with_exponents(spark):
+    from tidemark.streaming import telemetry
+
+    df = spark.createDataFrame([(1, "2024-01-01", line) for line in ("@progression 1.5e+06 2e+06 a b", "@progression 1 0 c", "@progression 1-2 3 d", "x")], "key long, ts string, line string")
+    assert rows(telemetry.progress_lines(df), "done", "total", "label") == [(1_500_000.0, 2_000_000.0, "a b")]

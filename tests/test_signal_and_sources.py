@@ -126,7 +126,7 @@ def test_sessions_are_the_closed_ones_of_the_batch(spark, tmp_path):
 
 
 def test_progress(spark, tmp_path):
-    rows = [(k, 1, f"2024-01-01 00:00:{k:02d}", line) for k, line in enumerate(["@progression 1 4 a", "noise", "@progression 4 4 a", "@progression 1 2 b", "@progression 0 2 b"])]
+    rows = [(k, 1, f"2024-01-01 00:00:{k:02d}", line) for k, line in enumerate(["@progression 1 4 a", "noise", "@progression 4 4 a", "@progression 1 2 b", "@progression 0 2 b", "@progression 1e+06 x c"])]
     df = spark.createDataFrame(rows, "event_id long, key long, at string, line string").selectExpr("event_id", "key", "cast(at as timestamp) as ts", "line")
     got = run_stream(spark, tmp_path, df, lambda s: telemetry.job_status(telemetry.progress_lines(s), 2), "status", "update").collect()
     assert max(r["overall"] for r in got) == 0.75 and sorted(r["overall"] for r in got) == [r["overall"] for r in got]

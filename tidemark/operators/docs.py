@@ -66,11 +66,19 @@ def unique_names(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("unique", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
 
 
+#: Settings that a document can have.
+MOST_SETTINGS = 1000
+
+
 def clamped_settings(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """(key, name, value): each setting of `bounds` (name, low, high, usual) for each key, its own value or the usual one,
-    inside the bounds."""
-    keys = rows.select("key").distinct()
-    every = keys.crossJoin(F.broadcast(bounds))  # a dimension of a few rows
+    inside the bounds. The bounds are a dimension: over MOST_SETTINGS of them are an error."""
+    told = bounds.select("name", "low", "high", "usual").limit(MOST_SETTINGS + 1).collect()
+    if len(told) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
+    kinds = dict(bounds.dtypes)
+    each = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("name", "low", "high", "usual")]) for r in told])
+    every = rows.select("key").distinct().select("key", F.explode(each).alias("b")).select("key", "b.*") if told else rows.select("key").limit(0).join(bounds.limit(0), F.lit(True))
     joined = every.join(rows.select("key", "name", "value"), ["key", "name"], "left")
     return joined.select("key", "name", F.greatest("low", F.least("high", F.coalesce("value", "usual"))).alias("value"))
 

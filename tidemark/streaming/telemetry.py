@@ -63,7 +63,8 @@ def pause_sessions(events: DataFrame, pause_seconds: float, late: str = "1 hour"
     return marked.groupBy("key").applyInPandasWithState(step, SESSION, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-PROGRESS = r"^@progression ([\d.]+) ([\d.]+) (.*)$"
+#: Fixed value: how a job tells its progress. Numbers may have an exponent, as from a million on.
+PROGRESS = r"^@progression ([\d.e+-]+) ([\d.e+-]+) (.+)$"
 STATUS = "key long, label string, done double, total double, overall double, left double"
 STATUS_STATE = "label string, done double, total double, overall double, began double, at double, finished long"
 
