@@ -1,5 +1,11 @@
 """A corpus pipeline of five stages, each by one of the operators: toxic documents go, repeated lines go, one document of
-each group of near copies stays, documents with benchmark passages go, and what remains is packed."""
+each group of near copies stays, documents with benchmark passages go, and what remains is packed.
+
+Defined cases, as the operators define them: a null text is an empty one and is kept by the first two stages; all texts
+without words are one group of copies, of which one stays; rows equal in id and text are one document until the copies go,
+rows of one id with different texts are documents of their own; a null id comes first in packing and is kept last among
+copies. Very long texts are taken whole. Extra columns, also with clashing names, are kept by all stages but the last. Without
+labels toxicity goes by its seed list; an empty table, or an empty benchmark, gives the rows that this leaves, down to none."""
 
 from __future__ import annotations
 

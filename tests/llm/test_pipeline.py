@@ -60,3 +60,19 @@ def test_empty_documents(spark, empty):
         docs = common.stored(stage(spark, docs, DATA), "test")
         assert docs.count() == 0, name
     assert packing.pack(empty).columns == docs.columns
+
+
+def test_awkward_documents(spark, awkward):
+    docs, left = awkward, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == awkward.columns, name
+        # names may clash, so what is between the stages is written under other names
+        docs = common.stored(docs.toDF(*[f"x{i}" for i in range(len(docs.columns))]), "test").toDF(*awkward.columns)
+        left.append(docs.count())
+    assert left[0] == left[1] == awkward.count()
+    # all texts without words are one group; the line that stands alone in repeated documents went before
+    texts = [r[1] for r in docs.collect()]
+    assert sum(not (t or "").strip() for t in texts) == 1 and left[2] == left[3] == len(texts)
+    assert packing.pack(docs).count() > 0
