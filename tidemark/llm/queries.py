@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .alignment import op13_cross_tokenizer_alignment
 from .chunk_store import op4_content_addressed_ids
 from .decontamination import op2_benchmark_decontamination
 from .license_scan import op3_license_scan
 from .line_dedup import op10_line_dedup
 from .packing import op6_power_of_two_packing
+from .pieces import op11_piece_round_trip
 from .quality import op1_pu_quality
 from .scaled_sketch import op7_scaled_sketch
 from .simhash_dedup import op5_simhash_near_dedup
@@ -26,6 +28,8 @@ QUERIES = {
         op8_toxicity,
         op9_suffix_tree_score,
         op10_line_dedup,
+        op11_piece_round_trip,
+        op13_cross_tokenizer_alignment,
     )
 }
 

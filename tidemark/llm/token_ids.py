@@ -54,10 +54,11 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """texts → the ids of each, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, special: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a core for each task
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = not special  # the library's name for: take their strings as plain text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.pieces: dict[str, bytes] = {}
         normal, splits = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
         self.find, self.lower = None, False
@@ -116,9 +117,24 @@ class Encoder:
 
 
 @cache
-def encoder(name: str) -> Encoder:
-    """One for each worker process, which later tasks use again: a Tokenizer and its memory don't travel."""
-    return Encoder(name)
+def encoder(name: str, special: bool = True) -> Encoder:
+    """One for each worker process, which later tasks use again: a Tokenizer and its memory don't travel. With special=False
+    the strings of special tokens are plain text."""
+    return Encoder(name, special)
+
+
+@cache
+def token_bytes(name: str) -> list[bytes]:
+    """What each id of a byte-level vocabulary stands for. Such a vocabulary writes printable bytes as the characters of
+    their number, and the others, in order, as those from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(others)}
+    known = encoder(name).tokenizer.get_vocab()
+    out = [b""] * (max(known.values()) + 1)
+    for token, i in known.items():
+        out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+    return out
 
 
 def slices(column: pa.Array, at_once: int) -> Iterator[list[str]]:
