@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op13_cross_tokenizer_alignment
 from .chunk_store import op4_content_addressed_ids
+from .conversation_repair import op12_conversation_repair
 from .decontamination import op2_benchmark_decontamination
 from .license_scan import op3_license_scan
 from .line_dedup import op10_line_dedup
@@ -29,6 +30,7 @@ QUERIES = {
         op9_suffix_tree_score,
         op10_line_dedup,
         op11_piece_round_trip,
+        op12_conversation_repair,
         op13_cross_tokenizer_alignment,
     )
 }
