@@ -1132,3 +1132,6 @@ def _(spark, d):
     pairs = align.neighbours(C.turns(spark, d), "i")
     sure = lambda w: F.struct(w.alias("w"), (F.pmod(F.xxhash64(w), F.lit(10)) / 10.0).alias("p"))
     return pairs.select("key", "i", align.merge_transcripts(F.transform("a", sure), "b").alias("words"))
+
+
+from tidemark.plans import stateful  # noqa: E402, F401  (registers its queries, with this module's `query`)
