@@ -61,9 +61,9 @@ def test_other_vocabularies_are_refused(tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(vocabulary(pieces.VOCABULARY), "rb") as f:
         proto.ParseFromString(f.read())
-    proto.trainer_spec.byte_fallback = False
+    proto.normalizer_spec.add_dummy_prefix = False
     (tmp_path / "other.model").write_bytes(proto.SerializeToString())
-    with pytest.raises(ValueError, match="byte pieces"):
+    with pytest.raises(ValueError, match="merge-type vocabulary"):
         pieces.PieceModel(str(tmp_path / "other.model"))
 
 
