@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import dynamic
 from tidemark.plans.catalogue import query
 from tidemark.sources import carriers as C
 from tidemark.streaming import jobs
@@ -70,3 +71,95 @@ def _(spark, d):
 def _(spark, d):
     told = jobs.replayed(lines_stream(spark, d))
     return told.groupBy("key", F.coalesce("label", F.lit("busy")).alias("label")).agg(F.sum(F.col("ended") - F.col("began")).alias("micros"), F.count("*").alias("periods"))
+
+
+# ---------------------------------------------------------------- documents of unknown shape
+
+#: Documents made of events: ids in every type, and patches of settings, some of which are refused.
+SQL_DOCS = r"""d AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS t, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 7 AS m FROM events),
+    l AS (SELECT *, CASE m WHEN 0 THEN '[' || k || ', "x"]' WHEN 1 THEN '[' || k || '.0]' WHEN 2 THEN '["' || k || '/2", 1]' WHEN 3 THEN '[true, "' || (k + 1) || '"]' WHEN 4 THEN '[]' WHEN 5 THEN 'null' ELSE '{"a": ' || k || '}' END AS doc,
+        CASE m WHEN 0 THEN '{"voice": ' || k || '.125}' WHEN 1 THEN '{"voice": " 1.2_5 ", "denoise": ' || k || '}' WHEN 2 THEN '{"denoise": null, "highpass": ' || (k % 2) || '}' WHEN 3 THEN '{"loudness": false, "other": 1}'
+        WHEN 4 THEN '{"loudness": -' || k || '.5, "clarity": "yes"}' WHEN 5 THEN '{"voice": [1], "clarity": true}' ELSE '{"clarity": "", "denoise": "2"}' END AS body FROM d)"""
+
+
+def shaped(spark: SparkSession, d: str) -> DataFrame:
+    """(key, id, t, kind, k, m, doc, body): the same documents as VARIANT columns."""
+    e = C.states(spark, d).withColumn("k", F.col("k").cast("long")).withColumn("m", F.col("id") % 7)
+    k, m = F.col("k").cast("string"), F.col("m")
+    doc = F.when(m == 0, F.concat(F.lit("["), k, F.lit(', "x"]'))).when(m == 1, F.concat(F.lit("["), k, F.lit(".0]"))).when(m == 2, F.concat(F.lit('["'), k, F.lit('/2", 1]')))
+    doc = doc.when(m == 3, F.concat(F.lit('[true, "'), (F.col("k") + 1).cast("string"), F.lit('"]'))).when(m == 4, F.lit("[]")).when(m == 5, F.lit("null")).otherwise(F.concat(F.lit('{"a": '), k, F.lit("}")))
+    body = F.when(m == 0, F.concat(F.lit('{"voice": '), k, F.lit(".125}"))).when(m == 1, F.concat(F.lit('{"voice": " 1.2_5 ", "denoise": '), k, F.lit("}")))
+    body = body.when(m == 2, F.concat(F.lit('{"denoise": null, "highpass": '), (F.col("k") % 2).cast("string"), F.lit("}"))).when(m == 3, F.lit('{"loudness": false, "other": 1}'))
+    body = body.when(m == 4, F.concat(F.lit('{"loudness": -'), k, F.lit('.5, "clarity": "yes"}'))).when(m == 5, F.lit('{"voice": [1], "clarity": true}')).otherwise(F.lit('{"clarity": "", "denoise": "2"}'))
+    return e.select("key", "id", "t", "kind", "k", "m", F.parse_json(doc).alias("doc"), F.parse_json(body).alias("body"))
+
+
+@query(
+    "variant_ids",
+    f"""WITH {SQL_DOCS} SELECT id, (m IN (0, 1) OR (m = 2 AND k = 1) OR (m = 3 AND k = 1)) AS has, (m IN (0, 1, 2) OR (m = 3 AND k = 1)) AS kept, m NOT IN (4, 5) AS truthy,
+    CASE m WHEN 4 THEN 'array' WHEN 5 THEN 'null' WHEN 6 THEN 'object' ELSE 'array' END AS shape, CASE WHEN m NOT IN (4, 5) THEN json_type(doc::JSON) ELSE json_type(body::JSON) END = 'OBJECT' AS object FROM l""",
+)
+def _(spark, d):
+    doc, k = F.col("doc"), F.col("k")
+    return shaped(spark, d).select(
+        "id",
+        dynamic.contains(doc, k).alias("has"),
+        dynamic.kept(doc, k).alias("kept"),
+        dynamic.truthy(doc).alias("truthy"),
+        dynamic.kind(doc).alias("shape"),
+        (dynamic.kind(dynamic.either(doc, F.col("body"))) == "object").alias("object"),
+    )
+
+
+@query(
+    "variant_settings",
+    rf"""WITH {SQL_DOCS}, good AS (SELECT * FROM l WHERE m <> 5), named AS (SELECT key, t, id, n.name, json_extract(body, '$."' || n.name || '"') AS v, json_type(body, '$."' || n.name || '"') AS ty FROM good, (VALUES ('voice'), ('denoise'), ('loudness'), ('highpass'), ('clarity')) n(name)),
+    last AS (SELECT key, name, max_by(struct_pack(v := CAST(v AS VARCHAR), ty := ty), struct_pack(t := t, id := id)) AS x FROM named WHERE ty IS NOT NULL GROUP BY key, name),
+    plain AS (SELECT key, name, x.ty AS ty, replace(trim(trim(x.v, '"')), '_', '') AS s FROM last WHERE x.ty <> 'NULL')
+    SELECT key, name, CASE name WHEN 'voice' THEN round_even(greatest(0, least(2, CAST(s AS DOUBLE))), 2) WHEN 'denoise' THEN greatest(0, least(3, CAST(s AS BIGINT)))::DOUBLE WHEN 'loudness' THEN CASE WHEN s <> 'false' THEN round(greatest(-30, least(-8, CAST(s AS DOUBLE)))) END END AS number,
+    CASE WHEN name IN ('highpass') THEN s <> '0' WHEN name = 'clarity' THEN s <> '' WHEN name = 'loudness' AND s = 'false' THEN false END AS flag FROM plain""",
+)
+def _(spark, d):
+    return dynamic.checked(dynamic.last_values(shaped(spark, d).select("key", "t", "id", "body"), dynamic.SOUND), dynamic.SOUND).select("key", "name", "number", "flag")
+
+
+#: Presets as rows: (preset, setting, what it adds).
+SQL_PRESETS = "p(look, name, adds) AS (VALUES " + ", ".join(f"('{look}', '{name}', {adds}::DOUBLE)" for look, some in dynamic.PRESETS.items() for name, adds in some.items()) + ")"
+SQL_COLOURS = "c(name, usual, low, high) AS (VALUES " + ", ".join(f"('{n}', {u}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for n, u, a, b in dynamic.COLOURS) + ")"
+LOOKS = ("", *dynamic.PRESETS)
+
+
+@query(
+    "colour_presets",
+    f"""WITH {SQL_PRESETS}, {SQL_COLOURS}, names(i, look) AS (VALUES {', '.join(f"({i}, '{look}')" for i, look in enumerate(LOOKS))}),
+    e AS (SELECT event_id AS id, a.look AS old, b.look AS new, event_id % 101 / 100.0::DOUBLE AS k_old, user_id % 101 / 100.0::DOUBLE AS k_new, event_id % 3 = 0 AS old_form, (event_id % 40 - 20)::DOUBLE AS slider
+        FROM events JOIN names a ON a.i = event_id % 9 JOIN names b ON b.i = user_id % 9),
+    s AS (SELECT e.*, c.*, coalesce(po.adds, 0) AS before, coalesce(pn.adds, 0) AS after FROM e, c LEFT JOIN p po ON po.look = e.old AND po.name = c.name LEFT JOIN p pn ON pn.look = e.new AND pn.name = c.name WHERE c.name IN ('temperature', 'contraste', 'saturation', 'noirs')),
+    v AS (SELECT *, CASE WHEN name = 'contraste' THEN slider ELSE usual END AS x FROM s),
+    f AS (SELECT *, greatest(low, least(high, CASE WHEN NOT old_form THEN x WHEN name = 'saturation' THEN x * greatest(0, 1 + k_old * before / 100) ELSE x + k_old * before END)) AS now FROM v)
+    SELECT id, name, round(now, 4) AS now, round(greatest(low, least(high, now - k_old * before + k_new * after)), 4) AS then FROM f""",
+)
+def _(spark, d):
+    e = C.table(spark, d, "events")
+    looks = F.array(*[F.lit(x) for x in LOOKS])
+    number = lambda name, c: F.concat(F.lit(f', "{name}": '), c.cast("string"))
+    text = F.concat(F.lit('{"look": "'), F.get(looks, (F.col("event_id") % 9).cast("int")), F.lit('"'), number("intensite", F.col("event_id") % 101), number("contraste", F.col("event_id") % 40 - 20), F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.lit(', "v": 2')), F.lit("}"))
+    docs = e.select(F.col("event_id").alias("id"), "user_id", F.parse_json(text).alias("doc"))
+    then = dynamic.with_preset(F.col("colours"), F.get(looks, (F.col("user_id") % 9).cast("int")), (F.col("user_id") % 101).cast("double"))
+    both = dynamic.colours(docs, "doc").withColumn("then", then)
+    rows = [F.struct(F.lit(n).alias("name"), F.round(F.col(f"colours.{n}"), 4).alias("now"), F.round(F.col(f"then.{n}"), 4).alias("then")) for n in ("temperature", "contraste", "saturation", "noirs")]
+    return both.select("id", F.inline(F.array(*rows)))
+
+
+@query(
+    "transitions_checked",
+    """WITH e AS (SELECT event_id AS id, event_id % 6 AS m, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+    SELECT id, CASE m WHEN 0 THEN 'iris' WHEN 1 THEN 'flash' WHEN 2 THEN '' WHEN 5 THEN '' END AS kind, CASE WHEN m IN (0, 1) THEN greatest(0.2, least(1.5, cents % 300 / 100.0::DOUBLE)) WHEN m IN (2, 5) THEN 0.5 END AS dur FROM e""",
+)
+def _(spark, d):
+    e = C.points(spark, d).select("id", (F.col("id") % 6).alias("m"), ((F.col("cents") % 300).cast("double") / 100).cast("string").alias("dur"))
+    m = F.col("m")
+    text = F.when(m == 0, F.concat(F.lit('{"kind": "iris", "dur": '), "dur", F.lit("}"))).when(m == 1, F.concat(F.lit('{"kind": "flash", "dur": "'), "dur", F.lit('"}'))).when(m == 2, F.lit('{"dur": true}'))
+    text = text.when(m == 3, F.lit('{"kind": "none of them"}')).when(m == 4, F.lit("[1]")).otherwise(F.lit('{"kind": ""}'))
+    told = e.select("id", dynamic.transition(F.parse_json(text)).alias("x"))
+    return told.select("id", "x.kind", "x.dur")
