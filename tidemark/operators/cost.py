@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,3 +62,38 @@ def shares(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("key")
     best = F.row_number().over(w.orderBy(F.desc("total"), F.desc("label"))) == 1
     return per.select("key", "label", "total", F.floor(F.col("total") * 1000 / F.sum("total").over(w)).cast("long").alias("permille"), best.alias("winner"))
+
+
+def render_plans(needs: DataFrame, need: Callable[[Column, Column], Column], top: int, least_clips: int = 8, share_percent: int = 80) -> DataFrame:
+    """(key, workers, clips) of rows (key, free, wanted, …): the most workers, up to `top`, that leave room for parts of at least
+    `least_clips` clips (or of all that are wanted), and the most clips a part that fit beside them; one of each at least.
+
+    `need` gives the memory of (workers, clips) and grows with both, so what fits is bounded by a staircase: one walk down it,
+    of at most top + wanted steps in a column expression, finds the corner that no grid of pairs has to be searched for. A
+    row without free memory or a wanted number is left out; less than one wanted clip counts as one."""
+    rows = needs.where("free is not null and wanted is not null").withColumn("_most", F.greatest(F.col("wanted").cast("long"), F.lit(1).cast("long")))
+    state = lambda w, c, done: F.struct(w.cast("long").alias("w"), c.cast("long").alias("c"), done.alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        more = s["c"] + 1
+        fits = (more <= F.col("_most")) & (need(s["w"], more) * 100 <= F.col("free") * share_percent)
+        enough = (s["w"] <= 1) | (s["c"] >= F.least(F.col("_most"), F.lit(least_clips)))
+        return F.when(s["done"], s).when(fits, state(s["w"], more, F.lit(False))).when(enough, state(s["w"], s["c"], F.lit(True))).otherwise(state(s["w"] - 1, s["c"], F.lit(False)))
+
+    walk = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_most") + top + 1), state(F.lit(max(1, top)), F.lit(0), F.lit(False)), step)
+    return rows.withColumn("_end", walk).select("key", F.col("_end.w").alias("workers"), F.greatest(F.col("_end.c"), F.lit(1).cast("long")).alias("clips"))
+
+
+def with_beside(operations: DataFrame, along: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(key, position, op, need, total) of a key's operations in order: for each pair (side, join) the side operation runs along
+    with those after it and before the one that waits for it, and its need is added to theirs. Of operations that a key has
+    twice, the first place counts; a pair that isn't there in this order adds nothing."""
+    whole = Window.partitionBy("key")
+    out, total = operations, F.coalesce(F.col("need"), F.lit(0))
+    for n, (side, join) in enumerate(along):
+        first = lambda op, what: F.min(F.when(F.col("op") == op, what)).over(whole)
+        out = out.withColumn(f"_{n}", F.struct(first(side, F.struct("position", "need")).alias("side"), first(join, F.col("position")).alias("join")))
+        at = F.col(f"_{n}")
+        inside = (F.col("position") > at["side"]["position"]) & (F.col("position") < at["join"])
+        total = total + F.when(inside, F.coalesce(at["side"]["need"], F.lit(0))).otherwise(0)
+    return out.select("key", "position", "op", "need", total.alias("total"))

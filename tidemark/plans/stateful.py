@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dynamic
+from tidemark.operators import cost, dynamic, edits, highlights, scan
 from tidemark.plans.catalogue import query
 from tidemark.sources import carriers as C
+from tidemark.sources import measures, work
 from tidemark.streaming import jobs
 
 # ---------------------------------------------------------------- jobs
@@ -163,3 +164,130 @@ def _(spark, d):
     text = text.when(m == 3, F.lit('{"kind": "none of them"}')).when(m == 4, F.lit("[1]")).otherwise(F.lit('{"kind": ""}'))
     told = e.select("id", dynamic.transition(F.parse_json(text)).alias("x"))
     return told.select("id", "x.kind", "x.dur")
+
+
+# ---------------------------------------------------------------- one key over many tasks
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the samples of one key."""
+    return C.points(spark, d).select(F.lit(1).alias("key"), F.col("id").alias("i"), F.col("cents").cast("double").alias("x"))
+
+
+@query(
+    "run_down_signal",
+    """WITH s AS (SELECT event_id AS i, CAST(round(value * 100) AS DOUBLE) AS x, count(*) OVER () AS n FROM events),
+    p AS (SELECT i, n, sum(CAST(round((1 - 0.45::DOUBLE * pow(i / n, 1.6::DOUBLE)) * 1048576) AS BIGINT)) OVER (ORDER BY i) AS position FROM s),
+    k AS (SELECT i, CAST(position // 1048576 AS BIGINT) AS i0, CAST(position % 1048576 AS BIGINT) / 1048576.0::DOUBLE AS f, max(i) OVER () + 1 AS n_out FROM p WHERE position < (n - 1) * 1048576)
+    SELECT 1 AS key, k.i, round((a.x * (1 - f) + b.x * f) * (1 - 0.25::DOUBLE * k.i / n_out), 6) AS x FROM k JOIN s a ON a.i = i0 JOIN s b ON b.i = i0 + 1""",
+)
+def _(spark, d):
+    return scan.run_down(samples(spark, d), 1.0, 4096).select("key", "i", F.round("x", 6).alias("x"))
+
+
+@query(
+    "clock_positions",
+    f"""{C.sql_with('points')}, k AS (SELECT key % 3 AS key, t, max(cents) AS p FROM points WHERE id % 5 = 0 GROUP BY 1, 2), q AS (SELECT key % 3 AS key, id, t FROM points WHERE id % 5 <> 0),
+    a AS (SELECT q.*, k.t AS a_t, k.p AS ap FROM q ASOF LEFT JOIN k ON q.key = k.key AND q.t >= k.t), b AS (SELECT a.*, k.t AS b_t, k.p AS bp FROM a ASOF LEFT JOIN k ON a.key = k.key AND a.t < k.t)
+    SELECT key, id, round(CASE WHEN a_t IS NULL THEN bp WHEN b_t IS NULL THEN ap ELSE ap + (bp - ap)::DOUBLE / (b_t - a_t) * (t - a_t) END::DOUBLE, 4) AS p FROM b""",
+)
+def _(spark, d):
+    p = C.points(spark, d).withColumn("key", F.col("key") % 3)
+    knots = p.where("id % 5 = 0").groupBy("key", "t").agg(F.max("cents").alias("p"))
+    return scan.clock_read(knots, p.where("id % 5 <> 0").select("key", "id", "t"), 6 * C.HOUR).select("key", "id", F.round("p", 4).alias("p"))
+
+
+@query(
+    "smoothed_signal",
+    """WITH s AS (SELECT event_id AS i, CAST(round(value * 100) AS DOUBLE) AS x FROM events)
+    SELECT 1 AS key, a.i, round(sum(b.x * CASE WHEN b.i = 0 THEN 1 ELSE 0.7 END * pow(0.3, a.i - b.i)), 6) AS smooth FROM s a JOIN s b ON b.i BETWEEN a.i - 45 AND a.i GROUP BY a.i""",
+)
+def _(spark, d):
+    return scan.smoothed(samples(spark, d), ["key"], ["i"], F.floor(F.col("i") / 4096), "x", 0.3).select("key", "i", F.round("smooth", 6).alias("smooth"))
+
+
+# ---------------------------------------------------------------- plans, marked words, measurements, edits
+
+
+@query(
+    "render_plans",
+    f"""{C.sql_with('points')}, n AS (SELECT key, sum(cents) * 3 AS free, min(cents) AS fixed, max(cents) AS each, 1 + key % 40 AS wanted FROM points GROUP BY key),
+    g AS (SELECT n.*, w, c FROM n, generate_series(1, 12) a(w), generate_series(1, 40) b(c) WHERE c <= wanted AND (fixed + w * (each + 150 * c)) * 100 <= free * 80),
+    m AS (SELECT key, w, max(c) AS c FROM g GROUP BY key, w), f AS (SELECT n.key, max(w) AS w FROM n JOIN m ON m.key = n.key AND m.c >= least(wanted, 8) AND w >= 2 GROUP BY n.key)
+    SELECT n.key, CAST(coalesce(f.w, 1) AS BIGINT) AS workers, CAST(coalesce(m.c, 1) AS BIGINT) AS clips FROM n LEFT JOIN f USING (key) LEFT JOIN m ON m.key = n.key AND m.w = coalesce(f.w, 1)""",
+)
+def _(spark, d):
+    needs = C.points(spark, d).groupBy("key").agg((F.sum("cents") * 3).alias("free"), F.min("cents").alias("fixed"), F.max("cents").alias("each")).withColumn("wanted", 1 + F.col("key") % 40)
+    return cost.render_plans(needs, lambda w, c: F.col("fixed") + w * (F.col("each") + 150 * c), 12)
+
+
+@query(
+    "needs_beside",
+    """WITH o AS (SELECT user_id AS key, event_type AS op, min(event_id) AS position, CAST(sum(round(value * 100)) AS BIGINT) AS need FROM events GROUP BY 1, 2),
+    p AS (SELECT a.key, a.position AS s, b.position AS j, a.need AS extra FROM o a JOIN o b ON a.key = b.key AND a.op = 'view' AND b.op = 'error')
+    SELECT o.key, o.position, op, need, CAST(need + CASE WHEN position > s AND position < j THEN extra ELSE 0 END AS BIGINT) AS total FROM o LEFT JOIN p USING (key)""",
+)
+def _(spark, d):
+    ops = C.points(spark, d).groupBy("key", F.col("kind").alias("op")).agg(F.min("id").alias("position"), F.sum("cents").alias("need"))
+    return cost.with_beside(ops, (("view", "error"),))
+
+
+SQL_CAPTIONS = r"""c AS (SELECT conv_id % 20 AS key, conv_id * 100 + turn AS id, (conv_id // 20) * 60 + turn * 7 AS s, string_split(lower(text), ' ')[1:12] AS words, role FROM conversations),
+    h AS (SELECT key, id, s, s + 40 AS e, words FROM c WHERE role = 'user' AND id % 3 = 0)"""
+
+
+def captioned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """First words of turns as captions, and of some users' turns as highlights."""
+    t = C.table(spark, d, "conversations")
+    words = F.slice(F.split(F.lower("text"), " ", -1), 1, 12)
+    c = t.select((F.col("conv_id") % 20).alias("key"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.expr("conv_id div 20") * 60 + F.col("turn") * 7).alias("s"), words.alias("words"), "role")
+    h = c.where("role = 'user' and id % 3 = 0").select("key", "id", "s", (F.col("s") + 40).alias("e"), "words")
+    return c.drop("role"), h
+
+
+@query(
+    "marked_words",
+    f"""WITH {SQL_CAPTIONS}, p AS (SELECT key, id, s, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM c)
+    SELECT p.key, p.id AS caption, CAST(place AS INTEGER) AS place, min(h.id) AS highlight FROM p JOIN h ON p.key = h.key AND p.s >= h.s - 2 AND p.s < h.e AND list_contains(h.words, word) WHERE word <> '' GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    return highlights.marked_words(*captioned(spark, d), 60, 2)
+
+
+@query(
+    "shared_words",
+    f"""WITH {SQL_CAPTIONS}, p AS (SELECT DISTINCT key, id, s, unnest(words) AS word FROM c)
+    SELECT p.key, p.id AS caption, h.id AS highlight, count(*) AS n FROM p JOIN h ON p.key = h.key AND p.s >= h.s - 2 AND p.s < h.e AND list_contains(h.words, word) WHERE word <> '' GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    return highlights.shared_words(*captioned(spark, d), 60, 2)
+
+
+@query("kept_measurements", f"{C.sql_with('points')} SELECT op, t, id, peak FROM (SELECT kind AS op, t, id, cents AS peak, row_number() OVER (PARTITION BY kind ORDER BY t DESC, id DESC) AS r FROM points) WHERE r <= 10")
+def _(spark, d):
+    rows = C.points(spark, d).select(F.col("kind").alias("op"), "t", "id", F.col("cents").alias("peak"))
+    path = work.folder(spark, "measurements")
+    for part in (1, 0, 2, 1):  # batches out of order, and one of them twice
+        measures.record(rows.where(F.col("id") % 3 == part), path)
+    return measures.read(spark, path, "op string, t long, id long, peak long")
+
+
+def recordings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Conversations as recordings: turns as segments with a word every 0.3 s, effects, two variants, and a log of edits."""
+    t = C.table(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("i"), F.array_remove(F.split("text", r"\s+"), "").alias("w"))
+    start = F.col("i") * 1000.0
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda k: F.array(start + k * 3 / 10, start + k * 3 / 10 + 0.25))
+    segments = t.select("key", (F.col("i") + 1).alias("id"), F.to_json(F.struct(start.alias("start"), (start + 900).alias("end"), ends.alias("words"))).alias("body"))
+    effects = F.array(*[F.struct((F.col("i") % 3 + x).alias("at"), F.lit(f"e{k}").alias("name")) for k, x in enumerate((0.25, 1.5, 4.0))])
+    documents = t.select("key", (F.col("i") + 1).alias("id"), F.to_json(F.struct(F.lit("r").alias("rush"), effects.alias("sfx"), F.struct(F.lit(0.1).alias("in"), F.lit(30.0).alias("out")).alias("trim"))).alias("body"))
+    keep = t.groupBy("key").agg(F.sort_array(F.collect_list(F.col("i") + 1)).alias("keep"))
+    variants = keep.select("key", F.explode(F.array(F.lit("long"), F.lit("short"))).alias("id"), "keep").select("key", "id", F.to_json(F.struct(F.when(F.col("id") == "long", F.col("keep")).otherwise(F.slice("keep", 1, 2)).alias("keep"))).alias("body"))
+    edit = lambda op, **fields: F.to_json(F.struct(F.lit(op).alias("op"), *[c.alias(n) for n, c in fields.items()]))
+    log = [edit("split", id=F.col("i") + 1, t=F.col("i") + 1.0), edit("unsplit", id=1_000_000 + 1000 * (F.col("i") + 1) + 3), edit("split", id=F.col("i") + 1, t=F.lit(0.7)), edit("restore", to=F.col("i") * 4)]
+    edits_of = t.select("key", (F.col("i") * 4).alias("n"), F.posexplode(F.array(*log)).alias("k", "body")).select("key", (F.col("n") + F.col("k")).alias("id"), F.when((F.col("k") < 3) | (F.col("key") % 2 == 0), F.col("body")).alias("body"))
+    return segments, documents, variants, edits_of
+
+
+@query("edited_recordings")
+def _(spark, d):
+    return edits.replayed(*recordings(spark, d))
