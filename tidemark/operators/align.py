@@ -14,10 +14,16 @@ from pyspark.sql.window import Window
 
 
 def neighbours(df: DataFrame, order: str, text: str = "text", words_only: bool = True) -> DataFrame:
-    """(key, i, a, b): each row's words with those of the next row of its key."""
-    following = F.lead(text).over(Window.partitionBy("key").orderBy(order))
-    split = lambda c: F.array_remove(F.split(F.trim(c), r"\s+"), "")
-    return df.select("key", F.col(order).alias("i"), F.col(text).alias("_a"), following.alias("_b")).where("_b is not null").select("key", "i", split(F.col("_a")).alias("a"), split(F.col("_b")).alias("b"))
+    """(key, i, a, b): each row's words with those of the next row of its key; a null text has no words."""
+    following = Window.partitionBy("key").orderBy(order)
+    split = lambda c: F.coalesce(F.array_remove(F.split(F.trim(c), r"\s+"), ""), F.array().cast("array<string>"))
+    both = df.select("key", F.col(order).alias("i"), F.col(text).alias("_a"), F.lead(text).over(following).alias("_b"), F.lead(F.lit(True)).over(following).alias("_more"))
+    return both.where("_more").select("key", "i", split(F.col("_a")).alias("a"), split(F.col("_b")).alias("b"))
+
+
+def some(words) -> list:
+    """A list of words, null as none, and null words as empty ones."""
+    return [] if words is None else ["" if w is None else w for w in words]
 
 
 def opcodes(pairs: DataFrame) -> DataFrame:
@@ -25,7 +31,7 @@ def opcodes(pairs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(k, i, n, *op) for k, i, a, b in pdf[["key", "i", "a", "b"]].itertuples(index=False) for n, op in enumerate(SequenceMatcher(None, list(a), list(b)).get_opcodes())]
+            rows = [(k, i, n, *op) for k, i, a, b in pdf[["key", "i", "a", "b"]].itertuples(index=False) for n, op in enumerate(SequenceMatcher(None, some(a), some(b)).get_opcodes())]
             yield pd.DataFrame(rows, columns=["key", "i", "n", "tag", "i1", "i2", "j1", "j2"])
 
     return pairs.mapInPandas(run, "key long, i long, n int, tag string, i1 int, i2 int, j1 int, j2 int")
@@ -34,7 +40,7 @@ def opcodes(pairs: DataFrame) -> DataFrame:
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matches over the total length."""
-    return pd.Series([SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([SequenceMatcher(None, some(x), some(y)).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def word_key(w: str) -> str:
@@ -59,13 +65,14 @@ def realigned(words: list[str], corrected: list[str]) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def realign(words: pd.Series, corrected: pd.Series) -> pd.Series:
-    return pd.Series([realigned(list(a), list(b)) for a, b in zip(words, corrected, strict=True)])
+    return pd.Series([realigned(some(a), some(b)) for a, b in zip(words, corrected, strict=True)])
 
 
 def merged_words(first: list[dict], second: list[str], suspect=lambda w: w["p"] < 0.5) -> list[dict]:
     """A transcript's words {w, p} checked against a second one of the same speech: words both have are confirmed (v 0); a
     suspect run that the second gives with as many words is replaced, the old word kept in alt (v 1); another suspect run
-    gets the second's words as a proposal on its first word (alt, and altn words it would replace)."""
+    gets the second's words as a proposal on its first word (alt, and altn words it would replace). A null word is an empty
+    one, a null confidence is none."""
     key = lambda w: "".join(c for c in w.lower() if c.isalnum())
     out = [dict(w) for w in first]
     for tag, i1, i2, j1, j2 in SequenceMatcher(None, [key(w["w"]) for w in first], [key(w) for w in second], autojunk=False).get_opcodes():
@@ -88,4 +95,4 @@ MERGED = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructF
 def merge_transcripts(first: pd.Series, second: pd.Series) -> pd.Series:
     """merged_words() of array<struct<w, p>> and array<string>."""
     blank = {"v": None, "alt": None, "altn": None}
-    return pd.Series([[blank | w for w in merged_words([{"w": x["w"], "p": x["p"]} for x in a], list(b))] for a, b in zip(first, second, strict=True)])
+    return pd.Series([[blank | w for w in merged_words([{"w": (x or blank).get("w") or "", "p": (x or blank).get("p") or 0.0} for x in ([] if a is None else a)], some(b))] for a, b in zip(first, second, strict=True)])

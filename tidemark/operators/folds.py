@@ -139,10 +139,12 @@ def strongest_apart(events: DataFrame, rest: int) -> DataFrame:
 
 def held_turns(runs: DataFrame, least: int) -> DataFrame:
     """(key, run, spk, s, e): runs (key, run, spk, s, n) shorter than `least` rows go to the turn before them, equal
-    neighbours join, and a short first one goes to the one after; a turn ends where the next one starts, the last never."""
+    neighbours join, and a short first one goes to the one after; a turn ends where the next one starts, the last never. A
+    null n counts as 0."""
 
     def step(state, run, spk, s, n):
         number, speaker, short_first = state
+        n = n or 0
         if number == 0:
             state = (1, spk, n < least)
         elif n >= least and short_first:
@@ -155,7 +157,7 @@ def held_turns(runs: DataFrame, least: int) -> DataFrame:
 
     placed = fold(runs, ["key"], ["run"], ["spk", "s", "n"], "turn long", lambda: (0, None, False), step)
     # a turn speaks with the voice of its first long run, or of its first one where all are short
-    voice = F.min(F.struct((F.col("n") < least).cast("int").alias("short"), "run", "spk")).alias("v")
+    voice = F.min(F.struct((F.coalesce("n", F.lit(0)) < least).cast("int").alias("short"), "run", "spk")).alias("v")
     held = placed.groupBy("key", "turn").agg(F.min("s").alias("s"), voice)
     following = F.lead("s").over(Window.partitionBy("key").orderBy("turn"))
     return held.select("key", "turn", F.col("v.spk").alias("spk"), F.col("s").cast("double").alias("s"), F.coalesce(following.cast("double"), F.lit(float("inf"))).alias("e"))

@@ -66,9 +66,10 @@ def spikes(df: DataFrame, value: str, above: int, longest: int, reach: int = 5,
 
 
 def strongest(events: DataFrame, rest: int, n: int) -> DataFrame:
-    """The n strongest rows that are `rest` apart in their key, in order of time."""
+    """Of each key the n strongest rows that are `rest` apart; of equals the earliest."""
     kept = folds.strongest_apart(events, rest)
-    return kept.orderBy(F.desc("strength"), "t", "id").limit(n).orderBy("t", "id")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("strength"), "t", "id"))
+    return kept.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def sliding_sums(df: DataFrame, value: str, sizes: tuple[int, ...]) -> DataFrame:

@@ -25,7 +25,7 @@ def captions(spoken: DataFrame, most_words: int = 6, most_letters: int = 26, pau
     starts with a moment and after more than `pause` of silence. The word that brings a caption over its letters stays in
     it. Lines break where they are nearest in length, at the earliest of equals. A text's words are read inside its row.
 
-    Null or empty words are left out; null lists are empty; null times count as 0 and null moments as one moment."""
+    Null or empty words are left out; null lists are empty, and lists shorter than the words go on with nulls; null times count as 0 and null moments as one moment."""
 
     def of(words: list, starts: list, ends: list, moments: list) -> Iterator[list[int]]:
         group: list[int] = []
@@ -50,6 +50,7 @@ def captions(spoken: DataFrame, most_words: int = 6, most_letters: int = 26, pau
             columns: list[list] = [[] for _ in range(7)]
             for key, *lists in zip(*[batch.column(c).to_pylist() for c in ("key", "words", "start", "end", "moment")], strict=True):
                 words, starts, ends, moments = (x or [] for x in lists)
+                starts, ends, moments = ([*side, *[None] * (len(words) - len(side))] for side in (starts, ends, moments))
                 starts, ends = ([x or 0 for x in side] for side in (starts, ends))
                 for number, group in enumerate(of(words, starts, ends, moments)):
                     own = [words[k] for k in group]

@@ -219,7 +219,7 @@ def halves(clips: DataFrame) -> DataFrame:
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def line_layout(widths: pd.Series, lines: pd.Series) -> pd.Series:
     """After which words to break so many lines: the least difference between the widest and the narrowest, then the least
-    widest, then the earliest breaks."""
+    widest, then the earliest breaks. A null list has no words, a null width none, a null number of lines is one."""
 
     def best(w, n):
         n = max(1, min(int(n), len(w)))
@@ -232,4 +232,4 @@ def line_layout(widths: pd.Series, lines: pd.Series) -> pd.Series:
 
         return list(min((cost(c) for c in combinations(range(1, len(w)), n - 1)), default=(0, 0, ()))[2])
 
-    return pd.Series([best(list(w), n) for w, n in zip(widths, lines, strict=True)])
+    return pd.Series([best([0 if x is None or x != x else x for x in ([] if w is None else w)], 1 if n is None or n != n else n) for w, n in zip(widths, lines, strict=True)])

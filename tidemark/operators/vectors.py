@@ -18,22 +18,28 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(i, j, similarity): pairs of vectors of one label with cosine similarity of at least `least`, i < j.
 
     The label is the equality that keeps this from being a cross join; within a label blocks of rows meet block by block,
-    so no task holds more than two blocks. Rows without a vector are left out; rows of one id make no pair with each other."""
+    so no task holds more than two blocks. Rows without a vector are left out; rows of one id make no pair with each other;
+    a null label is a label of its own; vectors of unequal length have no similarity."""
     numbered = vectors.where("embedding is not null").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1) / BLOCK))
     blocks = numbered.groupBy("label").agg((F.max("block") + 1).alias("n"))
-    sent = numbered.join(blocks, "label").select("label", "id", "embedding", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    sent = numbered.join(blocks.select(F.col("label").alias("_label"), "n"), F.col("label").eqNullSafe(F.col("_label"))).select("label", "id", "embedding", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     meets = sent.select("label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "embedding")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        x, y = pdf[pdf["block"] == a], pdf[pdf["block"] == b]
-        unit = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (np.stack(x["embedding"]).astype(float), np.stack(y["embedding"]).astype(float))]
-        sims = unit[0] @ unit[1].T
-        i, j = np.nonzero(sims >= least)
-        left, right = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        keep = left < right if a == b else np.ones(len(i), bool)
-        low, high = np.minimum(left, right)[keep], np.maximum(left, right)[keep]
-        return pd.DataFrame({"i": low, "j": high, "similarity": sims[i, j][keep]})
+        out = []
+        for _, same in pdf.groupby(pdf["embedding"].map(len)):
+            x, y = same[same["block"] == a], same[same["block"] == b]
+            if not len(x) or not len(y):
+                continue
+            unit = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (np.stack(x["embedding"]).astype(float), np.stack(y["embedding"]).astype(float))]
+            sims = unit[0] @ unit[1].T
+            i, j = np.nonzero(sims >= least)
+            left, right = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+            keep = left < right if a == b else left != right
+            low, high = np.minimum(left, right)[keep], np.maximum(left, right)[keep]
+            out.append(pd.DataFrame({"i": low, "j": high, "similarity": sims[i, j][keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "similarity": []}).astype({"i": "int64", "j": "int64"})
 
     return meets.groupBy("label", "a", "b").applyInPandas(compare, "i long, j long, similarity double")
 

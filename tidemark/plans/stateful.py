@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import cost, dynamic, edits, highlights, scan
 from tidemark.plans.catalogue import query
 from tidemark.sources import carriers as C
-from tidemark.sources import measures, work
+from tidemark.sources import measures, probes, work
 from tidemark.streaming import jobs
 
 # ---------------------------------------------------------------- jobs
@@ -291,3 +291,46 @@ def recordings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
 @query("edited_recordings")
 def _(spark, d):
     return edits.replayed(*recordings(spark, d))
+
+
+# ---------------------------------------------------------------- probes
+
+SQL_FILES = """f AS (SELECT o_orderkey AS id, o_custkey % 50 AS key, 100 + o_orderkey % 4 AS w, 200 + o_custkey % 2 AS h, (ARRAY['25', '29.97', '23.976', '60', '12.5', '500'])[1 + o_orderkey % 6] AS tbr, o_custkey % 3 AS tracks, (o_orderkey % 4) * 90 - 90 AS turn, o_orderkey % 1000 AS kbps FROM orders)"""
+
+
+def probed(spark: SparkSession, d: str) -> DataFrame:
+    """(id, key, probe): what a tool might say of a file for each order."""
+    o = C.table(spark, d, "orders")
+    tbr = F.get(F.array(*[F.lit(x) for x in ("25", "29.97", "23.976", "60", "12.5", "500")]), (F.col("o_orderkey") % 6).cast("int"))
+    video = F.format_string("  Stream #0:0(und): Video: h264 (High (x, y)) (avc1 / 0x31637661), yuv420p(tv, bt709), %dx%d [SAR 1:1 DAR 16:9], %d kb/s, 24 fps, %s tbr, 90k tbn\n", 100 + F.col("o_orderkey") % 4, 200 + F.col("o_custkey") % 2, F.col("o_orderkey") % 1000, tbr)
+    audio = F.when(F.col("o_custkey") % 3 > 0, F.lit("  Stream #0:1: Audio: none (apac), 48000 Hz\n  Stream #0:2: Audio: aac (LC), 48000 Hz, stereo, fltp, 128 kb/s\n")).otherwise(F.lit(""))
+    turn = F.format_string("  Side data: displaymatrix: rotation of %d.00 degrees\n", (F.col("o_orderkey") % 4) * 90 - 90)
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("key"), F.concat(F.lit("  Duration: 00:01:02.50, start: 0\n"), video, audio, turn).alias("probe"))
+
+
+@query(
+    "probed_media",
+    f"""WITH {SQL_FILES} SELECT id, 62.5::DOUBLE AS lasting, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CAST(kbps AS DOUBLE) AS video_kbps, tracks > 0 AS has_audio, CASE WHEN tracks > 0 THEN 'none' ELSE '' END AS audio_codec,
+    CASE WHEN tracks > 0 THEN 1 ELSE 0 END AS tracks, CAST(CASE WHEN turn % 180 <> 0 THEN h ELSE w END AS INTEGER) AS shown FROM f""",
+)
+def _(spark, d):
+    p = probed(spark, d).withColumn("m", probes.media(F.col("probe")))
+    return p.select("id", F.col("m.duration").alias("lasting"), "m.width", "m.height", "m.video_kbps", "m.has_audio", "m.audio_codec", F.size(probes.audio_tracks(F.col("probe"))).alias("tracks"), probes.example(F.col("probe"))["width"].alias("shown"))
+
+
+@query(
+    "joinable_files",
+    f"""WITH {SQL_FILES} SELECT key, count(*) AS files, bool_and(tracks > 0) AND count(DISTINCT (w, h, turn, tracks > 0)) = 1 AS same, CAST(sum(CASE WHEN tracks > 0 THEN 1 END) AS BIGINT) AS heard FROM f GROUP BY key""",
+)
+def _(spark, d):
+    told = probed(spark, d).withColumn("settings", probes.settings(F.col("probe")))
+    heard = told.groupBy(F.col("key").alias("_key")).agg(F.sum(F.when(F.col("settings.rate") == "48000 Hz", 1)).alias("heard"))
+    return probes.same_settings(told, ["key"]).join(heard, F.col("key") == F.col("_key")).select("key", "files", "same", "heard")
+
+
+@query(
+    "exact_rates",
+    f"""WITH {SQL_FILES} SELECT id, CAST(CASE tbr WHEN '25' THEN 25 WHEN '29.97' THEN 30000 WHEN '23.976' THEN 24000 WHEN '60' THEN 60 WHEN '12.5' THEN 25 ELSE 24 END AS BIGINT) AS n, CAST(CASE WHEN tbr IN ('29.97', '23.976') THEN 1001 WHEN tbr = '12.5' THEN 2 ELSE 1 END AS BIGINT) AS d FROM f""",
+)
+def _(spark, d):
+    return probes.with_rate(probed(spark, d), "probe").select("id", "rate.n", "rate.d")
