@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -51,8 +52,16 @@ def test_long_stretch_without_spaces():
 def test_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(pieces, "MOST_STRETCHES", 3)
     model = pieces.PieceModel(pieces.VOCABULARY)
-    text = "one two three four five six one two"
-    assert np.frombuffer(model.encode(text), "<u4").tolist() == LIBRARY.encode(text) and len(model.known) <= 3
+    for text in ("one two three four five six one two", "seven eight", "one nine"):
+        assert np.frombuffer(model.encode(text), "<u4").tolist() == LIBRARY.encode(text)
+    assert set(model.known) == {"▁one", "▁nine", "▁seven", "▁eight"}
+
+
+def test_one_by_one_as_together():
+    words = sorted({w for w in "▁the▁quick ▁unbelievable▁ ▁▁▁▁x aaaaaaaaaaa thethethe ▁12.5% ▁don't éèê".split() if w})
+    for w in words:
+        if all(MODEL.number[ord(c)] >= 0 for c in w):
+            assert MODEL.merged_together([w, w]) == [MODEL.packed(w)] * 2
 
 
 def test_other_vocabularies_are_refused(tmp_path):
@@ -147,9 +156,10 @@ def test_awkward_alignment(spark, awkward):
 
 def test_groups_themselves(spark):
     df = spark.createDataFrame([(1, "the unbelievable truth"), (2, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in alignment.grouped(alignment.tokens(df)).collect()}
+    cuts = alignment.cut(alignment.tokens(df))
+    got = {r["doc_id"]: r for r in cuts.select("doc_id", "a", alignment.groups(alignment.numbers(F.size("a_at") - 1)).alias("groups")).collect()}
     assert [x for g in got[1]["groups"] for x in g["b"]] == LIBRARY.encode("the unbelievable truth") and not got[2]["groups"]
-    assert got[1]["n_a"] == sum(len(g["a"]) for g in got[1]["groups"])
+    assert [x for g in got[1]["groups"] for x in g["a"]] == got[1]["a"]
 
 
 def test_empty(spark, empty):

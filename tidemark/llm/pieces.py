@@ -3,8 +3,10 @@
 A text's spaces become U+2581, one more is put before it, and its characters are the first symbols. An agenda holds the
 adjacent pairs that join to a piece of the vocabulary, best score first and leftmost among equals; a pair that is taken
 off joins its symbols, and the pairs with the new neighbours enter. A symbol that is no piece is spelt in bytes. No piece
-of these vocabularies has U+2581 after another character, so no merge crosses the start of a run of them: the agenda runs
-over the stretches between, and a worker remembers what it gave for short ones. Decoding puts the pieces' texts together:
+of these vocabularies has U+2581 after another character, so no merge crosses the start of a run of them, nor a character
+that no longer piece has: the agenda runs over the stretches between, and a worker remembers what it gave for short ones.
+New short stretches of a batch are merged together: their agendas are the rows of a matrix of ranks, from which each step
+takes every row's least, leftmost first. Decoding puts the pieces' texts together:
 begin and end ids are silent, U+2581 is a space, the first space goes, and runs of byte pieces are read as UTF-8.
 
 In each Arrow batch the sentencepiece library encodes and decodes the same texts; column `agrees` says whether it gave the
@@ -35,8 +37,9 @@ from .token_ids import CHARS_AT_ONCE, slices, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches remembered by a worker, and the longest of them in characters.
-MOST_STRETCHES, LONGEST = 800_000, 48
+#: Stretches remembered by a worker, and the longest of them in characters; longer ones have an agenda of their own.
+MOST_STRETCHES, LONGEST = 300_000, 32
+NO_PAIR = np.int32(2**31 - 1)
 
 
 class PieceModel:
@@ -70,9 +73,77 @@ class PieceModel:
             else:
                 self.bytes_of.append({kind.CONTROL: b"", kind.UNKNOWN: None}.get(p.type, p.piece.replace(SPACE, " ").encode()))
         self.unknown_text = train.unk_surface
+        joined = {c for piece in merges if len(piece) > 1 for c in piece} - {SPACE}
         inside = any(SPACE in piece.lstrip(SPACE) for piece in merges)
-        self.stretches = re.compile(r"(?s).+" if inside else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        own = "".join(re.escape(c) for c in sorted(joined)) or SPACE
+        self.stretches = re.compile(r"(?s).+" if inside else f"{SPACE}*[{own}]+|{SPACE}+|[^{own}{SPACE}]+").findall
         self.known: dict[str, bytes] = {}
+        self.tables(joined | {SPACE}, {} if inside or self.unused else merges)
+
+    def tables(self, chars: set[str], merges: dict) -> None:
+        """For merging many stretches at once: a symbol's number is its id, or one beyond for a character that is no piece;
+        all pairs of symbols that join, in order, with the rank and the number of what they give."""
+        numbers = dict(self.ids)
+        for c in sorted(chars):
+            numbers.setdefault(c, self.library.get_piece_size() + len(numbers))
+        self.spread = max(numbers.values(), default=0) + 1
+        order = {rank: k for k, rank in enumerate(sorted({rank for _, rank, _ in merges.values()}))}
+        pairs = sorted((numbers[p[:k]] * self.spread + numbers[p[k:]], order[rank], i) for p, (i, rank, _) in merges.items() for k in range(1, len(p)) if p[:k] in numbers and p[k:] in numbers)
+        self.pairs = np.array([x[0] for x in pairs] or [-1], np.int64)
+        self.pair_ranks = np.array([x[1] for x in pairs] or [NO_PAIR], np.int32)
+        self.pair_ids = np.array([x[2] for x in pairs] or [0], np.int32)
+        self.number = np.full(0x110000, -1, np.int32)
+        for c in chars:
+            self.number[ord(c)] = numbers[c]
+        self.at_once = bool(merges)
+
+    def joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pairs of symbols, NO_PAIR where they don't join, and the ids they join to."""
+        keys = left.astype(np.int64) * self.spread + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NO_PAIR), self.pair_ids[at]
+
+    def merged_together(self, stretches: list[str]) -> list[bytes] | None:
+        """Packed ids of stretches of one length; None where some symbol that is left is no piece."""
+        width, n = len(stretches[0]), len(stretches)
+        symbols = self.number[np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")].reshape(n, width)
+        ranks, ids = self.joins(symbols[:, :-1], symbols[:, 1:])
+        rows, out = np.arange(n), [b""] * n
+        while True:
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            going = ranks[np.arange(len(rows)), best] < NO_PAIR if ranks.shape[1] else np.zeros(len(rows), bool)
+            done = ~going
+            if done.any():
+                if (symbols[done] >= len(self.bytes_of)).any():
+                    return None
+                data, size = symbols[done].astype("<u4").tobytes(), 4 * symbols.shape[1]
+                for k, row in enumerate(rows[done].tolist()):
+                    out[row] = data[size * k : size * (k + 1)]
+            if not going.any():
+                return out
+            symbols, ranks, ids, rows, best = symbols[going], ranks[going], ids[going], rows[going], best[going]
+            each, first = np.arange(len(rows)), best[:, None]
+            joined = ids[each, best]
+            place = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, place + (place > first), 1)
+            symbols[each, best] = joined
+            place = place[:-1] + (place[:-1] >= first)
+            ranks, ids = np.take_along_axis(ranks, place, 1), np.take_along_axis(ids, place, 1)
+            for some, left in ((best > 0, best - 1), (best < symbols.shape[1] - 1, best)):  # the pairs with the new neighbours
+                r, c = each[some], left[some]
+                if len(r):
+                    ranks[r, c], ids[r, c] = self.joins(symbols[r, c], symbols[r, c + 1])
+
+    def learn(self, stretches: set[str]) -> None:
+        """Remember the ids of stretches."""
+        by_length: dict[int, list[str]] = {}
+        for stretch in stretches:
+            if 1 < len(stretch) <= LONGEST and self.at_once and self.number[ord(stretch[-1])] >= 0:
+                by_length.setdefault(len(stretch), []).append(stretch)
+            else:
+                self.known[stretch] = self.packed(stretch)
+        for some in by_length.values():
+            self.known.update(zip(some, self.merged_together(some) or map(self.packed, some), strict=True))
 
     def merged(self, text: str) -> list[str]:
         """The symbols that the agenda leaves of a stretch of text."""
@@ -113,21 +184,24 @@ class PieceModel:
             ids.extend([i] if i is not None else [self.byte_ids[b] for b in symbol.encode()])
         return array("I", ids).tobytes()
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without begin and end, as little-endian unsigned 32-bit integers."""
+        split = [self.stretches(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.known) > MOST_STRETCHES:
+            self.known.clear()
+        new: set[str] = set()
+        for stretches in split:
+            new.update(stretches)
+        new.difference_update(self.known)
+        long = [s for s in new if len(s) > LONGEST]
+        self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, stretches)) for stretches in split]
+        for s in long:
+            del self.known[s]
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text without begin and end, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known, out = self.known, []
-        for stretch in self.stretches(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = self.packed(stretch)
-                if len(stretch) <= LONGEST:
-                    if len(known) >= MOST_STRETCHES:
-                        known.clear()
-                    known[stretch] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library gives it for any ids: control pieces are silent, but end a run of byte pieces."""
@@ -191,7 +265,7 @@ def round_trips(name: str, begin: bool, end: bool):
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text"), CHARS_AT_ONCE):
-                packed = [head + model.encode(t) + tail for t in texts]
+                packed = [head + ids + tail for ids in model.encode_all(texts)]
                 ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
                 decoded = [model.decode(i) for i in ids]
                 library = model.library.encode(texts, add_bos=begin, add_eos=end, num_threads=1)

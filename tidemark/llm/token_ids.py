@@ -54,12 +54,13 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """texts → the ids of each, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str, special: bool = True) -> None:
+    def __init__(self, name: str, special: bool = True, most: int = MOST_PIECES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a core for each task
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = not special  # the library's name for: take their strings as plain text
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.pieces: dict[str, bytes] = {}
+        self.most = most
         normal, splits = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
         self.find, self.lower = None, False
         if self.tokenizer.normalizer is None and splits.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in splits:
@@ -105,7 +106,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t.lower() if self.lower else t) if self.plain(t) else None for t in texts]
-        if len(self.pieces) > MOST_PIECES:
+        if len(self.pieces) > self.most:
             self.pieces.clear()
         known, new = self.pieces, set()
         for pieces in split:
@@ -117,10 +118,10 @@ class Encoder:
 
 
 @cache
-def encoder(name: str, special: bool = True) -> Encoder:
+def encoder(name: str, special: bool = True, most: int = MOST_PIECES) -> Encoder:
     """One for each worker process, which later tasks use again: a Tokenizer and its memory don't travel. With special=False
     the strings of special tokens are plain text."""
-    return Encoder(name, special)
+    return Encoder(name, special, most)
 
 
 @cache
