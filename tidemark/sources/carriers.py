@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the source gives fewer parts, as a small file does; what has parts enough is left as it
+    is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
@@ -29,7 +36,7 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang", "text"))
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +46,8 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, lang, i, w): the words of whole texts, one every 300 ms on the words' clock."""
-    d = table(spark, sf_dir, "documents")
-    split = d.select(F.col("doc_id").alias("key"), "lang", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "w"))
+    d = texts(spark, sf_dir)
+    split = d.select("key", "lang", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "w"))
     return split.where("w <> ''").select("key", "lang", F.col("i").cast("long").alias("i"), "w")
 
 
