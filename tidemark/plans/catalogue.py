@@ -44,6 +44,9 @@ SQL_CONTENT = f"(length(form) >= 3 AND form NOT IN {sql_list(lexicon.STOP_WORDS)
 SQL_ENDS = r"(regexp_matches(rtrim(w), '[.!?]$') AND NOT regexp_matches(rtrim(w), '(\.\.|…)$'))"
 FORMS = f"forms AS (SELECT *, {SQL_FORM} AS form FROM words)"
 
+SQL_TURNS = sql_with("turns").removeprefix("WITH ")
+SQL_POINTS = sql_with("points").removeprefix("WITH ")
+
 # ---------------------------------------------------------------- intervals
 
 GAPS = "gaps AS (SELECT key, id, max(e) OVER (PARTITION BY key ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f, s AS t FROM intervals)"
@@ -226,7 +229,15 @@ def _(spark, d):
     return islands.turns(C.turns(spark, d), "spk", "i")
 
 
-@query("turns_held")
+@query(
+    "turns_held",
+    f"""WITH RECURSIVE {SQL_TURNS}, m AS (SELECT *, CASE WHEN lag(spk) OVER w IS NOT DISTINCT FROM spk AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM turns WINDOW w AS (PARTITION BY key ORDER BY i)),
+    o AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m), runs AS (SELECT key, run, min(spk) AS spk, min(i) AS s, count(*) AS n FROM o GROUP BY key, run),
+    r AS (SELECT key, run, spk, s, n, 1 AS turn, spk AS voice, n < 2 AS short FROM runs WHERE run = 1
+      UNION ALL SELECT x.key, x.run, x.spk, x.s, x.n, CASE WHEN x.n >= 2 AND NOT r.short AND x.spk IS DISTINCT FROM r.voice THEN r.turn + 1 ELSE r.turn END, CASE WHEN x.n >= 2 THEN x.spk ELSE r.voice END, r.short AND x.n < 2 FROM r JOIN runs x ON x.key = r.key AND x.run = r.run + 1),
+    t AS (SELECT key, turn, min(s) AS s, min_by(spk, struct_pack(a := (n < 2)::INT, b := run)) AS spk FROM r GROUP BY key, turn)
+    SELECT key, CAST(turn AS BIGINT) AS turn, spk, s::DOUBLE AS s, coalesce(lead(s) OVER (PARTITION BY key ORDER BY turn)::DOUBLE, 'inf'::DOUBLE) AS e FROM t""",
+)
 def _(spark, d):
     runs = islands.islands(C.turns(spark, d), "spk", "i", ["i"])
     return folds.held_turns(runs.select("key", "run", "spk", "s", "n"), 2)
@@ -330,12 +341,29 @@ def _(spark, d):
     return series.rolling_median(C.points(spark, d), "cents", -2, 2).select("key", "id", (2 * F.col("median")).cast("long").alias("twice"))
 
 
-@query("onsets")
+@query(
+    "onsets",
+    f"""WITH RECURSIVE {SQL_POINTS}, m AS (SELECT *, median(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS m FROM points),
+    c AS (SELECT key, t, id FROM m WHERE cents > 4 * m AND cents > 500), n AS (SELECT c.key, c.t, c.id, min(b.t) AS nt, min_by(b.id, struct_pack(t := b.t, id := b.id)) AS nid FROM c JOIN c b ON c.key = b.key AND c.t + {2 * HOUR} <= b.t GROUP BY ALL),
+    r AS (SELECT key, min(t) AS t, min_by(id, struct_pack(t := t, id := id)) AS id FROM c GROUP BY key UNION ALL SELECT n.key, n.nt, n.nid FROM r JOIN n ON n.key = r.key AND n.id = r.id WHERE n.nid IS NOT NULL)
+    SELECT key, t, id FROM r""",
+)
 def _(spark, d):
     return series.onsets(C.points(spark, d), "cents", 4, 500, 2 * HOUR)
 
 
-@query("spikes_topk")
+@query(
+    "spikes_topk",
+    f"""WITH RECURSIVE {SQL_POINTS}, m AS (SELECT *, median(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m,
+        coalesce(lag(cents, 4) OVER w, first_value(cents) OVER w) AS before, coalesce(lead(cents, 4) OVER w, last_value(cents) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS after FROM points WINDOW w AS (PARTITION BY key ORDER BY t, id)),
+    h AS (SELECT *, cents - m > 10000 AS hot, lag(cents - m > 10000) OVER (PARTITION BY key ORDER BY t, id) AS was FROM m),
+    o AS (SELECT *, sum((hot IS DISTINCT FROM was)::INT) OVER (PARTITION BY key ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM h),
+    f AS (SELECT key, run, max(struct_pack(strength := cents - m, t := -t, id := -id)) AS b, count(*) AS n, max(cents) AS top, min_by(before, struct_pack(t := t, id := id)) AS before, max_by(after, struct_pack(t := t, id := id)) AS after FROM o WHERE hot GROUP BY key, run),
+    s AS (SELECT key, -b.t AS t, -b.id AS id, b.strength AS strength, row_number() OVER (PARTITION BY key ORDER BY b.strength DESC, -b.t, -b.id) AS k FROM f WHERE n <= 3 AND top > greatest(before, after) + 1000),
+    r AS (SELECT key, t, id, strength, k, true AS keep, [t] AS kept FROM s WHERE k = 1
+      UNION ALL SELECT s.key, s.t, s.id, s.strength, s.k, len(list_filter(r.kept, lambda x: abs(x - s.t) < {6 * HOUR})) = 0, CASE WHEN len(list_filter(r.kept, lambda x: abs(x - s.t) < {6 * HOUR})) = 0 THEN list_append(r.kept, s.t) ELSE r.kept END FROM r JOIN s ON s.key = r.key AND s.k = r.k + 1)
+    SELECT key, t, id, CAST(round(strength * 2) AS BIGINT) AS strength FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k) AS place FROM r WHERE keep) WHERE place <= 20""",
+)
 def _(spark, d):
     found = series.spikes(C.points(spark, d), "cents", 10_000, 3, rise=1_000)
     return series.strongest(found, 6 * HOUR, 20).withColumn("strength", F.round(F.col("strength") * 2).cast("long"))
@@ -450,10 +478,11 @@ def _(spark, d):
 @query(
     "band_self_join",
     f"""{sql_with('words')}, {FORMS}, st AS (SELECT key, i, {SQL_STEM} AS stem, row_number() OVER (PARTITION BY key ORDER BY i) AS p FROM forms WHERE NOT {SQL_FILLER})
-    SELECT a.key, a.i AS i, b.i AS j FROM st a JOIN st b ON a.key = b.key AND a.stem = b.stem AND b.p - a.p BETWEEN 1 AND 150 AND (b.i - a.i) * 300 <= 45000""",
+    SELECT a.key, count(*) AS pairs, CAST(sum(a.i) AS BIGINT) AS i, CAST(sum(b.i) AS BIGINT) AS j, CAST(sum(a.i * b.i) AS BIGINT) AS products FROM st a JOIN st b ON a.key = b.key AND a.stem = b.stem AND b.p - a.p BETWEEN 1 AND 150 AND (b.i - a.i) * 300 <= 45000 GROUP BY a.key""",
 )
 def _(spark, d):
-    return retakes.repeated_stems(C.spoken(spark, d))
+    pairs = retakes.repeated_stems(C.spoken(spark, d))
+    return pairs.groupBy("key").agg(F.count("*").alias("pairs"), F.sum("i").alias("i"), F.sum("j").alias("j"), F.sum(F.col("i") * F.col("j")).alias("products"))
 
 
 SENTENCES = f"se AS (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING) AS sentence FROM (SELECT *, coalesce(lag({SQL_ENDS}) OVER (PARTITION BY key ORDER BY i), false) AS e FROM forms))"
