@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import cost, dynamic, edits, highlights, scan
+from tidemark.operators import cost, dynamic, edits, highlights, placed, scan
 from tidemark.plans.catalogue import query
 from tidemark.sources import carriers as C
 from tidemark.sources import measures, probes, work
@@ -334,3 +334,101 @@ def _(spark, d):
 )
 def _(spark, d):
     return probes.with_rate(probed(spark, d), "probe").select("id", "rate.n", "rate.d")
+
+
+# ---------------------------------------------------------------- places, shapes, digests
+
+SQL_LEAST = r"greatest(80, least(250, 40 * length(regexp_replace(w, '[^\p{L}\p{N}]', '', 'g'))))"
+
+
+@query(
+    "placed_words",
+    rf"""WITH RECURSIVE {C.sql_with('words').removeprefix('WITH ')}, t AS (SELECT key, i // 20 AS segment, i % 20 AS i, w, i * 300 - 500 + (key * 7 + i * 13) % 400 AS a, i * 300 AS b, (i // 20) * 6000 AS s, (i // 20) * 6000 + 5000 AS e, {SQL_LEAST} AS least FROM words),
+    r AS (SELECT *, greatest(a, s) AS raw, least(e, greatest(a, s)) AS start, a < s AS piled FROM t WHERE i = 0
+      UNION ALL SELECT x.*, x.a, least(x.e, greatest(x.a, CASE WHEN r.piled THEN r.start + r.least ELSE r.start END)), r.piled AND x.a < x.s FROM r JOIN t x ON x.key = r.key AND x.segment = r.segment AND x.i = r.i + 1),
+    p AS (SELECT key, segment, i, start, coalesce(lead(start) OVER (PARTITION BY key, segment ORDER BY i), least(e, greatest(b, start + 300))) AS stop FROM r)
+    SELECT key, segment, count(*) AS words, CAST(sum(start * (i + 1)) AS BIGINT) AS starts, CAST(sum(stop * (i + 1)) AS BIGINT) AS ends FROM p GROUP BY key, segment""",
+)
+def _(spark, d):
+    i = F.col("i")
+    segment = F.expr("i div 20")
+    words = C.words(spark, d).select(
+        "key", segment.alias("segment"), (i % 20).alias("i"), "w", (i * 300 - 500 + (F.col("key") * 7 + i * 13) % 400).alias("a"), (i * 300).alias("b"), (segment * 6000).alias("s"), (segment * 6000 + 5000).alias("e")
+    )
+    told = placed.placed_in_segment(words)
+    return told.groupBy("key", "segment").agg(F.count("*").alias("words"), F.sum(F.col("start") * (F.col("i") + 1)).alias("starts"), F.sum(F.col("end") * (F.col("i") + 1)).alias("ends"))
+
+
+@query("waveform", f"{C.sql_with('points')} SELECT key, id AS n, CAST(round_even(100 * pow(cents / greatest(max(cents) OVER (PARTITION BY key), 1)::DOUBLE, 0.6), 0) AS BIGINT) AS height FROM points")
+def _(spark, d):
+    return placed.waveform(C.points(spark, d).select("key", F.col("id").alias("n"), F.col("cents").alias("peak")))
+
+
+@query(
+    "frame_times",
+    """WITH v AS (SELECT o_orderkey AS id, o_custkey % 90 / 4.0::DOUBLE AS d, o_custkey % 60 AS n FROM orders), c AS (SELECT *, CASE WHEN d > 0 THEN list_transform(generate_series(0, 17), lambda i: d * (i + 0.5) / 18) ELSE [0.0::DOUBLE] END AS regular, list_transform(generate_series(1, n), lambda i: least(d - 0.05::DOUBLE, i * 0.75::DOUBLE + 0.15::DOUBLE)) AS after FROM v),
+    t AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(list_concat(regular, after), lambda t: t >= 0 AND t < greatest(d, 0.1)), lambda t: round_even(t, 2)))) AS times FROM c)
+    SELECT id, CAST(len(x) AS INTEGER) AS n, round(list_sum(x), 6) AS total FROM (SELECT id, CASE WHEN len(times) > 36 THEN list_sort(list_distinct(list_concat(list_transform(after[1:18], lambda t: round_even(t, 2)), list_filter(times, lambda t, i: i % 2 = 1))))[1:36] ELSE times END AS x FROM t)""",
+)
+def _(spark, d):
+    o = C.table(spark, d, "orders")
+    n = (F.col("o_custkey") % 60).cast("int")
+    cuts = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: i * 0.75)).otherwise(F.array().cast("array<double>"))
+    told = o.select(F.col("o_orderkey").alias("id"), placed.frame_times(F.col("o_custkey") % 90 / 4.0, cuts).alias("x"))
+    return told.select("id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, t: s + t), 6).alias("total"))
+
+
+@query(
+    "captions_in_clips",
+    f"""{C.sql_with('intervals')}, c AS (SELECT key, id, s, s + {2 * C.HOUR} AS e FROM intervals WHERE id % 3 = 0), k AS (SELECT key, id, s, e + {C.HOUR} AS e FROM intervals WHERE id % 3 = 1),
+    m AS (SELECT c.key, c.id, min(struct_pack(s := k.s, id := k.id, e := k.e)) AS clip FROM c JOIN k ON c.key = k.key AND k.s <= c.s AND c.s < k.e GROUP BY 1, 2)
+    SELECT c.key, c.id, c.s, least(c.e, coalesce(m.clip.e, c.e)) AS e, m.clip.id AS clip FROM c LEFT JOIN m USING (key, id)""",
+)
+def _(spark, d):
+    iv = C.intervals(spark, d)
+    captions = iv.where("id % 3 = 0").select("key", "id", "s", (F.col("s") + 2 * C.HOUR).alias("e"))
+    return placed.in_clips(captions, iv.where("id % 3 = 1").select("key", "id", "s", (F.col("e") + C.HOUR).alias("e")), 4 * C.HOUR)
+
+
+@query(
+    "cuts_at_words",
+    f"""{C.sql_with('words')}, n AS (SELECT key, i, row_number() OVER (PARTITION BY key ORDER BY i) AS r, count(*) OVER (PARTITION BY key) AS n FROM words), c AS (SELECT key, min(i) AS id, min(i) * 300 + (key * 97) % (300 * min(n)) AS t FROM n GROUP BY key),
+    d AS (SELECT c.*, w.i, row_number() OVER (PARTITION BY c.key ORDER BY abs(w.i * 300 - t), w.i) AS best FROM c JOIN n w ON w.key = c.key AND w.r > 1)
+    SELECT c.key, c.id, CAST(c.t AS BIGINT) AS t, d.i AS word FROM c LEFT JOIN d ON d.key = c.key AND d.best = 1""",
+)
+def _(spark, d):
+    words = C.words(spark, d).select("key", "i", (F.col("i") * 300).alias("a"))
+    cuts = words.groupBy("key").agg(F.min("i").alias("id"), F.count("*").alias("n")).select("key", "id", (F.col("id") * 300 + (F.col("key") * 97) % (300 * F.col("n"))).alias("t"))
+    return placed.nearest_word(cuts, words)
+
+
+@query(
+    "scored_vectors",
+    """WITH v AS (SELECT vec_id % 7 AS key, vec_id AS id, vec_id % 50 AS energy, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    top AS (SELECT *, max(energy) OVER (PARTITION BY key, k) AS top FROM v), s AS (SELECT key, k, avg(x) AS m, greatest(stddev_pop(x), 1e-6) AS sd FROM top WHERE energy > top - 40 GROUP BY key, k)
+    SELECT v.key, v.id, CAST(v.k AS INTEGER) AS k, round((x - m) / sd, 5) AS mean, round(1 / sd, 5) AS deviation FROM v JOIN s USING (key, k)""",
+)
+def _(spark, d):
+    each = C.vectors(spark, d).select((F.col("id") % 7).alias("key"), "id", (F.col("id") % 50).alias("energy"), F.posexplode("embedding").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+    told = placed.scored(each.select("key", "id", "k", F.col("x").alias("mean"), F.lit(1.0).alias("deviation")), each.select("key", "k", "energy", "x"))
+    return told.select("key", "id", "k", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"))
+
+
+@query(
+    "digests",
+    "SELECT doc_id AS id, substr(sha1(coalesce(text, '')), 1, 16) AS digest, substr(sha256(coalesce(text, '')), 1, 16) AS content, substr(sha1(concat(source, coalesce(lang, ''))), 1, 16) AS part FROM documents",
+)
+def _(spark, d):
+    t = C.table(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    return t.select(F.col("doc_id").alias("id"), placed.digest(text).alias("digest"), placed.content_id(text).alias("content"), placed.part_key(F.col("source"), F.col("lang")).alias("part"))
+
+
+@query(
+    "whole_fractions",
+    """WITH f AS (SELECT event_id AS id, CAST(round(value * 100) AS BIGINT) - 2000 AS n, 1 + event_id % 8 AS d, 1 + user_id % 5 AS m FROM events)
+    SELECT id, CAST(floor(n * 2 / (d * m)::DOUBLE) AS BIGINT) AS divided, CAST(round_even(n / d::DOUBLE, 0) AS BIGINT) AS rounded FROM f""",
+)
+def _(spark, d):
+    f = C.points(spark, d).select("id", (F.col("cents") - 2000).alias("n"), (1 + F.col("id") % 8).alias("d"), (1 + F.col("key") % 5).alias("m"))
+    return f.select("id", placed.floor_divided(F.col("n"), F.col("d"), F.col("m"), F.lit(2)).alias("divided"), placed.rounded_fraction(F.col("n"), F.col("d")).alias("rounded"))
