@@ -100,3 +100,26 @@ def test_merged_transcripts(spark):
     words = [{"w": w, "p": p} for w, p in (("la", 0.9), ("lant", 0.2), ("erne", 0.3), ("bleue", 0.8))]
     out = align.merged_words(words, "la lanterne bleue".split())
     assert (out[1]["alt"], out[1]["altn"]) == ("lanterne", 2)
+
+
+def test_speakers_and_persons_with_the_fallback(spark):
+    rows = [
+        (1, 1, 10, 1.5, 0.1, 0.5),  # the most moving lips first
+        (1, 2, 10, 1.4, 0.9, 0.5),
+        (1, 2, 11, 1.2, 0.0, 0.5),
+        (1, 3, 10, None, 0.9, 0.9),  # alone, but taken
+        (1, 3, 12, 1.0, 0.7, 0.2),
+        (1, 3, 13, 1.1, 0.7, 0.2),  # equally alone: the larger person
+        (1, 4, 14, 1.1, 0.5, 0.9),
+        (2, 7, 20, 1.9, 0.9, 0.2),  # the only speaker goes by what is seen
+        (2, 7, 21, None, None, 0.4),
+        (3, 1, 5, None, None, 0.29),
+        (4, 1, None, 2.0, 1.0, 1.0),
+        (None, 1, 6, 1.15, None, None),
+        (None, 2, 6, 1.15, 0.6, None),
+        (None, 2, 7, None, 0.6, None),
+    ]
+    df = spark.createDataFrame(rows, "key long, speaker long, person long, lips double, alone double, seen double").repartition(3)
+    got = sorted((str(r["key"]), r["speaker"], r["person"]) for r in tracks.speakers_shown(df).collect())
+    assert got == [("1", 1, 10), ("1", 2, 11), ("1", 3, 13), ("2", 7, 21), ("None", 1, 6), ("None", 2, 7)]
+    assert tracks.speakers_shown(df.limit(0)).count() == 0

@@ -66,6 +66,39 @@ def assigned(links: DataFrame, least: float) -> DataFrame:
     return links.groupBy("key").applyInPandas(run, "key long, speaker long, person long")
 
 
+#: How much more than usual lips must move, in what share of a speaker's windows a person must be alone, and in
+#: what share the only speaker's person must be seen.
+LIPS, ALONE, SEEN = 1.15, 0.6, 0.3
+
+
+def speakers_shown(links: DataFrame) -> DataFrame:
+    """(key, speaker, person) of links (key, speaker, person, lips, alone, seen): the most moving lips first, each speaker and
+    person once; then, speaker by speaker, the person who is alone most while they speak and isn't taken. The only speaker of
+    a recording is the person who is seen most. Of equals the smaller speaker and person come first by lips, the larger
+    person by the rest. A null measure is none.
+
+    All candidates come in one order, in which the first that fits is taken; only who is taken is carried on."""
+    whole = Window.partitionBy("key")
+    only = F.min("speaker").over(whole) == F.max("speaker").over(whole)
+    told = links.where("speaker is not null and person is not null").withColumn("_only", only)
+    down = lambda c: -F.col(c)
+    by = lambda when, phase, first, second, third: F.when(when, F.struct(F.lit(phase).alias("phase"), first.cast("double").alias("a"), second.cast("double").alias("b"), third.cast("double").alias("c")))
+    ways = F.array(
+        by(F.col("_only") & (F.col("seen") >= SEEN), 0, down("seen"), down("person"), F.lit(0)),
+        by(~F.col("_only") & (F.col("lips") >= LIPS), 1, down("lips"), F.col("speaker"), F.col("person")),
+        by(~F.col("_only") & (F.col("alone") >= ALONE), 2, F.col("speaker"), down("alone"), down("person")),
+    )
+    asked = told.select("key", "speaker", "person", F.inline(F.array_compact(ways)))
+
+    def step(taken, phase, a, b, c, speaker, person):
+        speakers, persons = taken
+        free = speaker not in speakers and person not in persons
+        return ((speakers | {speaker}, persons | {person}) if free else taken), (free,)
+
+    walked = fold(asked, ["key"], ["phase", "a", "b", "c"], ["speaker", "person"], "free boolean", lambda: (frozenset(), frozenset()), step)
+    return walked.where("free").select("key", "speaker", "person")
+
+
 def suppressed(boxes: DataFrame, most_overlap: float, most: int = 5000) -> DataFrame:
     """Boxes (key, id, x, y, w, h, score) of a frame, best first, without those that overlap a kept one too much (by the
     share of the common area in both). At most `most` candidates a frame, as the rule has it."""

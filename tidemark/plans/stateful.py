@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.operators import cost, dynamic, edits, highlights, placed, scan
+from tidemark.operators import cost, dynamic, edits, highlights, placed, scan, tracks
 from tidemark.plans.catalogue import query
 from tidemark.sources import carriers as C
 from tidemark.sources import measures, probes, work
@@ -432,3 +433,22 @@ def _(spark, d):
 def _(spark, d):
     f = C.points(spark, d).select("id", (F.col("cents") - 2000).alias("n"), (1 + F.col("id") % 8).alias("d"), (1 + F.col("key") % 5).alias("m"))
     return f.select("id", placed.floor_divided(F.col("n"), F.col("d"), F.col("m"), F.lit(2)).alias("divided"), placed.rounded_fraction(F.col("n"), F.col("d")).alias("rounded"))
+
+
+@query(
+    "speakers_shown",
+    f"""WITH RECURSIVE {C.sql_with('points').removeprefix('WITH ')}, k AS (SELECT key % 40 AS key, length(kind) % (1 + key % 4) AS speaker, id % 5 AS person, CAST(sum(cents) AS DOUBLE) AS total, count(*) AS n FROM points GROUP BY 1, 2, 3),
+    g AS (SELECT *, total / (sum(total) OVER (PARTITION BY key, speaker)) AS part, total / n / 1000 AS lips FROM k), l AS (SELECT *, min(speaker) OVER (PARTITION BY key) = max(speaker) OVER (PARTITION BY key) AS single FROM g),
+    w AS (SELECT key, speaker, person, 0 AS phase, -part AS a, -person::DOUBLE AS b, 0::DOUBLE AS c FROM l WHERE single AND part >= 0.3 UNION ALL SELECT key, speaker, person, 1, -lips, speaker, person FROM l WHERE NOT single AND lips >= 1.15
+      UNION ALL SELECT key, speaker, person, 2, speaker, -part * 3, -person FROM l WHERE NOT single AND part * 3 >= 0.6),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY phase, a, b, c) AS r FROM w),
+    t AS (SELECT key, speaker, person, r, true AS free, [speaker] AS ss, [person] AS ps FROM o WHERE r = 1
+      UNION ALL SELECT o.key, o.speaker, o.person, o.r, NOT (list_contains(t.ss, o.speaker) OR list_contains(t.ps, o.person)),
+        CASE WHEN list_contains(t.ss, o.speaker) OR list_contains(t.ps, o.person) THEN t.ss ELSE list_append(t.ss, o.speaker) END, CASE WHEN list_contains(t.ss, o.speaker) OR list_contains(t.ps, o.person) THEN t.ps ELSE list_append(t.ps, o.person) END FROM t JOIN o ON o.key = t.key AND o.r = t.r + 1)
+    SELECT key, CAST(speaker AS BIGINT) AS speaker, person FROM t WHERE free""",
+)
+def _(spark, d):
+    k = C.points(spark, d).groupBy((F.col("key") % 40).alias("key"), (F.length("kind") % (1 + F.col("key") % 4)).cast("long").alias("speaker"), (F.col("id") % 5).alias("person")).agg(F.sum("cents").cast("double").alias("total"), F.count("*").alias("n"))
+    part = F.col("total") / F.sum("total").over(Window.partitionBy("key", "speaker"))
+    links = k.select("key", "speaker", "person", (F.col("total") / F.col("n") / 1000).alias("lips"), (part * 3).alias("alone"), part.alias("seen"))
+    return tracks.speakers_shown(links)
