@@ -63,10 +63,11 @@ def test_documents(spark, tmp_path):
 def test_frequencies_and_tokens(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"le": 3, "the": 1}))
     assert {r["word"]: r["share"] for r in documents.frequencies(spark, str(tmp_path)).collect()} == {"le": 0.75, "the": 0.25}
-    tokens = [" Mou", "lin,", " en", " fo", "r", "êt"]
-    df = spark.createDataFrame([(1, k, t, 0.1 * k, -1.0 if t == "r" else 0.0) for k, t in enumerate(tokens)], "key long, i long, token string, t double, logprob double")
-    got = documents.words_of_tokens(df).orderBy("n").collect()
-    assert [r["w"] for r in got] == ["Moulin,", "en", "forêt"] and abs(got[2]["p"] - math.exp(-1)) < 1e-12
+    rows = [(0, " win", 0.5, -0.2), (1, "dow", 0.6, -0.7), (2, " is", 1.0, 0.0), (3, " op", 1.4, -0.1), (4, "en", 1.5, -0.3), (5, ".", 1.6, -0.05)]
+    df = spark.createDataFrame([(9, *r) for r in rows], "key long, i long, token string, t double, logprob double")
+    got = documents.words_of_tokens(df, after=0.7).orderBy("n").collect()
+    assert [(r["w"], round(r["a"], 2), round(r["b"], 2)) for r in got] == [("is", 1.0, 1.16), ("open.", 1.4, 1.76)]
+    assert [round(r["p"], 9) for r in got] == [1.0, round(math.exp(-0.3), 9)]
 
 
 def test_probes(spark):

@@ -995,11 +995,12 @@ def _(spark, d):
 
 SQL_CLEAN = "replace(replace(replace(replace(lower({x}), '’', ''''), '‘', ''''), 'œ', 'oe'), 'æ', 'ae')"
 SQL_KEY = "CASE regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g') WHEN 'okay' THEN 'ok' ELSE regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g') END".format(c=SQL_CLEAN.format(x="w"))
+ELIDED = "|".join(e.replace("'", "''") for e in lexicon.ELISIONS)
 SQL_KINDS = rf"""{sql_with('words')}, {FORMS}, own AS (SELECT form AS word, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM forms WHERE lang = 'fr' AND form <> '' GROUP BY form),
     oth AS (SELECT form AS word, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM forms WHERE lang = 'en' AND form <> '' GROUP BY form),
     dict AS (SELECT word, CASE WHEN coalesce(b.share, 0) >= 20 * coalesce(a.share, 0) THEN 'foreign' ELSE 'known' END AS kind FROM own a FULL JOIN oth b USING (word)),
     t AS (SELECT DISTINCT w, regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS trimmed FROM words), c AS (SELECT *, {SQL_CLEAN.format(x='trimmed')} AS clean FROM t),
-    r AS (SELECT *, CASE WHEN regexp_matches(clean, '^(l|d|j|m|n|s|t|c|qu|jusqu|lorsqu|puisqu|quoiqu)''.') THEN regexp_replace(clean, '^[a-z]+''', '') ELSE clean END AS rest FROM c),
+    r AS (SELECT *, CASE WHEN regexp_matches(clean, '^({ELIDED}).') THEN regexp_replace(clean, '^[a-z]+''', '') ELSE clean END AS rest FROM c),
     p AS (SELECT *, list_filter(string_split_regex(rest, '[-'']'), lambda x: x <> '') AS every FROM r), q AS (SELECT *, CASE WHEN contains(rest, '''') AND NOT contains(rest, '-') THEN every[1:1] ELSE every END AS parts FROM p),
     asked AS (SELECT w, clean AS form, true AS whole FROM q UNION ALL SELECT w, unnest(parts), false FROM q WHERE NOT (len(parts) = 1 AND parts[1] = clean)),
     found AS (SELECT w, whole, CASE WHEN form IN {sql_list(lexicon.SPOKEN['fr'])} OR {SQL_FILLER} THEN 'known' ELSE coalesce(kind, 'unknown') END AS kind FROM asked LEFT JOIN dict ON word = form),
