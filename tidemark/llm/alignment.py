@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .pieces import piece_model
-from .token_ids import CHARS_AT_ONCE, encoder, slices, token_bytes
+from .token_ids import encoder, slices, token_bytes
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids is one number: the first id times this, plus the second.
 IDS = 1 << 20
-#: Pieces of text whose ids a worker remembers for the first tokenizer; the second has a memory of its own.
-MOST_PIECES = 300_000
+#: Pieces of text whose ids a worker remembers for the first tokenizer (the second has a memory of its own), and characters
+#: of text whose numbers are sent on together: a character has two numbers of four bytes besides the tokens.
+MOST_PIECES, CHARS_AT_ONCE = 200_000, 250_000
 #: The most frequent pairs, which every task gets.
 HEAD = 1 << 17
 
