@@ -51,6 +51,31 @@ def test_folding():
     assert toxicity.hits(a, "") == (0.0, 0)
 
 
+def test_exceptions_and_hits_in_linear_time():
+    """A text of many hits and exceptions: as by trying all of them, and a long one at once."""
+    import random
+    import time
+
+    model = toxicity.Model({" trash": 2.0, " idiot ": 3.0, "rash c": 1.0}, (" trash can ", " an idiot savant ", " can idiot "), (1.0, 0.5, -3.5))
+    a = toxicity.automaton(model)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = " ".join(rng.choice(["trash", "can", "idiot", "an", "savant", "x"]) for _ in range(rng.randrange(12)))
+        best, spared = {}, []
+        folded = toxicity.folded(text)
+        for end, (size, weight) in a.iter(folded):
+            start = end - size + 1
+            if weight is None:
+                spared.append((start, end))
+            else:
+                best[start] = max(weight, best.get(start, 0.0))
+        want = sum(w for s, w in best.items() if not any(x <= s < y for x, y in spared))
+        assert toxicity.hits(a, text)[0] == want
+    began = time.perf_counter()
+    toxicity.hits(a, "trash can idiot " * 100_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_classifiers_take_awkward_rows(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(awkward, labels)

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -131,7 +133,10 @@ def hits(a: ahocorasick.Automaton, text: str) -> tuple[float, int]:
         elif weight > best.get(start, 0.0):
             best[start] = weight
     if spared:
-        best = {s: w for s, w in best.items() if not any(x <= s < y for x, y in spared)}
+        # of the exceptions that begin at or before a hit, does the one that reaches furthest end after it
+        spared.sort()
+        starts, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        best = {s: w for s, w in best.items() if not ((k := bisect_right(starts, s)) and reach[k - 1] > s)}
     return sum(best.values()), words
 
 
