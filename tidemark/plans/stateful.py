@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import cost, dynamic, edits, highlights, placed, scan, tracks
+from tidemark.operators import cost, dynamic, edits, highlights, panels, placed, scan, tracks
 from tidemark.plans.catalogue import query
 from tidemark.sources import carriers as C
 from tidemark.sources import measures, probes, work
@@ -452,3 +452,39 @@ def _(spark, d):
     part = F.col("total") / F.sum("total").over(Window.partitionBy("key", "speaker"))
     links = k.select("key", "speaker", "person", (F.col("total") / F.col("n") / 1000).alias("lips"), (part * 3).alias("alone"), part.alias("seen"))
     return tracks.speakers_shown(links)
+
+
+# ---------------------------------------------------------------- panels
+
+SQL_FACES = f"""{C.sql_with('points').removeprefix('WITH ')}, f AS (SELECT key % 10 AS key, t, id, cents % 97 / 10.0::DOUBLE AS x, cents % 89 / 10.0::DOUBLE AS y, CASE WHEN (id + key) % 7 < 1 + key % 5 THEN cents % 31 / 10.0::DOUBLE END AS x0,
+    CASE WHEN (id + key) % 7 < 1 + key % 5 THEN cents % 29 / 10.0::DOUBLE END AS y0, CASE WHEN (id + key) % 7 < 1 + key % 5 THEN 6 + cents % 37 / 10.0::DOUBLE END AS x1, CASE WHEN (id + key) % 7 < 1 + key % 5 THEN 6 + cents % 23 / 10.0::DOUBLE END AS y1 FROM points)"""
+RANGE = f"OVER (PARTITION BY key ORDER BY t RANGE BETWEEN {6 * C.HOUR} PRECEDING AND {6 * C.HOUR} FOLLOWING)"
+
+
+def faces_of(spark: SparkSession, d: str) -> DataFrame:
+    p = C.points(spark, d)
+    some = (F.col("id") + F.col("key")) % 7 < 1 + F.col("key") % 5
+    part = lambda m, plus=0: plus + (F.col("cents") % m).cast("double") / 10.0
+    return p.select((F.col("key") % 10).alias("key"), "t", "id", part(97).alias("x"), part(89).alias("y"), *[F.when(some, part(m, plus)).alias(e) for e, m, plus in (("x0", 31, 0), ("y0", 29, 0), ("x1", 37, 6), ("y1", 23, 6))])
+
+
+@query(
+    "steady_panels",
+    f"""WITH {SQL_FACES}, u AS (SELECT *, count(*) {RANGE} AS n, count(x0) {RANGE} AS found, quantile_cont(x0, 0.7) {RANGE} AS u0, quantile_cont(y0, 0.7) {RANGE} AS u1, quantile_cont(x1, 0.3) {RANGE} AS u2, quantile_cont(y1, 0.3) {RANGE} AS u3 FROM f),
+    w AS (SELECT key, count(*) AS n, count(x0) AS found, quantile_cont(x0, 0.7) AS w0, quantile_cont(y0, 0.7) AS w1, quantile_cont(x1, 0.3) AS w2, quantile_cont(y1, 0.3) AS w3 FROM f GROUP BY key),
+    a AS (SELECT u.key, t, id, u.found > 0 AND u.found >= 0.4 * u.n AS near, w.found >= 0.25 * w.n AND x BETWEEN w0 AND w2 AND y BETWEEN w1 AND w3 AS own, u0, u1, u2, u3, w0, w1, w2, w3 FROM u JOIN w USING (key))
+    SELECT key, t, id, round(CASE WHEN near THEN u0 ELSE w0 END, 6) AS x0, round(CASE WHEN near THEN u1 ELSE w1 END, 6) AS y0, round(CASE WHEN near THEN u2 ELSE w2 END, 6) AS x1, round(CASE WHEN near THEN u3 ELSE w3 END, 6) AS y1 FROM a WHERE near OR own""",
+)
+def _(spark, d):
+    told = panels.steady_panels(faces_of(spark, d), 6 * C.HOUR)
+    return told.select("key", "t", "id", *[F.round(e, 6).alias(e) for e in panels.EDGES])
+
+
+@query(
+    "filled_panels",
+    f"""WITH {SQL_FACES}, p AS (SELECT * FROM f WHERE x0 IS NOT NULL), m AS (SELECT f.*, row_number() OVER (PARTITION BY f.key, f.t, f.id ORDER BY abs(p.t - f.t), p.t) AS r, p.t AS pt, p.x0 AS a, p.y0 AS b, p.x1 AS c, p.y1 AS d FROM f JOIN p ON f.key = p.key WHERE f.x0 IS NULL AND f.id % 2 = 0)
+    SELECT key AS person, t, id, x0, y0, x1, y1 FROM p UNION ALL SELECT key, t, id, a, b, c, d FROM m WHERE r = 1 AND abs(pt - t) <= {C.HOUR} AND x BETWEEN a AND c AND y BETWEEN b AND d""",
+)
+def _(spark, d):
+    f = faces_of(spark, d).withColumnRenamed("key", "person").withColumn("alone", F.col("id") % 2 == 1)
+    return panels.filled_panels(f, f.where("x0 is not null"), C.HOUR)
