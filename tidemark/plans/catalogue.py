@@ -1143,7 +1143,13 @@ def _(spark, d):
     return docs.joined_parts(docs.split_part(parts, cuts))
 
 
-@query("auto_zooms")
+@query(
+    "auto_zooms",
+    f"""WITH RECURSIVE {SQL_POINTS}, m AS (SELECT DISTINCT key, t, max(t) OVER (PARTITION BY key) + {DAY} AS stop FROM points),
+    n AS (SELECT a.key, a.t, a.stop, coalesce(min_by(b.t, struct_pack(d := abs(b.t - a.t - {36 * HOUR}), t := b.t)), a.stop) AS upto FROM m a LEFT JOIN m b ON a.key = b.key AND b.t >= a.t + {26 * HOUR} AND b.t < a.stop - {6 * HOUR} GROUP BY a.key, a.t, a.stop),
+    r AS (SELECT key, t AS s, upto AS e, stop, 0 AS side FROM n WHERE (key, t) IN (SELECT key, min(t) FROM m GROUP BY key) UNION ALL SELECT n.key, n.t, n.upto, n.stop, 1 - r.side FROM r JOIN n ON n.key = r.key AND n.t = r.e WHERE r.e < r.stop)
+    SELECT key, s, e, CAST(side AS BIGINT) AS side FROM r""",
+)
 def _(spark, d):
     p = C.points(spark, d)
     ends = p.groupBy("key").agg((F.max("t") + DAY).alias("end"))
