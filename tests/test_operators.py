@@ -323,3 +323,40 @@ def test_progress_numbers_with_exponents(spark):
 
     df = spark.createDataFrame([(1, "2024-01-01", line) for line in ("@progression 1.5e+06 2e+06 a b", "@progression 1 0 c", "@progression 1-2 3 d", "x")], "key long, ts string, line string")
     assert rows(telemetry.progress_lines(df), "done", "total", "label") == [(1_500_000.0, 2_000_000.0, "a b")]
+
+
+def test_quantiles_as_engines_interpolate(spark):
+    rows = [(1, k, v, "a" if k % 3 else "view") for k, v in enumerate([5, 1, 1, None, 10, 2, 7])] + [(2, 1, None, "a"), (None, 1, 4, None)]
+    p = spark.createDataFrame(rows, "key long, id long, cents long, kind string")
+    got = {r["key"]: tuple(r)[1:] for r in series.quantiles(p, "cents", {"q": (F.col("kind") != "view", 0.3), "any": (F.lit(True), 0.1)}).collect()}
+    # rows without values are counted but have no rank
+    assert got == {1: (1.0, 4, 1.0, 7), 2: (None, 1, None, 1), None: (None, 0, 4.0, 1)}
+
+
+def test_percentile_floor_on_its_bounds(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from tidemark.plans import catalogue
+
+    # quantiles that are a bound of the levels but for their last bit, which depends on how they are interpolated
+    cases = [(n, low, bound, low + (bound - low) * 10 // (3 * (n - 1) % 10)) for n in range(22, 60) if 3 * (n - 1) % 10 for bound in (2500, 5000) for low in range(bound - 300, bound, 3) if (bound - low) * 10 % (3 * (n - 1) % 10) == 0]
+    at, rows = datetime.datetime(2024, 1, 1), []
+    for key, (n, low, _, high) in enumerate(cases):
+        k = 3 * (n - 1) // 10
+        rows += [(len(rows) + x, at, key, "click", (low if x <= k else high) / 100, "{}") for x in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT key, floor10, level FROM ({catalogue.ORACLE_SQL['percentile_floor']}) ORDER BY key").fetchall()
+    assert [tuple(r) for r in catalogue.QUERIES["percentile_floor"](spark, str(tmp_path)).orderBy("key").collect()] == want
+
+
+def test_grid_between_rows(spark):
+    p = spark.createDataFrame([(1, 1, -120, 5), (1, 2, 20, 6), (1, 3, 20, 7), (1, 4, None, 9), (1, 5, 170, None), (2, 1, 30, 1), (None, 1, 100, 3)], "key long, id long, t long, cents long")
+    got = [(r["key"], r["g"], r["back"]["t"], r["back"]["v"], r["fore"] and r["fore"]["t"], r["fore"] and r["fore"]["v"]) for r in series.around_grid(p, "cents", 50).collect()]
+    assert sorted(got, key=str) == sorted([(1, -100, -120, 5, 20, 6), (1, -50, -120, 5, 20, 6), (1, 0, -120, 5, 20, 6), (1, 50, 20, 7, 170, None), (1, 100, 20, 7, 170, None), (1, 150, 20, 7, 170, None), (None, 100, 100, 3, None, None)], key=str)
+    plan = series.nearest_filled(p, "cents", 50)._jdf.queryExecution().optimizedPlan().toString()
+    # one window over the rows alone: no grid time is sorted
+    assert plan.count("Window [") == 1 and "Union" not in plan

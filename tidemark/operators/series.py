@@ -102,26 +102,60 @@ def ranked_range(bins: DataFrame, low: float = 0.10, high: float = 0.95) -> Data
     return upto.groupBy("key").agg(at(low).alias("lo"), at(high).alias("hi")).select("key", "lo", "hi", (F.col("hi") - F.col("lo")).alias("spread"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: the product's and the sum's rounding errors are exact doubles and are added to the sum."""
+    split = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    p, a1, b1 = a * b, split(a), split(b)
+    a2, b2, s = a - a1, b - b1, p + c
+    lost = (((a1 * b1 - p) + a1 * b2) + a2 * b1) + a2 * b2
+    return s + (((p - (s - (s - p))) + (c - (s - p))) + lost)
+
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(key, …, n_…): for each name the quantile of the values of rows where its condition holds, and the number of these rows,
+    with and without values.
+
+    A quantile lies between two neighbouring ranks as fused(low, 1 - share, high * share), so that it is the same double as in
+    DuckDB. Equal values are counted first, so only a key's different values are ranked.
+    Null values have no rank; without values the quantile is null."""
+    here = F.col(value).isNotNull()
+    counts = df.groupBy("key", value).agg(*[F.count_if(c).alias(f"n_{name}") for name, (c, _) in wanted.items()])
+    upto, whole = Window.partitionBy("key").orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("key")
+    ranked = counts.select("*", *[F.coalesce(F.sum(F.when(here, F.col(f"n_{n}"))).over(w), F.lit(0)).alias(f"_{k}_{n}") for n in wanted for k, w in (("u", upto), ("n", whole))])
+    told, out = [], []
+    for n, (_, p) in wanted.items():
+        rank = p * (F.col(f"_n_{n}") - 1).cast("double")
+        at = lambda k, n=n: F.min(F.when((F.col(f"_n_{n}") > 0) & (F.col(f"_u_{n}") > k), F.col(value)))
+        told += [at(F.floor(rank)).alias(f"_low_{n}"), at(F.ceil(rank)).alias(f"_high_{n}"), F.sum(f"n_{n}").alias(f"n_{n}"), F.first(rank).alias(f"_at_{n}")]
+        place = F.col(f"_at_{n}")
+        share, low, high = place - F.floor(place), F.col(f"_low_{n}").cast("double"), F.col(f"_high_{n}").cast("double")
+        out += [F.when(share == 0, low).otherwise(fused(low, 1 - share, high * share)).alias(n), F.col(f"n_{n}")]
+    return ranked.groupBy("key").agg(*told).select("key", *out)
+
+
 def peak_shape(df: DataFrame, value: str, width: int, top: int = 100) -> DataFrame:
     """(key, bucket, peak): the largest absolute value of each bucket of time, scaled so that the key's largest is `top`."""
     peaks = df.groupBy("key", F.floor(F.col("t") / width).alias("bucket")).agg(F.max(F.abs(value)).alias("p"))
     return peaks.select("key", "bucket", F.floor(F.col("p") * top / F.max("p").over(Window.partitionBy("key"))).cast("long").alias("peak"))
 
 
-def grid(df: DataFrame, step: int) -> DataFrame:
-    """(key, g): multiples of `step` from a key's first to its last time."""
-    ends = df.groupBy("key").agg(F.ceil(F.min("t") / step).alias("a"), F.floor(F.max("t") / step).alias("b")).where("a <= b")
-    return ends.select("key", F.explode(F.sequence("a", "b")).alias("g")).select("key", (F.col("g") * step).alias("g"))
+def grid_floor(t: Column, step: int) -> Column:
+    """The last multiple of `step` at or before a whole number, exact for either sign."""
+    return t - F.pmod(t, F.lit(step))
 
 
 def around_grid(df: DataFrame, value: str, step: int) -> DataFrame:
-    """(key, g, back, fore): for each grid time the last row at or before it and the first after it, as structs (t, v)."""
-    a = grid(df, step).select("key", F.col("g").alias("t"), F.lit(1).alias("side"), F.lit(2**62).alias("id"), F.lit(None).cast("struct<t:bigint,v:bigint>").alias("hit"))
-    b = df.select("key", "t", F.lit(0).alias("side"), "id", F.struct("t", F.col(value).alias("v")).alias("hit"))
-    back = Window.partitionBy("key").orderBy("t", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    fore = Window.partitionBy("key").orderBy(F.desc("t"), F.desc("side"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).select("*", F.last("hit", True).over(back).alias("back"), F.last("hit", True).over(fore).alias("fore"))
-    return found.where("side = 1").select("key", F.col("t").alias("g"), "back", "fore")
+    """(key, g, back, fore): for each multiple g of `step` from a key's first to its last time the last row at or before it and
+    the first after it, as structs (t, v); of equal times the greatest id before, the least after.
+
+    Only the rows are sorted, once: each is opened into the grid times from its own to the next row's. Rows without a time are
+    left out."""
+    w = by_key("t", "id")
+    here = F.struct("t", F.col(value).alias("v"))
+    rows = df.where("t is not null").select("key", "id", F.col("t").cast("long").alias("t"), value)
+    found = rows.select("key", "t", here.alias("back"), F.lead(here).over(w).alias("fore"))
+    first, last = -grid_floor(-F.col("t"), step), F.coalesce(grid_floor(F.col("fore.t") - 1, step), grid_floor(F.col("t"), step))
+    return found.select("key", "back", "fore", first.alias("a"), last.alias("b")).where("a <= b").select("key", F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("g"), "back", "fore")
 
 
 def interpolated(df: DataFrame, value: str, step: int, hole: int) -> DataFrame:
@@ -136,7 +170,7 @@ def interpolated(df: DataFrame, value: str, step: int, hole: int) -> DataFrame:
 def nearest_filled(df: DataFrame, value: str, step: int) -> DataFrame:
     """(key, g, v): the value of the nearest row, the earlier one of equally near."""
     f = around_grid(df, value, step)
-    use_back = F.col("fore").isNull() | (F.col("back").isNotNull() & (F.col("g") - F.col("back.t") <= F.col("fore.t") - F.col("g")))
+    use_back = F.col("fore").isNull() | (F.col("g") - F.col("back.t") <= F.col("fore.t") - F.col("g"))
     return f.select("key", "g", F.when(use_back, F.col("back.v")).otherwise(F.col("fore.v")).alias("v"))
 
 
