@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,11 +90,24 @@ def merged_words(first: list[dict], second: list[str], suspect=lambda w: w["p"]
     return out
 
 
-MERGED = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("v", T.IntegerType()), T.StructField("alt", T.StringType()), T.StructField("altn", T.IntegerType())]))
+MERGED = pa.list_(pa.struct([("w", pa.string()), ("p", pa.float64()), ("v", pa.int32()), ("alt", pa.string()), ("altn", pa.int32())]))
+#: Words of pairs that are Python objects at one time.
+MOST_WORDS = 20_000
 
 
-@F.pandas_udf(MERGED)
-def merge_transcripts(first: pd.Series, second: pd.Series) -> pd.Series:
+def merge_slices(first: pa.Array, second: pa.Array, most: int = MOST_WORDS) -> pa.Array:
+    """merged_words() of each pair. Only pairs of `most` words together, or a single pair, are Python objects at a time."""
+    blank, done, a = {"v": None, "alt": None, "altn": None}, [], 0
+    words = np.cumsum(sum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (first, second)))
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(words, (words[a - 1] if a else 0) + most, "right")))
+        rows = [[blank | w for w in merged_words([{"w": (x or blank).get("w") or "", "p": (x or blank).get("p") or 0.0} for x in (one or [])], some(other))] for one, other in zip(first[a:b].to_pylist(), second[a:b].to_pylist(), strict=True)]
+        done.append(pa.array(rows, MERGED))
+        a = b
+    return pa.concat_arrays(done) if done else pa.array([], MERGED)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("v", T.IntegerType()), T.StructField("alt", T.StringType()), T.StructField("altn", T.IntegerType())])))
+def merge_transcripts(first: pa.Array, second: pa.Array) -> pa.Array:
     """merged_words() of array<struct<w, p>> and array<string>."""
-    blank = {"v": None, "alt": None, "altn": None}
-    return pd.Series([[blank | w for w in merged_words([{"w": (x or blank).get("w") or "", "p": (x or blank).get("p") or 0.0} for x in ([] if a is None else a)], some(b))] for a, b in zip(first, second, strict=True)])
+    return merge_slices(first, second)
