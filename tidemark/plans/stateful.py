@@ -325,8 +325,7 @@ def _(spark, d):
 )
 def _(spark, d):
     told = probed(spark, d).withColumn("settings", probes.settings(F.col("probe")))
-    heard = told.groupBy(F.col("key").alias("_key")).agg(F.sum(F.when(F.col("settings.rate") == "48000 Hz", 1)).alias("heard"))
-    return probes.same_settings(told, ["key"]).join(heard, F.col("key") == F.col("_key")).select("key", "files", "same", "heard")
+    return probes.same_settings(told, ["key"], F.sum(F.when(F.col("settings.rate") == "48000 Hz", 1)).alias("heard"))
 
 
 @query(

@@ -7,6 +7,8 @@ Defined cases. A null text, or one without the line in question, gives nulls, ze
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,14 @@ TURN = r"rotation of (-?[\d.]+) degrees"
 BROADCAST = (("23.98", 24000), ("23.976", 24000), ("29.97", 30000), ("47.95", 48000), ("59.94", 60000), ("119.88", 120000))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null where nothing matches or the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda x: F.nullif(x, F.lit("")))
 
 
 def audio_tracks(probe: Column) -> Column:
@@ -66,36 +73,38 @@ def flat(line: Column) -> Column:
 def settings(probe: Column) -> Column:
     """struct<duration, codec, pixels, width, height, fps, turn, tracks, audio_codec, rate, layout> for joining files; null where
     there is no picture."""
-    video, audio = found(probe, VIDEO), found(probe, AUDIO)
-    fields, sound, tracks = flat(video), flat(audio), audio_tracks(probe)
+    with_sound = lambda p, video, fields, audio: let(flat(audio), lambda sound: let(audio_tracks(p), lambda tracks: settings_of(p, video, fields, audio, sound, tracks)))
+    with_picture = lambda p, video: let(flat(video), lambda fields: let(found(p, AUDIO), lambda audio: with_sound(p, video, fields, audio)))
+    return let(probe, lambda p: let(found(p, VIDEO), lambda video: F.when(video.isNotNull(), with_picture(p, video))))
+
+
+def settings_of(probe: Column, video: Column, fields: Column, audio: Column, sound: Column, tracks: Column) -> Column:
+    """settings() from the text, its first lines of picture and sound with their fields, and its tracks."""
     size = F.get(F.filter(fields, lambda x: x.rlike(r"^\d+x\d+")), 0)
     number = lambda text, pattern, k=1: found(text, pattern, k).try_cast("double")
     heard = lambda c: F.when(audio.isNotNull() & (F.size(tracks) > 0), c)
     word = lambda c: F.coalesce(F.get(F.filter(F.split(c, r"\s+"), lambda x: x != ""), 0), F.lit(""))
-    return F.when(
-        video.isNotNull(),
-        F.struct(
-            duration(probe).alias("duration"),
-            word(F.get(fields, 0)).alias("codec"),
-            F.coalesce(F.get(fields, 1), F.lit("")).alias("pixels"),
-            F.coalesce(number(size, r"^(\d+)x(\d+)"), F.lit(0.0)).cast("int").alias("width"),
-            F.coalesce(number(size, r"^(\d+)x(\d+)", 2), F.lit(0.0)).cast("int").alias("height"),
-            F.coalesce(number(video, r"([\d.]+) fps"), number(video, r"([\d.]+) tbr"), F.lit(30.0)).alias("fps"),
-            F.pmod(F.coalesce(F.rint(number(probe, TURN)), F.lit(0.0)).cast("int"), F.lit(360)).alias("turn"),
-            F.transform(tracks, lambda t: t["track"]).alias("tracks"),
-            heard(word(F.get(sound, 0))).alias("audio_codec"),
-            heard(F.coalesce(F.get(sound, 1), F.lit(""))).alias("rate"),
-            heard(F.coalesce(F.get(sound, 2), F.lit(""))).alias("layout"),
-        ),
+    return F.struct(
+        duration(probe).alias("duration"),
+        word(F.get(fields, 0)).alias("codec"),
+        F.coalesce(F.get(fields, 1), F.lit("")).alias("pixels"),
+        F.coalesce(number(size, r"^(\d+)x(\d+)"), F.lit(0.0)).cast("int").alias("width"),
+        F.coalesce(number(size, r"^(\d+)x(\d+)", 2), F.lit(0.0)).cast("int").alias("height"),
+        F.coalesce(number(video, r"([\d.]+) fps"), number(video, r"([\d.]+) tbr"), F.lit(30.0)).alias("fps"),
+        F.pmod(F.coalesce(F.rint(number(probe, TURN)), F.lit(0.0)).cast("int"), F.lit(360)).alias("turn"),
+        F.transform(tracks, lambda t: t["track"]).alias("tracks"),
+        heard(word(F.get(sound, 0))).alias("audio_codec"),
+        heard(F.coalesce(F.get(sound, 1), F.lit(""))).alias("rate"),
+        heard(F.coalesce(F.get(sound, 2), F.lit(""))).alias("layout"),
     )
 
 
-def same_settings(files: DataFrame, by: list[str]) -> DataFrame:
-    """(…by, files, same): whether all of a group's files (…by, settings) have sound and could be joined without encoding."""
+def same_settings(files: DataFrame, by: list[str], *also: Column) -> DataFrame:
+    """(…by, files, same, …also): whether all of a group's files (…by, settings) have sound and could be joined without encoding."""
     s = F.col("settings")
     one = F.struct(*[s[c].alias(c) for c in ("codec", "pixels", "width", "height", "fps", "turn", "audio_codec", "rate", "layout", "tracks")])
     heard = F.coalesce(s["audio_codec"], F.lit("")) != ""
-    return files.groupBy(*by).agg(F.count("*").alias("files"), (F.bool_and(heard) & (F.min(one) == F.max(one))).alias("same"))
+    return files.groupBy(*by).agg(F.count("*").alias("files"), (F.bool_and(heard) & (F.min(one) == F.max(one))).alias("same"), *also)
 
 
 def example(probe: Column) -> Column:
