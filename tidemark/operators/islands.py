@@ -61,6 +61,24 @@ def regrouped(split: DataFrame) -> DataFrame:
     return split.groupBy("key", "seg", "part").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n"), text.alias("text"))
 
 
+def parts_of_lists(texts: DataFrame, segment: int, cut_every: int) -> DataFrame:
+    """(key, seg, part, first, last, n, text): regrouped(parts()) of texts (key, words), inside their rows, so that no word moves.
+    Null and empty words keep their places but belong to no part."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.pmod(F.pmod(i, F.lit(segment)), F.lit(cut_every)) == 0)
+
+    def part(a: Column) -> Column:
+        size = F.least(F.lit(cut_every), segment - F.pmod(a, F.lit(segment)))
+        return F.struct(a.cast("long").alias("a"), F.slice("words", a + 1, size).alias("ws"))
+
+    cut = texts.where(F.size("words") > 0).select("key", F.inline(F.transform(starts, part)))
+    real = F.filter("ws", lambda w: w != "")
+    places = F.filter(F.transform("ws", lambda w, k: F.when(w != "", k)), lambda k: k.isNotNull())
+    told = cut.select("key", "a", F.floor(F.col("a") / segment).alias("seg"), real.alias("real"), F.when(F.size(real) < F.size("ws"), places).alias("places"), F.size("ws").alias("size")).where(F.size("real") > 0)
+    o = F.col("a") - F.col("seg") * segment
+    first, last = F.coalesce(F.array_min("places"), F.lit(0)), F.coalesce(F.array_max("places"), F.col("size") - 1)
+    return told.select("key", "seg", F.when(o == 0, F.col("seg")).otherwise(1_000_000 + 1000 * F.col("seg") + o).alias("part"), (F.col("a") + first).alias("first"), (F.col("a") + last).alias("last"), F.size("real").cast("long").alias("n"), F.array_join("real", " ").alias("text"))
+
+
 def lineage(split: DataFrame) -> DataFrame:
     """(key, seg, o, part, pos): where each word of a segment has gone."""
     pos = F.row_number().over(Window.partitionBy("key", "seg", "part").orderBy("o")) - 1
