@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,6 +238,32 @@ def short_islands(words: DataFrame, longest: int) -> DataFrame:
     return runs.withColumn("_a", around).where(F.col("marked") & F.col("_a") & (F.col("n") <= longest)).drop("marked", "_a")
 
 
+def short_islands_of_lists(texts: DataFrame, longest: int) -> DataFrame:
+    """short_islands() of texts (key, marked: a list), inside their rows; a null stands for no word and keeps its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("marked")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            kept = flat.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+            marked = flat.fill_null(False).to_numpy(zero_copy_only=False)[kept]
+            first = np.ones(len(row) + 1, bool)
+            first[1:-1] = (row[1:] != row[:-1]) | (marked[1:] != marked[:-1])
+            at = np.flatnonzero(first[:-1]) if len(row) else np.zeros(0, np.int64)
+            n = np.diff(np.append(at, len(row)))
+            of = row[at]
+            number = np.arange(len(at)) - np.searchsorted(of, of) + 1
+            same = np.concatenate(([False], of[1:] == of[:-1], [False])) if len(at) else np.zeros(1, bool)
+            told = np.flatnonzero(marked[at] & (n <= longest) & same[:-1] & same[1:])
+            columns = [number[told], place[at[told]], place[at[told] + n[told] - 1], n[told]]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of[told])).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], ["key", "run", "s", "e", "n"])
+
+    return texts.select("key", "marked").mapInArrow(run, "key long, run long, s long, e long, n long")
+
+
 def split_at_clips(part: DataFrame, clips: DataFrame, most: int) -> DataFrame:
     """(key, part, s, e, n): a key's clips (key, id, s, e) in parts of up to `most` clips, by rank."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("s", "id")) - 1
