@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,6 +86,57 @@ def best_split(lengths: list[int]) -> int:
     return best[1]
 
 
+CAPTION_ROWS = "key long, caption long, first long, last long, n long, split long, following long, most long"
+
+
+def ends(w: str) -> bool:
+    w = w.rstrip(" ")
+    return w.endswith((".", "!", "?")) and not w.endswith("..")
+
+
+def caption_rows(texts: DataFrame, segment: int) -> DataFrame:
+    """(key, caption, first, last, n, split, following, most): captions as caption_breaks() parts them, of texts (key, words),
+    inside their rows: places of the first and last word, words before the line breaks as in balanced_split(), place of the next
+    caption's first word and of the text's last. Null and empty words keep their places but belong to no caption."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().fill_null("")
+            lengths = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            kept = lengths > 0
+            row = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+            lengths, names = lengths[kept], CAPTION_ROWS.replace(" long", "").split(", ")
+            if not len(row):
+                continue
+            told = flat.dictionary_encode()
+            ended = np.array([ends(w) for w in told.dictionary.to_pylist()], bool)[told.indices.to_numpy()][kept]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | ended[:-1] | (place[1:] % segment == 0)
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(row)))
+            of, last = row[at], at + n - 1
+            # length of a caption up to each of its words, and of the whole one
+            run_ = np.cumsum(lengths + 1)
+            before = np.repeat(run_[at] - lengths[at] - 1, n)
+            top, k = run_ - before - 1, np.arange(len(row)) - np.repeat(at, n) + 1
+            away = np.abs(2 * top + 1 - np.repeat(top[last], n))
+            away[last] = 1 << 40
+            least = np.repeat(np.minimum.reduceat(away, at), n)
+            split = np.minimum.reduceat(np.where(away == least, k, len(row) + 1), at)
+            split[n < 2] = 0
+            number = np.arange(len(at)) - np.searchsorted(of, of) + 1
+            more = np.append(of[1:] == of[:-1], False)
+            following = pa.array(np.append(place[at[1:]], 0), pa.int64(), mask=~more)
+            most = place[last[np.searchsorted(of, of, "right") - 1]]
+            columns = [pa.array(c, pa.int64()) for c in (number, place[at], place[last], n, split)]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)).cast(pa.int64()), *columns, following, pa.array(most, pa.int64())], names)
+
+    return texts.select("key", "words").mapInArrow(run, CAPTION_ROWS)
+
+
 def caption_breaks(words: DataFrame, segment: int) -> DataFrame:
     """Adds `caption`: a new one at a segment's start and after a sentence end: the breaks that don't depend on length."""
     w = Window.partitionBy("key").orderBy("i")
