@@ -40,6 +40,17 @@ def test_parts(spark):
     same(islands.parts_of_lists(t, 12, 5), islands.regrouped(islands.parts(words(t), 12, 5)))
 
 
+def test_remapped_spans(spark):
+    t = lists(spark)
+    line = islands.lineage(islands.parts(words(t), 12, 5))
+    for a, b in ((3, 8), (0, 11), (5, 5), (9, 30)):
+        choices = line.select("key", F.col("seg").alias("choice"), "seg", F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")).distinct()
+        same(islands.spans_of_lists(t, 12, 5, a, b), islands.remapped_spans(choices, line))
+    same(islands.spans_of_lists(spark.createDataFrame([(1, ["a", None, "b", "c", "d", "e", "f"])], "key long, words array<string>"), 12, 5, 1, 5), spark.createDataFrame([(1, 0, 0, 1, None), (1, 0, 1_000_005, 0, 0)], "key long, choice long, part long, first long, last long"))
+    assert islands.spans_of_lists(t, 12, 5, 12, 20).count() == 0
+    assert shuffles(catalogue.QUERIES["remapped_choices"](spark, DATA)) == 0
+
+
 def test_short_islands(spark):
     t = lists(spark)
     marked = t.select("key", F.transform("words", lambda w: F.when(w != "", F.length(w) >= 4)).alias("marked"))

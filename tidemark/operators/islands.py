@@ -94,3 +94,33 @@ def remapped_spans(choices: DataFrame, line: DataFrame) -> DataFrame:
     each = choices.select("key", "choice", "seg", F.explode(F.sequence("a", "b")).alias("o"))
     hit = each.join(line, ["key", "seg", "o"]).groupBy("key", "choice", "seg", "part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     return hit.join(size, ["key", "seg", "part"]).select("key", "choice", "part", "first", F.when(F.col("last") < F.col("final"), F.col("last")).alias("last"))
+
+
+def spans_of_lists(texts: DataFrame, segment: int, cut_every: int, a: int, b: int) -> DataFrame:
+    """(key, choice, part, first, last): remapped_spans() of words a to b of every segment over lineage(parts()), of texts (key,
+    words), inside their rows, so that no word moves. Null and empty words keep their places but belong to no part.
+
+    A text without such words is told by its size alone; of any other each segment keeps the places of its real words."""
+    size = F.size("words")
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / segment))
+    real = lambda s: F.filter(F.transform(F.slice("words", (s * segment + 1).cast("int"), segment), lambda w, k: F.when(w != "", k)), lambda k: k.isNotNull())
+    plain = F.transform(numbers, lambda s: F.struct(s.alias("seg"), F.lit(None).cast("array<int>").alias("real")))
+    holed = F.transform(numbers, lambda s: F.struct(s.alias("seg"), real(s).alias("real")))
+    segments = texts.select("key", size.alias("size"), F.inline(F.when(size > 0, F.when(F.coalesce(F.array_contains("words", ""), F.lit(True)), holed).otherwise(plain))))
+    left = F.col("size") - F.col("seg") * segment
+
+    def count(low: int, high: int) -> Column:
+        """Words of a segment from place `low` to before `high`."""
+        return F.when(F.col("real").isNull(), F.greatest(F.lit(0), F.least(F.lit(high), left) - low)).otherwise(F.size(F.filter("real", lambda k: (k >= low) & (k < high)))).cast("long")
+
+    rows = []
+    for o in range(0, segment, cut_every):
+        end = min(o + cut_every, segment)
+        low, high = max(o, a), min(end, b + 1)
+        if low < high:
+            part = F.col("seg") if o == 0 else 1_000_000 + 1000 * F.col("seg") + o
+            rows.append(F.struct(part.alias("part"), count(o, low).alias("first"), count(low, high).alias("inside"), count(high, end).alias("after")))
+    if not rows:
+        return segments.select("key", F.col("seg").alias("choice"), F.col("seg").alias("part"), F.col("seg").alias("first"), F.col("seg").alias("last")).where("false")
+    each = segments.select("key", F.col("seg").alias("choice"), F.inline(F.array(*rows))).where("inside > 0")
+    return each.select("key", "choice", "part", "first", F.when(F.col("after") > 0, F.col("first") + F.col("inside") - 1).alias("last"))
