@@ -69,6 +69,43 @@ def test_captions(spark):
     same(got.select("key", "caption", F.col("first").alias("start"), F.col("most").alias("total"), F.coalesce("following", "most").alias("end")), timeline.caption_ends(ends, "total"))
 
 
+def plain_captions(words_, starts, ends_, moments, most_words, most_letters, pause):
+    """The rule word by word."""
+    groups, group = [], []
+    at = lambda some, k: some[k] if some and k < len(some) else None
+    for k, w in enumerate(words_ or []):
+        if not w:
+            continue
+        if group and ((at(starts, k) or 0) - (at(ends_, group[-1]) or 0) > pause or at(moments, k) != at(moments, group[-1])):
+            groups, group = [*groups, group], []
+        group = [*group, k]
+        last = w.rstrip()[-1:]
+        if (last and last in ".!?") or len(group) >= most_words or sum(len(words_[x]) for x in group) > most_letters or (last == "," and len(group) >= 3):
+            groups, group = [*groups, group], []
+    return [(n, len(g), at(starts, g[0]) or 0, at(ends_, g[-1]) or 0, text.best_split([len(words_[x]) for x in g]), " ".join(words_[x] for x in g)) for n, g in enumerate([*groups, group] if group else groups)]
+
+
+def test_captions_of_a_batch(spark):
+    rng = random.Random(7)
+    some = [None, "", "a", "b,", "déjà", "two.", "wide! ", "\u00a0", "eleven letters", "c"]
+    rows = []
+    for key in range(120):
+        n = rng.randint(0, 50)
+        times = sorted(rng.randint(0, 200 * n) for _ in range(2 * n))
+        holes = lambda values: [None if rng.random() < 0.05 else x for x in values][: rng.choice([n, n, n, n // 2])]
+        rows.append((key, rng.choices(some, [1, 1, 9, 2, 9, 1, 1, 1, 1, 9], k=n), holes(times[::2]), holes(times[1::2]), holes([k // 9 for k in range(n)])))
+    rows += [(200, None, None, None, None), (201, ["a", "b"], None, None, None), (202, ["x"] * 3000, [], [], [])]
+    spoken = spark.createDataFrame(rows, "key long, words array<string>, start array<bigint>, end array<bigint>, moment array<bigint>").coalesce(2)
+    for limits in ((6, 26, 350), (1, 26, 350), (100, 5, 0), (40, 60, 10**9)):
+        want = [(key, *c) for key, *lists_ in rows for c in plain_captions(*lists_, *limits)]
+        assert sorted(map(tuple, timeline.captions(spoken, *limits).collect())) == sorted(want)
+    filled = [(key, [w for w in words_ or [] if w]) for key, words_, *_ in rows]
+    want = [(key, *c) for key, ws in filled for c in plain_captions(ws, [300 * k for k in range(len(ws))], [300 * k + 300 for k in range(len(ws))], [k // 12 for k in range(len(ws))], 6, 26, 350)]
+    assert sorted(map(tuple, timeline.captions(spark.createDataFrame(filled, "key long, words array<string>"), clock=(300, 12)).collect())) == sorted(want)
+    # only texts go to the workers: lists made for each word cost more than the words
+    assert "transform(" not in catalogue.QUERIES["caption_groups"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_word_is_shuffled(spark):
     for name in ("split_segments", "short_islands", "balanced_split", "caption_ends"):
         assert shuffles(catalogue.QUERIES[name](spark, DATA)) == 0, name

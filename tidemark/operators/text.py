@@ -86,6 +86,22 @@ def best_split(lengths: list[int]) -> int:
     return best[1]
 
 
+def splits(lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """best_split() of the groups of words of these lengths that begin at the places `at`, the first of which is 0."""
+    n = np.diff(np.append(at, len(lengths)))
+    last = at + n - 1
+    # length of a group up to each of its words, and of the whole one
+    run = np.cumsum(lengths + 1)
+    before = np.repeat(run[at] - lengths[at] - 1, n)
+    top, k = run - before - 1, np.arange(len(lengths)) - np.repeat(at, n) + 1
+    away = np.abs(2 * top + 1 - np.repeat(top[last], n))
+    away[last] = 1 << 40
+    least = np.repeat(np.minimum.reduceat(away, at), n)
+    split = np.minimum.reduceat(np.where(away == least, k, len(lengths) + 1), at)
+    split[n < 2] = 0
+    return split
+
+
 CAPTION_ROWS = "key long, caption long, first long, last long, n long, split long, following long, most long"
 
 
@@ -118,15 +134,7 @@ def caption_rows(texts: DataFrame, segment: int) -> DataFrame:
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(row)))
             of, last = row[at], at + n - 1
-            # length of a caption up to each of its words, and of the whole one
-            run_ = np.cumsum(lengths + 1)
-            before = np.repeat(run_[at] - lengths[at] - 1, n)
-            top, k = run_ - before - 1, np.arange(len(row)) - np.repeat(at, n) + 1
-            away = np.abs(2 * top + 1 - np.repeat(top[last], n))
-            away[last] = 1 << 40
-            least = np.repeat(np.minimum.reduceat(away, at), n)
-            split = np.minimum.reduceat(np.where(away == least, k, len(row) + 1), at)
-            split[n < 2] = 0
+            split = splits(lengths, at)
             number = np.arange(len(at)) - np.searchsorted(of, of) + 1
             more = np.append(of[1:] == of[:-1], False)
             following = pa.array(np.append(place[at[1:]], 0), pa.int64(), mask=~more)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,10 +16,12 @@ from tidemark.functions import scalars as S
 from . import text
 
 
+#: Words after which a caption ends, and after which it ends if it is long enough.
+STOP, COMMA = 1, 2
 CAPTIONS = "key long, caption long, n long, start long, end long, split long, text string"
 
 
-def captions(spoken: DataFrame, most_words: int = 6, most_letters: int = 26, pause: int = 350) -> DataFrame:
+def captions(spoken: DataFrame, most_words: int = 6, most_letters: int = 26, pause: int = 350, clock: tuple[int, int] | None = None) -> DataFrame:
     """(key, caption, n, start, end, split, text): words in captions, numbered from 0; the first line has `split` words.
 
     spoken: a row for each text: key, words, and lists of their start and end (milliseconds) and moment. A caption ends after
@@ -25,42 +29,72 @@ def captions(spoken: DataFrame, most_words: int = 6, most_letters: int = 26, pau
     starts with a moment and after more than `pause` of silence. The word that brings a caption over its letters stays in
     it. Lines break where they are nearest in length, at the earliest of equals. A text's words are read inside its row.
 
+    With `clock` the words stand on a regular clock: each takes so many milliseconds and a moment so many words, and only key
+    and words are read.
+
+    Where a caption that starts at a word would end is told for all words of a batch at once; then the starts are followed
+    from the breaks that are certain, all texts together.
+
     Null or empty words are left out; null lists are empty, and lists shorter than the words go on with nulls; null times count as 0 and null moments as one moment."""
 
-    def of(words: list, starts: list, ends: list, moments: list) -> Iterator[list[int]]:
-        group: list[int] = []
-        letters = 0
-        for k, w in enumerate(words):
-            if not w:
-                continue
-            if group and (starts[k] - ends[group[-1]] > pause or moments[k] != moments[group[-1]]):
-                yield group
-                group, letters = [], 0
-            group.append(k)
-            letters += len(w)
-            last = w.rstrip()[-1:]
-            if last in (".", "!", "?") or len(group) >= most_words or letters > most_letters or (last == "," and len(group) >= 3):
-                yield group
-                group, letters = [], 0
-        if group:
-            yield group
+    def followed(row: np.ndarray, kinds: np.ndarray, lengths: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """Places of the words that start a caption; `apart` tells the words, but the first, before which one must end."""
+        n = len(row)
+        begins = np.ones(n, bool)
+        begins[1:] = (row[1:] != row[:-1]) | (kinds[:-1] == STOP) | apart
+        here, total, comma = np.arange(n), np.cumsum(lengths), np.flatnonzero(kinds == COMMA)
+        limits = (
+            np.append(np.flatnonzero(begins), n)[np.cumsum(begins)] - 1,
+            here + max(most_words, 1) - 1,
+            np.maximum(here, np.searchsorted(total, total - lengths + most_letters, "right")),
+            np.append(comma, n)[np.searchsorted(comma, here + 2)],
+        )
+        following, some = np.minimum.reduce(limits) + 1, np.flatnonzero(begins)
+        while len(some):
+            some = following[some]
+            some = some[some < n]
+            some = some[~begins[some]]
+            begins[some] = True
+        return np.flatnonzero(begins)
+
+    def kind(w: str) -> int:
+        last = w.rstrip()[-1:]
+        return STOP if last in (".", "!", "?") and last else COMMA if last == "," else 0
+
+    def beside(lists: pa.Array, row: np.ndarray, place: np.ndarray) -> pa.Array:
+        """What a column of lists has at these places of these rows, null where a list is shorter."""
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = (np.cumsum(sizes) - sizes)[row] + place
+        return lists.flatten().take(pa.array(at, pa.int64(), mask=place >= sizes[row]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for key, *lists in zip(*[batch.column(c).to_pylist() for c in ("key", "words", "start", "end", "moment")], strict=True):
-                words, starts, ends, moments = (x or [] for x in lists)
-                starts, ends, moments = ([*side, *[None] * (len(words) - len(side))] for side in (starts, ends, moments))
-                starts, ends = ([x or 0 for x in side] for side in (starts, ends))
-                for number, group in enumerate(of(words, starts, ends, moments)):
-                    own = [words[k] for k in group]
-                    row = (key, number, len(own), starts[group[0]], ends[group[-1]], text.best_split([len(w) for w in own]), " ".join(own))
-                    for column, x in zip(columns, row, strict=True):
-                        column.append(x)
-            kinds = [pa.int64()] * 6 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "caption", "n", "start", "end", "split", "text"])
-
-    return spoken.select("key", "words", "start", "end", "moment").mapInArrow(run, CAPTIONS)
+            lists = batch.column("words")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().fill_null("")
+            kept = pc.utf8_length(flat).to_numpy(zero_copy_only=False) > 0
+            row = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+            if not len(row):
+                continue
+            words = flat if kept.all() else flat.filter(pa.array(kept))
+            lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            told = words.dictionary_encode()
+            kinds = np.array([kind(w) for w in told.dictionary.to_pylist()], np.int8)[told.indices.to_numpy()]
+            if clock is not None:
+                start, end, moment = place * clock[0], (place + 1) * clock[0], place // clock[1]
+            else:
+                start, end = (beside(batch.column(c), row, place).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+                moment = beside(batch.column("moment"), row, place).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            at = followed(row, kinds, lengths, (start[1:] - end[:-1] > pause) | (moment[1:] != moment[:-1]))
+            stop = np.append(at[1:], len(row))
+            of = row[at]
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), words), " ")
+            number = np.arange(len(at)) - np.searchsorted(of, of)
+            columns = [pa.array(c, pa.int64()) for c in (number, stop - at, start[at], end[stop - 1], text.splits(lengths, at))]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)).cast(pa.int64()), *columns, lines], ["key", "caption", "n", "start", "end", "split", "text"])
+
+    return spoken.select("key", "words", *(() if clock else ("start", "end", "moment"))).mapInArrow(run, CAPTIONS)
 
 
 def cues(caps: DataFrame, tail: int = 1200, least: int = 500, apart: int = 40) -> DataFrame:
