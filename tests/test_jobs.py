@@ -90,3 +90,48 @@ def test_quiet_jobs_tell_their_state(spark, tmp_path):
 
 def test_nothing(spark, tmp_path):
     assert streamed(spark, tmp_path, []).count() == 0
+
+
+def test_lines_of_a_batch_are_read_in_order(spark, tmp_path):
+    rows = [(1, 5, 30, "@fin-operation"), (1, None, 10, "@progression 1e400 2 a\x1fb "), (1, 3, 10, "@progression 1 4 c"), (1, 4, 10, "@memoire  "), (1, 2, 20, "@progression 3 4 c")]
+    assert collected(streamed(spark, tmp_path, rows)) == sorted(str(x) for x in [(1, "phase", "a\x1fb", 10, 10, 1.0), (1, "phase", "c", 10, 30, 0.25), (1, "busy", None, 10, 30, None)])
+
+
+class Store:
+    """A state store that counts what it is asked."""
+
+    def __init__(self):
+        self.asked, self.kept = 0, {}
+
+    def getValueState(self, name, schema):
+        return Variable(self, name, None)
+
+    def getListState(self, name, schema):
+        return Variable(self, name, [])
+
+
+class Variable:
+    def __init__(self, store, name, usual):
+        self.store, self.name, self.usual = store, name, usual
+
+    def get(self):
+        self.store.asked += 1
+        return self.store.kept.get(self.name, self.usual)
+
+    def update(self, x):
+        self.store.asked += 1
+        self.store.kept[self.name] = x
+
+    put = update
+
+
+def test_a_job_asks_its_store_a_few_times_only():
+    store, told = Store(), jobs.JobProcessor((), {}, None)
+    told.init(store)
+    line = lambda t, what, label: {"told": "\x1f".join([str(t), str(t), what, "1.0", "4.0", label])}
+    first = [line(2 * k + j, what, f"l{k % 20}") for k in range(40) for j, what in enumerate(("side", "progress"))]
+    assert list(told.handleInputRows((7,), iter(first), None)) == [] and store.asked == 3
+    closed = list(told.handleInputRows((7,), iter([line(100 + k, "side end", f"l{k}") for k in range(20)]), None))
+    # each label asked for by itself would be twenty times and more
+    assert store.asked == 7
+    assert [(r["what"], r["label"], r["began"], r["ended"], r["start"]) for r in closed] == [("side", f"l{k}", 40 + 2 * k, 100 + k, 0.25) for k in range(20)] + [("busy", None, 0, 119, None)]
