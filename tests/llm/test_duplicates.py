@@ -215,6 +215,25 @@ def test_short_lines_are_lines(spark):
     assert {(r["doc"], r["no"]): (r["earlier"]["doc"], r["earlier"]["no"], r["similarity"]) for r in got} == {(2, 0): (1, 0, 1.0), (2, 2): (1, 2, 1.0), (3, 1): (1, 0, 1.0), (3, 3): (2, 3, 1.0), (4, 0): (3, 0, 0.8)}
 
 
+def test_descriptions_of_plans_stay_short(spark):
+    """The driver keeps a description of each query, so none may spell a table out: the levels took half a million digits."""
+    docs = common.table(spark, DATA, "documents")
+    places = spark.createDataFrame([(1, 2)], "doc long, h long")
+    for df in (line_dedup.described(docs, 0.8), line_dedup.texts_of(docs).where(line_dedup.among(places))):
+        assert len(df._jdf.queryExecution().toString()) < 100_000
+
+
+def test_components_make_no_broadcast(spark):
+    """Of small edges too: each broadcast leaves a table and a thread with the driver, and there are two joins a round."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 40, 2)] + [(1, 2)], "a long, b long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    found = {r["node"]: r["root"] for r in common.components(edges, "test").collect()}
+    assert found[3] == found[0] == 0 and found[5] == 4 and len(found) == 40
+    plans = [store.execution(k).get().physicalPlanDescription() for k in range(before, store.executionsCount()) if store.execution(k).isDefined()]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_line_dedup_takes_awkward_rows(spark, awkward, empty):
     out = line_dedup.deduplicated(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()

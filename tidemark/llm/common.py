@@ -106,16 +106,18 @@ def components(edges: DataFrame, what: str, max_rounds: int = 64) -> DataFrame:
 
     Alternating large-star and small-star rounds; each is written to the work folder, so that no lineage grows and no
     edge list reaches the driver. Nodes without an edge don't appear. Large-star joins a node's least neighbour back to
-    its edges instead of gathering the neighbours, so a hub's edges need not meet in one task's memory."""
+    its edges instead of gathering the neighbours, so a hub's edges need not meet in one task's memory. Both sides of a join
+    are as large as the edges, so they are merged: of small ones Spark would make a broadcast each, whose table and thread
+    stay with the driver for many rounds."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = stored(pairs, what)
     before = None
     for _ in range(max_rounds):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = stored(small, what)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -123,6 +125,7 @@ def components(edges: DataFrame, what: str, max_rounds: int = 64) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"components: not settled after {max_rounds} rounds")
+    release(edges.sparkSession)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
 

@@ -59,6 +59,12 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return texts.where(F.length("text") > 0).select("doc", F.xxhash64("text").alias("h"), flat(F.col("text")).alias("text"))
 
 
+def constant(spark: SparkSession, value: bytes) -> Column:
+    """The bytes as a subquery of one row. A literal of them would stand, in digits, in every description of a plan that has it,
+    and the driver keeps a thousand descriptions."""
+    return spark.createDataFrame([(value,)], "value binary").scalar()
+
+
 def rarity(docs: DataFrame) -> Column:
     """The levels of all places of the table of counts, a byte each, as a constant: its size is BINS whatever the corpus."""
     every = common.only(docs, "text").select(flat(F.col("text").cast("string")).alias("text")).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
@@ -66,7 +72,7 @@ def rarity(docs: DataFrame) -> Column:
     found = counts.select("bin", F.least(F.lit(127), F.floor(LEVELS * F.log2(F.col("n") + 1))).cast("tinyint").alias("level")).toArrow()
     level = np.zeros(BINS, np.uint8)
     level[found.column("bin").to_numpy()] = found.column("level").to_numpy()
-    return F.lit(level.tobytes())
+    return constant(docs.sparkSession, level.tobytes())
 
 
 def level_at(levels: Column, place: Column) -> Column:
@@ -90,8 +96,10 @@ def described(docs: DataFrame, similarity: float) -> DataFrame:
     lines = texts_of(docs).select("doc", "h", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # the level in the highest byte, the hash below: sorting puts the rarest first, and equal words are equal
-    token = lambda h: h.bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(level_at(level, h.bitwiseAND(BINS - 1)).cast("long"), 56))
-    tokens = lines.select(*PLACE, F.transform(hashes, token).alias("t")).select(*PLACE, F.sort_array("t").alias("t"))
+    token = lambda h: h.bitwiseAND((1 << 56) - 1).bitwiseOR(F.shiftleft(level_at(F.col("levels"), h.bitwiseAND(BINS - 1)).cast("long"), 56))
+    # a subquery may not be written inside transform(); as a column used once Spark moves it there itself
+    hashed = lines.select(*PLACE, hashes.alias("hashes"), level.alias("levels"))
+    tokens = hashed.select(*PLACE, F.transform("hashes", token).alias("t")).select(*PLACE, F.sort_array("t").alias("t"))
     sized = tokens.select(*PLACE, "t", F.size("t").alias("n"))
     return sized.select(
         *PLACE,
@@ -196,7 +204,7 @@ def among(places: DataFrame) -> Column:
     bins = places.select(F.xxhash64("doc", "h").bitwiseAND(BINS - 1).alias("bin")).distinct().toArrow()  # BINS rows at most
     held = np.zeros(BINS, np.uint8)
     held[bins.column("bin").to_numpy()] = 1
-    return level_at(F.lit(held.tobytes()), F.xxhash64("doc", "h").bitwiseAND(BINS - 1)) == 1
+    return level_at(constant(places.sparkSession, held.tobytes()), F.xxhash64("doc", "h").bitwiseAND(BINS - 1)) == 1
 
 
 def compared(pairs: DataFrame, every: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
