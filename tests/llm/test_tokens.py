@@ -29,6 +29,15 @@ def test_same_ids_as_the_library(name, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(name)(texts)] == [ids_of(name, t) for t in texts]
 
 
+def test_new_pieces_are_not_split_again():
+    """Pieces are spelt in the vocabulary's characters, so the library need not look for them: it parts lines only."""
+    encode = encoder("byte_bpe_50k.json")
+    pieces = [" word", "Überß", " 12", "!?", "\u010a", "x\u0085y", "\u00a0", " <|", "'s", "\x00\x7f\u00ad"]
+    encode.learn(pieces)
+    assert [encode.pieces[p] for p in pieces] == encode.encode(pieces)
+    assert "ByteLevel" not in str(encode.bare.pre_tokenizer)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_special_tokens_as_the_library(name):
     texts = ["a<|endoftext|>b", "<|startoftext|>", ""]

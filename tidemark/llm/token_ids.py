@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: The first character beyond those whose split is made here.
 BEYOND = 0x250
@@ -62,9 +62,12 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.most = most
         normal, splits = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
-        self.find, self.lower = None, False
+        self.find, self.lower, self.bare = None, False, None
         if self.tokenizer.normalizer is None and splits.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in splits:
             self.find = BYTE_LEVEL.findall
+            self.bare = Tokenizer.from_file(vocabulary(name))
+            self.bare.encode_special_tokens = True  # lines are pieces, in which a special token's string has been seen to
+            self.bare.pre_tokenizer = pre_tokenizers.Split("\u010a", "isolated")
             self.last, self.feed = self.marked(lambda t: t == "\u010a"), 1
         elif "NFC()" in normal and "Lowercase()" in normal and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in splits:
             self.find, self.lower = WORD_LEVEL.findall, True
@@ -78,7 +81,8 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Remember the ids of pieces, encoded many at a time, as lines of one text: taking each one's ids from the library
-        costs as much as the encoding. A line's ids end where a line feed's id stands, or where the vocabulary marks a
+        costs as much as the encoding. Pieces of a byte-level vocabulary are spelt in its characters here, so that the library
+        splits at line feeds only. A line's ids end where a line feed's id stands, or where the vocabulary marks a
         word's end; should their number be another than that of the pieces, each piece is encoded by itself. Pieces of
         white space are too; in all others white space can only be one space at the start."""
         known, cut = self.pieces, self.feed
@@ -87,7 +91,8 @@ class Encoder:
             known.update(zip(blank, self.encode(blank), strict=True))
             pieces = [p for p in pieces if not p.isspace()]
         runs = [pieces[k : k + PIECES_AT_ONCE] for k in range(0, len(pieces), PIECES_AT_ONCE)]
-        lines = self.tokenizer.encode_batch_fast(["\n".join([*some, ""]) for some in runs], add_special_tokens=False)
+        lines = ["\n".join([*some, ""]) for some in runs]
+        lines = (self.bare or self.tokenizer).encode_batch_fast([spelt(x) for x in lines] if self.bare else lines, add_special_tokens=False)
         for some, line in zip(runs, lines, strict=True):
             ids = np.array(line.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
@@ -105,6 +110,8 @@ class Encoder:
         return self.find is not None and PLAIN.fullmatch(text) is not None and "\u0130" not in text and not any(s in text for s in self.special)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
         split = [self.find(t.lower() if self.lower else t) if self.plain(t) else None for t in texts]
         if len(self.pieces) > self.most:
             self.pieces.clear()
@@ -117,6 +124,20 @@ class Encoder:
         return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
+#: How a byte-level vocabulary writes the bytes that aren't printable characters of their own: in order, from U+0100 on.
+SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+HIDDEN = [(chr(b), chr(0x100 + k)) for k, b in enumerate(b for b in range(256) if b not in SHOWN)]
+
+
+def spelt(lines: str) -> str:
+    """Lines in the characters of a byte-level vocabulary, line feeds too."""
+    out = lines.encode().decode("latin-1")
+    for byte, char in HIDDEN:
+        if byte in out:
+            out = out.replace(byte, char)
+    return out
+
+
 @cache
 def encoder(name: str, special: bool = True, most: int = MOST_PIECES) -> Encoder:
     """One for each worker process, which later tasks use again: a Tokenizer and its memory don't travel. With special=False
